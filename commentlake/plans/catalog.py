@@ -24,7 +24,10 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        REGISTRY[name] = (fn, O.with_views(sql) if sql else None)
+        text = sql
+        if text and not text.lstrip().startswith("WITH"):
+            text = O.with_views(text)
+        REGISTRY[name] = (fn, text)
         return fn
     return deco
 
@@ -178,22 +181,9 @@ def b03_dirname(spark, d):
     return tables(spark, d).comments.select("id", tx.dirname("path").alias("dirname"))
 
 
-def terms_sql(src: str, id_col: str, text_col: str, max_terms: int = tx.MAX_SEARCH_TERMS) -> str:
-    """B4 in DuckDB SQL: (id_col, pos, term) rows, pos = first-seen order."""
-    return f"""
-SELECT {id_col}, term, row_number() OVER (PARTITION BY {id_col} ORDER BY first_pos) AS pos
-FROM (SELECT {id_col}, lower(w) AS term, min(i) AS first_pos
-      FROM (SELECT {id_col}, unnest(regexp_extract_all({text_col}, '[\\p{{L}}\\p{{N}}_]+')) AS w,
-                   generate_subscripts(regexp_extract_all({text_col}, '[\\p{{L}}\\p{{N}}_]+'), 1) AS i
-            FROM {src})
-      WHERE regexp_full_match(w, '[a-zA-Z]{{3,}}') AND NOT list_contains({O.STOP_LIST}, lower(w))
-      GROUP BY {id_col}, lower(w))
-QUALIFY pos <= {max_terms}"""
-
-
 @register("b04_terms", f"""
 SELECT c.id, coalesce(string_agg(t.term, ',' ORDER BY t.pos), '') AS terms
-FROM comments_v c LEFT JOIN ({terms_sql('comments_v', 'id', 'body')}) t ON t.id = c.id
+FROM comments_v c LEFT JOIN ({O.terms_sql('comments_v', 'id', 'body')}) t ON t.id = c.id
 GROUP BY c.id""")
 def b04_terms(spark, d):
     c = tables(spark, d).comments
@@ -373,3 +363,135 @@ def d05_retag(spark, d):
     old_tags, _ = _old_state(spark, d)
     _, ct = tagging.retag_all(tables(spark, d).comments, old_tags, tagging.TEST_RULES)
     return ct
+
+
+# =========================== F / C: search =====================================
+def _search(spark, d):
+    from ..operators import postings
+    from .search import SearchInputs
+    t = tables(spark, d)
+    key = "_search_inputs"
+    if key not in t.__dict__:
+        t.__dict__[key] = SearchInputs(
+            comments=t.comments, index=postings.build_index(t.comments, stemmer=None),
+            vectors=t.embeddings.select("comment_id", "embedding"),
+            tags=t.tags, comment_tags=t.comment_tags)
+    return t.__dict__[key]
+
+
+def _prepared(spark, d):
+    from .search import prepare_queries
+    return prepare_queries(tables(spark, d).queries)
+
+
+def _unrestricted(q):
+    return q.withColumn("restricted", F.lit(False))
+
+
+@register("f02_postings", O.search_sql("""
+SELECT p.term, p.id, p.tf, d.dl FROM post p JOIN doclen d ON d.id = p.id"""))
+def f02_postings(spark, d):
+    return _search(spark, d).index.postings
+
+
+@register("f02_corpus_stats", O.search_sql("SELECT ndocs, CAST(total_len AS BIGINT) AS total_len, avgdl FROM corpus"))
+def f02_corpus_stats(spark, d):
+    return _search(spark, d).index.corpus
+
+
+@register("f03_bm25", O.search_sql("""
+SELECT s.query_id, s.id, s.score,
+       CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+FROM (SELECT query_id, id, round(list_reduce(list(c ORDER BY pos), lambda a, b: a + b), 9) AS score
+      FROM contrib GROUP BY query_id, id) s
+JOIN q ON q.query_id = s.query_id
+QUALIFY rank <= q.k"""))
+def f03_bm25(spark, d):
+    from ..operators import postings
+    q = _unrestricted(_prepared(spark, d))
+    return postings.bm25_topk(postings.query_terms(q), _search(spark, d).index,
+                              q.select("query_id", "k", "restricted"))
+
+
+@register("f04_bm25_tagged", O.search_sql("SELECT query_id, id, score, rank FROM bm25"))
+def f04_bm25_tagged(spark, d):
+    from .search import ranked_lists
+    fts, _, _, _, _ = ranked_lists(tables(spark, d).queries, _search(spark, d))
+    return fts
+
+
+@register("f05_cosine", O.search_sql("""
+SELECT s.query_id, s.id, s.score,
+       CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+FROM (SELECT q.query_id, e.comment_id AS id, q.k,
+             round(list_dot_product(q.qvec::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score
+      FROM q JOIN embeddings_v e ON q.qvec IS NOT NULL) s
+QUALIFY rank <= s.k"""))
+def f05_cosine(spark, d):
+    from ..operators import vectors
+    q = _prepared(spark, d)
+    return vectors.cosine_topk(q, _search(spark, d).vectors, q.select("query_id", "k"))
+
+
+@register("f06_cosine_tagged", O.search_sql("""
+SELECT c.query_id, c.id, c.score, c.rank FROM cosine c JOIN q ON q.query_id = c.query_id
+WHERE q.restricted"""))
+def f06_cosine_tagged(spark, d):
+    from ..operators import fusion, vectors
+    s = _search(spark, d)
+    q = _prepared(spark, d).where(F.col("restricted"))
+    cands = fusion.tag_candidates(q, s.tags, s.comment_tags)
+    return vectors.cosine_restricted(q, s.vectors, cands, q.select("query_id", "k"))
+
+
+@register("f07_rrf", O.search_sql("SELECT query_id, id, score, match_source, rank FROM rrf"))
+def f07_rrf(spark, d):
+    from ..operators import fusion
+    from .search import ranked_lists
+    fts, vec, q, _, _ = ranked_lists(tables(spark, d).queries, _search(spark, d))
+    return fusion.rrf(fts, vec, q.select("query_id", "lim"))
+
+
+def _hybrid(spark, d):
+    from .search import hybrid_search
+    return hybrid_search(tables(spark, d).queries, _search(spark, d))
+
+
+@register("f08_hybrid", O.search_sql("""
+SELECT r.query_id, r.rank, r.id, r.score, r.match_source, c.user_login, coalesce(tn.tags, '') AS tags
+FROM rrf r JOIN comments_v c ON c.id = r.id LEFT JOIN tagnames tn ON tn.id = r.id"""))
+def f08_hybrid(spark, d):
+    h = _hybrid(spark, d)
+    return h.select("query_id", "rank", "id", "score", "match_source", "user_login",
+                    F.array_join("tags", ",").alias("tags"))
+
+
+@register("c03_tag_candidates", O.search_sql("SELECT query_id, id FROM cands"))
+def c03_tag_candidates(spark, d):
+    from ..operators import fusion
+    s = _search(spark, d)
+    return fusion.tag_candidates(_prepared(spark, d).where(F.col("restricted")), s.tags, s.comment_tags)
+
+
+@register("c04_hydrate", O.search_sql("""
+SELECT s.query_id, s.rank, s.id, c.user_login, c.repo
+FROM (SELECT q.query_id, e.comment_id AS id,
+             CAST(row_number() OVER (PARTITION BY q.query_id
+                  ORDER BY round(list_dot_product(q.qvec::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.comment_id) AS INTEGER) AS rank,
+             q.k
+      FROM q JOIN embeddings_v e ON q.qvec IS NOT NULL
+      QUALIFY rank <= q.k) s
+JOIN comments_v c ON c.id = s.id"""))
+def c04_hydrate(spark, d):
+    from ..operators import fusion
+    f = f05_cosine(spark, d)
+    return fusion.hydrate(f, tables(spark, d).comments).select("query_id", "rank", "id", "user_login", "repo")
+
+
+@register("c05_tags_for", O.search_sql("""
+SELECT c.id, coalesce(tn.tags, '') AS tags FROM comments_v c LEFT JOIN tagnames tn ON tn.id = c.id"""))
+def c05_tags_for(spark, d):
+    from ..operators import fusion
+    t = tables(spark, d)
+    return fusion.tags_for(t.comments.select("id"), t.comment_tags, t.tags).select(
+        "id", F.array_join("tags", ",").alias("tags"))

@@ -163,3 +163,96 @@ def dirname_sql(p: str) -> str:
 
 def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, {_q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+
+
+def terms_sql(src: str, id_col: str, text_col: str, max_terms: int = tx.MAX_SEARCH_TERMS) -> str:
+    """B4 in DuckDB SQL: (id_col, pos, term) rows, pos = first-seen order."""
+    return f"""
+SELECT {id_col}, term, row_number() OVER (PARTITION BY {id_col} ORDER BY first_pos) AS pos
+FROM (SELECT {id_col}, lower(w) AS term, min(i) AS first_pos
+      FROM (SELECT {id_col}, unnest(regexp_extract_all({text_col}, '[\\p{{L}}\\p{{N}}_]+')) AS w,
+                   generate_subscripts(regexp_extract_all({text_col}, '[\\p{{L}}\\p{{N}}_]+'), 1) AS i
+            FROM {src})
+      WHERE regexp_full_match(w, '[a-zA-Z]{{3,}}') AND NOT list_contains({STOP_LIST}, lower(w))
+      GROUP BY {id_col}, lower(w))
+QUALIFY pos <= {max_terms}"""
+
+
+# ---- search (F1-F8, C3-C5) in DuckDB SQL --------------------------------------
+def _tok(x: str) -> str:
+    return (f"regexp_extract_all(translate(lower(coalesce({x}, '')), {_q(tx.FOLD_FROM)}, "
+            f"{_q(tx.FOLD_TO)}), '[\\p{{L}}\\p{{N}}]+')")
+
+
+def _d(v: float) -> str:
+    return f"CAST({v!r} AS DOUBLE)"
+
+
+def search_ctes() -> list[tuple[str, str]]:
+    from ..operators import fusion, postings as P
+    k1, bb = P.K1, P.B
+    idf = f"ln((c.ndocs - v.df + {_d(0.5)}) / (v.df + {_d(0.5)}))"
+    return [
+        ("q", f"""
+  SELECT query_id, title AS qtext, coalesce(NULLIF("limit", 0), {tx.DEFAULT_LIMIT}) AS lim,
+         {P.OVERSAMPLE} * coalesce(NULLIF("limit", 0), {tx.DEFAULT_LIMIT}) AS k,
+         coalesce(len(tags), 0) > 0 AS restricted, tags, qvec
+  FROM queries_v WHERE NOT regexp_full_match(coalesce(title, ''), {_q(WS + '*')})"""),
+        ("qterms", terms_sql("q", "query_id", "qtext")),
+        ("dtok", f"SELECT id, list_concat({_tok('body')}, {_tok('path')}, {_tok('diff_hunk')}) AS toks FROM comments_v"),
+        ("doclen", "SELECT id, len(toks) AS dl FROM dtok"),
+        ("post", "SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM dtok) GROUP BY term, id"),
+        ("vocab", "SELECT term, count(*) AS df FROM post GROUP BY term"),
+        ("corpus", "SELECT count(*) AS ndocs, sum(dl) AS total_len, sum(dl) / count(*) AS avgdl FROM doclen"),
+        ("cands", """
+  SELECT DISTINCT u.query_id, ct.comment_id AS id
+  FROM (SELECT query_id, unnest(tags) AS name FROM q WHERE restricted) u
+  JOIN tags_v t ON t.name = u.name JOIN comment_tags_v ct ON ct.tag_id = t.id"""),
+        ("contrib", f"""
+  SELECT qt.query_id, p.id, qt.pos,
+         (CASE WHEN {idf} <= 0 THEN {_d(P.IDF_FLOOR)} ELSE {idf} END)
+           * (CAST(p.tf AS DOUBLE) * {_d(k1 + 1.0)})
+           / (CAST(p.tf AS DOUBLE) + {_d(k1)} * ({_d(1.0)} - {_d(bb)} + {_d(bb)} * CAST(d.dl AS DOUBLE) / c.avgdl)) AS c
+  FROM qterms qt JOIN vocab v ON v.term = qt.term JOIN post p ON p.term = qt.term
+  JOIN doclen d ON d.id = p.id CROSS JOIN corpus c"""),
+        ("bm25", f"""
+  SELECT s.query_id, s.id, s.score,
+         CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM (SELECT query_id, id, round(list_reduce(list(c ORDER BY pos), lambda a, b: a + b), {P.SCORE_DECIMALS}) AS score
+        FROM contrib GROUP BY query_id, id) s
+  JOIN q ON q.query_id = s.query_id
+  WHERE NOT q.restricted OR EXISTS (SELECT 1 FROM cands x WHERE x.query_id = s.query_id AND x.id = s.id)
+  QUALIFY rank <= q.k"""),
+        ("cosine", f"""
+  SELECT s.query_id, s.id, s.score,
+         CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM (SELECT q.query_id, e.comment_id AS id, q.k,
+               round(list_dot_product(q.qvec::DOUBLE[], e.embedding::DOUBLE[]), {P.SCORE_DECIMALS}) AS score
+        FROM q JOIN embeddings_v e ON q.qvec IS NOT NULL
+        WHERE NOT q.restricted
+           OR EXISTS (SELECT 1 FROM cands x WHERE x.query_id = q.query_id AND x.id = e.comment_id)) s
+  QUALIFY rank <= s.k"""),
+        ("fused", f"""
+  SELECT query_id, id, coalesce(f, {_d(0.0)}) + coalesce(v, {_d(0.0)}) AS score,
+         CASE WHEN f IS NOT NULL AND v IS NOT NULL THEN 'hybrid' WHEN f IS NOT NULL THEN 'fts'
+              ELSE 'vector' END AS match_source
+  FROM (SELECT query_id, id, max(f) AS f, max(v) AS v FROM (
+          SELECT query_id, id, {_d(fusion.FTS_WEIGHT)} / ({fusion.RRF_K} + rank) AS f, CAST(NULL AS DOUBLE) AS v FROM bm25
+          UNION ALL
+          SELECT query_id, id, CAST(NULL AS DOUBLE), {_d(fusion.VECTOR_WEIGHT)} / ({fusion.RRF_K} + rank) FROM cosine)
+        GROUP BY query_id, id)"""),
+        ("rrf", """
+  SELECT f.query_id, f.id, f.score, f.match_source,
+         CAST(row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, f.id) AS INTEGER) AS rank
+  FROM fused f JOIN q ON q.query_id = f.query_id
+  QUALIFY rank <= q.lim"""),
+        ("tagnames", """
+  SELECT ct.comment_id AS id, string_agg(t.name, ',' ORDER BY t.name) AS tags
+  FROM comment_tags_v ct JOIN tags_v t ON t.id = ct.tag_id GROUP BY ct.comment_id"""),
+    ]
+
+
+
+
+def search_sql(final: str) -> str:
+    return with_views(final, extra=search_ctes())
