@@ -495,3 +495,285 @@ def c05_tags_for(spark, d):
     t = tables(spark, d)
     return fusion.tags_for(t.comments.select("id"), t.comment_tags, t.tags).select(
         "id", F.array_join("tags", ",").alias("tags"))
+
+
+# =========================== A: ingest, upsert, integrity =====================
+def _land(spark, df: DataFrame, name: str) -> str:
+    """Write host-shaped JSON into a fresh landing folder under the shared
+    checkpoint folder; returns the folder."""
+    from ..session import scratch_path
+    path = scratch_path(spark, f"landing-{name}")
+    df.write.mode("overwrite").json(path)
+    return path
+
+
+@register("a01_normalize_prs", """
+SELECT id, repo, number, title, user_login, merged_at, created_at, updated_at, html_url
+FROM prs_v WHERE merged_at IS NOT NULL""")
+def a01_normalize_prs(spark, d):
+    from .. import schemas
+    from ..sources import ingest
+    path = _land(spark, ingest.prs_to_host_json(tables(spark, d).prs), "prs")
+    return ingest.normalize_prs(ingest.read_json(spark, path, schemas.RAW_PULL))
+
+
+def _comments_json(c: DataFrame) -> DataFrame:
+    from ..sources import ingest
+    j = ingest.comments_to_host_json(c)
+    # host quirks: null bodies and deleted (null) users
+    return (j.withColumn("body", F.when(F.col("id") % 13 == 0, F.lit(None)).otherwise(F.col("body")))
+             .withColumn("user", F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.col("user"))))
+
+
+@register("a02_normalize_comments", """
+SELECT id, repo, pr_number, review_id,
+       CASE WHEN id % 17 = 0 THEN 'unknown' ELSE user_login END AS user_login,
+       CASE WHEN id % 13 = 0 THEN '' ELSE body END AS body,
+       path, line, original_line, side, diff_hunk, commit_id, author_association, in_reply_to_id,
+       created_at, updated_at, html_url
+FROM comments_v""")
+def a02_normalize_comments(spark, d):
+    from .. import schemas
+    from ..sources import ingest
+    path = _land(spark, _comments_json(tables(spark, d).comments), "comments")
+    return ingest.normalize_comments(ingest.read_json(spark, path, schemas.RAW_COMMENT))
+
+
+@register("a03_normalize_reviews", """
+SELECT id, repo, pr_number, user_login, state, body, submitted_at FROM reviews_v WHERE id % 7 <> 3""")
+def a03_normalize_reviews(spark, d):
+    from .. import schemas
+    from ..sources import ingest
+    j = ingest.reviews_to_host_json(tables(spark, d).reviews)
+    j = j.withColumn("submitted_at", F.when(F.col("id") % 7 == 3, F.lit(None)).otherwise(F.col("submitted_at")))
+    path = _land(spark, j, "reviews")
+    return ingest.normalize_reviews(ingest.read_json(spark, path, schemas.RAW_REVIEW))
+
+
+@register("a04_collected_prs", """
+SELECT id, repo, number, title, user_login, merged_at, created_at, updated_at, html_url, state,
+       CASE WHEN number % 4 <> 0 THEN 'main' END AS base_ref,
+       CASE WHEN number % 4 <> 0 THEN 'feature/' || number END AS head_ref,
+       'collector' AS fetched_by, TIMESTAMP '2024-03-01 00:00:00' AS fetched_at
+FROM prs_v""")
+def a04_collected_prs(spark, d):
+    from .. import schemas
+    from ..sources import ingest
+    path = _land(spark, ingest.prs_to_host_json(tables(spark, d).prs), "cprs")
+    return ingest.normalize_collected_prs(ingest.read_json(spark, path, schemas.RAW_PULL),
+                                          "collector", "2024-03-01T00:00:00Z")
+
+
+@register("a05_diffs", """
+SELECT repo, pr_number, diff, fetched_at FROM (
+  SELECT repo, pr_number, diff_hunk AS diff, created_at AS fetched_at,
+         row_number() OVER (PARTITION BY repo, pr_number ORDER BY created_at DESC, diff_hunk DESC) AS rn
+  FROM comments_v WHERE diff_hunk IS NOT NULL) WHERE rn = 1""")
+def a05_diffs(spark, d):
+    from .. import schemas
+    from ..sources import ingest
+    c = tables(spark, d).comments.where(F.col("diff_hunk").isNotNull())
+    raw = c.select("repo", "pr_number", F.col("diff_hunk").alias("diff"),
+                   ingest.ntz_to_iso("created_at").alias("fetched_at"))
+    path = _land(spark, raw, "diffs")
+    return ingest.normalize_diffs(ingest.read_json(spark, path, schemas.RAW_DIFF))
+
+
+@register("a06_pages", "SELECT id, user_login, body FROM comments_v")
+def a06_pages(spark, d):
+    """Comments landed as paginated responses (two pages printed back to
+    back, or one list of lists), flattened back to rows."""
+    from .. import schemas
+    from ..session import scratch_path
+    from ..sources import ingest
+    j = ingest.comments_to_host_json(tables(spark, d).comments)
+    g = F.expr("id div 6")
+    pages = (j.groupBy(g.alias("g"))
+             .agg(F.to_json(F.array_sort(F.collect_list(F.when(F.col("id") % 6 < 3, F.struct("*"))))).alias("a"),
+                  F.to_json(F.array_sort(F.collect_list(F.when(F.col("id") % 6 >= 3, F.struct("*"))))).alias("b")))
+    text = (F.when(F.col("g") % 5 == 0, F.concat(F.lit("["), F.col("a"), F.lit(","), F.col("b"), F.lit(",null]")))
+            .when(F.col("g") % 2 == 0, F.concat(F.col("a"), F.col("b")))
+            .otherwise(F.concat(F.col("a"), F.lit("\n"), F.col("b"))))
+    path = scratch_path(spark, "landing-pages")
+    # one response text per JSON line (its newlines escaped by the writer)
+    pages.select(text.alias("value")).write.mode("overwrite").json(path)
+    raw = spark.read.schema("value string").json(path)
+    return ingest.flatten_pages(raw, schemas.RAW_COMMENT).select(
+        "id", F.coalesce(F.col("user.login"), F.lit("unknown")).alias("user_login"), "body")
+
+
+@register("a07_repo_refs", f"""
+SELECT owner, repo, min(line_no) AS line_no FROM (
+  SELECT line_no,
+         CASE WHEN regexp_matches(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")})
+              THEN regexp_extract(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")}, 1)
+              WHEN regexp_matches(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")})
+              THEN regexp_extract(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")}, 1) END AS owner,
+         CASE WHEN regexp_matches(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")})
+              THEN regexp_extract(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")}, 2)
+              WHEN regexp_matches(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")})
+              THEN regexp_extract(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")}, 2) END AS repo
+  FROM (SELECT line_no, regexp_replace({O.strip_sql('line')}, '/+$', '') AS s FROM repo_lines_v)
+  WHERE s <> '' AND NOT starts_with(s, '#'))
+WHERE owner IS NOT NULL GROUP BY owner, repo""")
+def a07_repo_refs(spark, d):
+    from ..operators import upsert
+    repos, _ = upsert.parse_repo_refs(tables(spark, d).repo_lines)
+    return repos
+
+
+@register("a07_rejects", f"""
+SELECT line_no, line FROM (
+  SELECT line_no, line, regexp_replace({O.strip_sql('line')}, '/+$', '') AS s FROM repo_lines_v)
+WHERE s <> '' AND NOT starts_with(s, '#')
+  AND NOT regexp_matches(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")})
+  AND NOT regexp_matches(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")})""")
+def a07_rejects(spark, d):
+    from ..operators import upsert
+    _, rejects = upsert.parse_repo_refs(tables(spark, d).repo_lines)
+    return rejects
+
+
+@register("a08_filter_repos", "SELECT DISTINCT repo FROM prs_v WHERE contains(repo, '1')")
+def a08_filter_repos(spark, d):
+    from ..operators import upsert
+    return upsert.filter_repos(tables(spark, d).prs.select("repo").distinct(), "1")
+
+
+@register("a09_discover", f"""
+SELECT repo, number FROM prs_v WHERE state = 'closed'
+QUALIFY row_number() OVER (PARTITION BY repo ORDER BY number DESC) <= 1000""")
+def a09_discover(spark, d):
+    from ..operators import upsert
+    return upsert.discover_prs(tables(spark, d).prs, state="closed")
+
+
+_INCR_SQL = """
+SELECT p.* FROM prs_v p LEFT JOIN state_v s ON s.repo = p.repo
+WHERE s.last_fetched_at IS NULL OR p.updated_at > s.last_fetched_at"""
+
+
+@register("a10_incremental", f"SELECT id, repo, number, updated_at FROM ({_INCR_SQL})")
+def a10_incremental(spark, d):
+    from ..operators import upsert
+    t = tables(spark, d)
+    return upsert.incremental(t.prs, t.fetch_state).select("id", "repo", "number", "updated_at")
+
+
+@register("a10_state", f"""
+SELECT coalesce(s.repo, n.repo) AS repo,
+       greatest(s.last_fetched_at, n.n_at) AS last_fetched_at,
+       greatest(s.last_pr_number, n.n_num) AS last_pr_number
+FROM state_v s FULL JOIN (SELECT repo, max(updated_at) AS n_at, max(number) AS n_num
+                          FROM ({_INCR_SQL}) GROUP BY repo) n ON n.repo = s.repo""")
+def a10_state(spark, d):
+    from ..operators import upsert
+    t = tables(spark, d)
+    return upsert.advance_state(t.fetch_state, upsert.incremental(t.prs, t.fetch_state))
+
+
+@register("a11_upsert", """
+SELECT id, body, updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, src DESC) AS rn
+  FROM (SELECT *, 0 AS src FROM comments_v UNION ALL SELECT *, 1 AS src FROM batch_v))
+WHERE rn = 1""")
+def a11_upsert(spark, d):
+    from ..operators import upsert
+    t = tables(spark, d)
+    return upsert.upsert(t.comments, t.batch, ["id"]).select("id", "body", "updated_at")
+
+
+def _pr_batch(prs: DataFrame) -> DataFrame:
+    """PRs re-fetched under new ids (same repo/number): the unique
+    (repo, number) clash set of A11."""
+    return (prs.where(F.col("id") % 10 == 0)
+            .withColumn("id", F.col("id") + 1_000_000_000)
+            .withColumn("title", F.concat(F.col("title"), F.lit(" (rebased)")))
+            .withColumn("updated_at", F.col("updated_at") + F.expr("INTERVAL 1 DAY")))
+
+
+@register("a11_upsert_prs", """
+SELECT id, repo, number, title, updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo, number ORDER BY updated_at DESC, src DESC, id) AS rn2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, src DESC) AS rn FROM (
+      SELECT id, repo, number, title, updated_at, 0 AS src FROM prs_v
+      UNION ALL
+      SELECT id + 1000000000, repo, number, title || ' (rebased)', updated_at + INTERVAL 1 DAY, 1
+      FROM prs_v WHERE id % 10 = 0))
+  WHERE rn = 1)
+WHERE rn2 = 1""")
+def a11_upsert_prs(spark, d):
+    from ..operators import upsert
+    p = tables(spark, d).prs
+    out = upsert.upsert(p, _pr_batch(p), ["id"], unique_keys=[["repo", "number"]])
+    return out.select("id", "repo", "number", "title", "updated_at")
+
+
+@register("a12_run_summary", f"""
+SELECT p.repo, p.number AS pr_number, coalesce(c.n, 0) AS comments, coalesce(r.n, 0) AS reviews
+FROM ({_INCR_SQL}) p
+LEFT JOIN (SELECT repo, pr_number, count(*) AS n FROM comments_v GROUP BY ALL) c
+  ON c.repo = p.repo AND c.pr_number = p.number
+LEFT JOIN (SELECT repo, pr_number, count(*) AS n FROM reviews_v GROUP BY ALL) r
+  ON r.repo = p.repo AND r.pr_number = p.number""")
+def a12_run_summary(spark, d):
+    from ..operators import upsert
+    t = tables(spark, d)
+    return upsert.run_summary(upsert.incremental(t.prs, t.fetch_state), t.comments, t.reviews)
+
+
+@register("a13_export_import", """
+SELECT 'pull_requests' AS "table", count(*) AS "rows" FROM prs_v
+UNION ALL SELECT 'reviews', count(*) FROM reviews_v
+UNION ALL SELECT 'comments', count(*) FROM comments_v
+UNION ALL SELECT 'comment_embeddings', count(*) FROM embeddings_v
+UNION ALL SELECT 'comment_tags', count(*) FROM comment_tags_v
+UNION ALL SELECT 'tags', count(*) FROM tags_v""")
+def a13_export_import(spark, d):
+    from ..session import scratch_path
+    from ..sources import ingest
+    t = tables(spark, d)
+    tabs = {"pull_requests": t.prs, "reviews": t.reviews, "comments": t.comments,
+            "comment_embeddings": t.embeddings, "comment_tags": t.comment_tags, "tags": t.tags}
+    path = scratch_path(spark, "export")
+    ingest.export_kb(tabs, path)
+    back = ingest.import_kb(spark, path, list(tabs))
+    return stats.table_counts(back)
+
+
+def _integrity_sql() -> str:
+    from ..operators.upsert import NOT_NULL
+    src = {"pull_requests": "prs_v", "reviews": "reviews_v", "comments": "comments_v",
+           "comment_embeddings": "embeddings_v", "comment_tags": "comment_tags_v", "tags": "tags_v"}
+    parts = [
+        "SELECT 'fk:reviews(repo,pr_number)->pull_requests' AS \"check\", count(*) AS violations FROM reviews_v r "
+        "ANTI JOIN prs_v p ON p.repo = r.repo AND p.number = r.pr_number",
+        "SELECT 'fk:comments(repo,pr_number)->pull_requests', count(*) FROM comments_v r "
+        "ANTI JOIN prs_v p ON p.repo = r.repo AND p.number = r.pr_number",
+        "SELECT 'fk:comment_embeddings(comment_id)->comments', count(*) FROM embeddings_v e "
+        "ANTI JOIN comments_v c ON c.id = e.comment_id",
+        "SELECT 'fk:comment_tags(comment_id)->comments', count(*) FROM comment_tags_v e "
+        "ANTI JOIN comments_v c ON c.id = e.comment_id",
+        "SELECT 'fk:comment_tags(tag_id)->tags', count(*) FROM comment_tags_v e "
+        "ANTI JOIN tags_v t ON t.id = e.tag_id",
+    ]
+    for t, cols in NOT_NULL.items():
+        for c in cols:
+            parts.append(f"SELECT 'not_null:{t}.{c}', count(*) FILTER (WHERE {c} IS NULL) FROM {src[t]}")
+    uniq = [("unique:pull_requests(id)", "prs_v", "id"),
+            ("unique:pull_requests(repo,number)", "prs_v", "repo, number"),
+            ("unique:reviews(id)", "reviews_v", "id"), ("unique:comments(id)", "comments_v", "id"),
+            ("unique:comment_embeddings(comment_id)", "embeddings_v", "comment_id"),
+            ("unique:comment_tags(comment_id,tag_id)", "comment_tags_v", "comment_id, tag_id"),
+            ("unique:tags(name)", "tags_v", "name")]
+    for n, v, ks in uniq:
+        parts.append(f"SELECT '{n}', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM "
+                     f"(SELECT count(*) AS n FROM {v} GROUP BY {ks} HAVING count(*) > 1)")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("a14_integrity", _integrity_sql())
+def a14_integrity(spark, d):
+    from ..operators import upsert
+    t = tables(spark, d)
+    return upsert.integrity_report(t.prs, t.reviews, t.comments, t.embeddings, t.tags, t.comment_tags)
