@@ -777,3 +777,122 @@ def a14_integrity(spark, d):
     from ..operators import upsert
     t = tables(spark, d)
     return upsert.integrity_report(t.prs, t.reviews, t.comments, t.embeddings, t.tags, t.comment_tags)
+
+
+# =========================== G: report ==========================================
+def _hits(spark, d):
+    t = tables(spark, d)
+    if "_hits" not in t.__dict__:
+        t.__dict__["_hits"] = _hybrid(spark, d).cache()
+    return t.__dict__["_hits"]
+
+
+_HITS_SQL = "SELECT r.query_id, r.rank, r.id, c.path FROM rrf r JOIN comments_v c ON c.id = r.id"
+
+
+@register("g01_cap", O.search_sql(f"""
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS pos, rank, id
+FROM ({_HITS_SQL}) QUALIFY pos <= 20"""))
+def g01_cap(spark, d):
+    from ..operators import report
+    return report.cap(_hits(spark, d)).select("query_id", "pos", "rank", "id")
+
+
+@register("g02_group", O.search_sql(f"""
+SELECT query_id, dir, CAST(count(*) AS INTEGER) AS n_members, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids
+FROM (SELECT *, CASE WHEN path IS NOT NULL AND path <> '' THEN {O.dirname_sql('path')} ELSE 'general' END AS dir
+      FROM ({_HITS_SQL}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 20)
+GROUP BY query_id, dir"""))
+def g02_group(spark, d):
+    from ..operators import report
+    g = report.group_by_dir(report.cap(_hits(spark, d)))
+    return g.select("query_id", "dir", F.size("members").alias("n_members"),
+                    F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",").alias("ids"))
+
+
+@register("g03_dedup")
+def g03_dedup(spark, d):
+    from ..operators import report
+    g = report.greedy_dedup(report.group_by_dir(report.cap(_hits(spark, d))))
+    return g.select("query_id", "dir", F.size("members").alias("n_kept"),
+                    F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",").alias("ids"))
+
+
+@register("g04_report")
+def g04_report(spark, d):
+    from ..operators import report
+    return report.render_report(_hits(spark, d), tables(spark, d).queries)
+
+
+@register("g05_context")
+def g05_context(spark, d):
+    from ..operators import report
+    return report.prompt_context(_hits(spark, d))
+
+
+@register("g06_empty", O.search_sql(f"""
+SELECT q.query_id, coalesce(n.n, 0) AS n_hits,
+       CASE WHEN n.n IS NULL THEN '{'No conventions found.'}' END AS message
+FROM queries_v q LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_HITS_SQL}) GROUP BY query_id) n
+  ON n.query_id = q.query_id"""))
+def g06_empty(spark, d):
+    from ..operators import report
+    return report.empty_results(tables(spark, d).queries, _hits(spark, d))
+
+
+@register("g07_conventions")
+def g07_conventions(spark, d):
+    from ..operators import report
+    t = tables(spark, d)
+    conv, _ = report.mine_conventions(t.comments, t.comment_tags, t.tags)
+    return conv
+
+
+@register("g07_sources")
+def g07_sources(spark, d):
+    from ..operators import report
+    t = tables(spark, d)
+    _, src = report.mine_conventions(t.comments, t.comment_tags, t.tags)
+    return src
+
+
+# =========================== H: findings ========================================
+@register("h01_dedup", f"""
+SELECT file, line, (min({{'s': severity, 'i': issue}})).i AS issue, min(severity) AS severity,
+       count(*) AS n_merged
+FROM findings_v GROUP BY file, line, {O.strip_sql("regexp_replace(lower(issue), " + O._q(O.WS + '+') + ", ' ', 'g')")}""")
+def h01_dedup(spark, d):
+    from ..operators import findings
+    return findings.dedup_findings(tables(spark, d).findings)
+
+
+@register("h02_merge", """
+SELECT f.file, min(f.line) AS line, max(f.line) AS line_end,
+       (min({'s': f.severity, 'l': f.line, 'i': f.issue})).i AS issue, min(f.severity) AS severity,
+       count(*) AS n_findings
+FROM findings_v f JOIN (
+  SELECT file, line, sum(brk) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS isl
+  FROM (SELECT file, line,
+               CASE WHEN line - lag(line) OVER (PARTITION BY file ORDER BY line) <= 2 THEN 0 ELSE 1 END AS brk
+        FROM (SELECT DISTINCT file, line FROM findings_v))) i
+  ON i.file = f.file AND i.line = f.line
+GROUP BY f.file, i.isl""")
+def h02_merge(spark, d):
+    from ..operators import findings
+    return findings.merge_nearby(tables(spark, d).findings)
+
+
+@register("h03_severity", """
+SELECT s.severity, coalesce(n, 0) AS n FROM (VALUES ('P0'), ('P1'), ('P2')) s(severity)
+LEFT JOIN (SELECT severity, count(*) AS n FROM findings_v GROUP BY severity) c ON c.severity = s.severity""")
+def h03_severity(spark, d):
+    from ..operators import findings
+    return findings.severity_rollup(tables(spark, d).findings)
+
+
+@register("h04_approved", """
+SELECT DISTINCT file FROM changed_files_v c WHERE NOT EXISTS (SELECT 1 FROM findings_v f WHERE f.file = c.file)""")
+def h04_approved(spark, d):
+    from ..operators import findings
+    t = tables(spark, d)
+    return findings.approved_files(t.changed_files, t.findings)
