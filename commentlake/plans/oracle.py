@@ -85,6 +85,11 @@ VIEWS: dict[str, str] = {
   SELECT DISTINCT repo, TIMESTAMP '{b.STATE_WATERMARK}' AS last_fetched_at,
          CAST({b.STATE_LAST_NUMBER} AS BIGINT) AS last_pr_number
   FROM prs_v WHERE CAST(regexp_extract(repo, '(\\d+)$', 1) AS BIGINT) % 2 = 0""",
+    "upserted_v": """
+  SELECT * EXCLUDE (src, rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, src DESC) AS rn
+    FROM (SELECT *, 0 AS src FROM comments_v UNION ALL SELECT *, 1 AS src FROM batch_v))
+  WHERE rn = 1""",
     "repo_lines_v": """
   SELECT page_id AS line_no,
          CASE WHEN page_id % 2 = 0
@@ -128,7 +133,8 @@ VIEWS["comment_tags_v"] = f"""
   FROM ({tag_scores_sql(tagging.TEST_RULES)}) m JOIN tags_v t ON t.name = m.tag"""
 
 _ORDER = ["comments_v", "prs_v", "reviews_v", "embeddings_v", "queries_v", "findings_v",
-          "changed_files_v", "batch_v", "state_v", "repo_lines_v", "tags_v", "comment_tags_v"]
+          "changed_files_v", "batch_v", "upserted_v", "state_v", "repo_lines_v", "tags_v",
+          "comment_tags_v"]
 
 
 def with_views(sql: str, extra: list[tuple[str, str]] | None = None) -> str:
