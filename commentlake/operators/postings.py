@@ -58,13 +58,14 @@ def document_tokens(comments: DataFrame) -> DataFrame:
 def build_index(comments: DataFrame, stemmer: str | None = None) -> TextIndex:
     """postings, vocabulary and corpus statistics of ``comments``."""
     toks = document_tokens(comments)
-    if stemmer:
-        from . import stemming
-        toks = stemming.stem_token_arrays(toks, "tokens", stemmer)
     toks = toks.select("id", "tokens", F.size("tokens").cast("long").alias("dl"))
     postings = (toks.select("id", "dl", F.explode("tokens").alias("term"))
                 .groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
                 .select("term", "id", "tf", "dl"))
+    if stemmer:
+        # only the distinct vocabulary is stemmed; postings are re-keyed
+        from . import stemming
+        postings = stemming.stem_postings(postings, stemmer)
     vocab = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     corpus = toks.agg(F.count(F.lit(1)).alias("ndocs"),
                       F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"))

@@ -998,3 +998,68 @@ def i05_backfill_equals_stream(spark, d):
     return a.agg(F.count(F.lit(1)).alias("n_stream")).select(
         "n_stream", b.agg(F.count(F.lit(1))).scalar().alias("n_batch"),
         diff.agg(F.count(F.lit(1))).scalar().alias("n_diff"))
+
+
+# =========================== F1, F9-F11, B11: stemming, embedding, ANN ==========
+@register("f01_stemmed_vocab")
+def f01_stemmed_vocab(spark, d):
+    """Porter-stemmed vocabulary of the comment index (term, df)."""
+    from ..operators import postings
+    return postings.build_index(tables(spark, d).comments, stemmer="porter").vocab
+
+
+@register("f03_bm25_porter")
+def f03_bm25_porter(spark, d):
+    """F3 with the reference's stemming tokenizer on both sides."""
+    from ..operators import postings
+    idx = postings.build_index(tables(spark, d).comments, stemmer="porter")
+    q = _unrestricted(_prepared(spark, d))
+    return postings.bm25_topk(postings.query_terms(q, stemmer="porter"), idx,
+                              q.select("query_id", "k", "restricted"))
+
+
+@register("f09_embed")
+def f09_embed(spark, d):
+    """vectors for the comments that have none (C1), default embedder."""
+    from ..operators import vectors
+    t = tables(spark, d)
+    e = vectors.embed_comments(t.comments, t.embeddings)
+    return e.select("comment_id", "model", F.size("embedding").alias("dim"),
+                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0),
+                                               lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+@register("f10_ann")
+def f10_ann(spark, d):
+    """LSH top-k and its recall against exact F5, per query."""
+    from ..operators import vectors
+    q = _prepared(spark, d)
+    s = _search(spark, d)
+    kq = q.select("query_id", "k")
+    ann = vectors.ann_topk(q, s.vectors, kq)
+    exact = vectors.cosine_topk(q, s.vectors, kq)
+    hit = exact.join(ann.select("query_id", "id"), ["query_id", "id"], "left_semi") \
+        .groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    tot = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
+    return tot.join(hit, "query_id", "left").select(
+        "query_id", "k", F.coalesce("found", F.lit(0)).alias("found"),
+        (F.coalesce("found", F.lit(0)) / F.col("k")).alias("recall"))
+
+
+@register("f11_reembed")
+def f11_reembed(spark, d):
+    """every comment embedded again under a new model name."""
+    from ..operators import vectors
+    e = vectors.reembed(tables(spark, d).comments, model="hashing-64-v2")
+    return e.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("dim"))
+
+
+@register("b11_decode", "SELECT comment_id, CAST(len(embedding) AS INTEGER) AS dim, true AS same FROM embeddings_v")
+def b11_decode(spark, d):
+    """float32 little-endian blobs <-> array<float> round trip."""
+    from ..functions.vectors import decode_vector, encode_vector
+    e = tables(spark, d).embeddings.select("comment_id", "embedding")
+    blob = e.withColumn("blob", encode_vector("embedding"))
+    back = blob.withColumn("decoded", decode_vector("blob"))
+    return back.select("comment_id", F.size("decoded").alias("dim"),
+                       (F.col("decoded") == F.col("embedding")).alias("same"))
