@@ -121,11 +121,17 @@ def bm25_topk(qterms: DataFrame, index: TextIndex, k_by_query: DataFrame,
                    F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf).alias("idf"))
     bound = None if n_queries is None else n_queries * tx.MAX_SEARCH_TERMS
     qv = checked_broadcast(qv, bound=bound) if bound is not None else qv
+    keys = ["term"]
+    if "tb" in index.postings.columns:
+        # stored postings are partitioned by term bucket: joining on it lets
+        # dynamic partition pruning skip the buckets no query term hashes to
+        qv = qv.withColumn("tb", term_bucket("term").cast(index.postings.schema["tb"].dataType))
+        keys = ["tb", "term"]
     tf = F.col("tf").cast("double")
     dl = F.col("dl").cast("double")
     contrib = (F.col("idf") * (tf * F.lit(K1 + 1.0))
                / (tf + F.lit(K1) * (F.lit(1.0) - F.lit(B) + F.lit(B) * dl / avgdl)))
-    hits = index.postings.join(qv, "term").select("query_id", "id", "qpos", "restricted",
+    hits = index.postings.join(qv, keys).select("query_id", "id", "qpos", "restricted",
                                                    contrib.alias("c"))
     if candidates is not None:
         free = hits.where(~F.col("restricted"))

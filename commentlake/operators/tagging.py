@@ -13,6 +13,7 @@ hit alone (0.2) therefore never tags a comment.
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from dataclasses import dataclass
 
@@ -34,10 +35,30 @@ FIELD_COLUMNS = {"body": "body", "path": "path", "hunk": "diff_hunk"}
 _NW = r"[^\p{L}\p{N}_]"
 
 
+class WordPattern(str):
+    """A whole-word alternation.  It is a plain regex string (any engine can
+    run it); the word list is kept so that single-token words can be matched
+    against the row's token set instead of scanning the text once per rule."""
+    words: tuple = ()
+
+
+_TOKEN_WORD = re.compile(r"^[^\W]+$")
+
+
 def words(*ws: str) -> str:
     """Regex matching any of the given words as a whole word (case folded by
     the matcher).  The boundary is factored out of the alternation."""
-    return f"(?:^|{_NW})(?:{'|'.join(ws)})(?:$|{_NW})"
+    p = WordPattern(f"(?:^|{_NW})(?:{'|'.join(ws)})(?:$|{_NW})")
+    p.words = tuple(ws)
+    return p
+
+
+def _token_words(p) -> tuple | None:
+    """Lower-cased words when every alternative is one plain token."""
+    ws = getattr(p, "words", ())
+    if ws and all(_TOKEN_WORD.match(w) for w in ws):
+        return tuple(w.lower() for w in ws)
+    return None
 
 
 @dataclass(frozen=True)
@@ -144,14 +165,39 @@ def _field(df_field: str) -> Column:
     return F.coalesce(F.col(FIELD_COLUMNS[df_field]), F.lit(""))
 
 
-def rule_scores(rules: list[Rule]) -> Column:
+_TOK = {f: f"_tok_{f}" for f in FIELD_COLUMNS}
+
+
+def _hit(field: str, patterns: list[str], token_cols: set) -> Column:
+    """Search hit of any pattern in a field: single-token word lists are an
+    ``arrays_overlap`` with the field's token set (one tokenisation per
+    field), everything else one combined case-insensitive regex."""
+    toks, regex = [], []
+    for p in patterns:
+        tw = _token_words(p)
+        if tw is None:
+            regex.append(p)
+        else:
+            toks.extend(tw)
+    cond = None
+    if toks:
+        token_cols.add(field)
+        cond = F.arrays_overlap(F.col(_TOK[field]), F.array(*[F.lit(w) for w in dict.fromkeys(toks)]))
+    if regex:
+        r = _field(field).rlike(combined_pattern(regex))
+        cond = r if cond is None else (cond | r)
+    return cond
+
+
+def rule_scores(rules: list[Rule], token_cols: set | None = None) -> Column:
     """array<struct<tag string, confidence double>> of the tags a row earns."""
+    token_cols = set() if token_cols is None else token_cols
     items = []
     for tag, fields in _grouped(rules).items():
         score = F.lit(0.0)
         for field, w in FIELD_WEIGHTS.items():
             if field in fields:
-                hit = _field(field).rlike(combined_pattern(fields[field]))
+                hit = _hit(field, fields[field], token_cols)
                 score = score + F.when(hit, F.lit(w)).otherwise(F.lit(0.0))
         items.append(F.struct(F.lit(tag).alias("tag"), score.alias("score")))
     arr = F.array(*items)
@@ -160,11 +206,21 @@ def rule_scores(rules: list[Rule]) -> Column:
         x["tag"].alias("tag"), F.least(x["score"], F.lit(MAX_CONFIDENCE)).alias("confidence")))
 
 
+def field_tokens(field: str) -> Column:
+    """Lower-cased word-character runs of a field (the whole-word units)."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(_field(field)), F.lit(r"[\p{L}\p{N}_]+"), 0))
+
+
 def match_rules(comments: DataFrame, rules: list[Rule] = TEST_RULES) -> DataFrame:
     """(comment_id, tag, confidence) for every rule tag a comment earns.
-    A narrow projection + generator: no exchange in the plan."""
-    m = comments.select(F.col("id").alias("comment_id"),
-                        F.explode(rule_scores(rules)).alias("m"))
+    Narrow projections + a generator: no exchange in the plan.  Each field
+    is tokenised once; the token sets feed every word-list rule."""
+    used: set = set()
+    scores = rule_scores(rules, used)
+    base = comments.select("id", *[F.col(c) for c in FIELD_COLUMNS.values() if c in comments.columns])
+    for f in used:
+        base = base.withColumn(_TOK[f], field_tokens(f))
+    m = base.select(F.col("id").alias("comment_id"), F.explode(scores).alias("m"))
     return m.select("comment_id", F.col("m.tag").alias("tag"),
                     F.col("m.confidence").alias("confidence"))
 

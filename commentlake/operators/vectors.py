@@ -52,36 +52,45 @@ def _topk_partition(qids: np.ndarray, qmat: np.ndarray, kmax: int):
     return run
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k_by_query: DataFrame) -> DataFrame:
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k_by_query: DataFrame,
+                n_queries: int | None = None) -> DataFrame:
     """exact top-k by dot product for each query.
 
     ``queries``: (query_id, qvec); ``vectors``: (comment_id, embedding);
     ``k_by_query``: (query_id, k).  Output (query_id, id, score, rank).
-    The query vectors are the search input (like a parameter list): their
-    size is checked before they are shipped, in chunks, to the tasks.
+    The query vectors are the search input (like a parameter list): they are
+    shipped to the tasks in chunks of at most QUERY_CHUNK queries whose byte
+    size is checked first; the corpus is never collected.
     """
     spark = queries.sparkSession
-    q = queries.where(F.col("qvec").isNotNull()).select("query_id", "qvec")
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim")).first()
-    n, dim = stats["n"], stats["dim"] or 0
-    if n == 0:
+    q = (queries.where(F.col("qvec").isNotNull()).select("query_id", "qvec")
+         .join(k_by_query.select("query_id", "k"), "query_id"))
+    if n_queries is None:
+        n_queries = q.count()
+    if n_queries == 0:
         return _empty_ranked(spark)
-    if min(n, QUERY_CHUNK) * dim * 8 > MAX_QUERY_MATRIX_BYTES:
-        raise ValueError("a chunk of query vectors exceeds the size bound")
-    kq = k_by_query.agg(F.max("k")).first()[0]
-    kmax = min(OVERSAMPLE * MAX_LIMIT, int(kq or 1))
     corpus = vectors.select("comment_id", "embedding")
+    if n_queries <= QUERY_CHUNK:
+        chunks = [q]
+    else:   # chunks by query_id order (the query list only)
+        ordered = q.withColumn("chunk", F.floor(
+            (F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_CHUNK))
+        chunks = [ordered.where(F.col("chunk") == c).drop("chunk")
+                  for c in range((n_queries + QUERY_CHUNK - 1) // QUERY_CHUNK)]
     parts = []
-    # chunks of QUERY_CHUNK queries by query_id order (the query list only)
-    ordered = q.withColumn("chunk", F.floor(
-        (F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_CHUNK))
-    n_chunks = (n + QUERY_CHUNK - 1) // QUERY_CHUNK
-    for c in range(n_chunks):
-        pdf = ordered.where(F.col("chunk") == c).select("query_id", "qvec").toPandas()
-        qids = pdf["query_id"].to_numpy(dtype=np.int64)
+    for chunk in chunks:
+        pdf = chunk.toPandas()
+        if pdf.empty:
+            continue
         qmat = np.vstack(pdf["qvec"].to_numpy()).astype(np.float64)
+        if qmat.nbytes > MAX_QUERY_MATRIX_BYTES:
+            raise ValueError("a chunk of query vectors exceeds the size bound")
+        qids = pdf["query_id"].to_numpy(dtype=np.int64)
+        kmax = int(min(OVERSAMPLE * MAX_LIMIT, pdf["k"].max()))
         parts.append(corpus.mapInPandas(_topk_partition(qids, qmat, kmax),
                                         "query_id long, id long, score double"))
+    if not parts:
+        return _empty_ranked(spark)
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)

@@ -59,7 +59,8 @@ def ranked_lists(queries: DataFrame, inp: SearchInputs, stemmer: str | None = No
     restricted = q.where(F.col("restricted"))
     cands = fusion.tag_candidates(restricted, inp.tags, inp.comment_tags, n_queries, n_tags)
     fts = postings.bm25_topk(postings.query_terms(q, stemmer=stemmer), inp.index, kq, cands, n_queries)
-    vec = vectors.cosine_topk(q.where(~F.col("restricted")), inp.vectors, kq).unionByName(
+    vec = vectors.cosine_topk(q.where(~F.col("restricted")), inp.vectors, kq,
+                              n_queries=None if n_queries > vectors.QUERY_CHUNK else n_queries).unionByName(
         vectors.cosine_restricted(restricted, inp.vectors, cands, kq))
     return fts, vec, q, n_queries, n_tags
 

@@ -46,6 +46,40 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A knowledge-base table written once to the shared checkpoint
+        folder and read back (cuts lineage; later jobs scan parquet)."""
+        key = f"_stored_{name}"
+        if key not in self.__dict__:
+            from ..session import scratch_path
+            path = scratch_path(self.spark, f"kb-{name}")
+            build().write.mode("overwrite").parquet(path)
+            self.__dict__[key] = self.spark.read.parquet(path)
+        return self.__dict__[key]
+
+    def stored_index(self, stemmer=None):
+        """F2 index written with postings partitioned by term bucket."""
+        key = f"_stored_index_{stemmer}"
+        if key not in self.__dict__:
+            from ..operators import postings
+            from ..session import scratch_path
+            path = scratch_path(self.spark, "kb-index")
+            postings.write_index(postings.build_index(self.kb_comments, stemmer), path)
+            self.__dict__[key] = postings.read_index(self.spark, path)
+        return self.__dict__[key]
+
+    @property
+    def kb_comments(self) -> DataFrame:
+        return self.stored("comments", lambda: self.comments)
+
+    @property
+    def kb_tags(self) -> DataFrame:
+        return self.stored("tags", lambda: self.tags)
+
+    @property
+    def kb_comment_tags(self) -> DataFrame:
+        return self.stored("comment_tags", lambda: self.comment_tags)
+
     # ---- comments / PRs / reviews -------------------------------------------
     @cached_property
     def comments(self) -> DataFrame:
