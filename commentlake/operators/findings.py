@@ -62,18 +62,19 @@ def line_islands(findings: DataFrame, gap: int = NEARBY_LINES, checkpoint: bool
     near = steps.groupBy("file", "line").agg(F.min("d").alias("d"))
     cur = (lines.join(near, ["file", "line"], "left")
            .select("file", "line", (F.col("line") - F.coalesce("d", F.lit(0))).alias("start")))
-    while True:
-        nxt = (cur.alias("a")
+    # chains are at most (max line span of a file) long: ceil(log2(span+1))
+    # doubling rounds reach every island start; one aggregate gives the bound
+    span = lines.groupBy("file").agg((F.max("line") - F.min("line")).alias("s")) \
+        .agg(F.max("s")).first()[0] or 0
+    rounds = max(1, int(span).bit_length())
+    for r in range(rounds):
+        cur = (cur.alias("a")
                .join(cur.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.start") == F.col("b.line")))
                .select(F.col("a.file").alias("file"), F.col("a.line").alias("line"),
                        F.col("b.start").alias("start")))
-        if checkpoint:
-            nxt = nxt.checkpoint()
-        changed = nxt.alias("n").join(cur.alias("c"), ["file", "line"]) \
-            .where(F.col("n.start") != F.col("c.start")).limit(1).count()
-        cur = nxt
-        if changed == 0:
-            return cur
+        if checkpoint and (r % 3 == 2 or r == rounds - 1):
+            cur = cur.checkpoint()
+    return cur
 
 
 def merge_nearby(findings: DataFrame, gap: int = NEARBY_LINES, checkpoint: bool = True) -> DataFrame:

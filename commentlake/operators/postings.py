@@ -67,8 +67,10 @@ def build_index(comments: DataFrame, stemmer: str | None = None) -> TextIndex:
         from . import stemming
         postings = stemming.stem_postings(postings, stemmer)
     vocab = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = toks.agg(F.count(F.lit(1)).alias("ndocs"),
-                      F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"))
+    # N counts every document; its count needs no tokens
+    ndocs = comments.agg(F.count(F.lit(1)).alias("ndocs"))
+    total = toks.agg(F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"))
+    corpus = ndocs.select("ndocs", total.select("total_len").scalar().alias("total_len"))
     corpus = corpus.select("ndocs", "total_len",
                            (F.col("total_len") / F.col("ndocs")).alias("avgdl"))
     return TextIndex(postings, vocab, corpus)
@@ -79,11 +81,21 @@ def term_bucket(term) -> F.Column:
 
 
 def write_index(index: TextIndex, path: str) -> None:
-    """Persist an index: postings partitioned by term bucket."""
+    """Persist an index.  Postings are written once (partitioned by term
+    bucket); the vocabulary and corpus statistics are then aggregated from
+    the written postings, so the corpus is tokenised a single time.  The
+    document count comes from ``index.corpus`` (documents without tokens
+    count too), computed without tokenising."""
     (index.postings.withColumn("tb", term_bucket("term"))
      .repartition("tb").write.mode("overwrite").partitionBy("tb").parquet(f"{path}/postings"))
-    index.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    spark = index.postings.sparkSession
+    p = spark.read.parquet(f"{path}/postings")
+    p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/vocab")
+    ndocs = index.corpus.select("ndocs").scalar()
+    lens = p.groupBy("id").agg(F.max("dl").alias("dl"))
+    (lens.agg(F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"))
+     .select(ndocs.alias("ndocs"), "total_len", (F.col("total_len") / ndocs).alias("avgdl"))
+     .write.mode("overwrite").parquet(f"{path}/corpus"))
 
 
 def read_index(spark, path: str) -> TextIndex:
@@ -112,15 +124,16 @@ def bm25_topk(qterms: DataFrame, index: TextIndex, k_by_query: DataFrame,
     Output: (query_id, id, score, rank).
     """
     # query side: bounded by n_queries x 20 terms -> broadcast after a check
-    qv = (qterms.join(index.vocab, "term")
-          .join(k_by_query.select("query_id", "restricted"), "query_id"))
+    bound = n_queries * tx.MAX_SEARCH_TERMS if n_queries is not None else qterms.count()
+    qt = checked_broadcast(qterms.join(k_by_query.select("query_id", "restricted"), "query_id"),
+                           bound=bound)
+    qv = index.vocab.join(qt, "term")
     ndocs = index.corpus.select("ndocs").scalar()
     avgdl = index.corpus.select("avgdl").scalar()
     idf = F.log((ndocs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     qv = qv.select("query_id", "qpos", "term", "restricted",
                    F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf).alias("idf"))
-    bound = None if n_queries is None else n_queries * tx.MAX_SEARCH_TERMS
-    qv = checked_broadcast(qv, bound=bound) if bound is not None else qv
+    qv = checked_broadcast(qv, bound=bound)
     keys = ["term"]
     if "tb" in index.postings.columns:
         # stored postings are partitioned by term bucket: joining on it lets

@@ -129,14 +129,18 @@ def empty_results(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 # ---- G7 ------------------------------------------------------------------------
-N_BANDS = 16
-ROWS_PER_BAND = 4
+N_BANDS = 10
+ROWS_PER_BAND = 3     # P(candidate | J=0.7) = 1 - (1 - 0.7^3)^10 = 0.985
 
 
-def minhash_signature(words, n_hashes: int = N_BANDS * ROWS_PER_BAND):
-    """array<long> of n_hashes minimum hash values of a word set."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n_hashes - 1)),
-                       lambda i: F.array_min(F.transform(words, lambda w: F.xxhash64(i, w))))
+def minhash_signatures(docs: DataFrame, n_hashes: int = N_BANDS * ROWS_PER_BAND) -> DataFrame:
+    """(id, sig): n_hashes minimum hash values of each word set.  Words are
+    exploded and hashed once; the n_hashes minima are one codegen'd grouped
+    aggregate (partial per task: one row per document is shuffled)."""
+    ex = docs.select("id", F.explode("words").alias("w")).select("id", F.xxhash64("w").alias("h"))
+    aggs = [F.min(F.xxhash64(F.col("h"), F.lit(i))).alias(f"_h{i}") for i in range(n_hashes)]
+    return ex.groupBy("id").agg(*aggs).select(
+        "id", F.array(*[F.col(f"_h{i}") for i in range(n_hashes)]).alias("sig"))
 
 
 def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
@@ -145,7 +149,7 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
     """Near-duplicate clusters -> ``(conventions, sources)``.
 
     Semantics (ours; the reference only defines the table): two comments are
-    linked when they share a MinHash band bucket (16 bands x 4 rows) and the
+    linked when they share a MinHash band bucket (10 bands x 3 rows) and the
     Jaccard similarity of their word sets with the bucket's representative
     (smallest id) is >= threshold; exact word-set copies are always linked.
     Clusters are the connected components with at least two comments — a
@@ -167,7 +171,7 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
     exact = ws.join(reps, "wkey").select("id", "rep")          # every doc -> its exact rep
     uniq = ws.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "words")
     # 2) MinHash bands of the representatives
-    sig = uniq.select("id", minhash_signature("words").alias("sig"))
+    sig = minhash_signatures(uniq)
     bands = sig.select("id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(N_BANDS - 1)),
         lambda b: F.xxhash64(b, F.slice("sig", b * ROWS_PER_BAND + 1, ROWS_PER_BAND)))).alias("band", "bkey"))
