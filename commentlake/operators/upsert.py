@@ -123,7 +123,7 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], version: str |
         w = Window.partitionBy(*uk).orderBy(*order, *[F.asc(k) for k in keys])
         win = c.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_src")
         out = rest.unionByName(win)
-    return out
+    return out.select(*target.columns)
 
 
 def _upsert_one(target, batch, keys, version, arrival, max_broadcast_keys):
