@@ -86,8 +86,10 @@ def write_index(index: TextIndex, path: str) -> None:
     the written postings, so the corpus is tokenised a single time.  The
     document count comes from ``index.corpus`` (documents without tokens
     count too), computed without tokenising."""
-    (index.postings.withColumn("tb", term_bucket("term"))
-     .repartition("tb").write.mode("overwrite").partitionBy("tb").parquet(f"{path}/postings"))
+    # each task writes its postings sorted by bucket (no repartition by tb:
+    # a bucket holding a hot term would land whole in one task)
+    (index.postings.withColumn("tb", term_bucket("term")).sortWithinPartitions("tb", "term")
+     .write.mode("overwrite").partitionBy("tb").parquet(f"{path}/postings"))
     spark = index.postings.sparkSession
     p = spark.read.parquet(f"{path}/postings")
     p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/vocab")

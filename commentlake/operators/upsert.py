@@ -115,17 +115,23 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], version: str |
         touched = batch.select(*uk).distinct()
         contested = out.join(touched, uk, "left_semi")
         rest = out.join(touched, uk, "left_anti")
-        b_ids = batch.select(*keys).withColumn("_src", F.lit(1))
+        b_ids = batch.select(*keys).distinct().withColumn("_src", F.lit(1))
         c = contested.join(b_ids, keys, "left").fillna({"_src": 0})
-        order = ([F.desc(version)] if version else []) + [F.desc("_src")]
-        if arrival and arrival in c.columns:
-            order.append(F.desc(arrival))
-        w = Window.partitionBy(*uk).orderBy(*order, *[F.asc(k) for k in keys])
-        win = c.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_src")
-        out = rest.unionByName(win)
+        order = ([F.col(version)] if version else []) + [F.col("_src")] + [F.col(k) for k in keys]
+        out = rest.unionByName(_latest(c, uk, order, out.columns))
     return out.select(*target.columns)
 
 
+def _latest(df: DataFrame, keys: list[str], order: list, cols: list[str]) -> DataFrame:
+    """One row per key: the row with the largest ``order`` tuple (then the
+    largest row).  A max over a struct is a grouped aggregate with partial
+    aggregation, so a key holding a third of all rows is reduced map-side
+    instead of being sorted in one task (as a window would)."""
+    best = F.max(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)],
+                          F.struct(*cols).alias("_row"))).alias("_best")
+    return df.groupBy(*keys).agg(best).select("_best._row.*")
+
+
 def _upsert_one(target, batch, keys, version, arrival, max_broadcast_keys):
     cols = target.columns
     b = batch.select(*cols, *([arrival] if arrival and arrival not in cols else []))
@@ -140,12 +146,12 @@ def _upsert_one(target, batch, keys, version, arrival, max_broadcast_keys):
     if arrival:
         contested_t = contested_t.withColumn(arrival, F.lit(None).cast(b.schema[arrival].dataType))
     both = contested_t.unionByName(contested_b, allowMissingColumns=True)
-    order = ([F.desc_nulls_last(version)] if version else []) + [F.desc("_src")]
+    # newest version wins (nulls lose), then batch over target, then arrival
+    order = ([F.col(version)] if version else []) + [F.col("_src")]
     if arrival:
-        order.append(F.desc_nulls_last(arrival))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    winners = both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*cols)
-    return untouched.select(*cols).unionByName(winners)
+        order.append(F.col(arrival))
+    winners = _latest(both, keys, order, cols)
+    return untouched.select(*cols).unionByName(winners.select(*cols))
 
 
 # ---- A12 -----------------------------------------------------------------------

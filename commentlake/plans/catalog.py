@@ -563,7 +563,12 @@ FROM prs_v""")
 def a04_collected_prs(spark, d):
     from .. import schemas
     from ..sources import ingest
-    path = _land(spark, ingest.prs_to_host_json(tables(spark, d).prs), "cprs")
+    p = tables(spark, d).prs
+    # PRs without base/head objects for every fourth number
+    p = p.select("*", F.when(F.col("number") % 4 != 0, F.lit("main")).alias("base_ref"),
+                 F.when(F.col("number") % 4 != 0, F.concat(F.lit("feature/"), F.col("number").cast("string")))
+                 .alias("head_ref"))
+    path = _land(spark, ingest.prs_to_host_json(p), "cprs")
     return ingest.normalize_collected_prs(ingest.read_json(spark, path, schemas.RAW_PULL),
                                           "collector", "2024-03-01T00:00:00Z")
 
@@ -698,7 +703,7 @@ def _pr_batch(prs: DataFrame) -> DataFrame:
 
 @register("a11_upsert_prs", """
 SELECT id, repo, number, title, updated_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo, number ORDER BY updated_at DESC, src DESC, id) AS rn2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo, number ORDER BY updated_at DESC, src DESC, id DESC) AS rn2 FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, src DESC) AS rn FROM (
       SELECT id, repo, number, title, updated_at, 0 AS src FROM prs_v
       UNION ALL
