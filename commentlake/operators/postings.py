@@ -16,9 +16,9 @@ weights (fixed values: k1 = 1.2, b = 0.75, idf floor 1e-6):
   idf(t)  = ln((N - df + 0.5) / (df + 0.5)), 1e-6 when <= 0
   score   = sum over query terms t of idf(t) * tf*(k1+1) / (tf + k1*(1 - b + b*dl/avgdl))
 The sum runs over the query's *term positions* (a term listed twice, e.g. two
-words with one stem, counts twice: Q18), added in query-term order so equal
-documents get bit-equal scores; scores are rounded to 1e-9 before ranking and
-ties go to the smaller id (Q12).
+words with one stem, counts twice: Q18) in exact decimal arithmetic, so equal
+documents get equal scores in any summation order; scores are rounded to
+1e-9 before ranking and ties go to the smaller id (Q12).
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ OVERSAMPLE = 3          # each ranked list holds 3 x limit ids before fusion
 MAX_LIMIT = 100         # limits are clamped to 1..100, so k <= 300
 # -----------------------------------------------------------------------------
 SCORE_DECIMALS = 9
+SUM_TYPE = "decimal(38,18)"
 TERM_BUCKETS = 64
 
 
@@ -153,11 +154,12 @@ def bm25_topk(qterms: DataFrame, index: TextIndex, k_by_query: DataFrame,
         kept = hits.where(F.col("restricted")).join(candidates.select("query_id", "id"),
                                                     ["query_id", "id"], "left_semi")
         hits = free.unionByName(kept)
+    # decimal sum: exact and order-independent, so equal documents tie
+    # exactly whatever the partitioning; algebraic, so it is combined
+    # map-side before the (query, doc) shuffle
     scored = (hits.groupBy("query_id", "id")
-              .agg(F.array_sort(F.collect_list(F.struct("qpos", "c"))).alias("cs"))
-              .select("query_id", "id",
-                      F.round(F.aggregate("cs", F.lit(0.0), lambda acc, x: acc + x["c"]),
-                              SCORE_DECIMALS).alias("score")))
+              .agg(F.sum(F.col("c").cast(SUM_TYPE)).alias("s"))
+              .select("query_id", "id", F.round("s", SCORE_DECIMALS).cast("double").alias("score")))
     return top_k(scored, k_by_query)
 
 

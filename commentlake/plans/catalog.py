@@ -406,14 +406,14 @@ def f02_corpus_stats(spark, d):
 @register("f03_bm25", O.search_sql("""
 SELECT s.query_id, s.id, s.score,
        CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
-FROM (SELECT query_id, id, round(list_reduce(list(c ORDER BY pos), lambda a, b: a + b), 9) AS score
+FROM (SELECT query_id, id, CAST(round(sum(CAST(c AS DECIMAL(38,18))), 9) AS DOUBLE) AS score
       FROM contrib GROUP BY query_id, id) s
 JOIN q ON q.query_id = s.query_id
 QUALIFY rank <= q.k"""))
 def f03_bm25(spark, d):
     from ..operators import postings
     q = _unrestricted(_prepared(spark, d))
-    return postings.bm25_topk(postings.query_terms(q), _search(spark, d).index,
+    return postings.bm25_topk(postings.query_terms(q), tables(spark, d).stored_index(),
                               q.select("query_id", "k", "restricted"))
 
 
@@ -434,7 +434,8 @@ QUALIFY rank <= s.k"""))
 def f05_cosine(spark, d):
     from ..operators import vectors
     q = _prepared(spark, d)
-    return vectors.cosine_topk(q, _search(spark, d).vectors, q.select("query_id", "k"))
+    vecs = tables(spark, d).embeddings.select("comment_id", "embedding")
+    return vectors.cosine_topk(q, vecs, q.select("query_id", "k"))
 
 
 @register("f06_cosine_tagged", O.search_sql("""
