@@ -16,9 +16,9 @@ weights (fixed values: k1 = 1.2, b = 0.75, idf floor 1e-6):
   idf(t)  = ln((N - df + 0.5) / (df + 0.5)), 1e-6 when <= 0
   score   = sum over query terms t of idf(t) * tf*(k1+1) / (tf + k1*(1 - b + b*dl/avgdl))
 The sum runs over the query's *term positions* (a term listed twice, e.g. two
-words with one stem, counts twice: Q18) in exact decimal arithmetic, so equal
-documents get equal scores in any summation order; scores are rounded to
-1e-9 before ranking and ties go to the smaller id (Q12).
+words with one stem, counts twice: Q18) in exact fixed-point arithmetic
+(1e-12 units), so equal documents get equal scores in any summation order;
+ties go to the smaller id (Q12).
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ IDF_FLOOR = 1e-6
 OVERSAMPLE = 3          # each ranked list holds 3 x limit ids before fusion
 MAX_LIMIT = 100         # limits are clamped to 1..100, so k <= 300
 # -----------------------------------------------------------------------------
-SCORE_DECIMALS = 9
-SUM_TYPE = "decimal(38,18)"
+SCORE_DECIMALS = 9          # cosine scores are rounded to this many places
+SCORE_UNITS = 10 ** 12      # BM25 contributions are summed in 1e-12 units
 TERM_BUCKETS = 64
 
 
@@ -154,15 +154,23 @@ def bm25_topk(qterms: DataFrame, index: TextIndex, k_by_query: DataFrame,
         kept = hits.where(F.col("restricted")).join(candidates.select("query_id", "id"),
                                                     ["query_id", "id"], "left_semi")
         hits = free.unionByName(kept)
-    # decimal sum: exact and order-independent, so equal documents tie
-    # exactly whatever the partitioning; algebraic, so it is combined
-    # map-side before the (query, doc) shuffle
+    # fixed-point sum: each contribution is floored to 1e-12 units (a long),
+    # so the sum is exact and order-independent (equal documents tie exactly
+    # whatever the partitioning) and stays a codegen'd long aggregate that is
+    # combined map-side before the (query, doc) shuffle
     scored = (hits.groupBy("query_id", "id")
-              .agg(F.sum(F.col("c").cast(SUM_TYPE)).alias("s"))
-              .select("query_id", "id", F.round("s", SCORE_DECIMALS).cast("double").alias("score")))
+              .agg(F.sum(F.floor(F.col("c") * F.lit(float(SCORE_UNITS)))).alias("s"))
+              .select("query_id", "id", _units_to_score(F.col("s")).alias("score")))
     return top_k(scored, k_by_query)
 
 
+def _units_to_score(s):
+    """Sum in 1e-12 units -> score rounded half-up to 1e-9, in integer
+    arithmetic (absorbs last-bit differences of ln between engines)."""
+    per = SCORE_UNITS // 10 ** SCORE_DECIMALS
+    return F.floor((s + F.lit(per // 2)) / F.lit(per)).cast("double") / F.lit(float(10 ** SCORE_DECIMALS))
+
+
 def top_k(scored: DataFrame, k_by_query: DataFrame, score: str = "score") -> DataFrame:
     """Per-query top k by (score desc, id asc).  The literal bound
     ``rank <= 3 x MAX_LIMIT`` lets Spark plan a WindowGroupLimit (partial

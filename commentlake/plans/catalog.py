@@ -406,7 +406,9 @@ def f02_corpus_stats(spark, d):
 @register("f03_bm25", O.search_sql("""
 SELECT s.query_id, s.id, s.score,
        CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
-FROM (SELECT query_id, id, CAST(round(sum(CAST(c AS DECIMAL(38,18))), 9) AS DOUBLE) AS score
+FROM (SELECT query_id, id,
+             CAST((sum(CAST(floor(c * CAST(1000000000000 AS DOUBLE)) AS BIGINT)) + 500) // 1000 AS DOUBLE)
+               / CAST(1000000000 AS DOUBLE) AS score
       FROM contrib GROUP BY query_id, id) s
 JOIN q ON q.query_id = s.query_id
 QUALIFY rank <= q.k"""))

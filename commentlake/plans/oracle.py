@@ -224,7 +224,9 @@ def search_ctes() -> list[tuple[str, str]]:
         ("bm25", f"""
   SELECT s.query_id, s.id, s.score,
          CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
-  FROM (SELECT query_id, id, CAST(round(sum(CAST(c AS DECIMAL(38,18))), {P.SCORE_DECIMALS}) AS DOUBLE) AS score
+  FROM (SELECT query_id, id,
+               CAST((sum(CAST(floor(c * CAST({P.SCORE_UNITS} AS DOUBLE)) AS BIGINT)) + 500) // 1000 AS DOUBLE)
+                 / CAST(1000000000 AS DOUBLE) AS score
         FROM contrib GROUP BY query_id, id) s
   JOIN q ON q.query_id = s.query_id
   WHERE NOT q.restricted OR EXISTS (SELECT 1 FROM cands x WHERE x.query_id = s.query_id AND x.id = s.id)
