@@ -166,10 +166,13 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
     ws = (comments.select("id", "body", "path", "updated_at", tx.word_set("body").alias("words"))
           .where(F.size("words") > 0))
     # 1) exact copies: one representative per distinct word set
-    ws = ws.withColumn("wkey", F.xxhash64(F.array_sort("words")))
+    ws = ws.select("id", "words").withColumn("wkey", F.xxhash64(F.array_sort("words")))
+    if checkpoint:      # word sets are read by the collapse, MinHash and verification
+        ws = ws.checkpoint()
     reps = ws.groupBy("wkey").agg(F.min("id").alias("rep"))
     exact = ws.join(reps, "wkey").select("id", "rep")          # every doc -> its exact rep
     uniq = ws.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "words")
+
     # 2) MinHash bands of the representatives
     sig = minhash_signatures(uniq)
     bands = sig.select("id", F.posexplode(F.transform(
@@ -187,12 +190,14 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
     links = (edges.select(F.col("id").alias("a"), F.col("bmin").alias("b"), "sim")
              .unionByName(exact.where(F.col("id") != F.col("rep"))
                           .select(F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("sim"))))
-    und = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if checkpoint:
-        und = und.checkpoint()
+        links = links.checkpoint()
+    und = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # 4) connected components by min-label propagation
     label = und.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
+    rounds = 0
     for _ in range(max_rounds):
+        rounds += 1
         nb = (und.join(label.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b")
               .groupBy("a").agg(F.min("lb").alias("m")))
         new = (label.join(nb.withColumnRenamed("a", "id"), "id", "left")
@@ -204,6 +209,7 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
         label = new
         if changed == 0:
             break
+    mine_conventions.last_rounds = rounds
     members = label.select(F.col("id").alias("comment_id"), F.col("label").alias("cid"))
     sims = links.join(members.withColumnRenamed("comment_id", "a"), "a").groupBy("cid") \
         .agg(F.avg("sim").alias("confidence"))
