@@ -36,6 +36,8 @@ NL = "chr(10)"
 
 
 # =========================== E: statistics ==================================
+# Statistics read the stored knowledge base (comments, tags, assignments
+# written once per session under the shared checkpoint folder).
 @register("e01_counts", """
 SELECT 'pull_requests' AS "table", count(*) AS "rows" FROM prs_v
 UNION ALL SELECT 'reviews', count(*) FROM reviews_v
@@ -45,9 +47,9 @@ UNION ALL SELECT 'comment_tags', count(*) FROM comment_tags_v
 UNION ALL SELECT 'tags', count(*) FROM tags_v""")
 def e01_counts(spark, d):
     t = tables(spark, d)
-    return stats.table_counts({"pull_requests": t.prs, "reviews": t.reviews, "comments": t.comments,
-                               "comment_embeddings": t.embeddings, "comment_tags": t.comment_tags,
-                               "tags": t.tags})
+    return stats.table_counts({"pull_requests": t.prs, "reviews": t.reviews, "comments": t.kb_comments,
+                               "comment_embeddings": t.embeddings, "comment_tags": t.kb_comment_tags,
+                               "tags": t.kb_tags})
 
 
 @register("e02_prs_by_repo", "SELECT repo, count(*) AS count FROM prs_v GROUP BY repo")
@@ -57,20 +59,20 @@ def e02_prs_by_repo(spark, d):
 
 @register("e03_comments_by_repo", "SELECT repo, count(*) AS count FROM comments_v GROUP BY repo")
 def e03_comments_by_repo(spark, d):
-    return stats.comments_by_repo(tables(spark, d).comments)
+    return stats.comments_by_repo(tables(spark, d).kb_comments)
 
 
 @register("e04_top_reviewers", """
 SELECT user_login, count(*) AS count FROM comments_v GROUP BY user_login
 ORDER BY count DESC, user_login LIMIT 10""")
 def e04_top_reviewers(spark, d):
-    return stats.top_reviewers(tables(spark, d).comments)
+    return stats.top_reviewers(tables(spark, d).kb_comments)
 
 
 @register("e05_date_range",
           "SELECT min(created_at) AS oldest, max(created_at) AS newest FROM comments_v")
 def e05_date_range(spark, d):
-    return stats.date_range(tables(spark, d).comments)
+    return stats.date_range(tables(spark, d).kb_comments)
 
 
 @register("e06_stats", """
@@ -92,7 +94,7 @@ SELECT (SELECT count(*) FROM prs_v) AS pull_requests,
                 ORDER BY n DESC, user_login LIMIT 10)) AS top_reviewers""")
 def e06_stats(spark, d):
     t = tables(spark, d)
-    s = stats.kb_stats(t.prs, t.reviews, t.comments, t.embeddings, t.comment_tags, t.tags)
+    s = stats.kb_stats(t.prs, t.reviews, t.kb_comments, t.embeddings, t.kb_comment_tags, t.kb_tags)
 
     def map_str(c):
         return F.array_join(F.transform(F.array_sort(F.map_entries(c)),
@@ -111,14 +113,14 @@ def e06_stats(spark, d):
           "SELECT c.id FROM comments_v c ANTI JOIN embeddings_v e ON e.comment_id = c.id")
 def c01_unembedded(spark, d):
     t = tables(spark, d)
-    return stats.unembedded(t.comments, t.embeddings).select("id")
+    return stats.unembedded(t.kb_comments, t.embeddings).select("id")
 
 
 @register("c02_untagged",
           "SELECT c.id FROM comments_v c ANTI JOIN comment_tags_v t ON t.comment_id = c.id")
 def c02_untagged(spark, d):
     t = tables(spark, d)
-    return stats.untagged(t.comments, t.comment_tags).select("id")
+    return stats.untagged(t.kb_comments, t.kb_comment_tags).select("id")
 
 
 @register("c06_tag_counts", """
@@ -127,7 +129,7 @@ FROM tags_v t LEFT JOIN comment_tags_v ct ON ct.tag_id = t.id
 GROUP BY t.id, t.name, t.description""")
 def c06_tag_counts(spark, d):
     t = tables(spark, d)
-    return stats.tags_with_counts(t.tags, t.comment_tags)
+    return stats.tags_with_counts(t.kb_tags, t.kb_comment_tags)
 
 
 @register("a15_ids", "SELECT id FROM comments_v")
@@ -500,7 +502,7 @@ SELECT c.id, coalesce(tn.tags, '') AS tags FROM comments_v c LEFT JOIN tagnames
 def c05_tags_for(spark, d):
     from ..operators import fusion
     t = tables(spark, d)
-    return fusion.tags_for(t.comments.select("id"), t.comment_tags, t.tags).select(
+    return fusion.tags_for(t.kb_comments.select("id"), t.kb_comment_tags, t.kb_tags).select(
         "id", F.array_join("tags", ",").alias("tags"))
 
 
