@@ -313,7 +313,7 @@ FROM ({O.tag_scores_sql(tagging.TEST_RULES_OLD)}) m JOIN ({_OLD_TAGS_SQL}) t ON
 def _old_state(spark, d):
     t = tables(spark, d)
     old_tags = tagging.seed_tags(None, tagging.TEST_RULES_OLD, spark)
-    m = tagging.match_rules(t.comments, tagging.TEST_RULES_OLD)
+    m = tagging.match_rules(t.kb_comments, tagging.TEST_RULES_OLD)
     ot = old_tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
     existing = (m.join(F.broadcast(ot), "tag")
                 .select("comment_id", "tag_id", F.lit(1.0).alias("confidence")))
@@ -328,7 +328,7 @@ def d01_seed_tags(spark, d):
 
 @register("d02_match", O.tag_scores_sql(tagging.TEST_RULES))
 def d02_match(spark, d):
-    return tagging.match_rules(tables(spark, d).comments, tagging.TEST_RULES)
+    return tagging.match_rules(tables(spark, d).kb_comments, tagging.TEST_RULES)
 
 
 _MATCH_IDS_SQL = f"""
@@ -344,7 +344,7 @@ ANTI JOIN ({_EXISTING_SQL}) e ON e.comment_id = n.comment_id AND e.tag_id = n.ta
 def d03_assign(spark, d):
     old_tags, existing = _old_state(spark, d)
     tags2 = tagging.seed_tags(old_tags, tagging.TEST_RULES, spark)
-    matches = tagging.match_rules(tables(spark, d).comments, tagging.TEST_RULES)
+    matches = tagging.match_rules(tables(spark, d).kb_comments, tagging.TEST_RULES)
     return tagging.assign_tags(existing, matches, tags2)
 
 
@@ -355,7 +355,7 @@ SELECT n.* FROM ({_MATCH_IDS_SQL}) n
 WHERE n.comment_id NOT IN (SELECT comment_id FROM ({_EXISTING_SQL}))""")
 def d04_tag_untagged(spark, d):
     old_tags, existing = _old_state(spark, d)
-    _, ct = tagging.tag_comments(tables(spark, d).comments, existing, old_tags,
+    _, ct = tagging.tag_comments(tables(spark, d).kb_comments, existing, old_tags,
                                  tagging.TEST_RULES, mode="untagged")
     return ct
 
@@ -363,7 +363,7 @@ def d04_tag_untagged(spark, d):
 @register("d05_retag", f"SELECT * FROM ({_MATCH_IDS_SQL})")
 def d05_retag(spark, d):
     old_tags, _ = _old_state(spark, d)
-    _, ct = tagging.retag_all(tables(spark, d).comments, old_tags, tagging.TEST_RULES)
+    _, ct = tagging.retag_all(tables(spark, d).kb_comments, old_tags, tagging.TEST_RULES)
     return ct
 
 
@@ -396,13 +396,13 @@ def _unrestricted(q):
 SELECT p.term, p.id, p.tf, d.dl FROM post p JOIN doclen d ON d.id = p.id"""))
 def f02_postings(spark, d):
     from ..operators import postings
-    return postings.build_index(tables(spark, d).comments).postings
+    return postings.build_index(tables(spark, d).kb_comments).postings
 
 
 @register("f02_corpus_stats", O.search_sql("SELECT ndocs, CAST(total_len AS BIGINT) AS total_len, avgdl FROM corpus"))
 def f02_corpus_stats(spark, d):
     from ..operators import postings
-    return postings.build_index(tables(spark, d).comments).corpus
+    return postings.build_index(tables(spark, d).kb_comments).corpus
 
 
 @register("f03_bm25", O.search_sql("""
@@ -494,7 +494,7 @@ JOIN comments_v c ON c.id = s.id"""))
 def c04_hydrate(spark, d):
     from ..operators import fusion
     f = f05_cosine(spark, d)
-    return fusion.hydrate(f, tables(spark, d).comments).select("query_id", "rank", "id", "user_login", "repo")
+    return fusion.hydrate(f, tables(spark, d).kb_comments).select("query_id", "rank", "id", "user_login", "repo")
 
 
 @register("c05_tags_for", O.search_sql("""
@@ -694,7 +694,7 @@ WHERE rn = 1""")
 def a11_upsert(spark, d):
     from ..operators import upsert
     t = tables(spark, d)
-    return upsert.upsert(t.comments, t.batch, ["id"]).select("id", "body", "updated_at")
+    return upsert.upsert(t.kb_comments, t.batch, ["id"]).select("id", "body", "updated_at")
 
 
 def _pr_batch(prs: DataFrame) -> DataFrame:
@@ -733,7 +733,7 @@ LEFT JOIN (SELECT repo, pr_number, count(*) AS n FROM reviews_v GROUP BY ALL) r
 def a12_run_summary(spark, d):
     from ..operators import upsert
     t = tables(spark, d)
-    return upsert.run_summary(upsert.incremental(t.prs, t.fetch_state), t.comments, t.reviews)
+    return upsert.run_summary(upsert.incremental(t.prs, t.fetch_state), t.kb_comments, t.reviews)
 
 
 @register("a13_export_import", """
@@ -790,7 +790,7 @@ def _integrity_sql() -> str:
 def a14_integrity(spark, d):
     from ..operators import upsert
     t = tables(spark, d)
-    return upsert.integrity_report(t.prs, t.reviews, t.comments, t.embeddings, t.tags, t.comment_tags)
+    return upsert.integrity_report(t.prs, t.reviews, t.kb_comments, t.embeddings, t.kb_tags, t.kb_comment_tags)
 
 
 # =========================== G: report ==========================================
@@ -858,7 +858,7 @@ def g06_empty(spark, d):
 def g07_conventions(spark, d):
     from ..operators import report
     t = tables(spark, d)
-    conv, _ = report.mine_conventions(t.comments, t.comment_tags, t.tags)
+    conv, _ = report.mine_conventions(t.kb_comments, t.kb_comment_tags, t.kb_tags)
     return conv
 
 
@@ -866,7 +866,7 @@ def g07_conventions(spark, d):
 def g07_sources(spark, d):
     from ..operators import report
     t = tables(spark, d)
-    _, src = report.mine_conventions(t.comments, t.comment_tags, t.tags)
+    _, src = report.mine_conventions(t.kb_comments, t.kb_comment_tags, t.kb_tags)
     return src
 
 
@@ -1019,14 +1019,14 @@ def i05_backfill_equals_stream(spark, d):
 def f01_stemmed_vocab(spark, d):
     """Porter-stemmed vocabulary of the comment index (term, df)."""
     from ..operators import postings
-    return postings.build_index(tables(spark, d).comments, stemmer="porter").vocab
+    return postings.build_index(tables(spark, d).kb_comments, stemmer="porter").vocab
 
 
 @register("f03_bm25_porter")
 def f03_bm25_porter(spark, d):
     """F3 with the reference's stemming tokenizer on both sides."""
     from ..operators import postings
-    idx = postings.build_index(tables(spark, d).comments, stemmer="porter")
+    idx = postings.build_index(tables(spark, d).kb_comments, stemmer="porter")
     q = _unrestricted(_prepared(spark, d))
     return postings.bm25_topk(postings.query_terms(q, stemmer="porter"), idx,
                               q.select("query_id", "k", "restricted"))
@@ -1037,7 +1037,7 @@ def f09_embed(spark, d):
     """vectors for the comments that have none (C1), default embedder."""
     from ..operators import vectors
     t = tables(spark, d)
-    e = vectors.embed_comments(t.comments, t.embeddings)
+    e = vectors.embed_comments(t.kb_comments, t.embeddings)
     return e.select("comment_id", "model", F.size("embedding").alias("dim"),
                     F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0),
                                                lambda a, x: a + x * x)), 6).alias("norm"))
@@ -1064,7 +1064,7 @@ def f10_ann(spark, d):
 def f11_reembed(spark, d):
     """every comment embedded again under a new model name."""
     from ..operators import vectors
-    e = vectors.reembed(tables(spark, d).comments, model="hashing-64-v2")
+    e = vectors.reembed(tables(spark, d).kb_comments, model="hashing-64-v2")
     return e.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("dim"))
 
 
