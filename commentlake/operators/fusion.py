@@ -47,8 +47,7 @@ def rrf(fts: DataFrame, vec: DataFrame, limits: DataFrame, k: int = RRF_K,
         (F.coalesce("f", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))).alias("score"),
         F.when(F.col("f").isNotNull() & F.col("v").isNotNull(), "hybrid")
          .when(F.col("f").isNotNull(), "fts").otherwise("vector").alias("match_source"))
-    ranked = top_k(scored.drop("match_source"), limits.select("query_id", F.col("lim").alias("k")))
-    return ranked.join(scored.select("query_id", "id", "match_source"), ["query_id", "id"])
+    return top_k(scored, limits.select("query_id", F.col("lim").alias("k")), keep=("match_source",))
 
 
 def hydrate(ranked: DataFrame, comments: DataFrame, bound: int | None = None) -> DataFrame:

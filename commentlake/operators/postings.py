@@ -150,10 +150,11 @@ def bm25_topk(qterms: DataFrame, index: TextIndex, k_by_query: DataFrame,
     hits = index.postings.join(qv, keys).select("query_id", "id", "qpos", "restricted",
                                                    contrib.alias("c"))
     if candidates is not None:
-        free = hits.where(~F.col("restricted"))
-        kept = hits.where(F.col("restricted")).join(candidates.select("query_id", "id"),
-                                                    ["query_id", "id"], "left_semi")
-        hits = free.unionByName(kept)
+        # one pass: restricted queries keep candidate documents only; the
+        # join's (query_id, id) partitioning is reused by the grouping below
+        ok = candidates.select("query_id", "id").withColumn("_cand", F.lit(True))
+        hits = (hits.join(ok, ["query_id", "id"], "left")
+                .where(~F.col("restricted") | F.col("_cand").isNotNull()).drop("_cand"))
     # fixed-point sum: each contribution is floored to 1e-12 units (a long),
     # so the sum is exact and order-independent (equal documents tie exactly
     # whatever the partitioning) and stays a codegen'd long aggregate that is
@@ -171,13 +172,15 @@ def _units_to_score(s):
     return F.floor((s + F.lit(per // 2)) / F.lit(per)).cast("double") / F.lit(float(10 ** SCORE_DECIMALS))
 
 
-def top_k(scored: DataFrame, k_by_query: DataFrame, score: str = "score") -> DataFrame:
+def top_k(scored: DataFrame, k_by_query: DataFrame, score: str = "score",
+          keep: tuple = ()) -> DataFrame:
     """Per-query top k by (score desc, id asc).  The literal bound
     ``rank <= 3 x MAX_LIMIT`` lets Spark plan a WindowGroupLimit (partial
-    top-k before the shuffle); the per-query k is applied after."""
+    top-k before the shuffle); the per-query k is applied after.  ``keep``:
+    extra columns carried through."""
     w = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("id"))
     ranked = scored.withColumn("rank", F.row_number().over(w))
     ranked = ranked.where(F.col("rank") <= OVERSAMPLE * MAX_LIMIT)
     kq = k_by_query.select("query_id", "k")   # one row per query; planner broadcasts it
     return (ranked.join(kq, "query_id").where(F.col("rank") <= F.col("k"))
-            .select("query_id", "id", score, "rank"))
+            .select("query_id", "id", score, "rank", *keep))

@@ -65,11 +65,18 @@ def ranked_lists(queries: DataFrame, inp: SearchInputs, stemmer: str | None = No
     return fts, vec, q, n_queries, n_tags
 
 
-def hybrid_search(queries: DataFrame, inp: SearchInputs, stemmer: str | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, inp: SearchInputs, stemmer: str | None = None,
+                  checkpoint: bool = True) -> DataFrame:
     """F8: one row per (query, hit): query_id, rank, id, score,
     match_source, comment columns, tags."""
     fts, vec, q, n_queries, n_tags = ranked_lists(queries, inp, stemmer)
     fused = fusion.rrf(fts, vec, q.select("query_id", "lim"))
+    if checkpoint:
+        # at most queries x limit rows, read twice below (hydration, tags):
+        # written once to the shared checkpoint folder instead of ranking twice
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(fused.sparkSession)
+        fused = fused.checkpoint()
     bound = n_queries * postings.MAX_LIMIT
     hits = fusion.hydrate(fused, inp.comments, bound=bound)
     t = fusion.tags_for(fused.select("id"), inp.comment_tags, inp.tags, bound=bound, n_tags=n_tags)
