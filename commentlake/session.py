@@ -35,6 +35,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:          # Spark Connect: no driver-side context
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
@@ -42,20 +49,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder; it is read from the session.  Only a local-mode session without
     the setting gets a private temporary folder (tests, laptop runs).
     """
+    sc = _context(spark)
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if d:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
+        if sc is not None and not sc.getCheckpointDir():
+            sc.setCheckpointDir(d)
         return d
-    master = spark.sparkContext.master or ""
+    master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
     if not master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; a cluster job needs a shared folder")
     d = tempfile.mkdtemp(prefix="commentlake-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.conf.set("spark.checkpoint.dir", d)
+    except Exception:          # a session may refuse core settings at runtime
+        pass
+    if sc is not None:
+        sc.setCheckpointDir(d)
     return d
 
 
