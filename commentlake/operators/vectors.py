@@ -181,8 +181,8 @@ def pandas_embedder(fn, dim: int, model_name: str):
 
 # ---- F10: approximate top-k ----------------------------------------------------
 def ann_topk(queries: DataFrame, vectors: DataFrame, k_by_query: DataFrame,
-             bucket_length: float = 1.0, num_hash_tables: int = 4,
-             max_distance: float = 1.2) -> DataFrame:
+             bucket_length: float = 1.0, num_hash_tables: int = 8,
+             max_distance: float = 2.0) -> DataFrame:
     """F10 (opt-in approximation of F5): random-projection LSH on the unit
     vectors; pairs found in shared buckets within ``max_distance`` (Euclidean;
     cos = 1 - d^2/2) are ranked by cosine.  Recall is measured against F5."""
