@@ -55,6 +55,8 @@ def line_islands(findings: DataFrame, gap: int = NEARBY_LINES, checkpoint: bool
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(findings.sparkSession)
     lines = findings.select("file", "line").distinct()
+    if checkpoint:      # read by the span bound, the first step and round 1
+        lines = lines.checkpoint()
     steps = None
     for d in range(1, gap + 1):
         s = lines.select("file", (F.col("line") + d).alias("line"), F.lit(d).alias("d"))

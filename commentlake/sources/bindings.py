@@ -78,7 +78,11 @@ class Tables:
 
     @property
     def kb_comment_tags(self) -> DataFrame:
-        return self.stored("comment_tags", lambda: self.comment_tags)
+        """D5 over the stored comments (same rows as ``comment_tags``)."""
+        def build():
+            _, ct = tagging.retag_all(self.kb_comments, None, tagging.TEST_RULES)
+            return ct
+        return self.stored("comment_tags", build)
 
     # ---- comments / PRs / reviews -------------------------------------------
     @cached_property
