@@ -4,14 +4,14 @@ findings: (file, line, issue, severity in P0 > P1 > P2).
 
 Every step is skew-safe: H1 is one grouped aggregate (partial aggregation
 collapses a hot (file, line) key map-side); H2 finds line islands on the
-*distinct* (file, line) pairs by pointer jumping (O(log n) equi-joins on a
-unique key) instead of a window over a whole file, so a file holding a third
-of all findings is never sorted in one task.
+*distinct* (file, line) pairs in fixed-size line blocks (windows bounded by
+the block size) and stitches blocks with one window over per-block summary
+rows, so a file holding a third of all findings is never sorted in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -44,39 +44,50 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
                 "n_merged")
 
 
+LINE_BLOCK = 4096      # lines per block: bounds every window below
+
+
 def line_islands(findings: DataFrame, gap: int = NEARBY_LINES, checkpoint: bool = True) -> DataFrame:
     """(file, line, start): ``start`` is the first line of the island of
     lines no more than ``gap`` apart that ``line`` belongs to.
 
-    parent(line) = nearest existing line in [line-gap, line-1], else itself;
-    then pointer jumping (parent = parent(parent)) until stable: each round is
-    an equi-join on the unique key (file, line)."""
-    if checkpoint:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(findings.sparkSession)
-    lines = findings.select("file", "line").distinct()
-    if checkpoint:      # read by the span bound, the first step and round 1
-        lines = lines.checkpoint()
-    steps = None
-    for d in range(1, gap + 1):
-        s = lines.select("file", (F.col("line") + d).alias("line"), F.lit(d).alias("d"))
-        steps = s if steps is None else steps.unionByName(s)
-    near = steps.groupBy("file", "line").agg(F.min("d").alias("d"))
-    cur = (lines.join(near, ["file", "line"], "left")
-           .select("file", "line", (F.col("line") - F.coalesce("d", F.lit(0))).alias("start")))
-    # chains are at most (max line span of a file) long: ceil(log2(span+1))
-    # doubling rounds reach every island start; one aggregate gives the bound
-    span = lines.groupBy("file").agg((F.max("line") - F.min("line")).alias("s")) \
-        .agg(F.max("s")).first()[0] or 0
-    rounds = max(1, int(span).bit_length())
-    for r in range(rounds):
-        cur = (cur.alias("a")
-               .join(cur.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.start") == F.col("b.line")))
-               .select(F.col("a.file").alias("file"), F.col("a.line").alias("line"),
-                       F.col("b.start").alias("start")))
-        if checkpoint:      # keeps the plan linear: each round reads one file set
-            cur = cur.checkpoint()
-    return cur
+    Two-level gaps-and-islands that never sorts a whole file in one task:
+    1. distinct (file, line) pairs are cut into blocks of LINE_BLOCK line
+       numbers; islands inside a block come from a window over (file, block)
+       — at most LINE_BLOCK rows, however many findings a file holds;
+    2. one summary row per (file, block) (first line, last line, start of its
+       last island, single-island flag) is resolved across blocks with a
+       window over the file's blocks — at most (line range / LINE_BLOCK)
+       rows per file;
+    3. lines of a block's first island take the resolved start of the
+       block's first island.  No iteration, no driver round trip.
+    """
+    lines = findings.select("file", "line").distinct() \
+        .withColumn("block", F.floor(F.col("line") / F.lit(LINE_BLOCK)))
+    wb = Window.partitionBy("file", "block").orderBy("line")
+    local = (lines.withColumn("brk", F.coalesce(
+                (F.col("line") - F.lag("line").over(wb) > gap).cast("int"), F.lit(1)))
+             .withColumn("isl", F.sum("brk").over(wb.rowsBetween(Window.unboundedPreceding, 0))))
+    local = local.withColumn("lstart", F.min("line").over(Window.partitionBy("file", "block", "isl")))
+    summ = local.groupBy("file", "block").agg(
+        F.min("line").alias("first"), F.max("line").alias("last"),
+        F.max(F.struct("isl", "lstart")).alias("li"), F.max("isl").alias("n_isl"))
+    wf = Window.partitionBy("file").orderBy("block")
+    summ = (summ.withColumn("conn", F.coalesce(F.col("first") - F.lag("last").over(wf) <= gap, F.lit(False)))
+            .withColumn("single", F.col("n_isl") == 1)
+            # R_k (start of the block's last island, resolved): inherited while
+            # the block is one island joined to the previous block
+            .withColumn("brk", (~(F.col("conn") & F.col("single"))).cast("int"))
+            .withColumn("g", F.sum("brk").over(wf.rowsBetween(Window.unboundedPreceding, 0))))
+    wg = Window.partitionBy("file", "g").orderBy("block")
+    summ = summ.withColumn("R", F.first(F.col("li.lstart")).over(wg))
+    # F_k (start of the block's first island, resolved)
+    summ = summ.withColumn("Fst", F.when(F.col("conn"), F.lag("R").over(wf)).otherwise(F.col("first")))
+    res = summ.select("file", "block", "Fst")
+    out = (local.join(res, ["file", "block"])
+           .select("file", "line", F.when(F.col("isl") == 1, F.col("Fst")).otherwise(F.col("lstart"))
+                   .alias("start")))
+    return out
 
 
 def merge_nearby(findings: DataFrame, gap: int = NEARBY_LINES, checkpoint: bool = True) -> DataFrame:

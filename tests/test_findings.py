@@ -37,3 +37,17 @@ def test_dedup_rollup_approved(spark):
     assert roll == [("P0", 1), ("P1", 1), ("P2", 1)]
     changed = spark.createDataFrame([("f",), ("g",)], "file string")
     assert [r.file for r in H.approved_files(changed, df).collect()] == ["g"]
+
+
+def test_islands_across_small_blocks(spark, monkeypatch):
+    """Blocks of 4 line numbers: islands chain across many blocks."""
+    monkeypatch.setattr(H, "LINE_BLOCK", 4)
+    rnd = random.Random(11)
+    rows = [(f"f{rnd.randint(0, 2)}", rnd.randint(0, 90), "x", "P1") for _ in range(160)]
+    rows += [("chain", x, "x", "P2") for x in range(0, 40, 2)] + [("chain", 45, "x", "P2")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.file, r.line): r.start for r in H.line_islands(df).collect()}
+    for f in {r[0] for r in rows}:
+        for isl in pyref.islands([r[1] for r in rows if r[0] == f]):
+            for x in isl:
+                assert got[(f, x)] == isl[0], (f, x)
