@@ -109,7 +109,8 @@ def read_index(spark, path: str) -> TextIndex:
 def query_terms(queries: DataFrame, text_col: str = "query_text",
                 stemmer: str | None = None) -> DataFrame:
     """B4 terms of each query with their position: (query_id, qpos, term)."""
-    qt = queries.select("query_id", F.posexplode(tx.search_terms(text_col)).alias("qpos", "term"))
+    extra = [c for c in ("restricted",) if c in queries.columns]
+    qt = queries.select("query_id", *extra, F.posexplode(tx.search_terms(text_col)).alias("qpos", "term"))
     if stemmer:
         from . import stemming
         qt = stemming.stem_column(qt, "term", stemmer)
@@ -128,8 +129,9 @@ def bm25_topk(qterms: DataFrame, index: TextIndex, k_by_query: DataFrame,
     """
     # query side: bounded by n_queries x 20 terms -> broadcast after a check
     bound = n_queries * tx.MAX_SEARCH_TERMS if n_queries is not None else qterms.count()
-    qt = checked_broadcast(qterms.join(k_by_query.select("query_id", "restricted"), "query_id"),
-                           bound=bound)
+    if "restricted" not in qterms.columns:
+        qterms = qterms.join(k_by_query.select("query_id", "restricted"), "query_id")
+    qt = checked_broadcast(qterms, bound=bound)
     qv = index.vocab.join(qt, "term")
     ndocs = index.corpus.select("ndocs").scalar()
     avgdl = index.corpus.select("avgdl").scalar()
