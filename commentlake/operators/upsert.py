@@ -192,6 +192,16 @@ NOT_NULL = {
 }
 
 
+def _fk_violations(name: str, child: DataFrame, keys: list[str], parent: DataFrame) -> DataFrame:
+    """Child rows whose key has no parent row.  The child side is counted
+    per key first (partial aggregation), so a key holding a third of all
+    rows reaches the anti-join as a single row."""
+    per_key = child.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    orphans = per_key.join(parent.select(*keys).distinct(), keys, "left_anti")
+    return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations")) \
+        .select(F.lit(name).alias("check"), "violations")
+
+
 def integrity_report(prs: DataFrame, reviews: DataFrame, comments: DataFrame,
                      embeddings: DataFrame, tags: DataFrame, comment_tags: DataFrame) -> DataFrame:
     """(check, violations) for every foreign key, NOT NULL column and
@@ -199,21 +209,17 @@ def integrity_report(prs: DataFrame, reviews: DataFrame, comments: DataFrame,
     left_anti join on the key; NOT NULL counts are one aggregate per table."""
     tabs = {"pull_requests": prs, "reviews": reviews, "comments": comments,
             "comment_embeddings": embeddings, "comment_tags": comment_tags, "tags": tags}
-    pk = prs.select(F.col("repo"), F.col("number").alias("pr_number")).distinct()
-    parts = [
-        ("fk:reviews(repo,pr_number)->pull_requests",
-         reviews.join(pk, ["repo", "pr_number"], "left_anti")),
-        ("fk:comments(repo,pr_number)->pull_requests",
-         comments.join(pk, ["repo", "pr_number"], "left_anti")),
-        ("fk:comment_embeddings(comment_id)->comments",
-         embeddings.join(comments.select(F.col("id").alias("comment_id")), "comment_id", "left_anti")),
-        ("fk:comment_tags(comment_id)->comments",
-         comment_tags.join(comments.select(F.col("id").alias("comment_id")), "comment_id", "left_anti")),
-        ("fk:comment_tags(tag_id)->tags",
-         comment_tags.join(tags.select(F.col("id").alias("tag_id")), "tag_id", "left_anti")),
+    pk = prs.select(F.col("repo"), F.col("number").alias("pr_number"))
+    cid = comments.select(F.col("id").alias("comment_id"))
+    tid = tags.select(F.col("id").alias("tag_id"))
+    checks = [
+        ("fk:reviews(repo,pr_number)->pull_requests", reviews, ["repo", "pr_number"], pk),
+        ("fk:comments(repo,pr_number)->pull_requests", comments, ["repo", "pr_number"], pk),
+        ("fk:comment_embeddings(comment_id)->comments", embeddings, ["comment_id"], cid),
+        ("fk:comment_tags(comment_id)->comments", comment_tags, ["comment_id"], cid),
+        ("fk:comment_tags(tag_id)->tags", comment_tags, ["tag_id"], tid),
     ]
-    out = [df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(n).alias("check"), "violations")
-           for n, df in parts]
+    out = [_fk_violations(n, child, keys, parent) for n, child, keys, parent in checks]
     for t, cols in NOT_NULL.items():
         df = tabs[t]
         agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
