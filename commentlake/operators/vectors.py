@@ -10,7 +10,7 @@ global top-k.  Vectors are unit length, so the dot product is the cosine.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
@@ -150,7 +150,7 @@ def embed_comments(comments: DataFrame, embeddings: DataFrame | None, embedder=N
             todo = todo.join(e.select("id"), "id", "left_anti")
     texts = todo.select("id", tx.embed_text("path", "body", "diff_hunk").alias("text"))
     out = embedder(texts, "text")
-    now = datetime.utcnow().replace(microsecond=0)
+    now = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
     return out.select(F.col("id").alias("comment_id"), "embedding", F.lit(model).alias("model"),
                       F.lit(now).cast("timestamp_ntz").alias("created_at"))
 
@@ -160,6 +160,19 @@ def reembed(comments: DataFrame, embedder=None, model: str | None = None) -> Dat
     return embed_comments(comments, None, embedder, model)
 
 
+def write_embeddings(vectors: DataFrame, path: str) -> None:
+    """Store vectors partitioned by model; dynamic partition overwrite
+    replaces only the models present in ``vectors`` (F11 re-embedding
+    rewrites one model's partition, other models stay)."""
+    (vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model").parquet(path))
+
+
+def read_embeddings(spark, path: str, model: str) -> DataFrame:
+    """Vectors of one model (partition pruned)."""
+    return spark.read.parquet(path).where(F.col("model") == model)
+
+
 def pandas_embedder(fn, dim: int, model_name: str):
     """Wrap a user model ``fn(list[str]) -> np.ndarray (n, dim)`` as an
     embedder; the model is loaded once per Python worker (mapInPandas)."""

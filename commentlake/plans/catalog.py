@@ -1064,7 +1064,12 @@ def f10_ann(spark, d):
 def f11_reembed(spark, d):
     """every comment embedded again under a new model name."""
     from ..operators import vectors
-    e = vectors.reembed(tables(spark, d).kb_comments, model="hashing-64-v2")
+    from ..session import scratch_path
+    t = tables(spark, d)
+    path = scratch_path(spark, "vectors")
+    vectors.write_embeddings(t.embeddings, path)                       # current model
+    vectors.write_embeddings(vectors.reembed(t.kb_comments, model="hashing-64-v2"), path)
+    e = spark.read.parquet(path)
     return e.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("dim"))
 
 

@@ -95,3 +95,17 @@ def test_porter_examples():
     for a, b in [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"),
                  ("generalizations", "gener"), ("adjustment", "adjust"), ("sky", "sky")]:
         assert porter_stem(a) == b
+
+
+def test_reembed_partition_overwrite(spark, tmp_path):
+    from commentlake.operators import vectors as V
+    c = spark.createDataFrame([(1, "alpha beta", None, None, None), (2, "gamma", "a/b.py", None, None)],
+                              "id long, body string, path string, diff_hunk string, updated_at timestamp_ntz")
+    path = str(tmp_path / "vec")
+    V.write_embeddings(V.reembed(c, model="m1"), path)
+    V.write_embeddings(V.reembed(c, model="m2"), path)
+    V.write_embeddings(V.reembed(c.where("id = 1"), model="m1"), path)
+    got = sorted((r.model, r.comment_id) for r in spark.read.parquet(path).collect())
+    assert got == [("m1", 1), ("m2", 1), ("m2", 2)]
+    v = V.read_embeddings(spark, path, "m2").collect()
+    assert all(abs(sum(x * x for x in r.embedding) - 1.0) < 1e-5 for r in v)
