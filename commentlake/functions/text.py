@@ -33,8 +33,13 @@ DEFAULT_LIMIT = 15
 # Python's str.isspace() set, as one regex class (valid in Java and RE2).
 _WS_SET = (r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
-WS = f"[{_WS_SET}]"
+WS = f"[{_WS_SET}]"              # portable spelling (RE2 / DuckDB oracle)
 NON_WS = f"[^{_WS_SET}]"
+# The same set for java.util.regex, ~3x faster to match: Unicode White_Space
+# plus the four separators U+001C..U+001F (checked equal code point by code
+# point in the tests).
+WS_J = r"(?U:[\s\x{1C}-\x{1F}])"
+NON_WS_J = r"(?U:[^\s\x{1C}-\x{1F}])"
 # Python's \w for str patterns: letters, numbers, underscore.
 WORD_RUN = r"[\p{L}\p{N}_]+"
 # Full-text tokens (unicode61-style): runs of letters and digits.
@@ -71,7 +76,7 @@ def nonempty(x) -> Column:
 
 def py_strip(x) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(x), f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(_c(x), f"^{WS_J}+|{WS_J}+$", "")
 
 
 # B3 ------------------------------------------------------------------------
@@ -125,7 +130,7 @@ def query_text(title=None, paths=None, diff=None, commits=None) -> Column:
 
 def is_blank(x) -> Column:
     """``not s.strip()`` in Python terms."""
-    return F.coalesce(_c(x), F.lit("")).rlike(f"^{WS}*$")
+    return F.coalesce(_c(x), F.lit("")).rlike(f"^{WS_J}*$")
 
 
 # B4 ------------------------------------------------------------------------
@@ -146,7 +151,7 @@ def summarize_body(body, max_length: int = SUMMARY_MAX_CHARS) -> Column:
     with '...'; kept lines joined by a space."""
     b = F.coalesce(_c(body), F.lit(""))
     b = F.regexp_replace(b, r"(?d)!\[.*?\]\(.*?\)", "[image]")
-    b = F.regexp_replace(b, r"https?://" + NON_WS + "{%d,}" % LONG_URL_MIN, "[long-url]")
+    b = F.regexp_replace(b, r"https?://" + NON_WS_J + "{%d,}" % LONG_URL_MIN, "[long-url]")
     lines = F.split(py_strip(b), "\n")
     init = F.struct(F.lit(0).alias("n"), F.lit(False).alias("done"),
                     F.array().cast("array<string>").alias("out"))
@@ -211,8 +216,7 @@ def effective_limit(n, default: int = DEFAULT_LIMIT) -> Column:
 # B13 / B14 -------------------------------------------------------------------
 def word_set(text) -> Column:
     """Distinct lower-cased whitespace-separated words."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), f"{WS}+"),
-                                     lambda w: w != F.lit("")))
+    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), f"{WS_J}+"), ""))
 
 
 def jaccard(a, b) -> Column:

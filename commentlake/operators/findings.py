@@ -25,7 +25,7 @@ SEVERITIES = ["P0", "P1", "P2"]  # P0 > P1 > P2
 def normalize_issue(issue) -> F.Column:
     """Lower case, whitespace runs collapsed, trimmed."""
     c = F.col(issue) if isinstance(issue, str) else issue
-    return tx.py_strip(F.regexp_replace(F.lower(c), f"{tx.WS}+", " "))
+    return tx.py_strip(F.regexp_replace(F.lower(c), f"{tx.WS_J}+", " "))
 
 
 def _best(*cols):

@@ -98,3 +98,12 @@ def test_embed_text_and_fts_tokens(spark):
     assert got == ["File: a/b.py\nbody\nCode context:\n@@ h", ""]
     got = _one(spark, [("Élan café_bar x2 ÜBER",)], "t string", tx.fts_tokens("t"))
     assert got == [["elan", "cafe", "bar", "x2", "uber"]]
+
+
+def test_whitespace_classes_equal_python(spark):
+    cps = [chr(i) for i in range(0x3001)] + ["﻿", "​"]
+    df = spark.createDataFrame([(ch,) for ch in cps], "s string")
+    exp = {ch for ch in cps if ch.isspace()}
+    for pat in ("^" + tx.WS + "$", "^" + tx.WS_J + "$"):
+        assert {r.s for r in df.where(F.col("s").rlike(pat)).collect()} == exp
+    assert {r.s for r in df.where(F.col("s").rlike("^" + tx.NON_WS_J + "$")).collect()} == set(cps) - exp
