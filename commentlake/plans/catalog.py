@@ -192,9 +192,33 @@ def b04_terms(spark, d):
     return c.select("id", F.array_join(tx.search_terms("body"), ",").alias("terms"))
 
 
-@register("b05_summary")
+_B05_CLEAN = ("regexp_replace(regexp_replace(coalesce(body, ''), '!\\[.*?\\]\\(.*?\\)', '[image]', 'g'), "
+              f"{O._q('https?://' + tx.NON_WS + '{80,}')}, '[long-url]', 'g')")
+
+
+_B05_CTES = [
+    ("l", f"""
+  SELECT id, unnest(string_split({O.strip_sql(_B05_CLEAN)}, chr(10))) AS line,
+         generate_subscripts(string_split({O.strip_sql(_B05_CLEAN)}, chr(10)), 1) AS i
+  FROM comments_v"""),
+    ("c", """
+  SELECT id, line, i,
+         coalesce(sum(length(line)) OVER (PARTITION BY id ORDER BY i
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM l"""),
+    ("k", f"SELECT id, min(i) FILTER (WHERE before + length(line) > {tx.SUMMARY_MAX_CHARS}) AS cut FROM c GROUP BY id"),
+]
+
+
+@register("b05_summary", O.with_views(f"""
+SELECT c.id, string_agg(CASE WHEN k.cut IS NULL OR c.i < k.cut THEN c.line
+                             ELSE substring(c.line, 1, CAST({tx.SUMMARY_MAX_CHARS} - c.before AS BIGINT)) || '...' END,
+                        ' ' ORDER BY c.i) AS summary
+FROM c JOIN k ON k.id = c.id
+WHERE k.cut IS NULL OR c.i <= k.cut
+GROUP BY c.id""", extra=_B05_CTES))
 def b05_summary(spark, d):
-    """B5 (rows-only check; unit tests compare with the Python rule)."""
+    """Summaries of every comment body."""
     c = tables(spark, d).comments
     return c.select("id", tx.summarize_body("body").alias("summary"))
 
