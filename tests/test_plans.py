@@ -32,3 +32,16 @@ def test_entry_contract(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
     t = tables(spark, SF)
     assert t.comments.count() == 200
+
+
+def test_bm25_reads_postings_without_shuffling_them(spark):
+    df = E.queries()["f03_bm25"](spark, SF)
+    df.collect()                      # final adaptive plan
+    p = _plan(df)
+    assert "BroadcastHashJoin" in p
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    assert "dynamicpruning" in buf.getvalue().lower()
