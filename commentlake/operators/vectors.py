@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -72,11 +72,11 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_by_query: DataFrame,
     corpus = vectors.select("comment_id", "embedding")
     if n_queries <= QUERY_CHUNK:
         chunks = [q]
-    else:   # chunks by query_id order (the query list only)
-        ordered = q.withColumn("chunk", F.floor(
-            (F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_CHUNK))
-        chunks = [ordered.where(F.col("chunk") == c).drop("chunk")
-                  for c in range((n_queries + QUERY_CHUNK - 1) // QUERY_CHUNK)]
+    else:   # hash chunks of the query list (no global ordering needed);
+        # 2x the minimum count keeps every chunk under QUERY_CHUNK on average
+        n_chunks = 2 * ((n_queries + QUERY_CHUNK - 1) // QUERY_CHUNK)
+        bucket = F.pmod(F.xxhash64("query_id"), F.lit(n_chunks))
+        chunks = [q.where(bucket == c) for c in range(n_chunks)]
     parts = []
     for chunk in chunks:
         pdf = chunk.toPandas()

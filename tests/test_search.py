@@ -109,3 +109,14 @@ def test_reembed_partition_overwrite(spark, tmp_path):
     assert got == [("m1", 1), ("m2", 1), ("m2", 2)]
     v = V.read_embeddings(spark, path, "m2").collect()
     assert all(abs(sum(x * x for x in r.embedding) - 1.0) < 1e-5 for r in v)
+
+
+def test_cosine_chunks_equal_one_pass(spark, monkeypatch):
+    from commentlake.operators import vectors as V
+    q = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(30)], "query_id long, qvec array<float>")
+    vec = spark.createDataFrame([(j, [float(j % 5), 1.0]) for j in range(50)], "comment_id long, embedding array<float>")
+    kq = spark.createDataFrame([(i, 5) for i in range(30)], "query_id long, k int")
+    one = sorted(map(tuple, V.cosine_topk(q, vec, kq).collect()))
+    monkeypatch.setattr(V, "QUERY_CHUNK", 7)
+    chunked = sorted(map(tuple, V.cosine_topk(q, vec, kq).collect()))
+    assert one == chunked and len(one) == 150
