@@ -66,3 +66,24 @@ def test_upsert_secondary_unique_key(spark):
     b = spark.createDataFrame([(3, "r", 7, "new", _d(2))], SCHEMA)
     got = sorted(tuple(r)[:4] for r in U.upsert(t, b, ["id"], unique_keys=[["repo", "number"]]).collect())
     assert got == [(2, "r", 8, "keep"), (3, "r", 7, "new")]
+
+
+def test_integrity_counts_orphans_per_row(spark):
+    prs = spark.createDataFrame([(1, "r", 1, "t", "u", None, _d(1), _d(1), "h")],
+                                "id long, repo string, number long, title string, user_login string, "
+                                "merged_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz, html_url string")
+    comments = spark.createDataFrame([(i, "r", 1 if i < 3 else 9, "u", "b", _d(1), _d(1), "h") for i in range(50)],
+                                     "id long, repo string, pr_number long, user_login string, body string, "
+                                     "created_at timestamp_ntz, updated_at timestamp_ntz, html_url string")
+    reviews = spark.createDataFrame([], "id long, repo string, pr_number long, user_login string, state string, "
+                                        "submitted_at timestamp_ntz")
+    emb = spark.createDataFrame([(99, [1.0], "m", _d(1))], "comment_id long, embedding array<float>, model string, "
+                                                           "created_at timestamp_ntz")
+    tags = spark.createDataFrame([(1, "a")], "id long, name string")
+    ct = spark.createDataFrame([(1, 1, 1.0), (1, 2, 1.0), (1, 2, 1.0)], "comment_id long, tag_id long, confidence double")
+    rep = {r.check: r.violations for r in U.integrity_report(prs, reviews, comments, emb, tags, ct).collect()}
+    assert rep["fk:comments(repo,pr_number)->pull_requests"] == 47      # one hot orphan key, counted per row
+    assert rep["fk:comment_embeddings(comment_id)->comments"] == 1
+    assert rep["fk:comment_tags(tag_id)->tags"] == 2
+    assert rep["unique:comment_tags(comment_id,tag_id)"] == 1
+    assert rep["not_null:pull_requests.title"] == 0
