@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .dart_minhash import op5_minhash_dedup
 from .quality_rules import op6_quality_rules
 
 QUERIES = {
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_quality_rules": op6_quality_rules,
 }
 
