@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .dart_minhash import op5_minhash_dedup
+from .mixing import OP8_SQL, op8_mixing
 from .quality_rules import op6_quality_rules
 
 QUERIES = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
+}
