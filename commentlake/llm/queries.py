@@ -5,11 +5,15 @@ from __future__ import annotations
 from .dart_minhash import op5_minhash_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .quality_rules import op6_quality_rules
+from .secret_scan import op10_secret_scan
+from .sentencepiece_codec import op9_sentencepiece
 
 QUERIES = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
