@@ -7,8 +7,10 @@ from .mixing import OP8_SQL, op8_mixing
 from .quality_rules import op6_quality_rules
 from .secret_scan import op10_secret_scan
 from .sentencepiece_codec import op9_sentencepiece
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_mixing": op8_mixing,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op8_mixing": OP8_SQL,
 }
