@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .dart_minhash import op5_minhash_dedup
+from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .mixing import OP8_SQL, op8_mixing
+from .quality_classifier import op3_quality_classifier
 from .quality_rules import op6_quality_rules
 from .secret_scan import op10_secret_scan
 from .sentencepiece_codec import op9_sentencepiece
@@ -11,8 +13,10 @@ from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
@@ -20,5 +24,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op7_embedding_dedup": OP7_SQL,
     "op8_mixing": OP8_SQL,
 }
