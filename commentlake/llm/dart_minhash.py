@@ -18,16 +18,16 @@ null); rows of one doc_id are one document; texts of equal words are copies.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from .common import Memo, mix64, stored, table
 from .graph import connected_components
@@ -146,28 +146,38 @@ def shingles(words: list[bytes], size: int, counted: bool = False) -> tuple[np.n
     return np.unique(h), None
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates to a 64-bit number."""
+    part = np.zeros(-(-len(sig) // 16) * 16, np.uint64)
+    part[:len(sig)] = sig & np.uint64(15)
+    return (part.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int, counted: bool) -> DataFrame:
-    """(doc_id, copy, bands): a 128-bit digest of the words and the band keys,
-    null for a text without words."""
+    """(doc_id, copy, bands, sketch): a 128-bit digest of the words, the band
+    keys and the sketch of the signature; null for a text without words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            copies, keys = [], []
+            copies, keys, sketches = [], [], []
             for words in map(_words, b["text"]):
                 if words:
-                    h, w = shingles(words, size, counted)
-                    keys.append(band_keys(dart_signature(h, w, bands * rows), bands, rows))
+                    sig = dart_signature(*shingles(words, size, counted), bands * rows)
+                    keys.append(band_keys(sig, bands, rows))
+                    sketches.append(sketch(sig))
                     copies.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 else:
                     keys.append(None)
+                    sketches.append(None)
                     copies.append(None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "copy": copies, "bands": keys})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "copy": copies, "bands": keys, "sketch": sketches})
 
     return docs.mapInPandas(run, T.StructType([docs.schema["doc_id"], T.StructField("copy", T.BinaryType()),
-                                               T.StructField("bands", T.ArrayType(T.LongType()))]))
+                                               T.StructField("bands", T.ArrayType(T.LongType())),
+                                               T.StructField("sketch", T.ArrayType(T.LongType()))]))
 
 
 def shingle_arrays(docs: DataFrame, size: int, counted: bool) -> DataFrame:
@@ -198,6 +208,29 @@ def _similar(pairs: DataFrame, sh: DataFrame, threshold: float) -> DataFrame:
             .filter(F.col("n") / (F.size("x") + F.size("y") - F.col("n")) >= threshold).select("a", "b"))
 
 
+def _agreement(x: str, y: str, k: int) -> Column:
+    """Of k coordinates, how many have the same four bits."""
+    ones = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for i in range(-(-k // 16)):
+        d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(ones)
+        total = total + F.bit_count(d)
+    return F.lit(-(-k // 16) * 16) - total - F.lit(-k % 16)
+
+
+def _described(ids: DataFrame, sh: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(id, n, shared, sketch) of documents: the number of their shingles, and of
+    those that another of ``ids`` has too."""
+    sh = sh.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    alone = (sh.select("doc_id", F.explode("sh").alias("s")).groupBy("s")
+             .agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
+             .groupBy("doc_id").agg(F.count("*").alias("alone")))
+    return (sh.select("doc_id", F.size("sh").alias("n")).join(alone, "doc_id", "left").join(sketches, "doc_id")
+            .select(F.col("doc_id").alias("id"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "sketch"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
                     bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
     """(doc_id, class_id) of every row of ``docs`` (doc_id, text): class_id is
@@ -208,17 +241,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     bucket all members are held against one representative; then, as long as a
     bucket has members of several components, those outside its largest one
     become representatives themselves (1, then 16, 256, ... a round) and are
-    held against all members of other components.  So every pair of different
-    texts that shares a bucket is linked or in one component already, or was
-    checked; a bucket of copies of one text costs one comparison a member.
+    held against the members of other components.  So every pair of different
+    texts that shares a bucket is in one component already, is checked exactly,
+    or is passed over for one of two reasons: shingles that no other document
+    has already bound its similarity below the threshold (a proof), or its
+    signatures agree in five standard deviations fewer coordinates than a pair
+    at the threshold would (probability below 1e-6).
     """
-    counted = weights == "count"
+    counted, k = weights == "count", bands * rows
     docs = docs.select("doc_id", "text")
     sig = stored(signatures(docs, size, bands, rows, counted), "dart-signatures")
     real = sig.filter(F.col("copy").isNotNull() & F.col("doc_id").isNotNull())
     reps = stored(real.groupBy("copy").agg(F.min("doc_id").alias("rep")), "dart-copies")
-    members = (real.join(reps.select(F.col("rep").alias("doc_id"), F.col("copy")), ["doc_id", "copy"])
-               .select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")))
+    real = real.join(reps.select(F.col("rep").alias("doc_id"), F.col("copy")), ["doc_id", "copy"])
+    members = real.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     cand = stored(members.join(shared.select("key", "low"), "key"), "dart-buckets")
     sh = stored(shingle_arrays(docs.join(cand.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"),
@@ -229,14 +265,26 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     checked, done, step = [pairs], [], 1
     links = [stored(_similar(pairs, sh, threshold), "dart-links")]
     union = lambda parts: parts[0] if len(parts) == 1 else union(parts[:-1]).unionAll(parts[-1])
+    p = threshold + (1 - threshold) / 16
+    agree = math.floor(k * p - 5 * math.sqrt(k * p * (1 - p)))
+    most = F.least("sx", "sy")                      # shingles that x and y can have in common
+    possible = ((most * (1 + threshold) >= (F.col("nx") + F.col("ny")) * threshold - 1e-6)
+                & (_agreement("kx", "ky", k) >= agree))
+    facts = None
     while True:
         comps = stored(connected_components(union(links)), "dart-components")
         known = (cand.select("key", "id").join(comps, "id", "left")
                  .select("key", "id", F.coalesce("comp", "id").alias("comp")))
+        if facts is not None:
+            known = known.join(facts.select("id"), "id", "left_semi")
         main = (known.groupBy("key", "comp").count().groupBy("key")
                 .agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n"))
                 .filter("n > 1"))
         cand = stored(known.join(main.select("key", "main"), "key"), "dart-buckets")
+        if facts is None:
+            facts = _described(cand.select("id").distinct(), sh, real.select("doc_id", "sketch").dropDuplicates(["doc_id"]))
+            facts = stored(facts.filter(F.col("shared") >= F.col("n") * threshold - 1e-6), "dart-facts")
+            cand = cand.join(facts.select("id"), "id", "left_semi")
         left = cand.filter("comp != main")
         for d in done:
             left = left.join(d, ["key", "id"], "left_anti")
@@ -246,9 +294,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         if turn.isEmpty():
             break
         done.append(turn.select("key", "id"))
-        new = (turn.select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
-               .join(cand.select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key")
-               .filter("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        side = lambda df, v: (df.join(facts, "id").select("key", F.col("id").alias(v), F.col("comp").alias("c" + v),
+                                                          F.col("n").alias("n" + v), F.col("shared").alias("s" + v),
+                                                          F.col("sketch").alias("k" + v)))
+        new = (side(turn, "x").join(side(cand, "y"), "key").filter(F.col("cx") != F.col("cy")).filter(possible)
+               .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         for c in checked:
             new = new.join(c, ["a", "b"], "left_anti")
         pairs = stored(new, "dart-pairs")
