@@ -76,52 +76,71 @@ def _weight_band(j: int) -> tuple[float, float]:
     return (0.0, 1.0) if j == 0 else (2.0 ** (j - 1), 2.0 ** j)
 
 
+@cache
+def _cells(bands: range, j: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The cells of rank bands and one weight band: salts, dart count
+    distributions, and where their ranks begin and how wide they are."""
+    wlo, whi = _weight_band(j)
+    salts, cdfs, begin, width = [], [], [], []
+    for s in bands:
+        rlo, rhi = _rank_band(s)
+        parts = max(1, math.ceil((whi - wlo) * (rhi - rlo) / CELL))
+        step = (rhi - rlo) / parts
+        for q in range(parts):
+            salts.append(((s << 40) + (j << 32) + q + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            cdfs.append(_poisson((whi - wlo) * step))
+            begin.append(rlo + step * q)
+            width.append(step)
+    return np.array(salts, np.uint64), cdfs, np.array(begin), np.array(width)
+
+
+def _darts(h: np.ndarray, w: np.ndarray | None, j: int, bands: range) -> tuple[np.ndarray, np.ndarray]:
+    """(id, rank) of the darts of the elements in some rank bands of weight band j."""
+    wlo, whi = _weight_band(j)
+    if w is not None and j:
+        h, w = h[w > wlo], w[w > wlo]
+    salts, cdfs, begin, width = _cells(bands, j)
+    x = mix64(h + salts[:, None])
+    u = _unit(x)
+    cell, element = np.nonzero(u >= np.array([c[0] for c in cdfs])[:, None])
+    u, x = u[cell, element], x[cell, element]
+    ends = np.searchsorted(cell, np.arange(len(cdfs) + 1))
+    n = np.concatenate([np.searchsorted(c, u[a:b], side="right") for c, a, b in zip(cdfs, ends, ends[1:], strict=False)])
+    many = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(many)) - np.repeat(np.cumsum(n) - n, n)
+    d = mix64(x[many] + (nth.astype(np.uint64) + np.uint64(1)) * _GOLD)
+    if w is not None:
+        inside = wlo + (whi - wlo) * _unit(_salted(d, 1)) < w[element[many]]
+        d, many = d[inside], many[inside]
+    return d, begin[cell[many]] + width[cell[many]] * _unit(_salted(d, 2))
+
+
 def dart_signature(h: np.ndarray, w: np.ndarray | None, k: int) -> np.ndarray:
     """k dart ids for the distinct element hashes ``h`` with weights ``w`` (None:
     1 each).  Elements without a positive finite weight do not count; h must
     not be empty of others."""
-    sig, empty, s = np.zeros(k, np.uint64), np.ones(k, bool), 0
     if w is not None:
         ok = np.isfinite(w) & (w > 0)
         h, w = h[ok], w[ok]
     if not len(h):
         raise ValueError("an empty set has no signature")
-    top = 1 if w is None else max(1, int(np.ceil(np.log2(w.max()))) + 1)
+    sig, empty = np.zeros(k, np.uint64), np.ones(k, bool)
+    weight = len(h) if w is None else w.sum()
+    top = 1 if w is None else max(1, math.ceil(math.log2(w.max())) + 1)
+    s, to = 0, 0
+    while _rank_band(to)[1] * weight < 0.75 * k * math.log(k + 1):     # the first bands at once
+        to += 1
     while empty.any():
-        rlo, rhi = _rank_band(s)
-        ids, ranks = [], []
-        for j in range(top):
-            wlo, whi = _weight_band(j)
-            eh, ew = (h, w) if w is None or j == 0 else (h[w > wlo], w[w > wlo])
-            parts = max(1, int(np.ceil((whi - wlo) * (rhi - rlo) / CELL)))
-            step = (rhi - rlo) / parts
-            cdf = _poisson((whi - wlo) * step)
-            for q in range(parts):
-                x = _salted(eh, (s << 40) + (j << 32) + q + 1)
-                u = _unit(x)
-                hit = np.flatnonzero(u >= cdf[0])
-                if not len(hit):
-                    continue
-                n = np.searchsorted(cdf, u[hit], side="right")
-                each = np.repeat(hit, n)
-                nth = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                d = mix64(x[each] + (nth.astype(np.uint64) + np.uint64(1)) * _GOLD)
-                if ew is not None:
-                    inside = wlo + (whi - wlo) * _unit(_salted(d, 1)) < ew[each]
-                    d = d[inside]
-                ids.append(d)
-                ranks.append(rlo + step * (q + _unit(_salted(d, 2))))
-        if ids:
-            d, r = np.concatenate(ids), np.concatenate(ranks)
-            d = d[np.argsort(-r, kind="stable")]
-            found = np.zeros(k, np.uint64)
-            seen = np.zeros(k, bool)
-            at = (_salted(d, 3) % np.uint64(k)).astype(np.int64)
-            found[at], seen[at] = d, True      # the last write, of lowest rank, stays
-            new = empty & seen
-            sig[new] = found[new]
-            empty &= ~seen
-        s += 1
+        parts = [_darts(h, w, j, range(s, to + 1)) for j in range(top)]
+        d, r = (np.concatenate(x) for x in zip(*parts, strict=True))
+        d = d[np.argsort(-r, kind="stable")]
+        found, seen = np.zeros(k, np.uint64), np.zeros(k, bool)
+        at = (_salted(d, 3) % np.uint64(k)).astype(np.int64)
+        found[at], seen[at] = d, True          # the last write, of lowest rank, stays
+        new = empty & seen
+        sig[new] = found[new]
+        empty &= ~seen
+        s = to = to + 1
     return sig
 
 
@@ -220,15 +239,27 @@ def _agreement(x: str, y: str, k: int) -> Column:
     return F.lit(-(-k // 16) * 16) - total - F.lit(-k % 16)
 
 
-def _described(ids: DataFrame, sh: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(id, n, shared, sketch) of documents: the number of their shingles, and of
-    those that another of ``ids`` has too."""
-    sh = sh.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+def _shared(sh: DataFrame) -> DataFrame:
+    """(id, n, shared) of documents: the number of their shingles, and of those
+    that another document of ``sh`` has too."""
     alone = (sh.select("doc_id", F.explode("sh").alias("s")).groupBy("s")
              .agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
              .groupBy("doc_id").agg(F.count("*").alias("alone")))
-    return (sh.select("doc_id", F.size("sh").alias("n")).join(alone, "doc_id", "left").join(sketches, "doc_id")
-            .select(F.col("doc_id").alias("id"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "sketch"))
+    return (sh.select("doc_id", F.size("sh").alias("n")).join(alone, "doc_id", "left")
+            .select(F.col("doc_id").alias("id"), "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")))
+
+
+def _linkable(ids: DataFrame, sh: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, shared) of those of ``ids`` that may be linked at all: a document
+    goes if too few of its shingles are shared.  As what it shared with others
+    then counts no more, this is repeated while it removes a twentieth."""
+    facts, n = stored(ids, "dart-open"), None
+    while True:
+        own = sh.join(facts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        facts = stored(_shared(own).filter(F.col("shared") >= F.col("n") * threshold - 1e-6), "dart-open")
+        before, n = n, facts.count()
+        if before is not None and n >= 0.95 * before:
+            return facts
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
@@ -282,8 +313,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
                 .filter("n > 1"))
         cand = stored(known.join(main.select("key", "main"), "key"), "dart-buckets")
         if facts is None:
-            facts = _described(cand.select("id").distinct(), sh, real.select("doc_id", "sketch").dropDuplicates(["doc_id"]))
-            facts = stored(facts.filter(F.col("shared") >= F.col("n") * threshold - 1e-6), "dart-facts")
+            facts = _linkable(cand.select("id").distinct(), sh, threshold)
+            sketches = real.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+            facts = stored(facts.join(sketches, "id"), "dart-facts")
             cand = cand.join(facts.select("id"), "id", "left_semi")
         left = cand.filter("comp != main")
         for d in done:
