@@ -5,6 +5,7 @@ from __future__ import annotations
 from .dart_minhash import op5_minhash_dedup
 from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .html_extraction import op4_html_extraction
+from .id_files import op2_id_files
 from .mixing import OP8_SQL, op8_mixing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op6_quality_rules
@@ -14,6 +15,7 @@ from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_id_files": op2_id_files,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
     "op5_minhash_dedup": op5_minhash_dedup,
