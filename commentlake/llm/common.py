@@ -48,17 +48,22 @@ def labelled_docs(docs: DataFrame, labels: DataFrame, target: str, limit: int) -
 
 
 class Memo(dict):
-    """A dict that fills itself with ``make(key)`` and is emptied when full, so
-    a worker's memory stays bounded however many keys a corpus has."""
+    """A dict that fills itself with ``make(key)``.  When it has ``limit`` keys
+    they become the older generation, of which keys in use come back, so a
+    worker's memory stays bounded however many keys a corpus has."""
 
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 

@@ -8,9 +8,9 @@ positions, the last token is taken back and the next shorter one is tried.  As
 a list of tokens is the merge result if and only if all neighbours are
 compatible, this gives the library's ids without a merge queue.
 
-No piece has a space mark behind another character, and some characters are in
-no piece of two or more, so merges never cross these points: texts are parted
-there and a bounded memo keeps what each part becomes.
+No piece has a space mark behind another character, and some characters never
+stand side by side in a piece, so merges never cross these points: texts are
+parted there and bounded memos keep what each part becomes.
 
 Ids are kept as little-endian unsigned 32-bit integers in a binary column.
 Defined results: a null text is the empty text, which has begin and end id
@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from .common import Memo, fresh, table
 
 SPACE = "▁"
+#: Numbers of characters that are no piece begin here; NOTHING: no token.
+UNKNOWN, NOTHING = 1 << 24, (1 << 32) - 1
 
 
 class BacktrackingEncoder:
@@ -45,11 +47,10 @@ class BacktrackingEncoder:
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.unknown = sp.unk_id()
         self.begin, self.end = sp.bos_id(), sp.eos_id()
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece, len(piece))
+        for piece, i in self.ids.items():
+            self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces with an inner space mark are not supported")
@@ -57,8 +58,11 @@ class BacktrackingEncoder:
         alone = "".join(map(re.escape, (c for c in map(chr, range(128)) if c not in joined)))
         part = rf"{SPACE}+[^{SPACE}{alone}]*|[{alone}]|[^{SPACE}{alone}]+" if alone else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
         self.parts = re.compile(part).findall
-        self.compatible = Memo(self._compatible, 200_000)
+        self.codes = [i.to_bytes(4, "little") for i in range(sp.get_piece_size())]
+        self.compatible = Memo(self._compatible, 400_000)
+        self.inner = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         self.coded = Memo(self._coded)
+        self.uncut = Memo(self._uncut)
 
     def merge(self, s: str) -> list[str]:
         """The merge rules on a short string: best score first, leftmost first."""
@@ -73,48 +77,67 @@ class BacktrackingEncoder:
                 return out
             out[at:at + 2] = [out[at] + out[at + 1]]
 
-    def _compatible(self, pair: tuple[str, str]) -> bool:
-        return self.merge("".join(pair)) == [x for x in pair if x]
+    def _piece(self, i: int) -> str:
+        return chr(i - UNKNOWN) if i >= UNKNOWN else self.library.id_to_piece(i)
 
-    def tokens(self, s: str) -> list[str]:
+    def _compatible(self, pair: int) -> bool:
+        """Whether the merge rules leave two tokens (of numbers pair >> 32, if
+        that is not NOTHING, and pair & 0xFFFFFFFF) beside each other as they are."""
+        tokens = [self._piece(i) for i in (pair >> 32, pair & 0xFFFFFFFF) if i != NOTHING]
+        return self.merge("".join(tokens)) == tokens
+
+    def tokens(self, s: str) -> list[int]:
+        """Numbers of the tokens of a part; UNKNOWN + code point for a character
+        that is no piece."""
         n = len(s)
-        starts: list[list[int]] = [[] for _ in range(n)]       # lengths, ascending
-        for end, length in self.automaton.iter(s):
-            starts[end - length + 1].append(length)
-        for k in range(n):
-            if not starts[k] or starts[k][0] != 1:
-                starts[k].insert(0, 1)                          # a character is a symbol, piece or not
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]    # (length, number), ascending
+        for end, found in self.automaton.iter(s):
+            starts[end - found[0] + 1].append(found)
+        for k, here in enumerate(starts):
+            if not here or here[0][0] != 1:
+                here.insert(0, (1, UNKNOWN + ord(s[k])))        # a character is a symbol, piece or not
         open_ = bytearray(b"\x01") * (n + 1)                    # 0: no tokens lead on from here
-        done: list[str] = []
-        choice: list[int] = []
-        pos, turn = 0, len(starts[0]) - 1 if n else 0
+        done: list[int] = []
+        taken: list[tuple[int, int]] = []                       # where a token begins, which choice it is
+        compatible, pos, last, turn = self.compatible, 0, NOTHING << 32, len(starts[0]) - 1
         while pos < n:
-            last, found = done[-1] if done else "", False
+            here = starts[pos]
             while turn >= 0:
-                end = pos + starts[pos][turn]
-                if open_[end] and self.compatible[last, s[pos:end]]:
-                    found = True
+                length, i = here[turn]
+                if open_[pos + length] and compatible[last | i]:
                     break
                 turn -= 1
-            if found:
-                done.append(s[pos:end])
-                choice.append(turn)
-                pos = end
+            if turn >= 0:
+                done.append(i)
+                taken.append((pos, turn))
+                pos += length
+                last = i << 32
                 turn = len(starts[pos]) - 1 if pos < n else 0
-            elif done:
-                open_[pos] = 0
-                pos -= len(done.pop())
-                turn = choice.pop()                             # its end is marked: a shorter one follows
             else:
-                return self.merge(s)                            # unreachable for a merge-type model
+                open_[pos] = 0                                  # the token that ends here must be shorter
+                done.pop()
+                pos, turn = taken.pop()
+                last = done[-1] << 32 if done else NOTHING << 32
         return done
 
     def _coded(self, part: str) -> bytes:
-        out: list[int] = []
-        for t in self.tokens(part):
-            i = self.ids.get(t)
-            out.extend([i] if i is not None else [self.bytes[b] for b in t.encode()])
-        return np.array(out, "<u4").tobytes()
+        """Codes of a part, parted again where no piece has the two characters
+        beside each other: no merge crosses such a point either."""
+        inner, out, at = self.inner, [], 0
+        for k in range(1, len(part)):
+            if part[k - 1:k + 1] not in inner:
+                out.append(self.uncut[part[at:k]])
+                at = k
+        return b"".join(out) + self.uncut[part[at:]]
+
+    def _uncut(self, s: str) -> bytes:
+        out = []
+        for i in self.tokens(s):
+            if i < UNKNOWN:
+                out.append(self.codes[i])
+            else:
+                out += [self.codes[self.bytes[b]] for b in chr(i - UNKNOWN).encode()]
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
