@@ -176,46 +176,46 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+SIGNED = T.StructType([T.StructField("copy", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
+                       T.StructField("sketch", T.ArrayType(T.LongType()))])
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int, counted: bool) -> DataFrame:
     """(doc_id, copy, bands, sketch): a 128-bit digest of the words, the band
     keys and the sketch of the signature; null for a text without words."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            copies, keys, sketches = [], [], []
-            for words in map(_words, b["text"]):
+    @F.pandas_udf(SIGNED)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            out = []
+            for words in map(_words, batch):
                 if words:
                     sig = dart_signature(*shingles(words, size, counted), bands * rows)
-                    keys.append(band_keys(sig, bands, rows))
-                    sketches.append(sketch(sig))
-                    copies.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                    out.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(),
+                                band_keys(sig, bands, rows), sketch(sig)))
                 else:
-                    keys.append(None)
-                    sketches.append(None)
-                    copies.append(None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "copy": copies, "bands": keys, "sketch": sketches})
+                    out.append((None, None, None))
+            yield pd.DataFrame(out, columns=SIGNED.fieldNames())
 
-    return docs.mapInPandas(run, T.StructType([docs.schema["doc_id"], T.StructField("copy", T.BinaryType()),
-                                               T.StructField("bands", T.ArrayType(T.LongType())),
-                                               T.StructField("sketch", T.ArrayType(T.LongType()))]))
+    return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
 
 
 def shingle_arrays(docs: DataFrame, size: int, counted: bool) -> DataFrame:
     """(doc_id, sh): distinct shingle hashes; a shingle found n times has n
     elements if ``counted``, so that set similarity is the weighted one."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
             out = []
-            for words in map(_words, b["text"]):
+            for words in map(_words, batch):
                 h, n = shingles(words, size, counted)
                 if n is not None:
                     n = n.astype(np.int64)
                     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     h = mix64(np.repeat(h, n) + nth.astype(np.uint64) * _GOLD)
                 out.append(h.view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "sh": out})
+            yield pd.Series(out, dtype=object)
 
-    return docs.mapInPandas(run, T.StructType([docs.schema["doc_id"],
-                                               T.StructField("sh", T.ArrayType(T.LongType()))]))
+    return docs.select("doc_id", run("text").alias("sh"))
 
 
 def _similar(pairs: DataFrame, sh: DataFrame, threshold: float) -> DataFrame:
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     classes = (reps.join(comps, reps["rep"] == comps["id"], "left")
                .select("copy", F.coalesce("comp", "rep").alias("class_id")))
     return (sig.select("doc_id", "copy").join(classes, "copy", "left")
-            .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+            .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ class _Model:
         self.rows = np.arange(lanes)
         self.table1 = np.zeros(lanes * SLOTS1, np.int32)      # symbol * 4 + confidence
         self.table2 = np.zeros(lanes * SLOTS2, np.int32)
-        self.hits = np.ones((lanes * 32, 3), np.int32)        # outcomes in each state of confidence
+        self.hits = np.ones(lanes * 96)                       # outcomes (3) in each state of confidence (32)
         self.seen = np.zeros(lanes * symbols, np.uint16)
         self.width = symbols + 1
         even = (np.arange(self.width, dtype=np.int64) * (1 << FREQ)) // symbols
@@ -73,35 +74,30 @@ class _Model:
         p1, p2 = self.p1[:m], self.p2[:m]
         self.at1 = self.rows[:m] * SLOTS1 + ((p1 * 0x9E3779B1 >> 7) & (SLOTS1 - 1))
         self.at2 = self.rows[:m] * SLOTS2 + (((p1 * 0x9E3779B1 + p2 * 0x85EBCA6B) >> 9) & (SLOTS2 - 1))
-        e1, e2 = self.table1[self.at1], self.table2[self.at2]
+        self.e1, self.e2 = e1, e2 = self.table1.take(self.at1), self.table2.take(self.at2)
         self.c1, self.c2 = e1 & 3, e2 & 3
         self.s1, self.s2 = e1 >> 2, e2 >> 2
         self.state = self.rows[:m] * 32 + (self.c2 << 3) + (self.c1 << 1) + (self.s1 == self.s2)
-        n = self.hits[self.state].astype(np.int64)
-        total = n[:, 0] + n[:, 1] + n[:, 2]
-        free = (1 << MIX) - 3
-        a = 1 + n[:, 0] * free // total
-        return self.s2, self.s1, a, a + 1 + n[:, 1] * free // total
+        at = self.state * 3
+        n2, n1 = self.hits.take(at), self.hits.take(at + 1)
+        unit = ((1 << MIX) - 3) / (n2 + n1 + self.hits.take(at + 2))
+        a = 1 + (n2 * unit).astype(np.int64)
+        return self.s2, self.s1, a, a + 1 + (n1 * unit).astype(np.int64)
 
     def learn(self, m: int, symbol: np.ndarray, outcome: np.ndarray) -> None:
-        counts = self.hits.reshape(-1)
-        at = self.state * 3 + outcome
-        counts[at] += 1
-        old = np.flatnonzero(counts[at] > 1000)
-        if len(old):
-            rows = self.state[old]
-            self.hits[rows] = (self.hits[rows] >> 1) + 1
-        for table_, at, s, c in ((self.table1, self.at1, self.s1, self.c1), (self.table2, self.at2, self.s2, self.c2)):
-            same = s == symbol
-            keep = same | (c > 0)
-            conf = np.where(same, np.minimum(c + 1, 3), np.where(keep, c - 1, 1))
-            table_[at] = (np.where(keep, s, symbol) << 2) + conf
+        self.hits[self.state * 3 + outcome] += 1.0
+        fresh = (symbol << 2) + 1
+        for table_, at, e, s, c in ((self.table1, self.at1, self.e1, self.s1, self.c1),
+                                    (self.table2, self.at2, self.e2, self.s2, self.c2)):
+            table_[at] = np.where(s == symbol, e + (c < 3), np.where(c > 0, e - 1, fresh))
         self.seen[self.rows[:m] * self.symbols + symbol] += 1
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = symbol + 1
 
     def renew(self) -> None:
-        """Order-0 frequencies from all ids of a lane so far, none 0."""
+        """Order-0 frequencies from all ids of a lane so far, none 0; older
+        outcomes of the first two predictions come to count half."""
+        self.hits = np.floor(self.hits / 2) + 1
         share = (1 << FREQ) - self.symbols
         for k in range(self.lanes):
             n = np.cumsum(self.seen[k * self.symbols:(k + 1) * self.symbols], dtype=np.int64)
@@ -131,7 +127,7 @@ def encode_group(ids: np.ndarray) -> bytes:
         s2, s1, a, b = model.predict(m)
         outcome = np.where(x == s2, 0, np.where(x == s1, 1, 2))
         at = model.rows[:m] * model.width + x
-        left, right = model.edges[at].astype(np.int64), model.edges[at + 1].astype(np.int64)
+        left, right = model.edges.take(at).astype(np.int64), model.edges.take(at + 1).astype(np.int64)
         rest = (1 << MIX) - b
         begin = np.where(outcome == 0, 0, np.where(outcome == 1, a << FREQ, (b << FREQ) + rest * left))
         width = np.where(outcome == 0, a << FREQ, np.where(outcome == 1, (b - a) << FREQ, rest * (right - left)))
@@ -221,11 +217,11 @@ def decode_group(data: memoryview) -> tuple[np.ndarray, int]:
             left, right = np.zeros(len(hard), np.int64), np.full(len(hard), symbols)
             for _ in range(steps):
                 middle = (left + right) >> 1
-                up = model.edges[base + middle] <= aim
+                up = model.edges.take(base + middle) <= aim
                 left, right = np.where(up, middle, left), np.where(up, right, middle)
             x[hard] = left
         at_ = model.rows[:m] * model.width + x
-        left, right = model.edges[at_].astype(np.int64), model.edges[at_ + 1].astype(np.int64)
+        left, right = model.edges.take(at_).astype(np.int64), model.edges.take(at_ + 1).astype(np.int64)
         begin = np.where(outcome == 0, 0, np.where(outcome == 1, a << FREQ, (b << FREQ) + rest * left))
         width = np.where(outcome == 0, a << FREQ, np.where(outcome == 1, (b - a) << FREQ, rest * (right - left)))
         low[:m] += unit * begin.view(np.uint64)
@@ -314,22 +310,47 @@ def read_ids(stream, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
 
 class Encoder:
     """The tokenizers library, by word.  The model's rules never look across
-    ASCII white space, so a bounded memo of words gives the library's ids."""
+    ASCII white space, nor from a word of letters to full stops and commas
+    behind it, and ASCII letters are taken in lower case; so bounded memos of
+    words and of their stems give the library's ids."""
 
-    def __init__(self, file: str, limit: int = 400_000):
+    def __init__(self, file: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(file)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.limit = limit
 
+    def _stem(self, word: str) -> tuple[str, str]:
+        stem = word.rstrip(".,")
+        if not stem.isalpha():
+            return word, ""
+        return stem.lower() if stem.isascii() else stem, word[len(stem):]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Fills the memo; the library is asked once for all unknown stems."""
+        if len(self.stems) > self.limit:
+            self.stems = {}
+        parts, ask = {}, set()
+        for w in words:
+            if (c := self.older.get(w)) is not None:
+                self.known[w] = c
+            else:
+                parts[w] = pair = self._stem(w.decode("utf-8", "surrogatepass"))
+                ask.update(x for x in pair if x not in self.stems)
+        ask = list(ask)
+        for x, c in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False), strict=True):
+            self.stems[x] = np.array(c.ids, "<u4").tobytes()
+        stems = self.stems
+        self.known.update((w, stems[a] + stems[b]) for w, (a, b) in parts.items())
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         parted = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         if len(self.known) > self.limit:
-            self.known.clear()
-        new = list({w for words in parted for w in words if w not in self.known})
-        coded = self.library.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
+            self.older, self.known = self.known, {}
+        self._learn({w for words in parted for w in words if w not in self.known})
         last = end.to_bytes(4, "little")
         return [b"".join(map(self.known.__getitem__, words)) + last for words in parted]
 
@@ -351,7 +372,7 @@ def write_documents(docs: DataFrame, path: str, tokenizer_file: str, end: int =
     ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id")
     schema = T.StructType([*FILE, T.StructField("first", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
         name, first = f"{uuid.uuid4().hex}.ids", []
@@ -359,10 +380,9 @@ def write_documents(docs: DataFrame, path: str, tokenizer_file: str, end: int =
         def documents():
             e = encoder(tokenizer_file)
             for b in batches:
-                keys = b["doc_id"].tolist()
-                for lo in range(0, len(keys), 256):
-                    for key, ids in zip(keys[lo:lo + 256], e.encode(b["text"].iloc[lo:lo + 256].tolist(), end), strict=True):
-                        key = None if key is None or key != key else int(key)
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256).to_pydict()
+                    for key, ids in zip(part["doc_id"], e.encode(part["text"], end), strict=True):
                         if not first:
                             first.append(key)
                         yield key, ids
@@ -370,10 +390,11 @@ def write_documents(docs: DataFrame, path: str, tokenizer_file: str, end: int =
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             n, ids = write_ids(out, documents())
         if n:
-            yield pd.DataFrame({"file": [name], "documents": [n], "ids": [ids],
-                                "first": pd.array(first, "Int64")})
+            yield pa.RecordBatch.from_pydict({"file": [name], "documents": [n], "ids": [ids], "first": first},
+                                             pa.schema([("file", pa.string()), ("documents", pa.int64()),
+                                                        ("ids", pa.int64()), ("first", pa.int64())]))
 
-    files = stored(ranged.mapInPandas(run, schema), "id-files")
+    files = stored(ranged.mapInArrow(run, schema), "id-files")
     before = Window.orderBy(F.col("first").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     return stored(files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))), "id-file-starts")
 
