@@ -11,7 +11,8 @@ distribution drives one step of a range coder.
 
 The blocks of a group are coded side by side: step t codes the t-th id of all
 of them by array operations, as one step of one block would be far too slow in
-Python.  A group has at most LANES blocks of BLOCK ids, which bounds the memory.
+Python.  A group has at most LANES blocks of BLOCK ids, fewer if its ids are of many
+kinds, which bounds the memory.
 
 Defined results: a null text is the empty text; a document without ids is kept
 with its length 0; documents of one doc_id stay together in input order of the
@@ -40,7 +41,9 @@ from ..session import scratch_path
 from .common import stored, table
 
 MAGIC = b"CMIDS1\r\n"
-BLOCK, LANES = 8192, 512
+BLOCK, LANES = 8192, 1024
+#: Order-0 frequencies that a group keeps, at most: wide alphabets have fewer lanes.
+FREQUENCIES = 1 << 23
 END_ID = 1
 #: Slots of the order-1 and order-2 tables (powers of two), and the steps after
 #: which order-0 frequencies are taken anew.
@@ -113,7 +116,7 @@ def encode_group(ids: np.ndarray) -> bytes:
     lanes = -(-len(ids) // BLOCK)
     size = np.full(lanes, BLOCK)
     size[-1] = len(ids) - BLOCK * (lanes - 1)
-    grid = np.zeros(lanes * BLOCK, np.int64)
+    grid = np.zeros(lanes * BLOCK, np.int32)
     grid[:len(ids)] = symbols
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     model = _Model(lanes, len(alphabet))
@@ -123,7 +126,7 @@ def encode_group(ids: np.ndarray) -> bytes:
         m = lanes if t < size[-1] else lanes - 1
         if t in RENEW:
             model.renew()
-        x = grid[t, :m]
+        x = grid[t, :m].astype(np.int64)
         s2, s1, a, b = model.predict(m)
         outcome = np.where(x == s2, 0, np.where(x == s1, 1, 2))
         at = model.rows[:m] * model.width + x
@@ -197,7 +200,7 @@ def decode_group(data: memoryview) -> tuple[np.ndarray, int]:
     code, count = np.zeros(lanes, np.uint64), np.full(lanes, 4)
     for k in range(4):
         code = (code << _u(16)) | words[:, k]
-    grid = np.zeros((BLOCK, lanes), np.int64)
+    grid = np.zeros((BLOCK, lanes), np.int32)
     flat, steps = words.reshape(-1), max(1, (symbols - 1).bit_length())
     for t in range(size[0]):
         m = lanes if t < size[-1] else lanes - 1
@@ -242,6 +245,13 @@ def decode_group(data: memoryview) -> tuple[np.ndarray, int]:
     return ids, at
 
 
+def lanes_for(ids: np.ndarray) -> int:
+    """Blocks that a group of such ids may have."""
+    top = int(ids.max()) + 1
+    different = np.count_nonzero(np.bincount(ids, minlength=top)) if top < 1 << 22 else len(np.unique(ids))
+    return max(32, min(LANES, FREQUENCIES // different))
+
+
 def write_ids(stream, documents: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:
     """Writes (doc_id, ids as little-endian 32-bit integers); the numbers of
     documents and ids.  Keeps one group of ids in memory."""
@@ -252,7 +262,7 @@ def write_ids(stream, documents: Iterator[tuple[int | None, bytes]]) -> tuple[in
     def put(final: bool) -> None:
         nonlocal parts, held, at
         data = b"".join(parts)
-        cut = 4 * BLOCK * LANES
+        cut = 4 * BLOCK * (lanes_for(np.frombuffer(data, "<u4")) if data else 1)
         while len(data) >= cut or final and data:
             group = encode_group(np.frombuffer(data[:cut], "<u4"))
             stream.write(group)
