@@ -318,8 +318,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
             facts = stored(facts.join(sketches, "id"), "dart-facts")
             cand = cand.join(facts.select("id"), "id", "left_semi")
         left = cand.filter("comp != main")
-        for d in done:
-            left = left.join(d, ["key", "id"], "left_anti")
+        if done:
+            left = left.join(union(done), ["key", "id"], "left_anti")
         turn = (left.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("id")))
                 .filter(F.col("nth") <= step).select("key", "id", "comp"))
         turn = stored(turn, "dart-representatives")
@@ -331,9 +331,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
                                                           F.col("sketch").alias("k" + v)))
         new = (side(turn, "x").join(side(cand, "y"), "key").filter(F.col("cx") != F.col("cy")).filter(possible)
                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        for c in checked:
-            new = new.join(c, ["a", "b"], "left_anti")
-        pairs = stored(new, "dart-pairs")
+        pairs = stored(new.join(union(checked), ["a", "b"], "left_anti"), "dart-pairs")
         checked.append(pairs)
         links.append(stored(_similar(pairs, sh, threshold), "dart-links"))
         step *= 16
