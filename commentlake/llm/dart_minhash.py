@@ -314,7 +314,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         cand = stored(known.join(main.select("key", "main"), "key"), "dart-buckets")
         if facts is None:
             facts = _linkable(cand.select("id").distinct(), sh, threshold)
-            sketches = real.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+            marks = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))
+            sketches = real.select(F.col("doc_id").alias("id"), "sketch", marks.alias("marks")).dropDuplicates(["id"])
             facts = stored(facts.join(sketches, "id"), "dart-facts")
             cand = cand.join(facts.select("id"), "id", "left_semi")
         left = cand.filter("comp != main")
@@ -328,8 +329,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         done.append(turn.select("key", "id"))
         side = lambda df, v: (df.join(facts, "id").select("key", F.col("id").alias(v), F.col("comp").alias("c" + v),
                                                           F.col("n").alias("n" + v), F.col("shared").alias("s" + v),
-                                                          F.col("sketch").alias("k" + v)))
-        new = (side(turn, "x").join(side(cand, "y"), "key").filter(F.col("cx") != F.col("cy")).filter(possible)
+                                                          F.col("sketch").alias("k" + v), F.col("marks").alias("m" + v)))
+        # a pair is taken in the first bucket that both share, and once if both represent
+        others = side(cand, "y").join(turn.select("key", F.col("id").alias("y"), F.lit(True).alias("also")), ["key", "y"], "left")
+        once = ((F.get(F.array_intersect("mx", "my"), F.lit(0)) == F.shiftright("key", 32).cast("int"))
+                & (F.col("also").isNull() | (F.col("x") < F.col("y"))))
+        new = (side(turn, "x").join(others, "key").filter(F.col("cx") != F.col("cy")).filter(possible).filter(once)
                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         pairs = stored(new.join(union(checked), ["a", "b"], "left_anti"), "dart-pairs")
         checked.append(pairs)
