@@ -21,9 +21,6 @@ STOPWORDS = [
     "src", "dist", "node_modules", "import", "export", "const", "let", "var",
     "function", "return", "class", "new", "null", "undefined", "true", "false",
 ]
-MAX_SEARCH_TERMS = 20          # OR-query term cap
-MAX_DIFF_CHARS = 4000          # diff prefix used in the query text
-MAX_COMMIT_MESSAGES = 5        # commit messages used in the query text
 SUMMARY_MAX_CHARS = 200        # report body summary length
 HUNK_MAX_LINES = 6             # report hunk clip
 LONG_URL_MIN = 80              # chars after :// that make a URL "long"
@@ -109,9 +106,11 @@ def embed_text(path, body, hunk) -> Column:
 
 
 # B2 ------------------------------------------------------------------------
-def query_text(title=None, paths=None, diff=None, commits=None) -> Column:
-    """B2: title; each path followed by its dirname (if non-empty); the first
-    4000 diff chars; the first 5 commit messages — joined by newlines."""
+def query_text(title=None, paths=None, diff=None, commits=None, max_diff: int | None = None,
+               max_commits: int | None = None) -> Column:
+    """B2: title; each path followed by its dirname (if non-empty); the diff;
+    the commit messages — joined by newlines.  ``max_diff`` characters and
+    ``max_commits`` messages only if asked for."""
     parts = []
     if title is not None:
         parts.append(F.when(nonempty(title), _c(title)))
@@ -120,9 +119,9 @@ def query_text(title=None, paths=None, diff=None, commits=None) -> Column:
             _c(paths),
             lambda p: F.array(p, F.when(nonempty(dirname(p)), dirname(p))))))
     if diff is not None:
-        parts.append(F.when(nonempty(diff), F.substring(_c(diff), 1, MAX_DIFF_CHARS)))
+        parts.append(F.when(nonempty(diff), F.substring(_c(diff), 1, max_diff) if max_diff else _c(diff)))
     if commits is not None:
-        parts.append(F.slice(_c(commits), 1, MAX_COMMIT_MESSAGES))
+        parts.append(F.slice(_c(commits), 1, max_commits) if max_commits else _c(commits))
     if not parts:
         return F.lit("")
     return F.concat_ws("\n", *parts)
@@ -134,9 +133,10 @@ def is_blank(x) -> Column:
 
 
 # B4 ------------------------------------------------------------------------
-def search_terms(text, max_terms: int | None = MAX_SEARCH_TERMS) -> Column:
+def search_terms(text, max_terms: int | None = None) -> Column:
     """ASCII words of 3+ letters that form a whole word, lower-cased,
-    stopwords removed, de-duplicated in first-seen order (first 20)."""
+    stopwords removed, de-duplicated in first-seen order (the first ``max_terms``
+    only if asked for)."""
     runs = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(WORD_RUN), 0)
     words = F.transform(F.filter(runs, lambda w: w.rlike("^[a-zA-Z]{3,}$")), F.lower)
     stop = F.array(*[F.lit(s) for s in STOPWORDS])

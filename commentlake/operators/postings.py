@@ -36,7 +36,6 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 OVERSAMPLE = 3          # each ranked list holds 3 x limit ids before fusion
-MAX_LIMIT = 100         # limits are clamped to 1..100, so k <= 300
 # -----------------------------------------------------------------------------
 SCORE_DECIMALS = 9          # cosine scores are rounded to this many places
 SCORE_UNITS = 10 ** 12      # BM25 contributions are summed in 1e-12 units
@@ -127,8 +126,7 @@ def bm25_topk(qterms: DataFrame, index: TextIndex, k_by_query: DataFrame,
     Corpus statistics (N, df, avgdl) stay corpus-wide under the restriction.
     Output: (query_id, id, score, rank).
     """
-    # query side: bounded by n_queries x 20 terms -> broadcast after a check
-    bound = n_queries * tx.MAX_SEARCH_TERMS if n_queries is not None else qterms.count()
+    bound = qterms.count()                    # broadcast only after a check
     if "restricted" not in qterms.columns:
         qterms = qterms.join(k_by_query.select("query_id", "restricted"), "query_id")
     qt = checked_broadcast(qterms, bound=bound)
@@ -176,13 +174,13 @@ def _units_to_score(s):
 
 def top_k(scored: DataFrame, k_by_query: DataFrame, score: str = "score",
           keep: tuple = ()) -> DataFrame:
-    """Per-query top k by (score desc, id asc).  The literal bound
-    ``rank <= 3 x MAX_LIMIT`` lets Spark plan a WindowGroupLimit (partial
+    """Per-query top k by (score desc, id asc).  The largest k of
+    the queries, as a literal, lets Spark plan a WindowGroupLimit (partial
     top-k before the shuffle); the per-query k is applied after.  ``keep``:
     extra columns carried through."""
     w = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("id"))
     ranked = scored.withColumn("rank", F.row_number().over(w))
-    ranked = ranked.where(F.col("rank") <= OVERSAMPLE * MAX_LIMIT)
+    ranked = ranked.where(F.col("rank") <= (k_by_query.agg(F.max("k")).first()[0] or 0))
     kq = k_by_query.select("query_id", "k")   # one row per query; planner broadcasts it
     return (ranked.join(kq, "query_id").where(F.col("rank") <= F.col("k"))
             .select("query_id", "id", score, "rank", *keep))

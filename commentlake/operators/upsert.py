@@ -18,7 +18,6 @@ from ..plans.sizing import checked_broadcast
 # --- fixed values that must equal the reference's ---------------------------
 REPO_URL_RE = r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$"
 REPO_SHORT_RE = r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$"
-DISCOVERY_CAP = 1000        # PRs per repository returned by discovery
 # -----------------------------------------------------------------------------
 
 
@@ -54,10 +53,10 @@ def filter_repos(repos: DataFrame, substring: str | None, col: str = "repo") ->
 
 
 def discover_prs(prs: DataFrame, repo: str | None = None, author: str | None = None,
-                 state: str = "all", cap: int = DISCOVERY_CAP) -> DataFrame:
+                 state: str = "all", cap: int | None = None) -> DataFrame:
     """PR numbers per repository, optionally by author, state open /
-    closed / all, at most ``cap`` per repository (newest numbers first).
-    The per-repo cap is a top-k window (WindowGroupLimit, partial per task),
+    closed / all; ``cap``: only so many per repository, newest numbers first.
+    The cap is a top-k window (WindowGroupLimit, partial per task),
     so a repository holding a third of all PRs never lands whole in one task."""
     p = prs
     if repo:
@@ -66,6 +65,8 @@ def discover_prs(prs: DataFrame, repo: str | None = None, author: str | None = N
         p = p.where(F.col("user_login") == author)
     if state in ("open", "closed"):
         p = p.where(F.col("state") == state)
+    if cap is None:
+        return p.select("repo", "number")
     w = Window.partitionBy("repo").orderBy(F.desc("number"))
     return (p.select("repo", "number", F.row_number().over(w).alias("_rn"))
             .where(F.col("_rn") <= cap).drop("_rn"))

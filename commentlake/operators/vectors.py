@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from .postings import MAX_LIMIT, OVERSAMPLE, SCORE_DECIMALS, top_k
+from .postings import SCORE_DECIMALS, top_k
 
 QUERY_CHUNK = 4096            # queries per pass over the corpus
 MAX_QUERY_MATRIX_BYTES = 256 << 20
@@ -86,7 +86,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k_by_query: DataFrame,
         if qmat.nbytes > MAX_QUERY_MATRIX_BYTES:
             raise ValueError("a chunk of query vectors exceeds the size bound")
         qids = pdf["query_id"].to_numpy(dtype=np.int64)
-        kmax = int(min(OVERSAMPLE * MAX_LIMIT, pdf["k"].max()))
+        kmax = int(pdf["k"].max())
         parts.append(corpus.mapInPandas(_topk_partition(qids, qmat, kmax),
                                         "query_id long, id long, score double"))
     if not parts:

@@ -170,8 +170,8 @@ FROM comments_v"""
 SELECT id, array_to_string(list_concat(
          [NULLIF(title, '')],
          coalesce(flatten(list_transform(paths, lambda p: [p, NULLIF({O.dirname_sql('p')}, '')])), []),
-         [NULLIF(substring(diff, 1, {tx.MAX_DIFF_CHARS}), '')],
-         coalesce(commits[1:{tx.MAX_COMMIT_MESSAGES}], [])), {NL}) AS query_text
+         [NULLIF(diff, '')],
+         coalesce(commits, [])), {NL}) AS query_text
 FROM ({_B02_INPUTS_SQL}) q""")
 def b02_query_text(spark, d):
     q = _b02_inputs(tables(spark, d).comments)
@@ -245,12 +245,12 @@ def b07_location(spark, d):
 
 
 @register("b09_parse_tags", f"""
-SELECT id, array_to_string(list_transform(string_split(substring(body, 1, 80), ','),
+SELECT id, array_to_string(list_transform(string_split(body, ','),
                                           lambda x: {O.strip_sql('x')}), '|') AS tags
 FROM comments_v""")
 def b09_parse_tags(spark, d):
     c = tables(spark, d).comments
-    return c.select("id", F.array_join(tx.parse_tags(F.substring("body", 1, 80)), "|").alias("tags"))
+    return c.select("id", F.array_join(tx.parse_tags("body"), "|").alias("tags"))
 
 
 @register("b10_clamp", """
@@ -679,8 +679,7 @@ def a08_filter_repos(spark, d):
 
 
 @register("a09_discover", f"""
-SELECT repo, number FROM prs_v WHERE state = 'closed'
-QUALIFY row_number() OVER (PARTITION BY repo ORDER BY number DESC) <= 1000""")
+SELECT repo, number FROM prs_v WHERE state = 'closed'""")
 def a09_discover(spark, d):
     from ..operators import upsert
     return upsert.discover_prs(tables(spark, d).prs, state="closed")
@@ -956,7 +955,7 @@ def _stream_run(spark, d, name, redeliver=False, rules=None, index=True):
     if redeliver:
         src = stream.dedup_redelivered(src)
     q = stream.start_ingest(src, table, ck, rules=rules, index=index)
-    q.awaitTermination(1800)
+    q.awaitTermination()
     return table, landing
 
 
@@ -987,7 +986,7 @@ def i02_stream_tag(spark, d):
     table = scratch_path(spark, "stream-table-i02")
     q = stream.start_ingest(stream.comment_stream(spark, landing, 4), table,
                             scratch_path(spark, "stream-ckpt-i02"), rules=tagging.TEST_RULES, index=False)
-    q.awaitTermination(1800)
+    q.awaitTermination()
     return stream.current_tags(spark, table)
 
 
@@ -1015,7 +1014,7 @@ def i04_refresh_postings(spark, d):
     table = scratch_path(spark, "stream-table-i04")
     q = stream.start_ingest(stream.comment_stream(spark, landing, 4), table,
                             scratch_path(spark, "stream-ckpt-i04"), index=True)
-    q.awaitTermination(1800)
+    q.awaitTermination()
     idx = stream.current_index(spark, table)
     n = idx.postings.agg(F.count(F.lit(1)).alias("n_postings"))
     return idx.corpus.select("ndocs", "total_len", n.select("n_postings").scalar().alias("n_postings"))

@@ -37,7 +37,7 @@ VIEWS: dict[str, str] = {
               ELSE {_URL_PATH} END AS path,
          NULLIF(d.doc_id % 11, 0) AS line, NULLIF(d.doc_id % 11, 0) AS original_line,
          'RIGHT' AS side,
-         CASE WHEN d.doc_id % 3 = 0 THEN substring(d.text, 1, {b.HUNK_CHARS}) END AS diff_hunk,
+         CASE WHEN d.doc_id % 3 = 0 THEN d.text END AS diff_hunk,
          CAST(NULL AS VARCHAR) AS commit_id, 'CONTRIBUTOR' AS author_association,
          CAST(NULL AS BIGINT) AS in_reply_to_id, e.ts AS created_at, e.ts AS updated_at,
          'https://host.test/' || d.source || '/pull/' || (d.doc_id % {b.N_PR_BUCKETS}) || '#r' || d.doc_id AS html_url
@@ -171,7 +171,7 @@ def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, {_q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
 
 
-def terms_sql(src: str, id_col: str, text_col: str, max_terms: int = tx.MAX_SEARCH_TERMS) -> str:
+def terms_sql(src: str, id_col: str, text_col: str) -> str:
     """B4 in DuckDB SQL: (id_col, pos, term) rows, pos = first-seen order."""
     return f"""
 SELECT {id_col}, term, row_number() OVER (PARTITION BY {id_col} ORDER BY first_pos) AS pos
@@ -180,8 +180,7 @@ FROM (SELECT {id_col}, lower(w) AS term, min(i) AS first_pos
                    generate_subscripts(regexp_extract_all({text_col}, '[\\p{{L}}\\p{{N}}_]+'), 1) AS i
             FROM {src})
       WHERE regexp_full_match(w, '[a-zA-Z]{{3,}}') AND NOT list_contains({STOP_LIST}, lower(w))
-      GROUP BY {id_col}, lower(w))
-QUALIFY pos <= {max_terms}"""
+      GROUP BY {id_col}, lower(w))"""
 
 
 # ---- search (F1-F8, C3-C5) in DuckDB SQL --------------------------------------

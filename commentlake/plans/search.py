@@ -77,7 +77,7 @@ def hybrid_search(queries: DataFrame, inp: SearchInputs, stemmer: str | None = N
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(fused.sparkSession)
         fused = fused.checkpoint()
-    bound = n_queries * postings.MAX_LIMIT
+    bound = fused.count()
     hits = fusion.hydrate(fused, inp.comments, bound=bound)
     t = fusion.tags_for(fused.select("id"), inp.comment_tags, inp.tags, bound=bound, n_tags=n_tags)
     return (hits.join(t, "id", "left")

@@ -18,7 +18,6 @@ from ..operators import tagging
 # parameters of the derived fixtures
 N_PR_BUCKETS = 50            # pr_number = doc_id % 50
 N_REPOS = 20                 # repo = 'src' || custkey % 20
-HUNK_CHARS = 600             # diff_hunk = first 600 chars of text
 STATE_WATERMARK = "1998-06-30 00:00:00"
 STATE_LAST_NUMBER = 100
 LITERAL_REPO_LINES = [(-4, ""), (-3, "# note"), (-2, "owner/repo"),
@@ -111,7 +110,7 @@ class Tables:
             line.alias("line"),
             line.alias("original_line"),
             F.lit("RIGHT").alias("side"),
-            F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, HUNK_CHARS)).alias("diff_hunk"),
+            F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("diff_hunk"),
             F.lit(None).cast("string").alias("commit_id"),
             F.lit("CONTRIBUTOR").alias("author_association"),
             F.lit(None).cast("long").alias("in_reply_to_id"),
