@@ -94,15 +94,20 @@ def merge_nearby(findings: DataFrame, gap: int = NEARBY_LINES, checkpoint: bool
     """H2: findings of one file whose lines are within ``gap`` of each other
     (transitively: chains merge) become one finding with the highest
     severity; its line is the island's first line, ``line_end`` the last,
-    ``issue`` the text of the most severe (then earliest) member.  The full
-    membership stays available through ``line_islands``."""
+    ``issue`` all distinct texts joined with ``; `` in the order of their first
+    lines (then by text).  Equal texts are one row before they are joined."""
     isl = line_islands(findings, gap, checkpoint)
     j = findings.join(isl, ["file", "line"])
-    return (j.groupBy("file", "start")
-            .agg(F.min("line").alias("line"), F.max("line").alias("line_end"),
-                 _best("severity", "line", "issue").alias("b"), F.count(F.lit(1)).alias("n_findings"))
-            .select("file", "line", "line_end", F.col("b.issue").alias("issue"),
-                    F.col("b.severity").alias("severity"), "n_findings"))
+    texts = (j.groupBy("file", "start", "issue")
+             .agg(F.min("line").alias("line"), F.max("line").alias("line_end"),
+                  F.min("severity").alias("severity"), F.count(F.lit(1)).alias("n")))
+    return (texts.groupBy("file", "start")
+            .agg(F.min("line").alias("line"), F.max("line_end").alias("line_end"),
+                 F.array_sort(F.collect_list(F.struct("line", "issue"))).alias("texts"),
+                 F.min("severity").alias("severity"), F.sum("n").alias("n_findings"))
+            .select("file", "line", "line_end",
+                    F.array_join(F.transform("texts", lambda t: t["issue"]), "; ").alias("issue"),
+                    "severity", "n_findings"))
 
 
 def severity_rollup(findings: DataFrame) -> DataFrame:

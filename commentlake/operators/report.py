@@ -145,7 +145,7 @@ def minhash_signatures(docs: DataFrame, n_hashes: int = N_BANDS * ROWS_PER_BAND)
 
 def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
                      tags: DataFrame | None = None, threshold: float = DUP_THRESHOLD,
-                     checkpoint: bool = True, max_rounds: int = 50):
+                     checkpoint: bool = True):
     """Near-duplicate clusters -> ``(conventions, sources)``.
 
     Semantics (ours; the reference only defines the table): two comments are
@@ -166,7 +166,7 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
     ws = (comments.select("id", "body", "path", "updated_at", tx.word_set("body").alias("words"))
           .where(F.size("words") > 0))
     # 1) exact copies: one representative per distinct word set
-    ws = ws.select("id", "words").withColumn("wkey", F.xxhash64(F.array_sort("words")))
+    ws = ws.select("id", "words").withColumn("wkey", F.md5(F.array_join(F.array_sort("words"), " ")))
     if checkpoint:      # word sets are read by the collapse, MinHash and verification
         ws = ws.checkpoint()
     reps = ws.groupBy("wkey").agg(F.min("id").alias("rep"))
@@ -196,7 +196,7 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
     # 4) connected components by min-label propagation
     label = und.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
     rounds = 0
-    for _ in range(max_rounds):
+    while True:
         rounds += 1
         nb = (und.join(label.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b")
               .groupBy("a").agg(F.min("lb").alias("m")))
@@ -217,15 +217,14 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
     m = members.join(info, "comment_id")
     dirs = (m.withColumn("dir", tx.group_key("path")).groupBy("cid", "dir")
             .agg(F.count(F.lit(1)).alias("n")))
-    top_dirs = (dirs.withColumn("r", F.row_number().over(
-        Window.partitionBy("cid").orderBy(F.desc("n"), "dir"))).where("r <= 5")
-        .groupBy("cid").agg(F.array_sort(F.collect_list(F.struct(F.col("r"), F.col("dir")))).alias("d"))
-        .select("cid", F.transform("d", lambda x: x["dir"]).alias("file_patterns")))
+    all_dirs = (dirs.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "dir")))
+                                        .alias("d"))
+                .select("cid", F.transform("d", lambda x: x["dir"]).alias("file_patterns")))
     base = m.groupBy("cid").agg(
         F.count(F.lit(1)).alias("source_count"),
         F.min(F.struct("comment_id", "body")).alias("rep"),
         F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
-    conv = base.join(top_dirs, "cid", "left").join(sims, "cid", "left")
+    conv = base.join(all_dirs, "cid", "left").join(sims, "cid", "left")
     if comment_tags is not None and tags is not None:
         tc = (members.join(comment_tags, "comment_id").groupBy("cid", "tag_id")
               .agg(F.count(F.lit(1)).alias("n")))
@@ -235,10 +234,9 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
             .join(names, "tag_id", "left").drop("tag_id")
     else:
         conv = conv.withColumn("category", F.lit(None).cast("string"))
-    summary = tx.summarize_body(F.col("rep.body"))
     conventions = conv.select(
         F.col("cid").alias("id"),
-        F.substring(summary, 1, 80).alias("title"), summary.alias("body"), "category",
+        tx.summarize_body(F.col("rep.body")).alias("title"), F.col("rep.body").alias("body"), "category",
         "file_patterns", "source_count", F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
         "created_at", "updated_at")
     sources = members.select(F.col("cid").alias("convention_id"), "comment_id")

@@ -127,9 +127,9 @@ def _grouped(rules: list[Rule]):
 def combined_pattern(patterns: list[str], dialect: str = "spark") -> str:
     """One case-insensitive search pattern for a (tag, field) group."""
     body = patterns[0] if len(patterns) == 1 else "|".join(f"(?:{p})" for p in patterns)
-    # java.util.regex: i = case-insensitive, u = Unicode case folding.
-    # RE2: (?i) is Unicode aware already.
-    return ("(?iu)" if dialect == "spark" else "(?i)") + body
+    # java.util.regex: i = case-insensitive, d = only \n ends a line, U = Unicode
+    # classes and case folding.  RE2: (?i) is Unicode aware already.
+    return ("(?idU)" if dialect == "spark" else "(?i)") + body
 
 
 def _field(df_field: str) -> Column:

@@ -75,15 +75,16 @@ def discover_prs(prs: DataFrame, repo: str | None = None, author: str | None = N
 # ---- A10 -----------------------------------------------------------------------
 def incremental(rows: DataFrame, state: DataFrame | None, full: bool = False,
                 n_repos: int | None = None) -> DataFrame:
-    """A10: rows changed after their repository's watermark; repositories
-    without state, and ``full`` mode, keep everything (Q23: the date filter
-    runs in the job, not on the remote side)."""
+    """A10: rows changed at or after their repository's watermark (a row of the
+    watermark's own second may have landed later; the upsert is idempotent);
+    repositories without state, and ``full`` mode, keep everything (Q23: the
+    date filter runs in the job, not on the remote side)."""
     if full or state is None:
         return rows
     st = checked_broadcast(state.select("repo", "last_fetched_at"), bound=n_repos)
     j = rows.join(st, "repo", "left")
     return j.where(F.col("last_fetched_at").isNull() |
-                   (F.col("updated_at") > F.col("last_fetched_at"))).drop("last_fetched_at")
+                   (F.col("updated_at") >= F.col("last_fetched_at"))).drop("last_fetched_at")
 
 
 def advance_state(state: DataFrame | None, batch: DataFrame) -> DataFrame:

@@ -617,14 +617,15 @@ def a05_diffs(spark, d):
     return ingest.normalize_diffs(ingest.read_json(spark, path, schemas.RAW_DIFF))
 
 
-@register("a06_pages", "SELECT id, user_login, body FROM comments_v")
-def a06_pages(spark, d):
-    """Comments landed as paginated responses (two pages printed back to
-    back, or one list of lists), flattened back to rows."""
-    from .. import schemas
+def _landed_pages(spark, d, cut: int | None = None):
+    """(page, value): comments landed as paginated responses (two pages printed
+    back to back, or one list of lists); bodies hold links and quotes with
+    ``][``; of every seventh page the last ``cut`` characters are lost."""
     from ..session import scratch_path
     from ..sources import ingest
-    j = ingest.comments_to_host_json(tables(spark, d).comments)
+    c = tables(spark, d).comments.withColumn("body", F.concat("body", F.lit(' [docs]['), F.col("id").cast("string"),
+                                                              F.lit('] "]["')))
+    j = ingest.comments_to_host_json(c)
     g = F.expr("id div 6")
     pages = (j.groupBy(g.alias("g"))
              .agg(F.to_json(F.array_sort(F.collect_list(F.when(F.col("id") % 6 < 3, F.struct("*"))))).alias("a"),
@@ -632,14 +633,45 @@ def a06_pages(spark, d):
     text = (F.when(F.col("g") % 5 == 0, F.concat(F.lit("["), F.col("a"), F.lit(","), F.col("b"), F.lit(",null]")))
             .when(F.col("g") % 2 == 0, F.concat(F.col("a"), F.col("b")))
             .otherwise(F.concat(F.col("a"), F.lit("\n"), F.col("b"))))
+    if cut:
+        text = F.when(F.col("g") % 7 == 3, F.left(text, F.length(text) - cut)).otherwise(text)
     path = scratch_path(spark, "landing-pages")
     # one response text per JSON line (its newlines escaped by the writer)
-    pages.select(text.alias("value")).write.mode("overwrite").json(path)
-    raw = spark.read.schema("value string").json(path)
-    return ingest.flatten_pages(raw, schemas.RAW_COMMENT).select(
+    pages.select(F.col("g").alias("page"), text.alias("value")).write.mode("overwrite").json(path)
+    return spark.read.schema("page long, value string").json(path)
+
+
+@register("a06_pages", """SELECT id, user_login, body || ' [docs][' || id || '] "]["' AS body FROM comments_v""")
+def a06_pages(spark, d):
+    """Page texts flattened back to rows, bodies unchanged."""
+    from .. import schemas
+    from ..sources import ingest
+    return ingest.flatten_pages(_landed_pages(spark, d), schemas.RAW_COMMENT).select(
         "id", F.coalesce(F.col("user.login"), F.lit("unknown")).alias("user_login"), "body")
 
 
+@register("a06_rejects", "SELECT DISTINCT id // 6 AS page FROM comments_v WHERE (id // 6) % 7 = 3")
+def a06_rejects(spark, d):
+    """The pages that were cut while landing."""
+    from .. import schemas
+    from ..sources import ingest
+    return ingest.page_rejects(_landed_pages(spark, d, cut=3), schemas.RAW_COMMENT).select("page")
+
+
+@register("a02_rejects", "SELECT id FROM comments_v WHERE id % 17 = 0")
+def a02_rejects(spark, d):
+    """A2: comment lines that were cut while landing, by the id they still name."""
+    from .. import schemas
+    from ..session import scratch_path
+    from ..sources import ingest
+    line = F.to_json(F.struct("*"))
+    line = F.when(F.col("id") % 17 == 0, F.left(line, F.length(line) - 2)).otherwise(line)
+    path = scratch_path(spark, "landing-cut")
+    _comments_json(tables(spark, d).comments).select(line).write.text(path)
+    return ingest.json_rejects(spark, path, schemas.RAW_COMMENT).select(
+        F.regexp_extract("line", r'^\{"id":(\d+)', 1).cast("long").alias("id"))
+
+
 @register("a07_repo_refs", f"""
 SELECT owner, repo, min(line_no) AS line_no FROM (
   SELECT line_no,
@@ -687,7 +719,7 @@ def a09_discover(spark, d):
 
 _INCR_SQL = """
 SELECT p.* FROM prs_v p LEFT JOIN state_v s ON s.repo = p.repo
-WHERE s.last_fetched_at IS NULL OR p.updated_at > s.last_fetched_at"""
+WHERE s.last_fetched_at IS NULL OR p.updated_at >= s.last_fetched_at"""
 
 
 @register("a10_incremental", f"SELECT id, repo, number, updated_at FROM ({_INCR_SQL})")
@@ -904,16 +936,18 @@ def h01_dedup(spark, d):
 
 
 @register("h02_merge", """
-SELECT f.file, min(f.line) AS line, max(f.line) AS line_end,
-       (min({'s': f.severity, 'l': f.line, 'i': f.issue})).i AS issue, min(f.severity) AS severity,
-       count(*) AS n_findings
+SELECT file, min(line) AS line, max(line_end) AS line_end,
+       string_agg(issue, '; ' ORDER BY line, issue) AS issue, min(severity) AS severity,
+       CAST(sum(n) AS BIGINT) AS n_findings
+FROM (SELECT f.file, i.isl, f.issue, min(f.line) AS line, max(f.line) AS line_end, min(f.severity) AS severity,
+             count(*) AS n
 FROM findings_v f JOIN (
   SELECT file, line, sum(brk) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS isl
   FROM (SELECT file, line,
                CASE WHEN line - lag(line) OVER (PARTITION BY file ORDER BY line) <= 2 THEN 0 ELSE 1 END AS brk
         FROM (SELECT DISTINCT file, line FROM findings_v))) i
   ON i.file = f.file AND i.line = f.line
-GROUP BY f.file, i.isl""")
+GROUP BY f.file, i.isl, f.issue) GROUP BY file, isl""")
 def h02_merge(spark, d):
     from ..operators import findings
     return findings.merge_nearby(tables(spark, d).findings)
@@ -952,9 +986,7 @@ def _stream_run(spark, d, name, redeliver=False, rules=None, index=True):
     table = scratch_path(spark, f"stream-table-{name}")
     ck = scratch_path(spark, f"stream-ckpt-{name}")
     src = stream.comment_stream(spark, landing, max_files_per_trigger=4)
-    if redeliver:
-        src = stream.dedup_redelivered(src)
-    q = stream.start_ingest(src, table, ck, rules=rules, index=index)
+    q = stream.start_ingest(src, table, ck, rules=rules, index=index, skip_known=redeliver)
     q.awaitTermination()
     return table, landing
 
@@ -1020,7 +1052,8 @@ def i04_refresh_postings(spark, d):
     return idx.corpus.select("ndocs", "total_len", n.select("n_postings").scalar().alias("n_postings"))
 
 
-@register("i05_backfill_equals_stream")
+@register("i05_backfill_equals_stream", """
+SELECT count(*) AS n_stream, count(*) AS n_batch, CAST(0 AS BIGINT) AS n_diff FROM comments_v""")
 def i05_backfill_equals_stream(spark, d):
     """The streamed table and a batch backfill of the same landed files
     hold the same rows: one row (n_stream, n_batch, n_diff), n_diff = 0."""

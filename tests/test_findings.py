@@ -11,10 +11,11 @@ SCHEMA = "file string, line long, issue string, severity string"
 
 def test_merge_nearby_example(spark):
     df = spark.createDataFrame([("f", 1, "a", "P2"), ("f", 3, "b", "P0"), ("f", 5, "c", "P1"),
-                                ("f", 8, "d", "P2"), ("g", 1, "e", "P1")], SCHEMA)
+                                ("f", 8, "d", "P2"), ("g", 1, "e", "P1"),
+                                ("f", 5, "a", "P2")], SCHEMA)
     got = sorted((r.file, r.line, r.line_end, r.severity, r.issue, r.n_findings)
                  for r in H.merge_nearby(df).collect())
-    assert got == [("f", 1, 5, "P0", "b", 3), ("f", 8, 8, "P2", "d", 1), ("g", 1, 1, "P1", "e", 1)]
+    assert got == [("f", 1, 5, "P0", "a; b; c", 4), ("f", 8, 8, "P2", "d", 1), ("g", 1, 1, "P1", "e", 1)]
 
 
 def test_islands_match_python(spark):

@@ -40,3 +40,16 @@ def test_stream_equals_backfill(spark):
     assert {r.comment_id for r in tags} == set(range(20))
     idx = stream.current_index(spark, os.path.join(base, "t"))
     assert idx.corpus.collect()[0].ndocs == 20
+
+
+def test_old_rows_that_arrive_late_stay_and_copies_go(spark):
+    base = tempfile.mkdtemp(prefix="cl-stream-")
+    landing = os.path.join(base, "landing")
+    days = [dt.datetime(2024, 6, 1), dt.datetime(2024, 6, 2), dt.datetime(2023, 1, 1), dt.datetime(2024, 6, 1)]
+    for i, t in zip([1, 2, 3, 1], days, strict=True):
+        row = (i, "r", 1, None, "u", "b", "p", 1, 1, "RIGHT", None, None, None, None, t, t, "h")
+        ingest.comments_to_host_json(spark.createDataFrame([row], COLS)).coalesce(1).write.mode("append").json(landing)
+    stream.start_ingest(stream.comment_stream(spark, landing, 1), os.path.join(base, "t"), os.path.join(base, "ck"),
+                        index=False, skip_known=True).awaitTermination()
+    log = spark.read.parquet(os.path.join(base, "t", "log"))
+    assert sorted((r.id, r.updated_at) for r in log.collect()) == sorted(zip([1, 2, 3], days, strict=False))

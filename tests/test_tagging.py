@@ -23,6 +23,15 @@ def test_score_combinations(spark):
                    (7, "t"): 1.0, (9, "phrase"): 0.5}
 
 
+def test_classes_are_unicode_and_only_newlines_end_lines(spark):
+    rules = tg.rule_set([("w", "", {"body": [r"^caf\w$"]}), ("b", "", {"body": [r"\bété\b"]}),
+                         ("dot", "", {"body": [r"one.*two"]}), ("s", "", {"body": [r"a\sb"]})])
+    rows = [(1, "CAFÉ", None, None), (2, "l'été, déjà", None, None), (3, "étés", None, None),
+            (4, "one\r\u2028\u0085two", None, None), (5, "one\ntwo", None, None), (6, "a\u00a0b", None, None)]
+    got = sorted((r.comment_id, r.tag) for r in tg.match_rules(_comments(spark, rows), rules).collect())
+    assert got == [(1, "w"), (2, "b"), (4, "dot"), (6, "s")]
+
+
 def test_match_plan_has_no_exchange(spark):
     plan = tg.match_rules(_comments(spark, [(1, "alpha", None, None)]), tg.TEST_RULES)
     text = plan._jdf.queryExecution().executedPlan().toString()

@@ -24,10 +24,11 @@ def test_repo_refs(spark):
 
 
 def test_incremental_and_state(spark):
-    rows = spark.createDataFrame([(1, "x", 5, "", _d(5)), (2, "x", 6, "", _d(12)), (3, "y", 7, "", _d(1))], SCHEMA)
+    rows = spark.createDataFrame([(1, "x", 5, "", _d(5)), (2, "x", 6, "", _d(12)), (3, "y", 7, "", _d(1)),
+                                  (4, "x", 8, "", _d(10))], SCHEMA)
     state = spark.createDataFrame([("x", _d(10), 9)], "repo string, last_fetched_at timestamp_ntz, last_pr_number long")
     inc = U.incremental(rows, state)
-    assert sorted(r.id for r in inc.collect()) == [2, 3]
+    assert sorted(r.id for r in inc.collect()) == [2, 3, 4]      # 4: the second of the watermark
     st2 = {r.repo: (r.last_fetched_at, r.last_pr_number) for r in U.advance_state(state, inc).collect()}
     assert st2 == {"x": (_d(12), 9), "y": (_d(1), 7)}
     empty = rows.where("id < 0")
