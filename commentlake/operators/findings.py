@@ -2,8 +2,8 @@
 
 findings: (file, line, issue, severity in P0 > P1 > P2).
 
-Every step is skew-safe: H1 is one grouped aggregate (partial aggregation
-collapses a hot (file, line) key map-side); H2 finds line islands on the
+Every step is skew-safe: H1 collapses equal texts of a hot (file, line) key
+map-side before it compares different ones; H2 finds line islands on the
 *distinct* (file, line) pairs in fixed-size line blocks (windows bounded by
 the block size) and stitches blocks with one window over per-block summary
 rows, so a file holding a third of all findings is never sorted in one task.
@@ -19,6 +19,7 @@ from ..functions import text as tx
 # --- fixed values that must equal the reference's ---------------------------
 NEARBY_LINES = 2                 # lines within 2 of each other merge
 SEVERITIES = ["P0", "P1", "P2"]  # P0 > P1 > P2
+DUP_THRESHOLD = 0.7              # Jaccard at or above which two texts are one
 # -----------------------------------------------------------------------------
 
 
@@ -34,14 +35,30 @@ def _best(*cols):
     return F.min(F.struct(*cols))
 
 
-def dedup_findings(findings: DataFrame) -> DataFrame:
-    """H1: findings with the same file, line and issue text (compared after
-    case/whitespace normalisation) are one; the highest severity is kept.
+def dedup_findings(findings: DataFrame, threshold: float = DUP_THRESHOLD) -> DataFrame:
+    """H1: findings of one file and line with similar issue texts are one, of
+    the highest severity.  Texts equal after case/whitespace normalisation are
+    one row first (partial aggregation); then, by severity and text, each text
+    joins the first kept one whose word set has Jaccard >= threshold with its
+    own, or is kept itself.  So a group gathered is the different texts of one
+    line, however often each was reported; texts without words join none.
     Output: file, line, issue, severity, n_merged."""
-    g = findings.groupBy("file", "line", normalize_issue("issue").alias("_norm"))
-    return g.agg(_best("severity", "issue").alias("b"), F.count(F.lit(1)).alias("n_merged")) \
-        .select("file", "line", F.col("b.issue").alias("issue"), F.col("b.severity").alias("severity"),
-                "n_merged")
+    texts = (findings.groupBy("file", "line", normalize_issue("issue").alias("_norm"))
+             .agg(_best("severity", "issue").alias("b"), F.count(F.lit(1)).alias("n")))
+    member = F.struct("b.severity", "b.issue", "n", tx.word_set("_norm").alias("words"))
+    groups = texts.groupBy("file", "line").agg(F.array_sort(F.collect_list(member)).alias("ms"))
+
+    def step(kept, m):
+        at = F.array_position(F.transform(kept, lambda k: F.coalesce(
+            tx.jaccard(k["words"], m["words"]) >= threshold, F.lit(False))), True)
+        joined = F.transform(kept, lambda k, i: F.struct(
+            k["severity"].alias("severity"), k["issue"].alias("issue"),
+            (k["n"] + F.when(i + 1 == at, m["n"]).otherwise(0)).alias("n"), k["words"].alias("words")))
+        return F.when(at > 0, joined).otherwise(F.array_append(kept, m))
+    none = F.filter("ms", lambda m: F.lit(False))
+    kept = F.when(F.size("ms") == 1, F.col("ms")).otherwise(F.aggregate("ms", none, step))
+    return groups.select("file", "line", F.explode(kept).alias("k")).select(
+        "file", "line", "k.issue", "k.severity", F.col("k.n").alias("n_merged"))
 
 
 LINE_BLOCK = 4096      # lines per block: bounds every window below

@@ -1,8 +1,8 @@
 """Result synthesis.
 
 G1-G6 work on search hits (query_id, rank, comment columns, tags): every
-group they build is bounded by the per-query cap (20 hits), so collecting a
-group's members into one row is bounded by construction.
+group they build is bounded by the limit of its query, which a report may cut
+further, so collecting a group's members into one row is bounded.
 
 G7 mines near-duplicate comment clusters over the whole corpus: exact copies
 collapse first (grouped aggregate), MinHash bands propose candidates, each
@@ -19,17 +19,17 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 # --- fixed values that must equal the reference's ---------------------------
-MAX_COMMENTS = 20              # hits used by the report
 DUP_THRESHOLD = 0.7            # Jaccard at or above which a body is a duplicate
 EMPTY_TEXT = "No conventions found."
 GENERAL = "General"            # header for hits whose path has no directory
 # -----------------------------------------------------------------------------
 
 
-def cap(hits: DataFrame, n: int = MAX_COMMENTS) -> DataFrame:
-    """G1: the first ``n`` hits of each query by rank (``pos`` 1..n)."""
+def cap(hits: DataFrame, n: int | None = None) -> DataFrame:
+    """G1: the first ``n`` hits of each query by rank (``pos`` 1..n), or all."""
     w = Window.partitionBy("query_id").orderBy("rank")
-    return hits.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
+    out = hits.withColumn("pos", F.row_number().over(w))
+    return out if n is None else out.where(F.col("pos") <= n)
 
 
 def _member():
@@ -69,13 +69,13 @@ def _member_lines(m):
     return F.concat(F.array(head, summary), tag_line, F.array(F.lit("")))
 
 
-def render_report(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+def render_report(hits: DataFrame, queries: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """G4 (+G6): one text report per query.  Header counts all hits (Q16)
-    and the groups formed from the first 20; groups in key order, members
+    and the groups formed from the first ``n`` (None: all); groups in key order, members
     deduplicated (G3).  With ``queries`` every query gets a row and queries
     without hits get the empty-result text."""
-    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
-    g = greedy_dedup(group_by_dir(cap(hits)))
+    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    g = greedy_dedup(group_by_dir(cap(hits, n)))
     g = g.select("query_id", "dir", F.concat(
         F.array(F.concat(F.lit("--- "), F.coalesce(F.nullif(F.col("dir"), F.lit("")), F.lit(GENERAL)),
                          F.lit(" ---\n"))),
@@ -83,7 +83,7 @@ def render_report(hits: DataFrame, queries: DataFrame | None = None) -> DataFram
     per_q = (g.groupBy("query_id")
              .agg(F.count(F.lit(1)).alias("n_groups"),
                   F.array_sort(F.collect_list(F.struct("dir", "lines"))).alias("gs"))
-             .join(n, "query_id"))
+             .join(counts, "query_id"))
     text = F.array_join(F.concat(
         F.array(F.concat(F.lit("Found "), F.col("n_hits").cast("string"),
                          F.lit(" relevant review comments across "), F.col("n_groups").cast("string"),
@@ -97,11 +97,14 @@ def render_report(hits: DataFrame, queries: DataFrame | None = None) -> DataFram
     return out
 
 
-def prompt_context(hits: DataFrame) -> DataFrame:
+def prompt_context(hits: DataFrame, n: int | None = None, hunk_lines: int | None = None) -> DataFrame:
     """The numbered context block handed to an external summariser
     (text only, no model call): per hit 'Comment #i by u on d:', file, full
-    review text and the clipped hunk (B6)."""
-    c = cap(hits)
+    review text and the hunk (whole, or clipped to ``hunk_lines`` by B6)."""
+    c = cap(hits, n)
+
+    def hunk(h):
+        return h if hunk_lines is None else tx.truncate_hunk(h, hunk_lines)
 
     def block(m):
         return F.concat(
@@ -111,7 +114,7 @@ def prompt_context(hits: DataFrame) -> DataFrame:
              .otherwise(F.array().cast("array<string>")),
             F.array(F.concat(F.lit("  Review: "), m["body"])),
             F.when(tx.nonempty(m["diff_hunk"]),
-                   F.array(F.concat(F.lit("  Code context: "), tx.truncate_hunk(m["diff_hunk"]))))
+                   F.array(F.concat(F.lit("  Code context: "), hunk(m["diff_hunk"]))))
              .otherwise(F.array().cast("array<string>")),
             F.array(F.lit("")))
     g = c.groupBy("query_id").agg(F.array_sort(F.collect_list(

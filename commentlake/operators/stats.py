@@ -1,7 +1,7 @@
 """Anti-joins and collection statistics.
 
 All are single-pass aggregates with map-side partial aggregation; none
-collects rows to the driver (the stats document is one row, built by Spark).
+collects rows to the driver or into one row.
 """
 
 from __future__ import annotations
@@ -70,39 +70,41 @@ def date_range(comments: DataFrame) -> DataFrame:
 
 def kb_stats(prs: DataFrame, reviews: DataFrame, comments: DataFrame,
              embeddings: DataFrame, comment_tags: DataFrame, tags: DataFrame) -> DataFrame:
-    """One row with every statistic of E1-E5.
-
-    ``comments`` is scanned once: a grouped aggregate by (repo, user_login)
-    yields the repo counts, the reviewer counts, the total and the date range
-    together.  ``tagged_assignments`` is the reference's "tagged" figure
-    (number of assignments, Q11); ``tagged_comments`` counts distinct comments.
+    """Every statistic of E1-E5 as rows (section, key, count, time):
+    sections total, date (oldest, newest), prs_by_repo, comments_by_repo and
+    top_reviewers.  However many repositories there are, none is gathered.
+
+    All figures of ``comments`` come from one grouped aggregate by (repo,
+    user_login), whose exchange the branches share.  ``tagged_assignments`` is
+    the reference's "tagged" figure (number of assignments, Q11);
+    ``tagged_comments`` counts distinct comments.
     """
+    no_time = F.lit(None).cast(comments.schema["created_at"].dataType).alias("time")
     per = (comments.groupBy("repo", "user_login")
            .agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("lo"),
                 F.max("created_at").alias("hi")))
-    by_repo = per.groupBy("repo").agg(F.sum("n").alias("n"))
-    by_user = per.groupBy("user_login").agg(F.sum("n").alias("n"))
-    top = by_user.orderBy(F.desc("n"), "user_login").limit(TOP_REVIEWERS)
-    c_row = per.agg(F.sum("n").cast("long").alias("comments"), F.min("lo").alias("oldest"),
-                    F.max("hi").alias("newest"))
-    repo_map = by_repo.agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("repo", F.col("n").cast("long"))))).alias("comments_by_repo"))
-    top_map = top.agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("n")).alias("neg"), "user_login", F.col("n").cast("long").alias("n")))).alias("t")) \
-        .select(F.transform("t", lambda x: F.struct(x["user_login"].alias("user_login"),
-                                                    x["n"].alias("count"))).alias("top_reviewers"))
-    pr_map = (prs.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
-              .agg(F.sum("n").cast("long").alias("pull_requests"),
-                   F.map_from_entries(F.array_sort(F.collect_list(F.struct("repo", "n"))))
-                   .alias("prs_by_repo")))
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    ct = comment_tags.agg(F.count(F.lit(1)).alias("tagged_assignments"),
-                          F.count_distinct("comment_id").alias("tagged_comments"))
-    parts = [pr_map, one(reviews, "reviews"), c_row, one(embeddings, "comment_embeddings"),
-             ct, one(tags, "tags"), repo_map, top_map]
-    # every part is exactly one row: combine them with scalar subqueries
-    base = parts[0]
-    for p in parts[1:]:
-        base = base.select("*", *[p.select(c).scalar().alias(c) for c in p.columns])
-    return base
 
+    def section(name, df, key, n="n"):
+        return df.select(F.lit(name).alias("section"), F.col(key).alias("key"),
+                         F.col(n).cast("long").alias("count"), no_time)
+
+    def total(name, df, n=None):
+        n = F.count(F.lit(1)) if n is None else n
+        return section("total", df.agg(n.alias("n")).withColumn("key", F.lit(name)), "key")
+    dates = per.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(F.explode(F.array(
+        F.struct(F.lit("oldest").alias("key"), F.col("lo").alias("time")),
+        F.struct(F.lit("newest").alias("key"), F.col("hi").alias("time")))).alias("d"))
+    top = (per.groupBy("user_login").agg(F.sum("n").alias("n"))
+           .orderBy(F.desc("n"), "user_login").limit(TOP_REVIEWERS))
+    parts = [total("pull_requests", prs), total("reviews", reviews),
+             total("comments", per, F.coalesce(F.sum("n"), F.lit(0))),
+             total("comment_embeddings", embeddings), total("tagged_assignments", comment_tags),
+             total("tagged_comments", comment_tags, F.count_distinct("comment_id")), total("tags", tags),
+             dates.select(F.lit("date").alias("section"), "d.key", F.lit(None).cast("long").alias("count"), "d.time"),
+             section("prs_by_repo", count_by(prs, "repo"), "repo", "count"),
+             section("comments_by_repo", per.groupBy("repo").agg(F.sum("n").alias("n")), "repo"),
+             section("top_reviewers", top, "user_login")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

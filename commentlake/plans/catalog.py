@@ -75,37 +75,24 @@ def e05_date_range(spark, d):
     return stats.date_range(tables(spark, d).kb_comments)
 
 
-@register("e06_stats", """
-SELECT (SELECT count(*) FROM prs_v) AS pull_requests,
-       (SELECT count(*) FROM reviews_v) AS reviews,
-       (SELECT count(*) FROM comments_v) AS comments,
-       (SELECT count(*) FROM embeddings_v) AS comment_embeddings,
-       (SELECT count(*) FROM comment_tags_v) AS tagged_assignments,
-       (SELECT count(DISTINCT comment_id) FROM comment_tags_v) AS tagged_comments,
-       (SELECT count(*) FROM tags_v) AS tags,
-       (SELECT min(created_at) FROM comments_v) AS oldest,
-       (SELECT max(created_at) FROM comments_v) AS newest,
-       (SELECT string_agg(repo || '=' || n, ',' ORDER BY repo)
-          FROM (SELECT repo, count(*) n FROM prs_v GROUP BY repo)) AS prs_by_repo,
-       (SELECT string_agg(repo || '=' || n, ',' ORDER BY repo)
-          FROM (SELECT repo, count(*) n FROM comments_v GROUP BY repo)) AS comments_by_repo,
-       (SELECT string_agg(user_login || '=' || n, ',' ORDER BY n DESC, user_login)
-          FROM (SELECT user_login, count(*) n FROM comments_v GROUP BY user_login
-                ORDER BY n DESC, user_login LIMIT 10)) AS top_reviewers""")
+_TOTALS = [("pull_requests", "count(*)", "prs_v"), ("reviews", "count(*)", "reviews_v"),
+           ("comments", "count(*)", "comments_v"), ("comment_embeddings", "count(*)", "embeddings_v"),
+           ("tagged_assignments", "count(*)", "comment_tags_v"),
+           ("tagged_comments", "count(DISTINCT comment_id)", "comment_tags_v"), ("tags", "count(*)", "tags_v")]
+
+
+@register("e06_stats", "\nUNION ALL ".join(
+    [f"""SELECT 'total' AS "section", '{k}' AS "key", {n} AS "count", CAST(NULL AS TIMESTAMP) AS "time" FROM {v}"""
+     for k, n, v in _TOTALS]
+    + ["SELECT 'date', 'oldest', NULL, min(created_at) FROM comments_v",
+       "SELECT 'date', 'newest', NULL, max(created_at) FROM comments_v",
+       "SELECT 'prs_by_repo', repo, count(*), NULL FROM prs_v GROUP BY repo",
+       "SELECT 'comments_by_repo', repo, count(*), NULL FROM comments_v GROUP BY repo",
+       """SELECT 'top_reviewers', user_login, n, NULL FROM (
+  SELECT user_login, count(*) AS n FROM comments_v GROUP BY user_login ORDER BY n DESC, user_login LIMIT 10)"""]))
 def e06_stats(spark, d):
     t = tables(spark, d)
-    s = stats.kb_stats(t.prs, t.reviews, t.kb_comments, t.embeddings, t.kb_comment_tags, t.kb_tags)
-
-    def map_str(c):
-        return F.array_join(F.transform(F.array_sort(F.map_entries(c)),
-                                        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return s.select(
-        "pull_requests", "reviews", "comments", "comment_embeddings", "tagged_assignments",
-        "tagged_comments", "tags", "oldest", "newest",
-        map_str(F.col("prs_by_repo")).alias("prs_by_repo"),
-        map_str(F.col("comments_by_repo")).alias("comments_by_repo"),
-        F.array_join(F.transform("top_reviewers", lambda x: F.concat(
-            x["user_login"], F.lit("="), x["count"].cast("string"))), ",").alias("top_reviewers"))
+    return stats.kb_stats(t.prs, t.reviews, t.kb_comments, t.embeddings, t.kb_comment_tags, t.kb_tags)
 
 
 # =========================== C: anti-joins, tag dimension ====================
@@ -861,16 +848,16 @@ _HITS_SQL = "SELECT r.query_id, r.rank, r.id, c.path FROM rrf r JOIN comments_v
 
 @register("g01_cap", O.search_sql(f"""
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS pos, rank, id
-FROM ({_HITS_SQL}) QUALIFY pos <= 20"""))
+FROM ({_HITS_SQL}) QUALIFY pos <= 10"""))
 def g01_cap(spark, d):
     from ..operators import report
-    return report.cap(_hits(spark, d)).select("query_id", "pos", "rank", "id")
+    return report.cap(_hits(spark, d), 10).select("query_id", "pos", "rank", "id")
 
 
 @register("g02_group", O.search_sql(f"""
 SELECT query_id, dir, CAST(count(*) AS INTEGER) AS n_members, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids
 FROM (SELECT *, CASE WHEN path IS NOT NULL AND path <> '' THEN {O.dirname_sql('path')} ELSE 'general' END AS dir
-      FROM ({_HITS_SQL}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 20)
+      FROM ({_HITS_SQL}))
 GROUP BY query_id, dir"""))
 def g02_group(spark, d):
     from ..operators import report
@@ -926,10 +913,29 @@ def g07_sources(spark, d):
 
 
 # =========================== H: findings ========================================
+_NORM_SQL = O.strip_sql("regexp_replace(lower(issue), " + O._q(O.WS + "+") + ", ' ', 'g')")
+
+
 @register("h01_dedup", f"""
-SELECT file, line, (min({{'s': severity, 'i': issue}})).i AS issue, min(severity) AS severity,
-       count(*) AS n_merged
-FROM findings_v GROUP BY file, line, {O.strip_sql("regexp_replace(lower(issue), " + O._q(O.WS + '+') + ", ' ', 'g')")}""")
+SELECT * FROM (WITH RECURSIVE texts AS (
+  SELECT file, line, b.issue AS issue, b.severity AS severity, n, {_wordset_sql('norm')} AS ws,
+         row_number() OVER (PARTITION BY file, line ORDER BY b.severity, b.issue) AS pos
+  FROM (SELECT file, line, {_NORM_SQL} AS norm, min({{'severity': severity, 'issue': issue}}) AS b, count(*) AS n
+        FROM findings_v GROUP BY ALL)),
+walk AS (
+  SELECT file, line, pos, pos AS rep, [{{'pos': pos, 'ws': ws}}] AS kept FROM texts WHERE pos = 1
+  UNION ALL
+  SELECT file, line, pos, coalesce(hit, pos),
+         CASE WHEN hit IS NULL THEN list_append(kept, {{'pos': pos, 'ws': ws}}) ELSE kept END
+  FROM (SELECT t.file, t.line, t.pos, t.ws, w.kept,
+               (SELECT min(k.pos) FROM (SELECT unnest(w.kept) AS k)
+                WHERE len(k.ws) > 0 AND len(t.ws) > 0
+                  AND len(list_intersect(k.ws, t.ws)) >= 0.7 * len(list_distinct(list_concat(k.ws, t.ws)))) AS hit
+        FROM walk w JOIN texts t ON t.file = w.file AND t.line = w.line AND t.pos = w.pos + 1))
+SELECT r.file, r.line, r.issue, r.severity, CAST(sum(t.n) AS BIGINT) AS n_merged
+FROM walk w JOIN texts t ON t.file = w.file AND t.line = w.line AND t.pos = w.pos
+JOIN texts r ON r.file = w.file AND r.line = w.line AND r.pos = w.rep
+GROUP BY r.file, r.line, r.pos, r.issue, r.severity)""")
 def h01_dedup(spark, d):
     from ..operators import findings
     return findings.dedup_findings(tables(spark, d).findings)

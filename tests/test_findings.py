@@ -34,6 +34,13 @@ def test_dedup_rollup_approved(spark):
                                SCHEMA)
     got = sorted((r.issue, r.severity, r.n_merged) for r in H.dedup_findings(df).collect())
     assert got == [("bad name", "P0", 2), ("other", "P1", 1)]
+    alike = spark.createDataFrame(
+        [("f", 1, "check open handle in part 3", "P1"), ("f", 1, "check open handle in part 4", "P0"),
+         ("f", 1, "check unused import in part 3", "P2"), ("f", 2, "check open handle in part 3", "P2"),
+         ("f", 1, "", "P2"), ("f", 1, "Check  open handle in part 3", "P2")], SCHEMA)
+    got = sorted((r.line, r.issue, r.severity, r.n_merged) for r in H.dedup_findings(alike).collect())
+    assert got == [(1, "", "P2", 1), (1, "check open handle in part 4", "P0", 3),
+                   (1, "check unused import in part 3", "P2", 1), (2, "check open handle in part 3", "P2", 1)]
     roll = [(r.severity, r.n) for r in H.severity_rollup(df).collect()]
     assert roll == [("P0", 1), ("P1", 1), ("P2", 1)]
     changed = spark.createDataFrame([("f",), ("g",)], "file string")
