@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -331,10 +331,22 @@ def _old_state(spark, d):
     return old_tags, existing
 
 
-@register("d01_seed_tags", _SEEDED_SQL)
+@register("d01_seed_tags", f"""
+WITH old AS (
+  SELECT row_number() OVER (ORDER BY name) AS id, name, description FROM (
+    SELECT 'lang-' || lang AS name, count(*) || ' documents' AS description
+    FROM documents WHERE lang IS NOT NULL GROUP BY lang))
+SELECT id, name, description FROM old
+UNION ALL
+SELECT CAST((SELECT coalesce(max(id), 0) FROM old) + row_number() OVER (ORDER BY ordinal) AS BIGINT), name, description
+FROM ({_rule_tags_values(tagging.TEST_RULES)}) r WHERE name NOT IN (SELECT name FROM old)""")
 def d01_seed_tags(spark, d):
-    old_tags, _ = _old_state(spark, d)
-    return tagging.seed_tags(old_tags, tagging.TEST_RULES, spark)
+    """Existing tags are the languages that the documents have."""
+    langs = (tables(spark, d).raw("documents").where(F.col("lang").isNotNull())
+             .groupBy(F.concat(F.lit("lang-"), "lang").alias("name"))
+             .agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" documents")).alias("description")))
+    old = langs.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name", "description")
+    return tagging.seed_tags(old, tagging.TEST_RULES, spark)
 
 
 @register("d02_match", O.tag_scores_sql(tagging.TEST_RULES))
