@@ -5,10 +5,10 @@ group they build is bounded by the limit of its query, which a report may cut
 further, so collecting a group's members into one row is bounded.
 
 G7 mines near-duplicate comment clusters over the whole corpus: exact copies
-collapse first (grouped aggregate), MinHash bands propose candidates, each
-document is checked only against its bucket's representative (no all-pairs
-inside a bucket), and clusters are connected components found by min-label
-propagation with reliable checkpoints.
+collapse first (grouped aggregate), MinHash bands propose candidates, members
+of a bucket are checked against its representatives, which are elected anew
+among members outside the bucket's largest component until none is left, and
+clusters are connected components by contraction with reliable checkpoints.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import scratch_path
 
 # --- fixed values that must equal the reference's ---------------------------
 DUP_THRESHOLD = 0.7            # Jaccard at or above which a body is a duplicate
@@ -132,87 +133,143 @@ def empty_results(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 # ---- G7 ------------------------------------------------------------------------
-N_BANDS = 10
-ROWS_PER_BAND = 3     # P(candidate | J=0.7) = 1 - (1 - 0.7^3)^10 = 0.985
+N_BANDS = 32
+ROWS_PER_BAND = 3     # P(no shared bucket | J=0.7) = (1 - 0.7^3)^32 = 1.5e-6
 
 
 def minhash_signatures(docs: DataFrame, n_hashes: int = N_BANDS * ROWS_PER_BAND) -> DataFrame:
-    """(id, sig): n_hashes minimum hash values of each word set.  Words are
-    exploded and hashed once; the n_hashes minima are one codegen'd grouped
-    aggregate (partial per task: one row per document is shuffled)."""
-    ex = docs.select("id", F.explode("words").alias("w")).select("id", F.xxhash64("w").alias("h"))
+    """(id, sig): n_hashes minimum hash values of each set of word hashes.  The
+    n_hashes minima are one codegen'd grouped aggregate (partial per task: one
+    row per document is shuffled)."""
+    ex = docs.select("id", F.explode("words").alias("h"))
     aggs = [F.min(F.xxhash64(F.col("h"), F.lit(i))).alias(f"_h{i}") for i in range(n_hashes)]
     return ex.groupBy("id").agg(*aggs).select(
         "id", F.array(*[F.col(f"_h{i}") for i in range(n_hashes)]).alias("sig"))
 
 
+def _joined(labels: DataFrame, links: DataFrame, keep) -> DataFrame:
+    """``labels`` (id, label) after ``links`` (a, b) have joined their
+    components; a label is the smallest id of its component.  Each round maps
+    every label to the first of its closed neighbourhood, by id and by a fresh
+    hash in turn, and contracts the links, so rounds are logarithmic."""
+    def mapped(e, to, key, val):
+        ta = to.select(F.col(key).alias("a"), F.col(val).alias("ta"))
+        tb = to.select(F.col(key).alias("b"), F.col(val).alias("tb"))
+        return (e.join(ta, "a").join(tb, "b").where("ta != tb")
+                .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+
+    e, turn = keep(mapped(links.select("a", "b"), labels, "id", "label")), 0
+    while not e.isEmpty():
+        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+        def place(v, turn=turn):
+            rank = F.col(v) if turn % 2 == 0 else F.xxhash64(F.col(v), F.lit(turn))
+            return F.struct(rank.alias("rank"), F.col(v).alias("v"))
+        near = both.groupBy("a").agg(F.min(place("b")).alias("n"))
+        near = keep(near.select(F.col("a").alias("label"), F.least("n", place("a"))["v"].alias("to")))
+        labels = keep(labels.join(near, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        e = keep(mapped(e, near, "label", "to"))
+        turn += 1
+    low = labels.groupBy("label").agg(F.min("id").alias("low"))
+    return keep(labels.join(low, "label").select("id", F.col("low").alias("label")))
+
+
 def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
                      tags: DataFrame | None = None, threshold: float = DUP_THRESHOLD,
                      checkpoint: bool = True):
     """Near-duplicate clusters -> ``(conventions, sources)``.
 
     Semantics (ours; the reference only defines the table): two comments are
-    linked when they share a MinHash band bucket (10 bands x 3 rows) and the
-    Jaccard similarity of their word sets with the bucket's representative
-    (smallest id) is >= threshold; exact word-set copies are always linked.
-    Clusters are the connected components with at least two comments — a
-    transitive grouping, unlike the per-report greedy dedup of G3.
+    linked when the Jaccard similarity of their word sets is >= threshold;
+    exact word-set copies are always linked.  Clusters are the connected
+    components with at least two comments — a transitive grouping, unlike the
+    per-report greedy dedup of G3.  Two texts that share a MinHash band bucket
+    (32 bands x 3 rows; a pair at 0.7 shares none with probability 1.5e-6) are
+    in one component already or are checked exactly: members are held against
+    the smallest id, then, while a bucket has members of several components,
+    those outside its largest one (1, 16, 256, ... a round) are held against
+    the members of other components.
 
     conventions: id, title, body, category, file_patterns, source_count,
     confidence, created_at, updated_at.  sources: (convention_id, comment_id),
     the full membership (no row of a cluster is dropped or sampled).
     """
     spark = comments.sparkSession
-    if checkpoint:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
+
+    def keep(df):       # written once, compressed, to the shared checkpoint folder
+        if not checkpoint:
+            return df
+        df.write.parquet(path := scratch_path(spark, "conventions"))
+        return spark.read.schema(df.schema).parquet(path)
     ws = (comments.select("id", "body", "path", "updated_at", tx.word_set("body").alias("words"))
           .where(F.size("words") > 0))
     # 1) exact copies: one representative per distinct word set
-    ws = ws.select("id", "words").withColumn("wkey", F.md5(F.array_join(F.array_sort("words"), " ")))
-    if checkpoint:      # word sets are read by the collapse, MinHash and verification
-        ws = ws.checkpoint()
+    # words as 64-bit hashes: a third of the bytes that verification shuffles
+    ws = keep(ws.select("id", F.md5(F.array_join(F.array_sort("words"), " ")).alias("wkey"),
+                        F.transform("words", lambda w: F.xxhash64(w)).alias("words")))
     reps = ws.groupBy("wkey").agg(F.min("id").alias("rep"))
-    exact = ws.join(reps, "wkey").select("id", "rep")          # every doc -> its exact rep
-    uniq = ws.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "words")
+    exact = keep(ws.select("id", "wkey").join(reps, "wkey").select("id", "rep"))   # every doc -> its exact rep
+    uniq = keep(ws.select("id", "words", F.size("words").alias("n"))
+                .join(exact.where("id = rep").select("id"), "id", "left_semi"))
 
     # 2) MinHash bands of the representatives
     sig = minhash_signatures(uniq)
-    bands = sig.select("id", F.posexplode(F.transform(
+    bands = sig.select("id", F.explode(F.transform(        # a key tells its band too
         F.sequence(F.lit(0), F.lit(N_BANDS - 1)),
-        lambda b: F.xxhash64(b, F.slice("sig", b * ROWS_PER_BAND + 1, ROWS_PER_BAND)))).alias("band", "bkey"))
-    brep = bands.groupBy("band", "bkey").agg(F.min("id").alias("bmin"))
-    cand = (bands.join(brep, ["band", "bkey"]).where(F.col("id") != F.col("bmin"))
-            .select("id", "bmin").distinct())
-    # 3) verify each candidate edge against the representative only
-    w1 = uniq.select("id", F.col("words").alias("w1"))
-    w2 = uniq.select(F.col("id").alias("bmin"), F.col("words").alias("w2"))
-    edges = (cand.join(w1, "id").join(w2, "bmin")
-             .select("id", "bmin", tx.jaccard("w1", "w2").alias("sim"))
-             .where(F.col("sim") >= threshold))
-    links = (edges.select(F.col("id").alias("a"), F.col("bmin").alias("b"), "sim")
-             .unionByName(exact.where(F.col("id") != F.col("rep"))
-                          .select(F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("sim"))))
-    if checkpoint:
-        links = links.checkpoint()
-    und = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # 4) connected components by min-label propagation
-    label = und.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
-    rounds = 0
+        lambda b: F.xxhash64(b, F.slice("sig", b * ROWS_PER_BAND + 1, ROWS_PER_BAND)))).alias("bkey"))
+    bands = keep(bands)
+    brep = (bands.groupBy("bkey").agg(F.min("id").alias("bmin"), F.max("id").alias("bmax"))
+            .where("bmin < bmax").drop("bmax"))
+    cand = keep(bands.join(brep, "bkey"))
+
+    def checked(pairs):        # 3) verify: the links among pairs (a, b)
+        w1 = uniq.select(F.col("id").alias("a"), F.col("words").alias("w1"))
+        w2 = uniq.select(F.col("id").alias("b"), F.col("words").alias("w2"))
+        return keep(pairs.join(w1, "a").join(w2, "b").select("a", "b", tx.jaccard("w1", "w2").alias("sim"))
+                    .where(F.col("sim") >= threshold))
+
+    def every(parts):
+        return parts[0] if len(parts) == 1 else every(parts[:-1]).unionByName(parts[-1])
+
+    pairs = keep(cand.where("bmin < id").select(F.col("bmin").alias("a"), F.col("id").alias("b")).distinct())
+    links, seen, done, step, rounds = [checked(pairs)], [pairs], [], 1, 0
+    label = _joined(keep(uniq.select("id", F.col("id").alias("label"))), links[0], keep)
+    cand, sizes = cand.select("bkey", "id"), uniq.select("id", "n")
+    # 4) representatives elected anew among members outside a bucket's largest component
     while True:
-        rounds += 1
-        nb = (und.join(label.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b")
-              .groupBy("a").agg(F.min("lb").alias("m")))
-        new = (label.join(nb.withColumnRenamed("a", "id"), "id", "left")
-               .select("id", F.least("label", F.coalesce("m", "label")).alias("label")))
-        if checkpoint:
-            new = new.checkpoint()
-        changed = new.alias("n").join(label.alias("o"), "id").where(F.col("n.label") != F.col("o.label")) \
-            .limit(1).count()
-        label = new
-        if changed == 0:
+        known = cand.join(label.join(sizes, "id"), "id")
+        main = (known.groupBy("bkey", "label").agg(F.count(F.lit(1)).alias("size"))
+                .groupBy("bkey")
+                .agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("comps"))
+                .where("comps > 1"))
+        known = keep(known.join(main.select("bkey", "main"), "bkey"))
+        left = known.where("label != main")
+        if done:
+            left = left.join(every(done), ["bkey", "id"], "left_anti")
+        turn = keep(left.withColumn("nth", F.row_number().over(Window.partitionBy("bkey").orderBy("id")))
+                    .where(F.col("nth") <= step).drop("nth", "main"))
+        if turn.isEmpty():
             break
+        rounds += 1
+        done.append(turn.select("bkey", "id"))
+        x = turn.select("bkey", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
+        y = known.select("bkey", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
+        new = (x.join(y, "bkey").where("lx != ly")
+               # sizes alone bound the similarity (a proof, with room for rounding)
+               .where(F.least("nx", "ny") >= F.greatest("nx", "ny") * (threshold - 1e-9))
+               .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        pairs = keep(new.join(every(seen), ["a", "b"], "left_anti"))
+        seen.append(pairs)
+        links.append(checked(pairs))
+        label = _joined(label, links[-1], keep)
+        step *= 16
     mine_conventions.last_rounds = rounds
+    links = every(links).unionByName(exact.where(F.col("id") != F.col("rep"))
+                                     .select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim")))
+    # every copy has the label of its representative; single comments are no cluster
+    label = exact.join(label.select(F.col("id").alias("rep"), "label"), "rep").select("id", "label")
+    several = label.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("label")
+    label = keep(label.join(several, "label").select("id", "label"))
     members = label.select(F.col("id").alias("comment_id"), F.col("label").alias("cid"))
     sims = links.join(members.withColumnRenamed("comment_id", "a"), "a").groupBy("cid") \
         .agg(F.avg("sim").alias("confidence"))

@@ -1,6 +1,8 @@
 """G1-G7 against the plain-Python template rules."""
 
+import collections
 import datetime as dt
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,3 +74,32 @@ def test_conventions_clusters(spark):
     assert members == [1, 2, 3]
     (row,) = conv.collect()
     assert row.source_count == 3 and row.id == 1 and row.file_patterns[0] == "a"
+
+
+def test_conventions_are_the_exact_components(spark):
+    """Pairs alike to each other but not to the smallest id of a bucket, and
+    pairs of exactly 0.7, against components of all pairs."""
+    rnd, rows = random.Random(4), []
+    hot = [f"hot{k}" for k in range(12)]
+    for g in range(40):                 # a shared phrase, a topic, and copies that differ by a word or two
+        topic = hot + [f"t{g}w{k}" for k in range(9)]
+        for c in range(5):
+            words = topic + [f"x{g}y{c}z{k}" for k in range(rnd.randint(0, 5))]
+            rows.append((len(rows) + 1, " ".join(words)))
+    for g in range(300):                # 7 of 10 words: similarity 0.7
+        both = [f"p{g}w{k}" for k in range(7)]
+        rows.append((len(rows) + 1, " ".join(both)))
+        rows.append((len(rows) + 1, " ".join(both + [f"p{g}e{k}" for k in range(3)])))
+    rows = [(i, b) for (i, _), (_, b) in zip(rows, rnd.sample(rows, len(rows)), strict=True)]
+    sets, comp = {i: set(b.split()) for i, b in rows}, {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and comp[a] != comp[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7:
+                x, y = comp[a], comp[b]
+                comp = {i: min(x, y) if v in (x, y) else v for i, v in comp.items()}
+    size = collections.Counter(comp.values())
+    c = spark.createDataFrame(rows, "id long, body string").select(
+        "*", F.lit("a/x.py").alias("path"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("created_at"),
+        F.to_timestamp_ntz(F.lit("2024-01-02 00:00:00")).alias("updated_at"))
+    _, src = R.mine_conventions(c)
+    assert {r.comment_id: r.convention_id for r in src.collect()} == {i: v for i, v in comp.items() if size[v] > 1}
