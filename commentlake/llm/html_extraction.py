@@ -6,11 +6,14 @@ neighbours in the page and in the DOM are joined by smoothness edges.  The
 minimum cut then labels all blocks of a page at once.  The regression is fitted
 on blocks whose HTML elements say what they are (article and main against nav,
 footer, aside and the like) with those elements hidden from its features; the
-elements, and telling class names, enter as a prior of their own.
+elements, and telling class names, enter as a prior of their own: the nearest
+telling element gives it, within the range of the classifier.  A telling element
+that holds most text of its page is layout and tells nothing.
 
 Text inside scripts, styles, heads, forms' controls, comments and markup is no
 block.  Character references are decoded, white space inside a block becomes
-one space, blocks are joined by a newline in page order.
+one space, blocks are joined by a newline in page order.  A head left open ends
+with the first text or element that cannot be in a head.
 
 Defined results: a null or empty page has the empty text; elements left open
 end with the page or with the next block of their kind; equal pages get equal
@@ -45,11 +48,17 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "section summary table tbody td tfoot th thead tr ul".split())
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
+#: What may stand in a head; all else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Log-odds range of the classifier, prior of a telling element, and the share
+#: of a page's text from which on an element is layout.
+RANGE, PRIOR, LAYOUT = 4.0, {"content": 2.0, "boilerplate": -3.5, "bad": -3.5, "good": 1.0}, 0.75
 #: Elements that an open one of the same kind ends.
 AGAIN = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_WITH = re.compile(r"(?:^|(?<=[\s_-]))(?:has|have|no|with|without)[_-][^\s]*", re.I)     # what is around, not what it is
 _BAD = re.compile(r"(?:^|[\s_-])(ads?|adverts?|advertisement|banners?|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|"
                   r"notices?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|sidebar|side-bar|"
                   r"widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|comments?|disqus|replies|login|"
@@ -71,8 +80,7 @@ class Block:
 class _Open:
     tag: str
     number: int
-    prior: float
-    weak: int
+    tells: tuple           # (number, kinds) of the telling elements around, outermost first
     hidden: bool
 
 
@@ -80,12 +88,15 @@ class _Open:
 class _Page:
     open: list = field(default_factory=list)
     blocks: list = field(default_factory=list)
+    tells: list = field(default_factory=list)          # of each block
     parts: list = field(default_factory=list)
     chars: int = 0
     linked: int = 0
     number: int = 0
 
     def text(self, s: str) -> None:
+        if self.open and self.open[-1].tag == "head" and s.strip():
+            self.open.pop()
         if self.open and self.open[-1].hidden:
             return
         self.parts.append(s)
@@ -100,10 +111,13 @@ class _Page:
             tag = next((o.tag for o in reversed(self.open) if o.tag in BLOCK), "")
             top = self.open[-1] if self.open else None
             self.blocks.append(Block(s, tuple(o.number for o in self.open if o.tag in BLOCK), tag,
-                                     top.prior if top else 0.0, self.linked / max(self.chars, 1), top.weak if top else -1))
+                                     0.0, self.linked / max(self.chars, 1), -1))
+            self.tells.append(top.tells if top else ())
         self.parts, self.chars, self.linked = [], 0, 0
 
     def begin(self, tag: str, attributes: str) -> None:
+        if self.open and self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self.open.pop()
         if tag in BLOCK:
             self.flush()
             if tag != "p":
@@ -114,21 +128,57 @@ class _Page:
             self.parts.append(" ")
         if tag in VOID or attributes.endswith("/"):
             return
-        up = self.open[-1] if self.open else _Open("", 0, 0.0, -1, False)
-        prior, weak = up.prior, up.weak
-        if tag in CONTENT:
-            prior, weak = prior + 4, 1 if weak != 0 else 0
-        elif tag in BOILERPLATE or tag == "header" and weak != 1:
-            prior, weak = prior - 8, 0
+        up = self.open[-1] if self.open else _Open("", 0, (), False)
+        kinds = ("content",) if tag in CONTENT else ("boilerplate",) if tag in BOILERPLATE else \
+            ("header",) if tag == "header" else ()
         names = " ".join(next(filter(None, m), "") for m in _NAMES.findall(attributes)) if "=" in attributes else ""
         if names and tag not in ("html", "body"):
-            if _BAD.search(names):
-                prior -= 8
-                weak = -1 if weak == 1 else weak
+            if _BAD.search(names := _WITH.sub("", names)):
+                kinds += ("bad",)
             elif _GOOD.search(names):
-                prior += 2
+                kinds += ("good",)
         self.number += 1
-        self.open.append(_Open(tag, self.number, prior, weak, up.hidden or tag in HIDDEN))
+        self.open.append(_Open(tag, self.number, up.tells + ((self.number, kinds),) if kinds else up.tells,
+                               up.hidden or tag in HIDDEN))
+
+    def judge(self) -> None:
+        """Sets prior and weak label of each block by the elements around it."""
+        held: dict[int, int] = {}
+        for b, tells in zip(self.blocks, self.tells, strict=True):
+            for number, _ in tells:
+                held[number] = held.get(number, 0) + len(b.text)
+        layout = LAYOUT * sum(len(b.text) for b in self.blocks)
+        known: dict[tuple, tuple] = {(): (0.0, -1)}
+
+        def of(tells: tuple) -> tuple[float, int]:
+            done = len(tells)
+            while tells[:done] not in known:
+                done -= 1
+            prior, weak = known[tells[:done]]
+            for k in range(done, len(tells)):
+                number, kinds = tells[k]
+                wide, own, tell = held[number] >= layout, 0.0, False
+                for kind in kinds:
+                    if kind == "header":
+                        if weak == 1:
+                            continue
+                        kind = "boilerplate"
+                    if wide and kind in ("boilerplate", "bad"):
+                        continue
+                    own, tell = own + PRIOR[kind], True
+                    if kind == "content":
+                        weak = 1 if weak != 0 else 0
+                    elif kind == "boilerplate":
+                        weak = 0
+                    elif kind == "bad" and weak == 1:
+                        weak = -1
+                if tell:
+                    prior = min(max(own, PRIOR["bad"]), PRIOR["content"])
+                known[tells[:k + 1]] = (prior, weak)
+            return prior, weak
+
+        for b, tells in zip(self.blocks, self.tells, strict=True):
+            b.prior, b.weak = of(tells)
 
     def end_open(self, tags) -> None:
         """Ends the innermost open element of ``tags``, unless a list, table or
@@ -169,6 +219,7 @@ def blocks_of(page: str | None) -> list[Block]:
             at = len(page) if end < 0 else end
     out.text(page[at:])
     out.flush()
+    out.judge()
     return out.blocks
 
 
@@ -283,7 +334,7 @@ def content(page: str | None, w: np.ndarray) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    unary = np.clip(features(blocks) @ w, -3, 3) + np.array([b.prior for b in blocks])
+    unary = np.clip(features(blocks) @ w, -RANGE, RANGE) + np.array([b.prior for b in blocks])
     keep = min_cut(unary, smoothness(blocks))
     return "\n".join(b.text for b, k in zip(blocks, keep.tolist(), strict=True) if k)
 

@@ -151,3 +151,17 @@ def test_vector_recall_on_the_table(spark):
     got = {r.vec_id: r.n_links for r in embedding_dedup.op7_embedding_dedup(spark, d).collect()}
     found = sum(min(got[r.vec_id], int(links[k].sum())) for k, r in enumerate(rows))
     assert found >= 0.999 * links.sum()
+
+
+def test_open_heads_and_layout_wrappers_keep_the_article(spark):
+    w = html_extraction.train(spark.createDataFrame([(k, PAGE) for k in range(5)], "page_id long, html string"))
+    assert html_extraction.content(PAGE.replace("</head>", ""), w) == TEXT
+    assert html_extraction.content(PAGE.replace("</head>", "").replace('<body class="home">', ""), w) == TEXT
+    for begin, end in (('<div class="has-sidebar">', "</div>"), ('<div id="no-sidebar">', "</div>"),
+                       ('<div class="with-header">', "</div>"), ('<div class="menu">', "</div>"),
+                       ('<div class="search"><div class="share">', "</div></div>"), ("<form action=/>", "</form>")):
+        page = PAGE.replace('<body class="home">', '<body class="home">' + begin).replace("</body>", end + "</body>")
+        assert html_extraction.content(page, w) == TEXT, begin
+        page = PAGE.replace("<article>", begin + "<article>").replace("</article>", "</article>" + end)
+        assert html_extraction.content(page, w) == TEXT, begin
+    assert all(abs(b.prior) < html_extraction.RANGE for b in html_extraction.blocks_of(PAGE))
