@@ -5,9 +5,10 @@ a capital after the first character.  The forest sees their length, character
 classes and transitions, how much of them a dictionary covers, path marks and
 neighbouring words.  It is trained on labelled findings; where the caller has
 none, findings are labelled by the shapes below: formats that providers document
-and assignments to a credential's name are secrets; plain numbers, plain words,
-identifiers of known form and parts of paths and addresses are not.  The others
-are left to the forest.
+assignments to a credential's name and passwords of addresses are secrets; plain
+numbers, plain words, identifiers of known form and parts of paths and addresses
+are not, unless they are assigned to such a name.  The others are left to the
+forest.
 
 All work on texts and findings is done by DataFrame functions; the trained trees
 become one conditional expression, so texts can be redacted in a projection.
@@ -44,9 +45,15 @@ PROVIDER = (r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^github_pat_|
 NAME = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|credential|auth)"
 PLAIN = (r"^[0-9+/-]+$|^[A-Za-z_-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[A-Za-z]+[0-9]{1,4}$"
          r"|^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+ADDRESS = r"@|://|www\."
+LOCATION = rf"{ADDRESS}|/.*/"                       # a path or an address
+PATH_START = r"^([.~]{0,2}/|[A-Za-z]:\\)"
+#: What stands before a value assigned in the same word, before the password of an address, and after that.
+KEY = NAME + r"[A-Za-z0-9_.-]{0,24}[\"']?[=:][\"']?$"
+USER, HOST, PORT = r"://[^/@\s]*:[^/@\s]*$", r"^[^/\s]*@", r"^[0-9]{1,5}(/|$)"
 
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "repeats", "distinct", "hex",
-            "vowels", "dictionary", "slashes", "path", "address", "named", "assigned", "quoted", "near_word"]
+            "vowels", "dictionary", "slashes", "path", "address", "named", "assigned", "quoted", "near_word", "format", "password"]
 
 
 def candidates(text: Column, words: Column) -> Column:
@@ -75,6 +82,12 @@ def lead_of(c: Column) -> Column:
     return F.substr(c["word"], F.lit(1), F.position(c["core"], c["word"]) - 1)
 
 
+def password(c: Column) -> Column:
+    """Whether the candidate is the SECRET of scheme://user:SECRET@host."""
+    rest = F.substr(c["word"], F.position(c["core"], c["word"]) + F.length(c["core"]))
+    return lead_of(c).rlike(USER) & rest.rlike(HOST) & ~c["core"].rlike(PORT)
+
+
 def features(c: Column, dictionary: str) -> list[Column]:
     """FEATURES of one candidate struct; ``dictionary``: words between blanks."""
     core, n = c["core"], F.length(c["core"])
@@ -98,16 +111,21 @@ def features(c: Column, dictionary: str) -> list[Column]:
         "address": flag(c["word"].rlike(r"@|://|www\.")), "named": flag(before.rlike(NAME)),
         "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")), "quoted": flag(lead.rlike("[\"'`]$")),
         "near_word": flag(F.lit(dictionary).contains(F.concat(F.lit(" "), F.lower(c["prev1"]), F.lit(" ")))),
+        "format": flag(core.rlike(PROVIDER)), "password": flag(password(c)),
     }
     return [out[f].cast("double").alias(f) for f in FEATURES]
 
 
 def shape_label(c: Column) -> Column:
     """1 or 0 where a shape says so, else null."""
-    before = F.concat_ws(" ", c["prev2"], c["prev1"], lead_of(c))
+    lead = lead_of(c)
+    before = F.concat_ws(" ", c["prev2"], c["prev1"], lead)
+    assigned = before.rlike(NAME) & before.rlike(r"[=:]\s*[\"']?$")
+    ambiguous = c["core"].rlike(PLAIN) | c["core"].rlike(PATH_START) | c["word"].rlike(ADDRESS)
     return (F.when(c["core"].rlike(PROVIDER), 1)
-            .when(c["core"].rlike(PLAIN) | c["word"].rlike(r"@|://|www\.|/.*/"), 0)
-            .when(before.rlike(NAME) & before.rlike(r"[=:]\s*[\"']?$"), 1))
+            .when(password(c) | lead.rlike(KEY) & ~c["core"].rlike(PLAIN) & ~c["core"].rlike(PATH_START), 1)
+            .when(assigned, F.when(~ambiguous, 1))
+            .when(c["core"].rlike(PLAIN) | c["word"].rlike(LOCATION), 0))
 
 
 @dataclass(frozen=True)

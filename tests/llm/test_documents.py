@@ -260,3 +260,17 @@ def test_pipeline_stages(spark, labels, tmp_path):
     want = sorted((r.doc_id, hashlib.sha256(np.array(sp.encode(r.text, add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest())
                   for r in mixed.collect())
     assert sorted((r.doc_id, r.ids_sha256) for r in last.collect()) == want
+
+
+def test_assigned_secrets_are_no_negative_rows(spark):
+    """The credential is looked at before the path and address shapes."""
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    rows = {"aws_secret_access_key = " + key: 1, f'"secret":"{key}"': 1, "postgres://app:Zx81kQ0pLm44TtRw9@db.host/x": 1,
+            "https://a.example/x?token=Zx81kQ0pLm44TtRw9": 1, "api_key = 123e4567-e89b-12d3-a456-426614174000": None,
+            "secret = abcdefGHIJKLMNOPqr": None, "token_path = /usr/local/lib9/tokens/x1": None,
+            "see /usr/local/lib9/thing/x1 there": 0, "http://host:8080/abc/def0123456789": 0,
+            "id 123e4567-e89b-12d3-a456-426614174000": 0, "https://a.example/Zx81kQ0pLm44TtRw9": 0}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    got = secret_scan.described(secret_scan.findings(df), " ").collect()
+    assert {(r.doc_id, r.label) for r in got} == {(k, v) for k, v in enumerate(rows.values())}
+    assert all(r.f["format"] == 0 for r in got) and [r.doc_id for r in got if r.f.password] == [2]
