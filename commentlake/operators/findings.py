@@ -3,7 +3,8 @@
 findings: (file, line, issue, severity in P0 > P1 > P2).
 
 Every step is skew-safe: H1 collapses equal texts of a hot (file, line) key
-map-side before it compares different ones; H2 finds line islands on the
+map-side before it compares different ones, which stay rows where a line has
+many; H2 finds line islands on the
 *distinct* (file, line) pairs in fixed-size line blocks (windows bounded by
 the block size) and stitches blocks with one window over per-block summary
 rows, so a file holding a third of all findings is never sorted in one task.
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import scratch_path
 
 # --- fixed values that must equal the reference's ---------------------------
 NEARBY_LINES = 2                 # lines within 2 of each other merge
@@ -35,18 +37,93 @@ def _best(*cols):
     return F.min(F.struct(*cols))
 
 
+FOLD = 256             # texts of one line that are folded in one row
+
+
+def _kept_table(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back."""
+    df.write.parquet(path := scratch_path(df.sparkSession, "findings"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _greedy_rows(texts: DataFrame, threshold: float) -> DataFrame:
+    """The greedy choice of H1 with a row per text (at, severity, issue, n,
+    words, id).  Similar texts share a word of their prefixes (the rarest words
+    of the line first; exact, no pair is missed), which makes the buckets.  A
+    round looks at the first 1, 16, 256, at most 4096 undecided texts of each
+    bucket: one that is among them in all its buckets, and is similar to no
+    earlier undecided one, is kept, and the similar later ones join.  The first
+    undecided text of a line is always kept, so the rounds end."""
+    texts = _kept_table(texts.select("*", F.struct("severity", "issue").alias("ord"), F.size("words").alias("size")))
+    word = (texts.select("id", "ord", "at", "size", F.explode("words").alias("w"))
+            .withColumn("key", F.xxhash64("at.file", "at.line", "w")))
+    often = word.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
+    buckets = (word.join(often, "key").groupBy("id", "ord", "size")
+               .agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("ws"))
+               .select("id", "ord", F.explode(F.slice("ws", F.lit(1), prefix)["key"]).alias("key")))
+    buckets = _kept_table(buckets.distinct())
+    n_buckets = buckets.groupBy("id").agg(F.count(F.lit(1)).alias("all"))
+
+    def alike(pairs):          # of pairs (a, b), those of one line and similar
+        x = texts.select(F.col("id").alias("a"), F.col("at").alias("xat"), F.col("words").alias("x"))
+        y = texts.select(F.col("id").alias("b"), F.col("at").alias("yat"), F.col("words").alias("y"))
+        return _kept_table(pairs.distinct().join(x, "a").join(y, "b").where("xat <=> yat")
+                           .where(tx.jaccard("x", "y") >= threshold).select("a", "b"))
+
+    def pairs(earlier, later):
+        x = earlier.select("key", F.col("id").alias("a"), F.col("ord").alias("oa"))
+        y = later.select("key", F.col("id").alias("b"), F.col("ord").alias("ob"))
+        return x.join(y, "key").where("oa < ob").select("a", "b")
+
+    def every(parts):
+        return parts[0] if len(parts) == 1 else every(parts[:-1]).unionByName(parts[-1])
+
+    kept, joins, step = [texts.where("size = 0").select("id")], [], 1
+    left = buckets                                      # of undecided texts
+    while not left.isEmpty():
+        w = Window.partitionBy("key").orderBy("ord")
+        front = _kept_table(left.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= step).drop("nth"))
+        ready = (front.groupBy("id").agg(F.count(F.lit(1)).alias("here")).join(n_buckets, "id")
+                 .where(F.col("here") == F.col("all")).select("id"))
+        ready = _kept_table(ready)
+        blocked = alike(pairs(front, front.join(ready, "id", "left_semi")))
+        new = _kept_table(ready.join(blocked.select(F.col("b").alias("id")), "id", "left_anti"))
+        kept.append(new)
+        others = buckets.join(every(kept), "id", "left_anti")
+        joins.append(alike(pairs(front.join(new, "id", "left_semi"), others)))
+        gone = new.unionByName(joins[-1].select(F.col("b").alias("id")))
+        left = _kept_table(left.join(gone, "id", "left_anti"))
+        step = min(step * 16, 4096)
+    first = every(kept).select("id", F.col("id").alias("to"))
+    if joins:
+        order = texts.select(F.col("id").alias("a"), "ord")
+        first = first.unionByName(every(joins).join(order, "a").groupBy("b").agg(F.min_by("a", "ord").alias("to"))
+                                  .select(F.col("b").alias("id"), "to"))
+    total = first.join(texts.select("id", "n"), "id").groupBy("to").agg(F.sum("n").alias("n_merged"))
+    return (total.join(texts.select(F.col("id").alias("to"), "at", "issue", "severity"), "to")
+            .select("at.file", "at.line", "issue", "severity", "n_merged"))
+
+
 def dedup_findings(findings: DataFrame, threshold: float = DUP_THRESHOLD) -> DataFrame:
     """H1: findings of one file and line with similar issue texts are one, of
     the highest severity.  Texts equal after case/whitespace normalisation are
     one row first (partial aggregation); then, by severity and text, each text
     joins the first kept one whose word set has Jaccard >= threshold with its
-    own, or is kept itself.  So a group gathered is the different texts of one
-    line, however often each was reported; texts without words join none.
+    own, or is kept itself; texts without words join none.  At most FOLD texts
+    of a line are gathered and folded in one row; of longer lines each text
+    stays a row (``_greedy_rows``).
     Output: file, line, issue, severity, n_merged."""
     texts = (findings.groupBy("file", "line", normalize_issue("issue").alias("_norm"))
              .agg(_best("severity", "issue").alias("b"), F.count(F.lit(1)).alias("n")))
-    member = F.struct("b.severity", "b.issue", "n", tx.word_set("_norm").alias("words"))
-    groups = texts.groupBy("file", "line").agg(F.array_sort(F.collect_list(member)).alias("ms"))
+    texts = _kept_table(texts.select(
+        F.struct("file", "line").alias("at"), "b.severity", "b.issue", "n", tx.word_set("_norm").alias("words"),
+        F.monotonically_increasing_id().alias("id")))
+    long = texts.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLD).select("at")
+    long = _kept_table(long)
+    few = texts.join(long, "at", "left_anti")
+    member = F.struct("severity", "issue", "n", "words")
+    groups = few.groupBy("at").agg(F.array_sort(F.collect_list(member)).alias("ms"))
 
     def step(kept, m):
         at = F.array_position(F.transform(kept, lambda k: F.coalesce(
@@ -57,8 +134,11 @@ def dedup_findings(findings: DataFrame, threshold: float = DUP_THRESHOLD) -> Dat
         return F.when(at > 0, joined).otherwise(F.array_append(kept, m))
     none = F.filter("ms", lambda m: F.lit(False))
     kept = F.when(F.size("ms") == 1, F.col("ms")).otherwise(F.aggregate("ms", none, step))
-    return groups.select("file", "line", F.explode(kept).alias("k")).select(
-        "file", "line", "k.issue", "k.severity", F.col("k.n").alias("n_merged"))
+    out = groups.select("at", F.explode(kept).alias("k")).select(
+        "at.file", "at.line", "k.issue", "k.severity", F.col("k.n").alias("n_merged"))
+    if long.isEmpty():
+        return out
+    return out.unionByName(_greedy_rows(texts.join(long, "at", "left_semi"), threshold))
 
 
 LINE_BLOCK = 4096      # lines per block: bounds every window below

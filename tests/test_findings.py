@@ -59,3 +59,31 @@ def test_islands_across_small_blocks(spark, monkeypatch):
         for isl in pyref.islands([r[1] for r in rows if r[0] == f]):
             for x in isl:
                 assert got[(f, x)] == isl[0], (f, x)
+
+
+def test_dedup_of_a_line_with_many_texts(spark):
+    """More texts than are folded in one row, against the rule in Python."""
+    rnd, rows = random.Random(8), []
+    for k in range(H.FOLD + 150):
+        topic = [f"t{k % 60}w{j}" for j in range(6)] if k % 2 else ["check", "open", "handle", "in", "part"]
+        rows.append(("hot", None, " ".join([*topic, f"n{rnd.randint(0, 9) if k % 3 else k}"]), f"P{rnd.randint(0, 2)}"))
+    rows += [("hot", None, "", "P1"), ("cold", 1, "a b c", "P0"), ("cold", 1, "A b  c", "P2")]
+    want = {}
+    for at in {r[:2] for r in rows}:
+        best = {}
+        for r in rows:
+            if r[:2] == at:
+                old, n = best.get(norm := " ".join(r[2].lower().split()), ((r[3], r[2]), 0))
+                best[norm] = (min(old, (r[3], r[2])), n + 1)
+        kept = []
+        for norm, (b, n) in sorted(best.items(), key=lambda i: i[1][0]):
+            w = set(norm.split())
+            for k in kept:
+                if w and k[1] and len(w & k[1]) / len(w | k[1]) >= 0.7:
+                    k[2] += n
+                    break
+            else:
+                kept.append([b, w, n])
+        want |= {(*at, b[1], b[0]): n for b, _, n in kept}
+    got = H.dedup_findings(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.file, r.line, r.issue, r.severity): r.n_merged for r in got} == want and len(got) == len(want)
