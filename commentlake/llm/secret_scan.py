@@ -214,13 +214,20 @@ def scored(scanner: Scanner, found: DataFrame) -> DataFrame:
     return found.select("doc_id", "nth", "secret", scanner.score(c).alias("score"))
 
 
+def whole(core: Column) -> Column:
+    """A pattern of ``core`` as a whole candidate, not as a part of a longer one."""
+    after = F.when(core.endswith("=="), "").when(core.endswith("="), "(?!=)").otherwise(f"(?![{_CHARS}=])")
+    return F.concat(F.lit(f"(?<![{_CHARS}])\\Q"), core, F.lit("\\E"), after)
+
+
 def redact(docs: DataFrame, scanner: Scanner, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every string that the forest calls a secret masked."""
     found, hit = fresh("_found", docs.columns), fresh("_hit", docs.columns)
     full = lambda c: F.struct(c["core"].alias("core"), shape_label(c).alias("label"), *features(c, scanner.dictionary))
     judged = with_candidates(docs, found).withColumn(hit, F.filter(
         F.transform(found, full), lambda c: scanner.score(c) >= threshold))
-    masked = F.aggregate(F.col(hit)["core"], F.col("text"), lambda acc, s: F.replace(acc, s, F.lit(MASK)))
+    masked = F.aggregate(F.array_distinct(F.col(hit)["core"]), F.col("text"),
+                         lambda acc, s: F.regexp_replace(acc, whole(s), F.lit(MASK)))
     return judged.withColumn("text", F.when(F.size(hit) > 0, masked).otherwise(F.col("text"))).drop(found, hit)
 
 

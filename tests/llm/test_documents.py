@@ -274,3 +274,12 @@ def test_assigned_secrets_are_no_negative_rows(spark):
     got = secret_scan.described(secret_scan.findings(df), " ").collect()
     assert {(r.doc_id, r.label) for r in got} == {(k, v) for k, v in enumerate(rows.values())}
     assert all(r.f["format"] == 0 for r in got) and [r.doc_id for r in got if r.f.password] == [2]
+
+
+def test_masks_cover_whole_candidates_only(spark):
+    """A key, the same with a suffix, and a clean word that holds it."""
+    key = "Zx81kQ0pLm44TtRw9"
+    text = f"token = {key} secret = {key}Tail77 and x-{key}-y password={key}=="
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secret_scan.redact(df, secret_scan.Scanner(" ", ())).first().text
+    assert got == f"token = [SECRET] secret = [SECRET] and x-{key}-y password=[SECRET]"
