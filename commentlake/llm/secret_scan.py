@@ -28,10 +28,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, labelled_docs, stored, table
+from .common import fresh, stored, table
 
-#: Bounds of what is fitted: labelled findings, documents of the dictionary, its words.
-TRAIN_FINDINGS, DICTIONARY_DOCS, DICTIONARY_WORDS = 20_000, 2_000, 5_000
+#: Bounds of what is fitted: labelled findings, words of the dictionary.
+TRAIN_FINDINGS, DICTIONARY_WORDS = 20_000, 5_000
 TREES, DEPTH = 15, 6
 MASK = "[SECRET]"
 
@@ -174,11 +174,10 @@ def findings(docs: DataFrame) -> DataFrame:
     return with_candidates(docs.select("doc_id", "text"), out).select("doc_id", F.posexplode(out).alias("nth", "c"))
 
 
-def dictionary_of(docs: DataFrame, labels: DataFrame) -> str:
-    """The most frequent words of 4 or more letters of a bounded sample of
-    labelled documents, at most DICTIONARY_WORDS of them, blank-separated."""
-    sample = labelled_docs(docs, labels, "quality", DICTIONARY_DOCS)
-    words = (sample.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,20})"), 1))).alias("w"))
+def dictionary_of(docs: DataFrame) -> str:
+    """The words of 4 or more letters that most of all documents have, at most
+    DICTIONARY_WORDS of them, blank-separated."""
+    words = (docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,20})"), 1))).alias("w"))
              .groupBy("w").count().filter("count > 1").orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS))
     return " " + " ".join(r["w"] for r in words.collect()) + " "
 
@@ -203,7 +202,7 @@ def described(found: DataFrame, dictionary: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scanner, DataFrame]:
     """The scanner, and the described findings of all ``docs`` (stored)."""
-    dictionary = dictionary_of(docs, labels)
+    dictionary = dictionary_of(docs)
     found = stored(described(stored(findings(docs), "secret-candidates"), dictionary), "secret-findings")
     return train(found, dictionary), found
 

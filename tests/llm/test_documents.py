@@ -283,3 +283,8 @@ def test_masks_cover_whole_candidates_only(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = secret_scan.redact(df, secret_scan.Scanner(" ", ())).first().text
     assert got == f"token = [SECRET] secret = [SECRET] and x-{key}-y password=[SECRET]"
+
+
+def test_dictionary_counts_unlabelled_documents(spark, labels):
+    df = spark.createDataFrame([(9000 + k, "sanat harvinaiset") for k in range(3)], "doc_id long, text string")
+    assert secret_scan.fit(df, labels)[0].dictionary == " harvinaiset sanat "
