@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_repair import op13_conversation_repair
 from .dart_minhash import op5_minhash_dedup
 from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .html_extraction import op4_html_extraction
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
