@@ -12,6 +12,7 @@ from .quality_classifier import op3_quality_classifier
 from .quality_rules import op6_quality_rules
 from .secret_scan import op10_secret_scan
 from .sentencepiece_codec import op9_sentencepiece
+from .spelling_variants import op11_spelling_variants
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
