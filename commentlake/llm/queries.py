@@ -7,6 +7,7 @@ from .dart_minhash import op5_minhash_dedup
 from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .html_extraction import op4_html_extraction
 from .id_files import op2_id_files
+from .license_scan import OP12_SQL, op12_license_scan
 from .mixing import OP8_SQL, op8_mixing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op6_quality_rules
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_secret_scan": op10_secret_scan,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_license_scan": op12_license_scan,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op7_embedding_dedup": OP7_SQL,
     "op8_mixing": OP8_SQL,
+    "op12_license_scan": OP12_SQL,
 }
