@@ -38,7 +38,7 @@ def found(df):
 def texts():
     rng = random.Random(3)
     out = ["Released under the MIT\nLicense.", "CC BY, cc-by; CC  BY-SA", "All rights\n reserved. ALL RIGHTS RESERVED",
-           "general public license " * 3, "Ünter GNU — licensed under the GNU General Public License, version 3. 中文 😀"]
+           "general public license " * 3, "this wor\u212A is İ GENERAL PUBLIC license \u212A", "Ünter GNU — licensed under the GNU General Public License, version 3. 中文 😀"]
     for k in range(60):
         _, t = rng.choice(ls.TEMPLATES)
         t = t.split()
