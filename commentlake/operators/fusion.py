@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.sizing import checked_broadcast
+from .postings import TAG, TextIndex, bit_ids, top_k
 
 # --- fixed values that must equal the reference's ---------------------------
 RRF_K = 60
@@ -14,29 +19,38 @@ VECTOR_WEIGHT = 0.6
 # -----------------------------------------------------------------------------
 
 
-def tag_candidates(queries: DataFrame, tags: DataFrame, comment_tags: DataFrame,
-                   n_queries: int | None = None, n_tags: int | None = None) -> DataFrame:
-    """C3 (batch form): (query_id, id) of comments carrying ANY of the
-    query's tags.  The (query, tag) side is bounded by queries x tags and is
-    broadcast into the scan of the assignment table; the result is made
-    distinct on (query_id, id), a key without skew."""
+def candidate_bitmaps(queries: DataFrame, tags: DataFrame, index: TextIndex) -> DataFrame:
+    """C3 (batch form): (query_id, shard, block, bits): the documents that carry ANY
+    of a query's tags, as bitmaps of their shard's parts; one row for each query and
+    part, however many documents it has."""
     qt = (queries.select("query_id", F.explode(F.array_distinct("tags")).alias("name"))
-          .join(checked_broadcast(tags.select(F.col("id").alias("tag_id"), "name"),
-                                  bound=n_tags), "name"))
-    bound = None if n_queries is None or n_tags is None else n_queries * n_tags
-    qt = checked_broadcast(qt.select("query_id", "tag_id"), bound=bound)
-    return (comment_tags.select("tag_id", F.col("comment_id").alias("id"))
-            .join(qt, "tag_id").select("query_id", "id").distinct())
+          .join(tags.select(F.col("id").cast("string").alias("term"), "name"), "name"))
+    return (index.blocks.filter(F.col("kind") == TAG).select("shard", "term", "block", "bits")
+            .join(qt.select("query_id", "term"), "term")
+            .groupBy("query_id", "shard", "block").agg(F.bitmap_or_agg("bits").alias("bits")))
+
+
+def tag_candidates(queries: DataFrame, tags: DataFrame, index: TextIndex) -> DataFrame:
+    """C3 as rows: (query_id, id).  Search itself works on the bitmaps."""
+    span = index.layout.span
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for query_id, shard, block, bits in zip(*(batch.column(c).to_pylist() for c in
+                                                      ("query_id", "shard", "block", "bits")), strict=True):
+                ids = bit_ids(shard, [block], [bits], span)
+                yield pa.RecordBatch.from_pydict({"query_id": np.full(len(ids), query_id), "id": ids})
+
+    return candidate_bitmaps(queries, tags, index).mapInArrow(unpack, "query_id long, id long")
 
 
 def rrf(fts: DataFrame, vec: DataFrame, limits: DataFrame, k: int = RRF_K,
-        fts_weight: float = FTS_WEIGHT, vec_weight: float = VECTOR_WEIGHT) -> DataFrame:
+        fts_weight: float = FTS_WEIGHT, vec_weight: float = VECTOR_WEIGHT, max_k: int | None = None) -> DataFrame:
     """reciprocal rank fusion of two ranked lists (rank from 1):
     score = fts_weight/(k + rank_fts) + vec_weight/(k + rank_vec), an id in one
     list only still scores.  ``match_source`` tells which lists held the id
     (fts / vector / hybrid, Q13).  Top ``limit`` per query by (score desc,
-    id asc); ``limits``: (query_id, lim)."""
-    from .postings import top_k
+    id asc); ``limits``: (query_id, lim); ``max_k``: the largest of them, if known."""
     u = (fts.select("query_id", "id", (F.lit(fts_weight) / (F.lit(k) + F.col("rank"))).alias("f"),
                     F.lit(None).cast("double").alias("v"))
          .unionByName(vec.select("query_id", "id", F.lit(None).cast("double").alias("f"),
@@ -47,7 +61,7 @@ def rrf(fts: DataFrame, vec: DataFrame, limits: DataFrame, k: int = RRF_K,
         (F.coalesce("f", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))).alias("score"),
         F.when(F.col("f").isNotNull() & F.col("v").isNotNull(), "hybrid")
          .when(F.col("f").isNotNull(), "fts").otherwise("vector").alias("match_source"))
-    return top_k(scored, limits.select("query_id", F.col("lim").alias("k")), keep=("match_source",))
+    return top_k(scored, limits.select("query_id", F.col("lim").alias("k")), keep=("match_source",), max_k=max_k)
 
 
 def hydrate(ranked: DataFrame, comments: DataFrame, bound: int | None = None) -> DataFrame:

@@ -219,8 +219,7 @@ def assign_tags(existing: DataFrame, matches: DataFrame, tags: DataFrame,
                 replace: bool = False) -> DataFrame:
     """D3: INSERT OR IGNORE of (comment_id, tag_id) pairs.  With
     ``replace=True`` (mode "all", Q3) the new confidence replaces the old."""
-    t = checked_broadcast(tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag")),
-                          max_rows=100_000)
+    t = checked_broadcast(tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag")))
     new = matches.join(t, "tag").select("comment_id", "tag_id", "confidence")
     keys = ["comment_id", "tag_id"]
     if replace:
@@ -248,8 +247,7 @@ def tag_comments(comments: DataFrame, comment_tags: DataFrame, tags: DataFrame |
     if observation is not None:
         matches = matches.observe(observation, F.count(F.lit(1)).alias("matches"))
     if mode == "all":
-        t = checked_broadcast(tags2.select(F.col("id").alias("tag_id"), F.col("name").alias("tag")),
-                              max_rows=100_000)
+        t = checked_broadcast(tags2.select(F.col("id").alias("tag_id"), F.col("name").alias("tag")))
         return tags2, matches.join(t, "tag").select("comment_id", "tag_id", "confidence")
     return tags2, assign_tags(comment_tags, matches, tags2)
 

@@ -141,7 +141,7 @@ def _upsert_one(target, batch, keys, version, arrival, max_broadcast_keys):
     # untouched target rows pass through; the key side is broadcast when its
     # size is bounded (otherwise a shuffle anti-join)
     n_keys = bkeys.count()
-    bk = checked_broadcast(bkeys, max_rows=max_broadcast_keys, bound=n_keys)
+    bk = checked_broadcast(bkeys, bound=n_keys)
     untouched = target.join(bk, keys, "left_anti")
     contested_t = target.join(bk, keys, "left_semi").withColumn("_src", F.lit(0))
     contested_b = b.withColumn("_src", F.lit(1))

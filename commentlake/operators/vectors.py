@@ -1,117 +1,172 @@
 """Vector search and embedding jobs.
 
-F5 exact cosine top-k never collects the corpus: the query matrix (bounded,
-checked, processed in chunks of ``QUERY_CHUNK`` queries) is shipped to the
-tasks, each task scans its share of the corpus in Arrow batches, keeps a
-running top-k per query with numpy, and emits at most ``k`` rows per query per
-task.  A ``row_number`` window (planned as WindowGroupLimit) then picks the
-global top-k.  Vectors are unit length, so the dot product is the cosine.
+F5 exact cosine top-k is a product of two matrices by blocks.  Every Arrow batch
+of the corpus becomes one row, a block of vectors; every group of QUERY_BLOCK
+queries becomes one row too.  Each pair of such rows is multiplied in one task,
+which emits the k best of each query; a ``row_number`` window (planned as
+WindowGroupLimit) merges the blocks.  Neither side passes through the driver, and
+any number of queries is answered: groups of checked size are broadcast to the
+corpus blocks, larger lists are dealt to them by a shuffle.  Vectors are unit
+length, so the dot product is the cosine.
+
+F6 ranks only documents that carry a query's tags: vectors meet the tag bitmaps of
+their shard of ids, and the mask is applied before the product.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
-from .postings import SCORE_DECIMALS, top_k
-
-QUERY_CHUNK = 4096            # queries per pass over the corpus
-MAX_QUERY_MATRIX_BYTES = 256 << 20
-
-
-def _topk_partition(qids: np.ndarray, qmat: np.ndarray, kmax: int):
-    """mapInPandas body: running top-kmax per query over the task's batches,
-    ordered by (rounded score desc, id asc)."""
-    def run(batches):
-        best_s = np.empty((len(qids), 0))
-        best_i = np.empty((len(qids), 0), dtype=np.int64)
-        for pdf in batches:
-            pdf = pdf[pdf["embedding"].notna()]
-            if pdf.empty:
-                continue
-            emb = np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)
-            ids = pdf["comment_id"].to_numpy(dtype=np.int64)
-            s = np.round(qmat @ emb.T, SCORE_DECIMALS)           # (nq, batch)
-            s = np.hstack([best_s, s])
-            i = np.hstack([best_i, np.broadcast_to(ids, (len(qids), len(ids)))])
-            if s.shape[1] > kmax:
-                # sort each row by (-score, id) and keep the first kmax
-                order = np.lexsort((i, -s), axis=1)[:, :kmax]
-                s = np.take_along_axis(s, order, axis=1)
-                i = np.take_along_axis(i, order, axis=1)
-            best_s, best_i = s, i
-        if best_s.shape[1]:
-            n = best_s.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(qids, n), "id": best_i.ravel(),
-                                "score": best_s.ravel()})
-    return run
-
-
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k_by_query: DataFrame,
-                n_queries: int | None = None) -> DataFrame:
+from ..plans.sizing import BROADCAST_MAX_BYTES
+from .postings import QUERY_BLOCK, SCORE_DECIMALS, TAG, TextIndex, bit_ids, shard_of, top_k
+
+RANKED = "query_id long, id long, score double"
+#: Queries multiplied with a block at once.
+STRIP = 256
+
+
+def _list_values(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def vector_blocks(vectors: DataFrame) -> DataFrame:
+    """(ids, flat, dim): the vectors of each Arrow batch, one row for each dimension
+    that occurs in it; null vectors are left out."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("embedding").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                some = batch.filter(pa.array(sizes == dim))
+                yield pa.RecordBatch.from_pydict({
+                    "ids": pa.array([some.column("comment_id").to_numpy(zero_copy_only=False)], pa.list_(pa.int64())),
+                    "flat": pa.array([_list_values(some.column("embedding"))], pa.list_(pa.float32())),
+                    "dim": pa.array([dim], pa.int32())})
+
+    return (vectors.filter(F.col("comment_id").isNotNull())
+            .select("comment_id", F.col("embedding").cast("array<float>").alias("embedding"))
+            .mapInArrow(pack, "ids array<long>, flat array<float>, dim int"))
+
+
+def best_of_block(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the k best columns of each row by (score desc, id asc)."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, col = np.nonzero(scores >= least[:, None])               # with all ties of the k-th
+    else:
+        row, col = (x.ravel() for x in np.indices(scores.shape))
+    i, s = ids[col], scores[row, col]
+    order = np.lexsort((i, -s, row))
+    row, i, s = row[order], i[order], s[order]
+    first = np.searchsorted(row, np.arange(len(scores)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], i[keep], s[keep]
+
+
+def _query_groups(queries: DataFrame, k_by_query: DataFrame, size: int, *more: str) -> tuple[DataFrame, int, int, int]:
+    """(qb, queries: query_id, k, qvec, ...), a row for each group of about ``size``
+    queries that have a vector; the number of groups, the largest k and about how
+    many bytes they are.  One aggregate is run."""
+    q = (queries.where(F.col("qvec").isNotNull())
+         .select("query_id", F.col("qvec").cast("array<float>").alias("qvec"), *more)
+         .join(k_by_query.select("query_id", "k"), "query_id"))
+    n, max_k, values = q.agg(F.count(F.lit(1)), F.max("k"), F.sum(F.size("qvec"))).first()
+    groups = max(1, math.ceil(n / size))
+    qb = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
+    rows = q.groupBy(qb.alias("qb")).agg(F.collect_list(F.struct("query_id", "k", "qvec", *more)).alias("queries"))
+    return rows, groups, max_k or 0, 4 * (values or 0) + 64 * n
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k_by_query: DataFrame, query_size: int = QUERY_BLOCK,
+                broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """exact top-k by dot product for each query.
 
     ``queries``: (query_id, qvec); ``vectors``: (comment_id, embedding);
     ``k_by_query``: (query_id, k).  Output (query_id, id, score, rank).
-    The query vectors are the search input (like a parameter list): they are
-    shipped to the tasks in chunks of at most QUERY_CHUNK queries whose byte
-    size is checked first; the corpus is never collected.
     """
-    spark = queries.sparkSession
-    q = (queries.where(F.col("qvec").isNotNull()).select("query_id", "qvec")
-         .join(k_by_query.select("query_id", "k"), "query_id"))
-    if n_queries is None:
-        n_queries = q.count()
-    if n_queries == 0:
-        return _empty_ranked(spark)
-    corpus = vectors.select("comment_id", "embedding")
-    if n_queries <= QUERY_CHUNK:
-        chunks = [q]
-    else:   # hash chunks of the query list (no global ordering needed);
-        # 2x the minimum count keeps every chunk under QUERY_CHUNK on average
-        n_chunks = 2 * ((n_queries + QUERY_CHUNK - 1) // QUERY_CHUNK)
-        bucket = F.pmod(F.xxhash64("query_id"), F.lit(n_chunks))
-        chunks = [q.where(bucket == c) for c in range(n_chunks)]
-    parts = []
-    for chunk in chunks:
-        pdf = chunk.toPandas()
-        if pdf.empty:
-            continue
-        qmat = np.vstack(pdf["qvec"].to_numpy()).astype(np.float64)
-        if qmat.nbytes > MAX_QUERY_MATRIX_BYTES:
-            raise ValueError("a chunk of query vectors exceeds the size bound")
-        qids = pdf["query_id"].to_numpy(dtype=np.int64)
-        kmax = int(pdf["k"].max())
-        parts.append(corpus.mapInPandas(_topk_partition(qids, qmat, kmax),
-                                        "query_id long, id long, score double"))
-    if not parts:
-        return _empty_ranked(spark)
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return top_k(scored, k_by_query)
-
-
-def cosine_restricted(queries: DataFrame, vectors: DataFrame, candidates: DataFrame,
-                      k_by_query: DataFrame) -> DataFrame:
-    """cosine top-k among each query's candidate ids only.  The
-    candidate pairs are joined with the vectors first, then the dot product
-    runs JVM-side per surviving pair."""
-    pairs = (candidates.select("query_id", F.col("id").alias("comment_id"))
-             .join(vectors.select("comment_id", "embedding"), "comment_id")
-             .join(queries.where(F.col("qvec").isNotNull()).select("query_id", "qvec"), "query_id"))
-    scored = pairs.select("query_id", F.col("comment_id").alias("id"),
-                          F.round(dot("qvec", "embedding"), SCORE_DECIMALS).alias("score"))
-    return top_k(scored, k_by_query)
-
-
-def _empty_ranked(spark) -> DataFrame:
-    return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+    groups, _, max_k, size = _query_groups(queries, k_by_query, query_size)
+    blocks = vector_blocks(vectors)
+    deal = 1
+    if size > broadcast_bytes:            # every deal of corpus blocks gets all groups of queries by the shuffle
+        deal = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(deal)))
+    dealt = groups.select("queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))).alias("deal"))
+    pairs = blocks.join(dealt if deal > 1 else F.broadcast(dealt), "deal").select("ids", "flat", "dim", "queries")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim = batch.column("dim")[r].as_py()
+                ids = batch.column("ids")[r].values.to_numpy()
+                matrix = batch.column("flat")[r].values.to_numpy().reshape(-1, dim).astype(np.float64)
+                asked = batch.column("queries")[r].values
+                asked = asked.filter(pa.array(asked.field("qvec").value_lengths().to_numpy(zero_copy_only=False) == dim))
+                qids = asked.field("query_id").to_numpy(zero_copy_only=False)
+                for lo in range(0, len(asked), STRIP):
+                    part = asked.slice(lo, STRIP)
+                    q = _list_values(part.field("qvec")).reshape(-1, dim).astype(np.float64)
+                    k = max(part.field("k").to_pylist())
+                    row, i, s = best_of_block(ids, np.round(q @ matrix.T, SCORE_DECIMALS), k)
+                    yield pa.RecordBatch.from_pydict({"query_id": qids[lo + row], "id": i, "score": s})
+
+    return top_k(pairs.mapInArrow(multiply, RANKED), k_by_query, max_k=max_k)
+
+
+def cosine_restricted(queries: DataFrame, vectors: DataFrame, index: TextIndex, tags: DataFrame,
+                      k_by_query: DataFrame, query_size: int = QUERY_BLOCK) -> DataFrame:
+    """cosine top-k among the documents that carry one of each query's tags.
+
+    ``queries``: (query_id, qvec, tags: names of ``tags`` (id, name)); ``index`` holds
+    the tag bitmaps.  The vectors of a shard of ids meet its bitmaps and the queries
+    in one task (the vectors are exchanged once, by shard); a query's mask is applied
+    before its product.
+    """
+    named = (queries.select("query_id", F.explode(F.array_distinct("tags")).alias("name"))
+             .join(tags.select(F.col("id").cast("string").alias("tag"), "name"), "name")
+             .groupBy("query_id").agg(F.collect_list("tag").alias("tag_ids")))
+    rows, n_groups, max_k, _ = _query_groups(queries.join(named, "query_id"), k_by_query, query_size, "tag_ids")
+    wanted = rows.select("qb", F.explode(F.array_distinct(F.flatten(F.col("queries")["tag_ids"]))).alias("term"))
+    bits = (index.blocks.filter(F.col("kind") == TAG).select("shard", "term", "block", "bits").join(wanted, "term")
+            .groupBy("shard", "qb").agg(F.collect_list(F.struct("term", "block", "bits")).alias("masks"))
+            .join(rows, "qb"))
+    layout = index.layout
+    own = vectors.filter(F.col("comment_id").isNotNull() & F.col("embedding").isNotNull()).select(
+        shard_of(F.col("comment_id"), layout).alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("qb"), F.col("comment_id").alias("id"),
+        F.col("embedding").cast("array<float>").alias("embedding"))
+
+    def rank(key: tuple[pa.Scalar, pa.Scalar], vecs: pa.Table, masks: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if vecs.num_rows and masks.num_rows:
+            ids = vecs.column("id").to_numpy()
+            sizes = vecs.column("embedding").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+            parts: dict[str, tuple[list[int], list[bytes]]] = {}
+            for m in masks.column("masks")[0].as_py():
+                p = parts.setdefault(m["term"], ([], []))
+                p[0].append(m["block"])
+                p[1].append(m["bits"])
+            has = {t: np.isin(ids, bit_ids(key[0].as_py(), *p, layout.span)) for t, p in parts.items()}
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            flat = _list_values(vecs.column("embedding").combine_chunks())
+            for q in masks.column("queries")[0].as_py():
+                mask = sizes == len(q["qvec"])
+                mask &= np.logical_or.reduce([has[t] for t in q["tag_ids"] if t in has] or [np.zeros(len(ids), bool)])
+                at = np.flatnonzero(mask)
+                matrix = flat[(starts[at][:, None] + np.arange(len(q["qvec"])))].astype(np.float64)
+                scores = np.round(matrix @ np.array(q["qvec"], np.float64), SCORE_DECIMALS)
+                _, i, s = best_of_block(ids[at], scores[None, :], q["k"])
+                out.append((np.full(len(i), q["query_id"]), i, s))
+        return pa.table({c: np.concatenate(x) for c, x in zip(("query_id", "id", "score"), zip(*out, strict=True), strict=True)})
+
+    scored = own.groupBy("shard", "qb").cogroup(bits.groupBy("shard", "qb")).applyInArrow(rank, RANKED)
+    return top_k(scored, k_by_query, max_k=max_k)
 
 
 # ---- F9 / F11: embedding jobs ------------------------------------------------

@@ -419,7 +419,7 @@ def _unrestricted(q):
 SELECT p.term, p.id, p.tf, d.dl FROM post p JOIN doclen d ON d.id = p.id"""))
 def f02_postings(spark, d):
     from ..operators import postings
-    return postings.build_index(tables(spark, d).kb_comments).postings
+    return postings.flat_postings(tables(spark, d).kb_comments)
 
 
 @register("f02_corpus_stats", O.search_sql("SELECT ndocs, CAST(total_len AS BIGINT) AS total_len, avgdl FROM corpus"))
@@ -440,15 +440,13 @@ QUALIFY rank <= q.k"""))
 def f03_bm25(spark, d):
     from ..operators import postings
     q = _unrestricted(_prepared(spark, d))
-    return postings.bm25_topk(postings.query_terms(q), tables(spark, d).stored_index(),
-                              q.select("query_id", "k", "restricted"))
+    return postings.bm25_topk(q, tables(spark, d).stored_index())
 
 
 @register("f04_bm25_tagged", O.search_sql("SELECT query_id, id, score, rank FROM bm25"))
 def f04_bm25_tagged(spark, d):
     from .search import ranked_lists
-    fts, _, _, _, _ = ranked_lists(tables(spark, d).queries, _search(spark, d))
-    return fts
+    return ranked_lists(tables(spark, d).queries, _search(spark, d)).fts
 
 
 @register("f05_cosine", O.search_sql("""
@@ -469,19 +467,18 @@ def f05_cosine(spark, d):
 SELECT c.query_id, c.id, c.score, c.rank FROM cosine c JOIN q ON q.query_id = c.query_id
 WHERE q.restricted"""))
 def f06_cosine_tagged(spark, d):
-    from ..operators import fusion, vectors
+    from ..operators import vectors
     s = _search(spark, d)
     q = _prepared(spark, d).where(F.col("restricted"))
-    cands = fusion.tag_candidates(q, s.tags, s.comment_tags)
-    return vectors.cosine_restricted(q, s.vectors, cands, q.select("query_id", "k"))
+    return vectors.cosine_restricted(q, s.vectors, s.index, s.tags, q.select("query_id", "k"))
 
 
 @register("f07_rrf", O.search_sql("SELECT query_id, id, score, match_source, rank FROM rrf"))
 def f07_rrf(spark, d):
     from ..operators import fusion
     from .search import ranked_lists
-    fts, vec, q, _, _ = ranked_lists(tables(spark, d).queries, _search(spark, d))
-    return fusion.rrf(fts, vec, q.select("query_id", "lim"))
+    r = ranked_lists(tables(spark, d).queries, _search(spark, d))
+    return fusion.rrf(r.fts, r.vec, r.queries.select("query_id", "lim"), max_k=r.stats.max_k)
 
 
 def _hybrid(spark, d):
@@ -498,11 +495,22 @@ def f08_hybrid(spark, d):
                     F.array_join("tags", ",").alias("tags"))
 
 
+@register("f08_wide_limits", O.wide_search_sql("""
+SELECT r.query_id, r.rank, r.id, r.score, r.match_source, c.user_login, coalesce(tn.tags, '') AS tags
+FROM rrf r JOIN comments_v c ON c.id = r.id LEFT JOIN tagnames tn ON tn.id = r.id"""))
+def f08_wide_limits(spark, d):
+    """F8 with limits from 5 to 400."""
+    from .search import hybrid_search
+    h = hybrid_search(tables(spark, d).wide_queries, _search(spark, d))
+    return h.select("query_id", "rank", "id", "score", "match_source", "user_login",
+                    F.array_join("tags", ",").alias("tags"))
+
+
 @register("c03_tag_candidates", O.search_sql("SELECT query_id, id FROM cands"))
 def c03_tag_candidates(spark, d):
     from ..operators import fusion
     s = _search(spark, d)
-    return fusion.tag_candidates(_prepared(spark, d).where(F.col("restricted")), s.tags, s.comment_tags)
+    return fusion.tag_candidates(_prepared(spark, d).where(F.col("restricted")), s.tags, s.index)
 
 
 @register("c04_hydrate", O.search_sql("""
@@ -850,9 +858,7 @@ def a14_integrity(spark, d):
 # =========================== G: report ==========================================
 def _hits(spark, d):
     t = tables(spark, d)
-    if "_hits" not in t.__dict__:
-        t.__dict__["_hits"] = _hybrid(spark, d).cache()
-    return t.__dict__["_hits"]
+    return t.stored("hits", lambda: _hybrid(spark, d))
 
 
 _HITS_SQL = "SELECT r.query_id, r.rank, r.id, c.path FROM rrf r JOIN comments_v c ON c.id = r.id"
@@ -1093,17 +1099,15 @@ def i05_backfill_equals_stream(spark, d):
 def f01_stemmed_vocab(spark, d):
     """Porter-stemmed vocabulary of the comment index (term, df)."""
     from ..operators import postings
-    return postings.build_index(tables(spark, d).kb_comments, stemmer="porter").vocab
+    return postings.stemmed_vocabulary(tables(spark, d).stored_index(), "porter")
 
 
 @register("f03_bm25_porter")
 def f03_bm25_porter(spark, d):
     """F3 with the reference's stemming tokenizer on both sides."""
     from ..operators import postings
-    idx = postings.build_index(tables(spark, d).kb_comments, stemmer="porter")
     q = _unrestricted(_prepared(spark, d))
-    return postings.bm25_topk(postings.query_terms(q, stemmer="porter"), idx,
-                              q.select("query_id", "k", "restricted"))
+    return postings.bm25_topk(q, tables(spark, d).stored_index("porter"), stemmer="porter")
 
 
 @register("f09_embed")

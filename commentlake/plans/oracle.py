@@ -263,3 +263,9 @@ def search_ctes() -> list[tuple[str, str]]:
 
 def search_sql(final: str) -> str:
     return with_views(final, extra=search_ctes())
+
+
+def wide_search_sql(final: str) -> str:
+    """The same over the queries with small and large limits."""
+    limits = f"([{', '.join(map(str, b.WIDE_LIMITS))}])[(bm.item_id % {len(b.WIDE_LIMITS)}) + 1]"
+    return search_sql(final).replace(f'{b.QUERY_LIMIT} AS "limit"', f'{limits} AS "limit"')

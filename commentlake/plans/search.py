@@ -2,14 +2,14 @@
 
 queries (query_id, title, paths, diff, commits, tags, limit, qvec)
   -> B2 query text; blank text -> no rows
-  -> C3 tag candidates (tags null/empty: no filter; tags without candidates:
+  -> F3/F4 BM25 top 3 x limit   and   F5/F6 cosine top 3 x limit, both masked by
+     the tag bitmaps (C3; tags null/empty: no filter; tags without candidates:
      no rows)
-  -> F3/F4 BM25 top 3 x limit   and   F5/F6 cosine top 3 x limit
   -> F7 fusion, top limit -> C4 hydrate (ids without a comment dropped,
      after the limit) -> C5 tags.
-Shuffles: BM25 (query, doc) grouping, the two per-query top-k windows, the
-fusion grouping and the tag grouping; every one of them is keyed by
-(query, doc) or bounded by queries x limit.
+Shuffles: the vectors of restricted queries by shard, the two per-query top-k
+windows (of at most k rows a query and task), the fusion grouping and the tag
+grouping (bounded by queries x limit).
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import fusion, postings, vectors
 
-MAX_QUERIES_PER_JOB = 1_000_000
-
 
 @dataclass
 class SearchInputs:
@@ -47,39 +45,42 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
         .withColumn("restricted", F.coalesce(F.size("tags"), F.lit(0)) > 0)
 
 
-def ranked_lists(queries: DataFrame, inp: SearchInputs, stemmer: str | None = None):
-    """The two ranked lists of F8 before fusion: (fts, vec, prepared queries,
-    n_queries)."""
+@dataclass(frozen=True)
+class Ranked:
+    """The two ranked lists of F8 before fusion, and what they were made from."""
+    fts: DataFrame
+    vec: DataFrame
+    queries: DataFrame          # prepared
+    stats: postings.QueryStats
+
+
+def ranked_lists(queries: DataFrame, inp: SearchInputs, stemmer: str | None = None) -> Ranked:
     q = prepare_queries(queries)
-    n_queries = q.count()
-    if n_queries > MAX_QUERIES_PER_JOB:
-        raise ValueError("split the query list: more queries than one job should rank")
-    n_tags = inp.tags.count()
-    kq = q.select("query_id", "k", "restricted")
-    restricted = q.where(F.col("restricted"))
-    cands = fusion.tag_candidates(restricted, inp.tags, inp.comment_tags, n_queries, n_tags)
-    fts = postings.bm25_topk(postings.query_terms(q, stemmer=stemmer), inp.index, kq, cands, n_queries)
-    vec = vectors.cosine_topk(q.where(~F.col("restricted")), inp.vectors, kq,
-                              n_queries=None if n_queries > vectors.QUERY_CHUNK else n_queries).unionByName(
-        vectors.cosine_restricted(restricted, inp.vectors, cands, kq))
-    return fts, vec, q, n_queries, n_tags
+    stats = postings.query_stats(q)
+    index = inp.index if inp.index.tagged else postings.with_tags(inp.index, inp.comment_tags)
+    kq = q.select("query_id", "k")
+    fts = postings.bm25_topk(q, index, inp.tags, stats, stemmer)
+    vec = vectors.cosine_topk(q.where(~F.col("restricted")), inp.vectors, kq).unionByName(
+        vectors.cosine_restricted(q.where(F.col("restricted")), inp.vectors, index, inp.tags, kq))
+    return Ranked(fts, vec, q, stats)
 
 
 def hybrid_search(queries: DataFrame, inp: SearchInputs, stemmer: str | None = None,
                   checkpoint: bool = True) -> DataFrame:
     """F8: one row per (query, hit): query_id, rank, id, score,
     match_source, comment columns, tags."""
-    fts, vec, q, n_queries, n_tags = ranked_lists(queries, inp, stemmer)
-    fused = fusion.rrf(fts, vec, q.select("query_id", "lim"))
+    r = ranked_lists(queries, inp, stemmer)
+    bound = r.stats.queries * r.stats.max_k
+    fused = fusion.rrf(r.fts, r.vec, r.queries.select("query_id", "lim"), max_k=r.stats.max_k)
     if checkpoint:
         # at most queries x limit rows, read twice below (hydration, tags):
         # written once to the shared checkpoint folder instead of ranking twice
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(fused.sparkSession)
         fused = fused.checkpoint()
-    bound = fused.count()
+        bound = fused.count()
     hits = fusion.hydrate(fused, inp.comments, bound=bound)
-    t = fusion.tags_for(fused.select("id"), inp.comment_tags, inp.tags, bound=bound, n_tags=n_tags)
+    t = fusion.tags_for(fused.select("id"), inp.comment_tags, inp.tags, bound=bound)
     return (hits.join(t, "id", "left")
             .select("query_id", "rank", "id", "score", "match_source", "repo", "pr_number",
                     "user_login", "body", "path", "line", "diff_hunk", "created_at", "tags"))

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -76,3 +76,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     intermediate tables (lineage cuts, stream checkpoints, landing zones)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder of the shared checkpoint folder and read
+    back: lineage is cut and a lost executor costs a reread, not a recomputation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

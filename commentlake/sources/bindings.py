@@ -23,6 +23,7 @@ STATE_LAST_NUMBER = 100
 LITERAL_REPO_LINES = [(-4, ""), (-3, "# note"), (-2, "owner/repo"),
                       (-1, "https://github.com/o/r.git/")]
 QUERY_LIMIT = 15
+WIDE_LIMITS = (5, 15, 40, 150, 400)     # limit of query item_id: the (item_id mod 5)th
 
 
 def _ntz(s: str):
@@ -57,14 +58,13 @@ class Tables:
         return self.__dict__[key]
 
     def stored_index(self, stemmer=None):
-        """F2 index written with postings partitioned by term bucket."""
+        """F2 index bucketed by document range, with the tag bitmaps."""
         key = f"_stored_index_{stemmer}"
         if key not in self.__dict__:
             from ..operators import postings
             from ..session import scratch_path
-            path = scratch_path(self.spark, "kb-index")
-            postings.write_index(postings.build_index(self.kb_comments, stemmer), path)
-            self.__dict__[key] = postings.read_index(self.spark, path)
+            index = postings.write_index(self.kb_comments, scratch_path(self.spark, "kb-index"), stemmer=stemmer)
+            self.__dict__[key] = postings.with_tags(index, self.kb_comment_tags)
         return self.__dict__[key]
 
     @property
@@ -197,6 +197,12 @@ class Tables:
             "qvec",
         )
 
+    @cached_property
+    def wide_queries(self) -> DataFrame:
+        """The queries with small and large limits."""
+        limits = F.array(*map(F.lit, WIDE_LIMITS))
+        return self.queries.withColumn("limit", F.get(limits, (F.col("query_id") % len(WIDE_LIMITS)).cast("int")))
+
     # ---- findings ------------------------------------------------------------
     @cached_property
     def findings(self) -> DataFrame:

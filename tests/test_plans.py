@@ -34,14 +34,14 @@ def test_entry_contract(spark):
     assert t.comments.count() == 200
 
 
-def test_bm25_reads_postings_without_shuffling_them(spark):
-    df = E.queries()["f03_bm25"](spark, SF)
-    df.collect()                      # final adaptive plan
-    p = _plan(df)
-    assert "BroadcastHashJoin" in p
-    import contextlib
-    import io
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain("formatted")
-    assert "dynamicpruning" in buf.getvalue().lower()
+def test_no_exchange_between_postings_and_partial_top_k(spark):
+    """The scan of the postings is ranked where it lies, and no plan of search has a
+    row for each pair of query and tagged comment."""
+    for name in ("f03_bm25", "f04_bm25_tagged"):
+        df = E.queries()[name](spark, SF)
+        df.collect()                      # final adaptive plan
+        p = _plan(df).split("Initial Plan")[0]
+        ranked = p[p.index("FlatMapGroupsInArrow"):p.index("FileScan parquet spark_catalog")]
+        assert "Exchange" not in ranked.split("BroadcastHashJoin")[0] and "BroadcastHashJoin" in ranked
+        above = p[:p.index("FlatMapGroupsInArrow")]
+        assert above.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in above

@@ -1,6 +1,9 @@
-"""Fusion values, edge cases of hybrid search, batch = single."""
+"""Fusion values, edge cases of hybrid search, batch = single, scores and
+masks against plain Python."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,14 +82,120 @@ def test_bm25_restricted_uses_corpus_stats(spark):
     inp = _inputs(spark)
     q = _queries(spark, [(1, "payload", None, 10, None), (2, "payload", ["validation"], 10, None)])
     from commentlake.plans.search import prepare_queries
-    p = prepare_queries(q)
-    cands = fusion.tag_candidates(p.where("restricted"), inp.tags, inp.comment_tags)
-    res = postings.bm25_topk(postings.query_terms(p), inp.index, p.select("query_id", "k", "restricted"), cands)
+    index = postings.with_tags(inp.index, inp.comment_tags)
+    res = postings.bm25_topk(prepare_queries(q), index, inp.tags)
     got = {(r.query_id, r.id): r.score for r in res.collect()}
     assert got[(2, 1)] == got[(1, 1)] and got[(2, 3)] == got[(1, 3)]
     assert set(k for k in got if k[0] == 2) <= {(2, 1), (2, 3)}
 
 
+# ---- blocks: every score written out in plain Python ---------------------------
+WORDS = ["alpha", "beta", "gamma", "delta", "running", "runs", "run", "relational", "relate", "needle"]
+
+
+def _corpus(n, seed=1):
+    """Comments of skewed words, some long, ids with gaps and below 0, one hot word."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        words = [rng.choices(WORDS, weights=[40, 20, 10, 8, 4, 3, 3, 2, 2, 1])[0] for _ in range(rng.choice([3, 5, 9, 60]))]
+        rows.append((k * 3 - 30, " ".join(words), rng.choice([None, "src/beta.py", ""]), rng.choice([None, "gamma delta"])))
+    return rows
+
+
+def _bm25(rows, terms, k, stem=lambda t: t, allowed=None):
+    docs = {i: [stem(t) for x in (b, p, h) if x for t in re.findall("[a-z]+", x)] for i, b, p, h in rows}
+    avg = sum(map(len, docs.values())) / len(docs)
+    out = {}
+    for term in map(stem, terms):
+        df = sum(term in d for d in docs.values())
+        idf = math.log((len(docs) - df + 0.5) / (df + 0.5)) if df else 0
+        idf = idf if idf > 0 else 1e-6
+        for i, d in docs.items():
+            tf = float(d.count(term))
+            if tf and (allowed is None or i in allowed):
+                c = (idf * (tf * 2.2)) / (tf + 1.2 * (1.0 - 0.75 + 0.75 * len(d) / avg))
+                out[i] = out.get(i, 0) + math.floor(c * 1e12)
+    best = sorted(((i, ((s + 500) // 1000) / 1e9) for i, s in out.items()), key=lambda x: (-x[1], x[0]))[:k]
+    return [(i, s, r + 1) for r, (i, s) in enumerate(best)]
+
+
+COMMENT = "id long, body string, path string, diff_hunk string"
+QUERY = "query_id long, title string, tags array<string>, `limit` int"
+
+
+def _ranked(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.id, r.score, r["rank"]))
+    return out
+
+
+def test_blocks_give_the_scores_of_all_postings(spark, tmp_path):
+    from commentlake.plans.search import prepare_queries
+    rows = _corpus(700)
+    comments = spark.createDataFrame(rows, COMMENT)
+    asked = {q: (random.Random(q).sample(WORDS, 1 + q % 4), [2, 5, 40, 150, 400][q % 5]) for q in range(40)}
+    queries = prepare_queries(spark.createDataFrame([(q, " ".join(t), None, k) for q, (t, k) in asked.items()], QUERY))
+    want = {q: _bm25(rows, t, 3 * k) for q, (t, k) in asked.items()}
+    layout = postings.Layout(span=640, block_span=50, buckets=3)
+    stored = postings.write_index(comments, f"{tmp_path}/index", layout, stemmer="porter")
+    for index in (postings.build_index(comments), postings.build_index(comments, layout), stored):
+        assert _ranked(postings.bm25_topk(queries, index)) == want
+    assert _ranked(postings.bm25_topk(queries, stored, query_size=7)) == want
+    flat = sorted(map(tuple, postings.flat_postings(comments).collect()))
+    assert sorted(map(tuple, stored.postings.collect())) == flat
+    # a stem stands for all its terms
+    from commentlake.operators.stemming import porter_stem
+    stem = {q: _bm25(rows, t, 3 * k, porter_stem) for q, (t, k) in asked.items()}
+    got = _ranked(postings.bm25_topk(queries, stored, stemmer="porter"))
+    assert got == stem and got != want
+    vocab = {r.term: r.df for r in postings.stemmed_vocabulary(stored, "porter").collect()}
+    assert vocab["run"] == sum(bool({"run", "runs", "running"} & set((b + " " + (h or "")).split())) for _, b, _, h in rows)
+    # another session reads what was stored
+    spark.sql(f"DROP TABLE {postings._table_name(f'{tmp_path}/index')}")
+    assert _ranked(postings.bm25_topk(queries, postings.read_index(spark, f"{tmp_path}/index"))) == want
+
+
+def test_blocks_below_the_kth_best_are_skipped(spark):
+    rows = [(i, "needle " * (9 if i in (5, 450) else 1) + "alpha " * 3, None, None) for i in range(640)]
+    index = postings.build_index(spark.createDataFrame(rows, COMMENT), postings.Layout(640, 10, 1))
+    table = index.blocks.withColumn("as", F.col("term")).crossJoin(index.corpus.select("avgdl")).withColumn(
+        "queries", F.lit(None).cast("array<int>")).toArrow()
+    shard = postings.ShardRows(table, 0, 640)
+    query = {"query_id": 1, "k": 2, "tags": None, "terms": [{"term": "needle", "idf": 1.5}, {"term": "alpha", "idf": 0.1}]}
+    ids, scores = shard.top(query)
+    assert ids.tolist() == [5, 450] and shard.skipped >= 60 and shard.skipped + shard.scored == 64
+    every = postings.ShardRows(table, 0, 640)
+    every.bound = every.bound + 1e9                          # no block can be skipped
+    assert [x.tolist() for x in every.top(query)] == [ids.tolist(), scores.tolist()] and every.skipped == 0
+
+
+def test_tag_bitmaps(spark, tmp_path):
+    """Masks of sparse and dense ids, of tags with no documents, replaced in place."""
+    from commentlake.plans.search import prepare_queries
+    rows = _corpus(300, 3) + [(5_000_000, "alpha needle", None, None)]
+    tags = spark.createDataFrame([(1, "odd"), (2, "rare"), (3, "none")], "id long, name string")
+    pairs = [(i, 1, 0.5) for i, *_ in rows if i % 2] + [(r[0], 2, 0.5) for r in rows[::50]] + [(5_000_000, 2, 0.5)]
+    assigned = spark.createDataFrame(pairs, "comment_id long, tag_id long, confidence double")
+    index = postings.write_index(spark.createDataFrame(rows, COMMENT), f"{tmp_path}/index")
+    asked = [(1, "alpha beta", ["odd"], 9), (2, "alpha needle", ["odd", "rare", "rare"], 9), (3, "alpha", ["none"], 9),
+             (4, "alpha", ["unknown"], 9), (5, "alpha beta", None, 9)]
+    queries = prepare_queries(spark.createDataFrame(asked, QUERY))
+    by = {"odd": {c for c, t, _ in pairs if t == 1}, "rare": {c for c, t, _ in pairs if t == 2}}
+    want = {}
+    for q, t, names, k in asked:
+        allowed = None if names is None else set().union(*(by.get(n, set()) for n in names))
+        if ranked := _bm25(rows, t.split(), 3 * k, allowed=allowed):
+            want[q] = ranked
+    everything = spark.createDataFrame([(i, t, 0.1) for i, *_ in rows for t in (1, 2, 3)],
+                                       "comment_id long, tag_id long, confidence double")
+    index = postings.with_tags(postings.with_tags(index, everything), assigned)
+    assert _ranked(postings.bm25_topk(queries, index, tags)) == want
+    got = {(r.query_id, r.id) for r in fusion.tag_candidates(queries.where("restricted"), tags, index).collect()}
+    assert got == {(q, i) for q, _, names, _ in asked for n in names or [] for i in by.get(n, ())}
+
+
 def test_porter_examples():
     from commentlake.operators.stemming import porter_stem
     for a, b in [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"),
@@ -108,12 +217,42 @@ def test_reembed_partition_overwrite(spark, tmp_path):
     assert all(abs(sum(x * x for x in r.embedding) - 1.0) < 1e-5 for r in v)
 
 
-def test_cosine_chunks_equal_one_pass(spark, monkeypatch):
+def test_cosine_of_many_query_groups_equals_one(spark):
+    """Several groups of queries and corpus blocks, broadcast or shuffled, ties,
+    vectors of another dimension, limits above the corpus."""
     from commentlake.operators import vectors as V
-    q = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(30)], "query_id long, qvec array<float>")
-    vec = spark.createDataFrame([(j, [float(j % 5), 1.0]) for j in range(50)], "comment_id long, embedding array<float>")
-    kq = spark.createDataFrame([(i, 5) for i in range(30)], "query_id long, k int")
+    k = lambda i: [1, 5, 90][i % 3]
+    q = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(30)] + [(77, None)], "query_id long, qvec array<float>")
+    vecs = [(j, [float(j % 5), 1.0]) for j in range(50)] + [(60, [1.0]), (61, None)]
+    vec = spark.createDataFrame(vecs, "comment_id long, embedding array<float>").repartition(5)
+    kq = spark.createDataFrame([(i, k(i)) for i in range(30)], "query_id long, k int")
+    want = []
+    for i in range(30):
+        scores = sorted((-(j % 5 + 1.0 * (i % 3)), j) for j in range(50))[:k(i)]
+        want += [(i, j, -s, r + 1) for r, (s, j) in enumerate(scores)]
     one = sorted(map(tuple, V.cosine_topk(q, vec, kq).collect()))
-    monkeypatch.setattr(V, "QUERY_CHUNK", 7)
-    chunked = sorted(map(tuple, V.cosine_topk(q, vec, kq).collect()))
-    assert one == chunked and len(one) == 150
+    assert one == sorted(want)
+    assert sorted(map(tuple, V.cosine_topk(q, vec, kq, query_size=4).collect())) == one
+    assert sorted(map(tuple, V.cosine_topk(q, vec, kq, query_size=4, broadcast_bytes=0).collect())) == one
+
+
+def test_cosine_under_tags(spark):
+    from commentlake.operators import vectors as V
+    vecs = [(j, [float(j % 5), 1.0]) for j in range(-10, 50)] + [(60, [1.0]), (61, None)]
+    vec = spark.createDataFrame(vecs, "comment_id long, embedding array<float>")
+    tags = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    pairs = [(j, 1, 0.5) for j in range(-10, 50, 3)] + [(j, 2, 0.5) for j in range(40, 70)]
+    comments = spark.createDataFrame([(i, "x", None, None) for i in range(-10, 70)], COMMENT)
+    index = postings.with_tags(postings.build_index(comments, postings.Layout(32, 8, 3)),
+                               spark.createDataFrame(pairs, "comment_id long, tag_id long, confidence double"))
+    names = {0: ["a"], 1: ["b", "a"], 2: ["c"]}
+    q = spark.createDataFrame([(i, [1.0, 2.0], names[i % 3]) for i in range(9)], "query_id long, qvec array<float>, tags array<string>")
+    kq = spark.createDataFrame([(i, 4 + i) for i in range(9)], "query_id long, k int")
+    by = {"a": {c for c, t, _ in pairs if t == 1}, "b": {c for c, t, _ in pairs if t == 2}, "c": set()}
+    want = []
+    for i in range(9):
+        ok = set().union(*(by[n] for n in names[i % 3]))
+        best = sorted((-(j % 5 + 2.0), j) for j, v in vecs if j in ok and v and len(v) == 2)[:4 + i]
+        want += [(i, j, -s, r + 1) for r, (s, j) in enumerate(best)]
+    for size in (4096, 2):
+        assert sorted(map(tuple, V.cosine_restricted(q, vec, index, tags, kq, size).collect())) == sorted(want)
