@@ -48,24 +48,38 @@ def labelled_docs(docs: DataFrame, labels: DataFrame, target: str, limit: int) -
 
 
 class Memo(dict):
-    """A dict that fills itself with ``make(key)``.  When it has ``limit`` keys
-    they become the older generation, of which keys in use come back, so a
-    worker's memory stays bounded however many keys a corpus has."""
+    """A dict that fills itself with ``make(key)``.  When its keys and values take
+    ``limit`` bytes they become the older generation, of which keys in use come
+    back; keys above ``longest`` characters are made anew each time.  So a worker's
+    memory stays below twice the limit, however many and however long keys are."""
 
-    def __init__(self, make, limit: int = 300_000):
+    #: Of a key and a value: their objects' heads and the place in the dict.
+    ENTRY = 200
+
+    def __init__(self, make, limit: int = 32 << 20, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.limit, self.longest, self.older, self.held = make, limit, longest, {}, 0
 
     def __missing__(self, key):
+        long_key = len(key) if isinstance(key, (str, bytes)) else 0
+        if long_key > self.longest:
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
+        size = self.ENTRY + 4 * long_key + (len(value) if isinstance(value, (str, bytes)) else 0)
+        if self.held + size > self.limit:
+            self.older, self.held = dict(self), 0
             self.clear()
         self[key] = value
+        self.held += size
         return value
 
+    def drop(self) -> None:
+        """Forgets everything."""
+        self.clear()
+        self.older, self.held = {}, 0
+
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)

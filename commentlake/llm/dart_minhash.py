@@ -40,7 +40,7 @@ BANDS, ROWS = 32, 5
 CELL = 64.0
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_word_hash = Memo(xxhash.xxh3_64_intdigest)
+_word_hash = Memo(xxhash.xxh3_64_intdigest, 16 << 20)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -195,6 +195,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, counted: bool)
                 else:
                     out.append((None, None, None))
             yield pd.DataFrame(out, columns=SIGNED.fieldNames())
+        _word_hash.drop()
 
     return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
 
@@ -214,6 +215,7 @@ def shingle_arrays(docs: DataFrame, size: int, counted: bool) -> DataFrame:
                     h = mix64(np.repeat(h, n) + nth.astype(np.uint64) * _GOLD)
                 out.append(h.view(np.int64))
             yield pd.Series(out, dtype=object)
+        _word_hash.drop()
 
     return docs.select("doc_id", run("text").alias("sh"))
 

@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from .common import Memo, fresh, table
 
 SPACE = "▁"
+#: Texts whose results a worker gives back at once.
+ROWS = 256
 #: Numbers of characters that are no piece begin here; NOTHING: no token.
 UNKNOWN, NOTHING = 1 << 24, (1 << 32) - 1
 
@@ -59,10 +61,9 @@ class BacktrackingEncoder:
         part = rf"{SPACE}+[^{SPACE}{alone}]*|[{alone}]|[^{SPACE}{alone}]+" if alone else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
         self.parts = re.compile(part).findall
         self.codes = [i.to_bytes(4, "little") for i in range(sp.get_piece_size())]
-        self.compatible = Memo(self._compatible, 400_000)
+        self.compatible = Memo(self._compatible, 24 << 20)
         self.inner = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         self.coded = Memo(self._coded)
-        self.uncut = Memo(self._uncut)
 
     def merge(self, s: str) -> list[str]:
         """The merge rules on a short string: best score first, leftmost first."""
@@ -126,9 +127,11 @@ class BacktrackingEncoder:
         inner, out, at = self.inner, [], 0
         for k in range(1, len(part)):
             if part[k - 1:k + 1] not in inner:
-                out.append(self.uncut[part[at:k]])
+                out.append(self.coded[part[at:k]])
                 at = k
-        return b"".join(out) + self.uncut[part[at:]]
+        if not at:
+            return self._uncut(part)
+        return b"".join(out) + self.coded[part[at:]]
 
     def _uncut(self, s: str) -> bytes:
         out = []
@@ -172,10 +175,11 @@ def coded(df: DataFrame, model_file: str | None = None, out: str = "coded", text
     @F.pandas_udf(CODED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = encoder(file)
-        for texts in batches:
-            ids = [e.encode(t) for t in texts]
-            yield pd.DataFrame({"n_tokens": np.fromiter(map(len, ids), np.int64, len(ids)) // 4, "ids": ids,
-                                "decoded": [e.decode(i) for i in ids]})
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                ids = [e.encode(t) for t in batch[lo:lo + ROWS]]
+                yield pd.DataFrame({"n_tokens": np.fromiter(map(len, ids), np.int64, len(ids)) // 4, "ids": ids,
+                                    "decoded": [e.decode(i) for i in ids]})
 
     return df.withColumn(out, run(F.col(text)))
 
