@@ -21,6 +21,7 @@ sort; a null doc_id sorts first; a wrong checksum raises an error.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from .common import stored, table
+from .common import Memo, stored, table
 
 MAGIC = b"CMIDS1\r\n"
 BLOCK, LANES = 8192, 1024
@@ -318,31 +319,50 @@ def read_ids(stream, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
         raise ValueError("documents and ids do not agree")
 
 
+# fixed values: the normalizer and pre-tokenizer of which Encoder knows where texts may be parted
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class Encoder:
-    """The tokenizers library, by word.  The model's rules never look across
-    ASCII white space, nor from a word of letters to full stops and commas
-    behind it, and ASCII letters are taken in lower case; so bounded memos of
-    words and of their stems give the library's ids."""
+    """The tokenizers library, by word.  The rules of such a file (WORDWISE) never
+    look across ASCII white space, nor from a word of letters, in lower case too, to
+    full stops and commas behind it, and ASCII letters are taken in lower case; so
+    bounded memos of words and of their stems give the library's ids.  With another
+    file, or added tokens with white space in them, the library gets whole texts."""
 
-    def __init__(self, file: str, limit: int = 300_000):
+    def __init__(self, file: str, limit: int = 24 << 20, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.wordwise = (all(rules.get(k) == v for k, v in WORDWISE.items()) and not rules.get("truncation")
+                         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]
+                                     or t["content"].split() != [t["content"]] or t["content"].strip(".,").isalpha()
+                                     for t in rules.get("added_tokens", [])))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
-        self.limit = limit
+        self.limit, self.longest, self.held, self.held_stems = limit, longest, 0, 0
 
     def _stem(self, word: str) -> tuple[str, str]:
         stem = word.rstrip(".,")
-        if not stem.isalpha():
+        if not (stem.isalpha() and stem.lower().isalpha()):     # a letter's lower case may end with a mark
             return word, ""
         return stem.lower() if stem.isascii() else stem, word[len(stem):]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Fills the memo; the library is asked once for all unknown stems."""
-        if len(self.stems) > self.limit:
-            self.stems = {}
+    def _learn(self, words: set[bytes]) -> list[bytes]:
+        """Fills the memo; the library is asked once for all unknown stems.  Returns
+        the words that are too long to be kept."""
+        if self.held_stems > self.limit:
+            self.stems, self.held_stems = {}, 0
         parts, ask = {}, set()
         for w in words:
             if (c := self.older.get(w)) is not None:
@@ -351,18 +371,30 @@ class Encoder:
                 parts[w] = pair = self._stem(w.decode("utf-8", "surrogatepass"))
                 ask.update(x for x in pair if x not in self.stems)
         ask = list(ask)
-        for x, c in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            self.stems[x] = np.array(c.ids, "<u4").tobytes()
-        stems = self.stems
-        self.known.update((w, stems[a] + stems[b]) for w, (a, b) in parts.items())
+        coded = {x: np.array(c.ids, "<u4").tobytes()
+                 for x, c in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False), strict=True)}
+        for x, c in coded.items():
+            if len(x) <= self.longest:
+                self.stems[x] = c
+                self.held_stems += Memo.ENTRY + 4 * len(x) + len(c)
+        stem = lambda x: coded[x] if x in coded else self.stems[x]
+        self.known.update((w, stem(a) + stem(b)) for w, (a, b) in parts.items())
+        self.held += sum(Memo.ENTRY + len(w) + len(self.known[w]) for w in words if len(w) <= self.longest)
+        return [w for w in words if len(w) > self.longest]
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        parted = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        if len(self.known) > self.limit:
-            self.older, self.known = self.known, {}
-        self._learn({w for words in parted for w in words if w not in self.known})
         last = end.to_bytes(4, "little")
-        return [b"".join(map(self.known.__getitem__, words)) + last for words in parted]
+        if not self.wordwise:
+            coded = self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(c.ids, "<u4").tobytes() + last for c in coded]
+        parted = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        if self.held > self.limit:
+            self.older, self.known, self.held = self.known, {}, 0
+        once = self._learn({w for words in parted for w in words if w not in self.known})
+        out = [b"".join(map(self.known.__getitem__, words)) + last for words in parted]
+        for w in once:
+            del self.known[w]
+        return out
 
 
 @cache

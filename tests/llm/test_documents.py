@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import sys
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -202,7 +204,6 @@ def test_sentencepiece_random_strings():
 
 
 def test_id_files(spark, odd, none, tmp_path):
-    import public_tokenizers
     file = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(file)
     files = id_files.write_documents(odd, f"file://{tmp_path}/ids", file)
@@ -219,6 +220,26 @@ def test_id_files(spark, odd, none, tmp_path):
     assert id_files.read_documents(files, f"file://{tmp_path}/none").count() == 0
 
 
+def test_ids_of_random_strings_are_the_librarys():
+    """Characters that lower to several, combining marks, joiners, odd white space,
+    added tokens, long words; a file of other rules gets whole texts."""
+    rng = np.random.default_rng(7)
+    parts = ["İ", "ß", "ﬁ", "ǅ", "\u0307", "\u0301", "\u200d", "\u200c", "\u00a0", "\u2003", "\x85", "\x1c", "a", "Z", "é",
+             "TÜRKİ", ".", ",", "'s", "'", " ", "  ", "\n", "\t", "3", "²", "中", "한", "\u1100\u1161", "😀", "_", "-", "<|endoftext|>",
+             "<|", "Ⅷ", "ⓐ", "ª", "x" * 70, "Σ", "ς"]
+    texts = ["TÜRKİ.", "MİLLETLERİ.", "hello İ. x"]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(40_000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        file = public_tokenizers.path(name)
+        e, library = id_files.Encoder(file, limit=1 << 18), Tokenizer.from_file(file)
+        assert e.wordwise == (name == "word_bpe_49k.json")
+        want = library.encode_batch(texts, add_special_tokens=False)
+        for lo in range(0, len(texts), 1000):
+            got = [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts[lo:lo + 1000], 1)]
+            assert got == [[*w.ids, 1] for w in want[lo:lo + 1000]]
+        assert all(len(w) <= e.longest for w in e.known)
+
+
 def test_id_blocks_round_trip_and_damage():
     rng = np.random.default_rng(1)
     for a in (np.zeros(1, np.uint32), np.arange(5, dtype=np.uint32), np.full(20_000, 7, np.uint32),
@@ -234,9 +255,17 @@ def test_id_blocks_round_trip_and_damage():
 
 
 def test_memo_is_bounded():
-    memo = Memo(len, 10)
+    memo = Memo(len, 10 * Memo.ENTRY)
     assert [memo["x" * (k % 17)] for k in range(500)] == [k % 17 for k in range(500)]
     assert len(memo) + len(memo.older) <= 20
+    memo = Memo(str.encode, 1 << 20)
+    for k in range(10_000):                                  # long keys are never kept
+        assert len(memo[f"{k:010000d}"]) == 10_000
+        assert len(memo[f"{k:020d}"]) == 20
+    kept = [x for d in (memo, memo.older) for kv in d.items() for x in kv]
+    assert sum(map(sys.getsizeof, kept)) + sys.getsizeof(memo) + sys.getsizeof(memo.older) < 2 << 20
+    memo.drop()
+    assert not memo and not memo.older
 
 
 def test_pipeline_stages(spark, labels, tmp_path):
