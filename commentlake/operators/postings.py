@@ -9,13 +9,15 @@ documents.  Stored, the table is bucketed by shard and partitioned by kind:
   text   the posting blocks; written by the task that holds the shard's documents
          (one exchange of the documents, none of the postings)
   shard  one row a shard, to which queries are attached
+  docs   one row a shard and segment with the ids of its documents
   tag    one row for each (shard, tag, part of 2^15 ids) with a bitmap of the ids
          that carry the tag (``with_tags``); replaced without touching the postings
   gone   ids whose rows in older segments no longer count
 
-A ``segment`` adds the documents of one batch (see ``add_segment``).
+A ``segment`` holds the documents of one batch (``add_segment``); a commit names the
+segments that count.
 
-  vocab(term, df)                   document frequency
+  vocab(term, df)                   document frequency, a row for each segment: to be added
   corpus(ndocs, total_len, avgdl)   one row
 
 Ranking (F3) follows the FTS5 ``bm25()`` definition with equal column weights
@@ -51,6 +53,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..plans.sizing import checked_broadcast
 from ..session import stored
+from ..sources.commits import Commits
 
 # --- fixed values that must equal the reference's ---------------------------
 K1 = 1.2
@@ -66,7 +69,7 @@ PER_SCORE = SCORE_UNITS // 10 ** SCORE_DECIMALS
 SHARD_DOCS, BLOCK_DOCS, BITS = 1 << 15, 128, 1 << 15
 #: Queries that a task ranks at once.
 QUERY_BLOCK = 4096
-TEXT, SHARD, TAG, GONE = "text", "shard", "tag", "gone"
+TEXT, SHARD, DOCS, TAG, GONE = "text", "shard", "docs", "tag", "gone"
 
 BLOCKS = {"shard": "long", "term": "string", "block": "int", "ids": "array<long>", "tf": "array<int>",
           "dl": "array<int>", "n": "long", "tokens": "long", "max_tf": "int", "min_dl": "int", "bits": "binary",
@@ -167,7 +170,7 @@ def shard_rows(blocks: DataFrame) -> DataFrame:
 
 def corpus_of(ndocs: Column, total_len: Column) -> list[Column]:
     return [ndocs.cast("long").alias("ndocs"), total_len.cast("long").alias("total_len"),
-            (total_len / ndocs).alias("avgdl")]
+            F.try_divide(total_len, ndocs).alias("avgdl")]
 
 
 def _statistics(blocks: DataFrame, ndocs: int) -> tuple[DataFrame, DataFrame]:
@@ -213,33 +216,128 @@ def _put(rows: DataFrame, path: str, layout: Layout, kind: str, segment: int = 0
     rows.sparkSession.catalog.refreshTable(_table_name(path))
 
 
-def write_index(comments: DataFrame, path: str, layout: Layout | None = None, stemmer: str | None = None) -> TextIndex:
+def write_index(comments: DataFrame, path: str, layout: Layout | None = None, stemmer: str | None = None,
+                batch: int = -1) -> TextIndex:
     """Stores the index of ``comments`` under ``path``: the corpus is tokenised
-    once, vocabulary and statistics are aggregated from the stored blocks' counts."""
+    once, vocabulary and statistics are aggregated from the stored blocks' counts.
+    ``batch``: see ``add_segment``."""
     layout = layout or layout_of(comments)
     spark = comments.sparkSession
-    _table(spark, path, layout, new=True)
+    blocks = _table(spark, path, layout, new=True)
     _put(text_blocks(comments, layout), path, layout, TEXT)
-    _put(stored(shard_rows(spark.table(_table_name(path))), "index-shards"), path, layout, SHARD)
-    vocab, corpus = _statistics(spark.table(_table_name(path)), comments.count())
-    vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-    (spark.range(1).select(F.lit(layout.span).cast("long").alias("span"),
-                           F.lit(layout.block_span).cast("long").alias("block_span"),
-                           F.lit(layout.buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout"))
+    _put(_document_rows(comments, layout), path, layout, DOCS)
+    documents = stored(spark.table(_table_name(path)).filter(F.col("kind") == DOCS).select("shard", "n"), "index-shards")
+    _put(shard_rows(documents), path, layout, SHARD)
+    vocab, corpus = _statistics(blocks.filter(F.col("segment") == 0), 0)
+    vocab.write.mode("overwrite").parquet(f"{path}/vocab/segment=0")
+    n = documents.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    commits = Commits(spark, f"{path}/commits")
+    commits.put(commits.latest()[0] + 1, {
+        "layout": [layout.span, layout.block_span, layout.buckets], "segments": [0], "ndocs": n,
+        "total_len": corpus.first()["total_len"], "superseded": False, "tagged": False, "done": batch,
+        "stemmer": stemmer})
+    _put_stems(path, vocab, stemmer, 0)
+    return read_index(spark, path, stemmer)
+
+
+def _put_stems(path: str, terms: DataFrame, stemmer: str | None, segment: int) -> None:
+    """The dictionary of the terms that a segment brings."""
     if stemmer:
         from . import stemming
-        (stemming.stem_map(spark.read.parquet(f"{path}/vocab"), stemmer)
-         .write.mode("overwrite").parquet(f"{path}/stems"))
-    return read_index(spark, path, stemmer)
+        stemming.stem_map(terms, stemmer).write.mode("overwrite").parquet(f"{path}/stems/segment={segment}")
+
+
+def _document_rows(comments: DataFrame, layout: Layout, segment: int = 0) -> DataFrame:
+    """One row a shard with its documents' ids."""
+    rows = (comments.select("id", shard_of(F.col("id"), layout).alias("shard")).distinct()
+            .groupBy("shard").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    return _as_blocks(rows.withColumn("n", F.size("ids")).withColumn("term", F.lit("")), DOCS, segment)
 
 
 def read_index(spark: SparkSession, path: str, stemmer: str | None = None) -> TextIndex:
-    layout = Layout(*spark.read.parquet(f"{path}/layout").first())
-    blocks = _table(spark, path, layout)
-    parts = {r[0].split("kind=")[1] for r in spark.sql(f"SHOW PARTITIONS {_table_name(path)}").collect()}
-    return TextIndex(blocks, spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/corpus"), layout, path,
-                     spark.read.parquet(f"{path}/stems") if stemmer else None, TAG in parts, GONE in parts)
+    """The index as last committed."""
+    number, c = Commits(spark, f"{path}/commits").latest()
+    if number < 0:
+        raise FileNotFoundError(f"no index at {path}")
+    layout = Layout(*c["layout"])
+    blocks = _table(spark, path, layout).filter(F.col("segment").isin(c["segments"]) | (F.col("kind") == TAG))
+    vocab = spark.read.parquet(f"{path}/vocab").filter(F.col("segment").isin(c["segments"])).select("term", "df")
+    corpus = spark.range(1).select(*corpus_of(F.lit(c["ndocs"]), F.lit(c["total_len"])))
+    stems = spark.read.parquet(f"{path}/stems").select("term", "stem").distinct() if stemmer else None
+    return TextIndex(blocks, vocab, corpus, layout, path, stems, c["tagged"], c["superseded"])
+
+
+# ---- I4: segments --------------------------------------------------------------
+def add_segment(index: TextIndex, comments: DataFrame, batch: int | None = None) -> TextIndex:
+    """The stored index after new and changed ``comments`` (one row an id).  Only
+    their postings are written, as a segment of their own, with tombstones for the
+    ids that older segments hold; frequencies and statistics change by differences,
+    taken from the postings of the touched shards.  One commit makes the segment
+    visible.  ``batch``: its number in a stream; a batch that is in the index already
+    changes nothing."""
+    spark, path, layout = comments.sparkSession, index.path, index.layout
+    commits = Commits(spark, f"{path}/commits")
+    number, c = commits.latest()
+    if batch is not None and batch <= c["done"]:
+        return read_index(spark, path)
+    index = read_index(spark, path)
+    segment = number + 1
+    docs = stored(comments.select("id", "body", "path", "diff_hunk"), "segment-docs")
+    _put(text_blocks(docs, layout, segment), path, layout, TEXT, segment)
+    own = stored(_document_rows(docs, layout, segment), "segment-ids")
+    _put(own, path, layout, DOCS, segment)
+    shards = F.broadcast(own.select("shard")) if own.count() <= SHARD_DOCS else own.select("shard")
+    before = index.blocks.filter(F.col("kind").isin(DOCS, SHARD)).join(shards, "shard", "left_semi")
+    had = stored(before.select("kind", "shard", F.explode_outer("ids").alias("id")).distinct(), "segment-known")
+    _put(own.join(had.filter(F.col("kind") == SHARD).select("shard").distinct(), "shard", "left_anti")
+         .withColumn("ids", F.lit(None).cast("array<long>")), path, layout, SHARD, segment)
+    ids = own.select("shard", F.explode("ids").alias("id"))
+    known = stored(had.filter(F.col("kind") == DOCS).select("shard", "id").join(ids, ["shard", "id"], "left_semi"), "segment-gone")
+    gone = known.groupBy("shard").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("term", F.lit(""))
+    _put(_as_blocks(gone, GONE, segment), path, layout, GONE, segment)
+    text = index.blocks.filter(F.col("kind") == TEXT).join(shards, "shard", "left_semi")
+    old = (replace(index, blocks=text.unionByName(index.blocks.filter(F.col("kind") == GONE))).postings
+           .join(known.select("id"), "id", "left_semi"))
+    new = (_table(spark, path, layout).filter((F.col("kind") == TEXT) & (F.col("segment") == segment))
+           .groupBy("term").agg(F.sum("n").alias("df"), F.sum("tokens").alias("tokens")))
+    less = old.groupBy("term").agg((-F.count(F.lit(1))).alias("df"), (-F.sum("tf")).alias("tokens"))
+    change = stored(new.unionByName(less).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")),
+                    "segment-change")
+    change.filter("df != 0").select("term", "df").write.mode("overwrite").parquet(f"{path}/vocab/segment={segment}")
+    _put_stems(path, change.filter("df > 0"), c["stemmer"], segment)
+    tokens = change.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    n_new, n_old = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], known.count()
+    commits.put(number + 1, c | {
+        "segments": [*c["segments"], segment], "ndocs": c["ndocs"] + n_new - n_old, "total_len": c["total_len"] + tokens,
+        "superseded": c["superseded"] or n_old > 0, "done": c["done"] if batch is None else batch})
+    return read_index(spark, path)
+
+
+def merge_segments(index: TextIndex) -> TextIndex:
+    """The stored index with all that counts in one segment, to be run now and then
+    beside the stream; readers of older versions keep theirs until its folders go."""
+    spark, path, layout = index.blocks.sparkSession, index.path, index.layout
+    commits = Commits(spark, f"{path}/commits")
+    number, c = commits.latest()
+    index = read_index(spark, path)
+    segment = number + 1
+    rows = (index.postings.withColumn("shard", shard_of(F.col("id"), layout)).repartition(layout.buckets, "shard"))
+    _put(stored(_as_blocks(_collected(rows, layout), TEXT, segment), "merged-text"), path, layout, TEXT, segment)
+    ids = index.blocks.filter(F.col("kind") == DOCS).select(F.explode("ids").alias("id")).distinct()
+    docs = stored(_document_rows(ids, layout, segment), "merged-docs")
+    _put(docs, path, layout, DOCS, segment)
+    _put(shard_rows(docs), path, layout, SHARD, segment)
+    vocab = _statistics(_table(spark, path, layout).filter(F.col("segment") == segment), 0)[0]
+    vocab.write.mode("overwrite").parquet(f"{path}/vocab/segment={segment}")
+    _put_stems(path, vocab, c["stemmer"], segment)
+    commits.put(number + 1, c | {"segments": [segment], "superseded": False})
+    for old in c["segments"]:
+        for kind in (TEXT, DOCS, SHARD, GONE):
+            spark.sql(f"ALTER TABLE {_table_name(path)} DROP IF EXISTS PARTITION (segment={old}, kind='{kind}')")
+            commits.delete(f"{path}/blocks/segment={old}/kind={kind}")
+        for folder in ("vocab", "stems"):
+            commits.delete(f"{path}/{folder}/segment={old}")
+    return read_index(spark, path)
 
 
 # ---- tags as bitmaps ----------------------------------------------------------
@@ -262,7 +360,10 @@ def with_tags(index: TextIndex, comment_tags: DataFrame) -> TextIndex:
     if index.path is None:
         return replace(index, blocks=index.blocks.filter(F.col("kind") != TAG).unionByName(bits), tagged=True)
     _put(bits, index.path, index.layout, TAG)
-    return replace(index, blocks=comment_tags.sparkSession.table(_table_name(index.path)), tagged=True)
+    commits = Commits(comment_tags.sparkSession, f"{index.path}/commits")
+    number, c = commits.latest()
+    commits.put(number + 1, c | {"tagged": True})
+    return replace(read_index(comment_tags.sparkSession, index.path), stems=index.stems)
 
 
 def bit_ids(shard: int, parts: Sequence[int], bits: Sequence[bytes], span: int) -> np.ndarray:
@@ -346,6 +447,7 @@ def _query_rows(queries: DataFrame, terms: DataFrame, variants: DataFrame | None
     ndocs, avgdl = (index.corpus.select(c).scalar() for c in ("ndocs", "avgdl"))
     idf = F.log((ndocs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     known = index.vocab.join(checked_broadcast(terms, bound=stats.terms), "term")
+    known = known.groupBy("query_id", "qpos", "term").agg(F.sum("df").alias("df"))
     known = known.select("query_id", "qpos", "term", F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf).alias("idf"))
     per_query = known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("qpos", "term", "idf"))).alias("terms"))
     kq = queries.select("query_id", "k", "restricted")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import stats, tagging
-from ..sources.bindings import tables
+from ..sources.bindings import PART_IDS, tables
 from . import oracle as O
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -590,6 +590,26 @@ def a03_normalize_reviews(spark, d):
     return ingest.normalize_reviews(ingest.read_json(spark, path, schemas.RAW_REVIEW))
 
 
+@register("a03_patch_counts", """
+SELECT 'pull_requests' AS kind, 'unknown user' AS reason, CAST(0 AS BIGINT) AS n
+UNION ALL SELECT 'pull_requests', 'not merged', count(*) FROM prs_v WHERE merged_at IS NULL
+UNION ALL SELECT 'comments', 'unknown user', count(*) FROM comments_v WHERE id % 17 = 0
+UNION ALL SELECT 'comments', 'null body', count(*) FROM comments_v WHERE id % 13 = 0
+UNION ALL SELECT 'reviews', 'unknown user', CAST(0 AS BIGINT)
+UNION ALL SELECT 'reviews', 'not submitted', count(*) FROM reviews_v WHERE id % 7 = 3""")
+def a03_patch_counts(spark, d):
+    """Q19, Q20: how many raw rows the normalisers patch or leave out."""
+    from .. import schemas
+    from ..sources import ingest
+    t = tables(spark, d)
+    reviews = ingest.reviews_to_host_json(t.reviews)
+    reviews = reviews.withColumn("submitted_at", F.when(F.col("id") % 7 == 3, F.lit(None)).otherwise(F.col("submitted_at")))
+    raw = [ingest.read_json(spark, _land(spark, j, f"counts-{k}"), schema) for k, j, schema in (
+        ("prs", ingest.prs_to_host_json(t.prs), schemas.RAW_PULL),
+        ("comments", _comments_json(t.comments), schemas.RAW_COMMENT), ("reviews", reviews, schemas.RAW_REVIEW))]
+    return ingest.patch_counts(*raw)
+
+
 @register("a04_collected_prs", """
 SELECT id, repo, number, title, user_login, merged_at, created_at, updated_at, html_url, state,
        CASE WHEN number % 4 <> 0 THEN 'main' END AS base_ref,
@@ -754,9 +774,27 @@ SELECT id, body, updated_at FROM (
   FROM (SELECT *, 0 AS src FROM comments_v UNION ALL SELECT *, 1 AS src FROM batch_v))
 WHERE rn = 1""")
 def a11_upsert(spark, d):
-    from ..operators import upsert
+    """A11 into the stored table, and what it then holds."""
+    t = tables(spark, d)
+    return t.kb_comments_table().upsert(t.batch).read().select("id", "body", "updated_at")
+
+
+@register("a11_touched_parts", f"""
+SELECT id // {PART_IDS} AS part, id // {PART_IDS} = 0 AS rewritten, count(*) AS n
+FROM comments_v GROUP BY ALL""")
+def a11_touched_parts(spark, d):
+    """A batch of edited comments of one part rewrites that part alone; rows of
+    each part afterwards."""
+    from ..session import scratch_path
+    from ..sources.store import KeyedTable
     t = tables(spark, d)
-    return upsert.upsert(t.kb_comments, t.batch, ["id"]).select("id", "body", "updated_at")
+    before = KeyedTable.create(spark, scratch_path(spark, "touched"), t.kb_comments.schema, ["id"], span=PART_IDS)
+    before.upsert(t.kb_comments)
+    after = KeyedTable.open(spark, before.path).upsert(t.batch.where(F.col("id") < PART_IDS))
+    new = [int(p) for p, v in after.content["parts"].items() if before.content["parts"].get(p) != v]
+    part = after.part().alias("part")
+    return after.read().groupBy(part).agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.col("part").isin(new).alias("rewritten"), "n")
 
 
 def _pr_batch(prs: DataFrame) -> DataFrame:
@@ -798,23 +836,26 @@ def a12_run_summary(spark, d):
     return upsert.run_summary(upsert.incremental(t.prs, t.fetch_state), t.kb_comments, t.reviews)
 
 
-@register("a13_export_import", """
-SELECT 'pull_requests' AS "table", count(*) AS "rows" FROM prs_v
-UNION ALL SELECT 'reviews', count(*) FROM reviews_v
-UNION ALL SELECT 'comments', count(*) FROM comments_v
-UNION ALL SELECT 'comment_embeddings', count(*) FROM embeddings_v
-UNION ALL SELECT 'comment_tags', count(*) FROM comment_tags_v
-UNION ALL SELECT 'tags', count(*) FROM tags_v""")
+_TABLE_SQL = {"pull_requests": "prs_v", "reviews": "reviews_v", "comments": "comments_v",
+              "comment_embeddings": "embeddings_v", "comment_tags": "comment_tags_v", "tags": "tags_v",
+              "fetch_state": "state_v",
+              "pr_diffs": "(SELECT DISTINCT repo, pr_number FROM comments_v WHERE diff_hunk IS NOT NULL)"}
+
+
+@register("a13_export_import", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", count(*) AS "rows", CAST(0 AS BIGINT) AS n_diff FROM {src}"""
+    for name, src in _TABLE_SQL.items()))
 def a13_export_import(spark, d):
+    """All tables out and in again; rows, and rows that differ in any value."""
     from ..session import scratch_path
     from ..sources import ingest
     t = tables(spark, d)
-    tabs = {"pull_requests": t.prs, "reviews": t.reviews, "comments": t.comments,
-            "comment_embeddings": t.embeddings, "comment_tags": t.comment_tags, "tags": t.tags}
+    diffs = t.stored("pr_diffs", lambda: a05_diffs(spark, d))
+    tabs = {"pull_requests": t.prs, "reviews": t.reviews, "comments": t.kb_comments, "comment_embeddings": t.embeddings,
+            "comment_tags": t.kb_comment_tags, "tags": t.kb_tags, "fetch_state": t.fetch_state, "pr_diffs": diffs}
     path = scratch_path(spark, "export")
     ingest.export_kb(tabs, path)
-    back = ingest.import_kb(spark, path, list(tabs))
-    return stats.table_counts(back)
+    return ingest.differences(tabs, ingest.import_kb(spark, path))
 
 
 def _integrity_sql() -> str:
@@ -1010,7 +1051,7 @@ def _stream_run(spark, d, name, redeliver=False, rules=None, index=True):
     table = scratch_path(spark, f"stream-table-{name}")
     ck = scratch_path(spark, f"stream-ckpt-{name}")
     src = stream.comment_stream(spark, landing, max_files_per_trigger=4)
-    q = stream.start_ingest(src, table, ck, rules=rules, index=index, skip_known=redeliver)
+    q = stream.start_ingest(src, table, ck, rules=rules, index=index)
     q.awaitTermination()
     return table, landing
 
@@ -1050,16 +1091,20 @@ def i02_stream_tag(spark, d):
 def i03_stream_dedup(spark, d):
     from ..streaming import stream
     table, _ = _stream_run(spark, d, "i03", redeliver=True, index=False)
-    log = spark.read.parquet(f"{table}/log")
-    return log.select("id", "updated_at")
+    return stream.snapshot(spark, table).select("id", "updated_at")
 
 
 @register("i04_refresh_postings", f"""
-SELECT count(*) AS ndocs, CAST(sum(len(toks)) AS BIGINT) AS total_len,
-       CAST(sum(len(list_distinct(toks))) AS BIGINT) AS n_postings
-FROM (SELECT id, list_concat({O._tok('body')}, {O._tok('path')}, {O._tok('diff_hunk')}) AS toks
-      FROM upserted_v)""")
+SELECT term, id, count(*) AS tf
+FROM (SELECT id, unnest(list_concat({O._tok('body')}, {O._tok('path')}, {O._tok('diff_hunk')})) AS term
+      FROM upserted_v)
+GROUP BY term, id
+UNION ALL
+SELECT NULL, count(*), CAST(sum(len(list_concat({O._tok('body')}, {O._tok('path')}, {O._tok('diff_hunk')}))) AS BIGINT)
+FROM upserted_v""")
 def i04_refresh_postings(spark, d):
+    """I4: every (term, id, tf) of the index kept by the stream, and a row with its
+    number of documents and tokens."""
     from ..streaming import stream
     t = tables(spark, d)
     from ..session import scratch_path
@@ -1072,8 +1117,8 @@ def i04_refresh_postings(spark, d):
                             scratch_path(spark, "stream-ckpt-i04"), index=True)
     q.awaitTermination()
     idx = stream.current_index(spark, table)
-    n = idx.postings.agg(F.count(F.lit(1)).alias("n_postings"))
-    return idx.corpus.select("ndocs", "total_len", n.select("n_postings").scalar().alias("n_postings"))
+    return idx.postings.select("term", "id", F.col("tf").cast("long").alias("tf")).unionByName(
+        idx.corpus.select(F.lit(None).cast("string").alias("term"), F.col("ndocs").alias("id"), F.col("total_len").alias("tf")))
 
 
 @register("i05_backfill_equals_stream", """

@@ -23,6 +23,7 @@ STATE_LAST_NUMBER = 100
 LITERAL_REPO_LINES = [(-4, ""), (-3, "# note"), (-2, "owner/repo"),
                       (-1, "https://github.com/o/r.git/")]
 QUERY_LIMIT = 15
+PART_IDS = 250               # ids of a part of the stored comments
 WIDE_LIMITS = (5, 15, 40, 150, 400)     # limit of query item_id: the (item_id mod 5)th
 
 
@@ -67,9 +68,23 @@ class Tables:
             self.__dict__[key] = postings.with_tags(index, self.kb_comment_tags)
         return self.__dict__[key]
 
+    def kb_comments_table(self):
+        """The stored comments as a table that batches are merged into."""
+        from .store import KeyedTable
+        if "_kb_comments_table" not in self.__dict__:
+            from ..session import scratch_path
+            table = KeyedTable.create(self.spark, scratch_path(self.spark, "kb-comments"), self.comments.schema, ["id"],
+                                      span=PART_IDS)
+            table.upsert(self.comments)
+            self.__dict__["_kb_comments_table"] = table.path
+            self.__dict__["_kb_comments"] = table.read()
+        return KeyedTable.open(self.spark, self.__dict__["_kb_comments_table"])
+
     @property
     def kb_comments(self) -> DataFrame:
-        return self.stored("comments", lambda: self.comments)
+        """Its first version, which later batches leave as it is."""
+        self.kb_comments_table()
+        return self.__dict__["_kb_comments"]
 
     @property
     def kb_tags(self) -> DataFrame:
