@@ -5,19 +5,18 @@ group they build is bounded by the limit of its query, which a report may cut
 further, so collecting a group's members into one row is bounded.
 
 G7 mines near-duplicate comment clusters over the whole corpus: exact copies
-collapse first (grouped aggregate), MinHash bands propose candidates, members
-of a bucket are checked against its representatives, which are elected anew
-among members outside the bucket's largest component until none is left, and
-clusters are connected components by contraction with reliable checkpoints.
+collapse first (grouped aggregate), an exact set-similarity join with prefix, length
+and positional filters finds the links that components need, and clusters are
+connected components by contraction over written tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import scratch_path
+from ..session import stored
 
 # --- fixed values that must equal the reference's ---------------------------
 DUP_THRESHOLD = 0.7            # Jaccard at or above which a body is a duplicate
@@ -133,18 +132,39 @@ def empty_results(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 # ---- G7 ------------------------------------------------------------------------
-N_BANDS = 32
-ROWS_PER_BAND = 3     # P(no shared bucket | J=0.7) = (1 - 0.7^3)^32 = 1.5e-6
+#: Words that are ordered by their frequency, at most; the others are rarer than these.
+FREQUENT = 100_000
 
 
-def minhash_signatures(docs: DataFrame, n_hashes: int = N_BANDS * ROWS_PER_BAND) -> DataFrame:
-    """(id, sig): n_hashes minimum hash values of each set of word hashes.  The
-    n_hashes minima are one codegen'd grouped aggregate (partial per task: one
-    row per document is shuffled)."""
-    ex = docs.select("id", F.explode("words").alias("h"))
-    aggs = [F.min(F.xxhash64(F.col("h"), F.lit(i))).alias(f"_h{i}") for i in range(n_hashes)]
-    return ex.groupBy("id").agg(*aggs).select(
-        "id", F.array(*[F.col(f"_h{i}") for i in range(n_hashes)]).alias("sig"))
+def _needed(n: Column, threshold: float) -> Column:
+    """Words that two sets of together n words have in common at least, if their
+    Jaccard similarity reaches the threshold."""
+    return F.ceil(n * (threshold / (1 + threshold)) - 1e-9)
+
+
+def rare_first(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, h, pos): of each set (id, words: distinct hashes, n) the words of its
+    prefix, n - ceil(threshold * n) + 1 of them, rarest first.  Sets that reach the
+    threshold share a word of their prefixes.  Any order of all words would do; this
+    one puts the FREQUENT most frequent behind all others."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = sets.select("id", "n", F.explode("words").alias("h"))
+    frequent = words.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > max(1, total // FREQUENT))
+    ordered = (words.join(F.broadcast(frequent), "h", "left")
+               .groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h"))).alias("w")))
+    size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    return ordered.select("id", "n", F.posexplode(F.slice(F.col("w")["h"], F.lit(1), size)).alias("pos", "h"))
+
+
+def _may_reach(x: str, y: str, threshold: float) -> Column:
+    """Length and positional filter for two prefix entries of one word (columns n and
+    pos with these suffixes): both sets' words before it and behind it bound what they
+    can share."""
+    c = lambda name, side: F.col(name + side)
+    behind = F.least(c("n", x) - c("pos", x), c("n", y) - c("pos", y))
+    before = F.least(c("pos", x), c("pos", y))
+    return ((F.least(c("n", x), c("n", y)) >= F.greatest(c("n", x), c("n", y)) * (threshold - 1e-9))
+            & (before + behind >= _needed(c("n", x) + c("n", y), threshold)))
 
 
 def _joined(labels: DataFrame, links: DataFrame, keep) -> DataFrame:
@@ -174,105 +194,83 @@ def _joined(labels: DataFrame, links: DataFrame, keep) -> DataFrame:
     return keep(labels.join(low, "label").select("id", F.col("low").alias("label")))
 
 
+def similar_components(sets: DataFrame, threshold: float, keep) -> DataFrame:
+    """(id, label) of every set (id, words: distinct hashes, n): label is the smallest
+    id reachable by links of Jaccard similarity >= threshold.
+
+    An exact set-similarity join, reduced to what components need.  Sets that share a
+    prefix word meet in its bucket.  First all members are held against the bucket's
+    smallest id.  Then, where a bucket still has several components, the members
+    outside its largest one are held against all members of other components; length
+    and positional filters drop pairs that cannot reach the threshold, and the rest is
+    counted.  Pairs within a component are never formed, so groups of near copies cost
+    about their size; a bucket of many texts that are alike but below the threshold
+    costs the product of the two sides."""
+    entries = keep(rare_first(sets, threshold))
+    low = (entries.groupBy("h").agg(F.min(F.struct("id", "n", "pos")).alias("low"), F.max("id").alias("high"))
+           .where("low.id < high").select("h", F.col("low.id").alias("ida"), F.col("low.n").alias("na"), F.col("low.pos").alias("posa")))
+    entries = keep(entries.join(low, "h"))
+    side = lambda df, s, *more: df.select("h", *(F.col(c).alias(c + s) for c in ("id", "n", "pos", *more)))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        w1 = sets.select(F.col("id").alias("a"), F.col("words").alias("w1"))
+        w2 = sets.select(F.col("id").alias("b"), F.col("words").alias("w2"))
+        return keep(pairs.join(w1, "a").join(w2, "b").where(tx.jaccard("w1", "w2") >= threshold).select("a", "b"))
+
+    stars = entries.select(*(F.col(c).alias(c + "b") for c in ("id", "n", "pos")), "ida", "na", "posa")
+    stars = keep(stars.where("ida < idb").where(_may_reach("a", "b", threshold))
+                 .select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())
+    label = _joined(keep(sets.select("id", F.col("id").alias("label"))), checked(stars), keep)
+    known = entries.select("h", "id", "n", "pos").join(label, "id")
+    main = (known.groupBy("h", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("h")
+            .agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("components"))
+            .where("components > 1"))
+    known = keep(known.join(main.select("h", "main"), "h"))
+    x, y = side(known.where("label != main"), "x", "label", "main"), side(known, "y", "label")
+    once = (F.col("labely") == F.col("mainx")) | (F.col("idx") < F.col("idy"))     # both outside: from one side only
+    rest = (x.join(y, "h").where((F.col("labelx") != F.col("labely")) & once & _may_reach("x", "y", threshold))
+            .select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct())
+    return _joined(label, checked(keep(rest.join(stars, ["a", "b"], "left_anti"))), keep)
+
+
 def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
-                     tags: DataFrame | None = None, threshold: float = DUP_THRESHOLD,
-                     checkpoint: bool = True):
+                     tags: DataFrame | None = None, threshold: float = DUP_THRESHOLD):
     """Near-duplicate clusters -> ``(conventions, sources)``.
 
     Semantics (ours; the reference only defines the table): two comments are
     linked when the Jaccard similarity of their word sets is >= threshold;
     exact word-set copies are always linked.  Clusters are the connected
     components with at least two comments — a transitive grouping, unlike the
-    per-report greedy dedup of G3.  Two texts that share a MinHash band bucket
-    (32 bands x 3 rows; a pair at 0.7 shares none with probability 1.5e-6) are
-    in one component already or are checked exactly: members are held against
-    the smallest id, then, while a bucket has members of several components,
-    those outside its largest one (1, 16, 256, ... a round) are held against
-    the members of other components.
+    per-report greedy dedup of G3.
 
     conventions: id, title, body, category, file_patterns, source_count,
-    confidence, created_at, updated_at.  sources: (convention_id, comment_id),
-    the full membership (no row of a cluster is dropped or sampled).
+    confidence, created_at, updated_at; id is the smallest id of the cluster, and
+    confidence the mean similarity of the other members to that comment.  sources:
+    (convention_id, comment_id), the full membership (no row of a cluster is
+    dropped or sampled).
     """
-    spark = comments.sparkSession
-
-    def keep(df):       # written once, compressed, to the shared checkpoint folder
-        if not checkpoint:
-            return df
-        df.write.parquet(path := scratch_path(spark, "conventions"))
-        return spark.read.schema(df.schema).parquet(path)
-    ws = (comments.select("id", "body", "path", "updated_at", tx.word_set("body").alias("words"))
-          .where(F.size("words") > 0))
-    # 1) exact copies: one representative per distinct word set
-    # words as 64-bit hashes: a third of the bytes that verification shuffles
+    keep = lambda df: stored(df, "conventions")
+    ws = (comments.select("id", tx.word_set("body").alias("words")).where(F.size("words") > 0))
+    # one representative per distinct word set; words as 64-bit hashes: a third of the bytes that are shuffled
     ws = keep(ws.select("id", F.md5(F.array_join(F.array_sort("words"), " ")).alias("wkey"),
                         F.transform("words", lambda w: F.xxhash64(w)).alias("words")))
     reps = ws.groupBy("wkey").agg(F.min("id").alias("rep"))
     exact = keep(ws.select("id", "wkey").join(reps, "wkey").select("id", "rep"))   # every doc -> its exact rep
     uniq = keep(ws.select("id", "words", F.size("words").alias("n"))
                 .join(exact.where("id = rep").select("id"), "id", "left_semi"))
-
-    # 2) MinHash bands of the representatives
-    sig = minhash_signatures(uniq)
-    bands = sig.select("id", F.explode(F.transform(        # a key tells its band too
-        F.sequence(F.lit(0), F.lit(N_BANDS - 1)),
-        lambda b: F.xxhash64(b, F.slice("sig", b * ROWS_PER_BAND + 1, ROWS_PER_BAND)))).alias("bkey"))
-    bands = keep(bands)
-    brep = (bands.groupBy("bkey").agg(F.min("id").alias("bmin"), F.max("id").alias("bmax"))
-            .where("bmin < bmax").drop("bmax"))
-    cand = keep(bands.join(brep, "bkey"))
-
-    def checked(pairs):        # 3) verify: the links among pairs (a, b)
-        w1 = uniq.select(F.col("id").alias("a"), F.col("words").alias("w1"))
-        w2 = uniq.select(F.col("id").alias("b"), F.col("words").alias("w2"))
-        return keep(pairs.join(w1, "a").join(w2, "b").select("a", "b", tx.jaccard("w1", "w2").alias("sim"))
-                    .where(F.col("sim") >= threshold))
-
-    def every(parts):
-        return parts[0] if len(parts) == 1 else every(parts[:-1]).unionByName(parts[-1])
-
-    pairs = keep(cand.where("bmin < id").select(F.col("bmin").alias("a"), F.col("id").alias("b")).distinct())
-    links, seen, done, step, rounds = [checked(pairs)], [pairs], [], 1, 0
-    label = _joined(keep(uniq.select("id", F.col("id").alias("label"))), links[0], keep)
-    cand, sizes = cand.select("bkey", "id"), uniq.select("id", "n")
-    # 4) representatives elected anew among members outside a bucket's largest component
-    while True:
-        known = cand.join(label.join(sizes, "id"), "id")
-        main = (known.groupBy("bkey", "label").agg(F.count(F.lit(1)).alias("size"))
-                .groupBy("bkey")
-                .agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("comps"))
-                .where("comps > 1"))
-        known = keep(known.join(main.select("bkey", "main"), "bkey"))
-        left = known.where("label != main")
-        if done:
-            left = left.join(every(done), ["bkey", "id"], "left_anti")
-        turn = keep(left.withColumn("nth", F.row_number().over(Window.partitionBy("bkey").orderBy("id")))
-                    .where(F.col("nth") <= step).drop("nth", "main"))
-        if turn.isEmpty():
-            break
-        rounds += 1
-        done.append(turn.select("bkey", "id"))
-        x = turn.select("bkey", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-        y = known.select("bkey", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-        new = (x.join(y, "bkey").where("lx != ly")
-               # sizes alone bound the similarity (a proof, with room for rounding)
-               .where(F.least("nx", "ny") >= F.greatest("nx", "ny") * (threshold - 1e-9))
-               .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        pairs = keep(new.join(every(seen), ["a", "b"], "left_anti"))
-        seen.append(pairs)
-        links.append(checked(pairs))
-        label = _joined(label, links[-1], keep)
-        step *= 16
-    mine_conventions.last_rounds = rounds
-    links = every(links).unionByName(exact.where(F.col("id") != F.col("rep"))
-                                     .select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim")))
+    label = similar_components(uniq, threshold, keep)
     # every copy has the label of its representative; single comments are no cluster
     label = exact.join(label.select(F.col("id").alias("rep"), "label"), "rep").select("id", "label")
     several = label.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("label")
     label = keep(label.join(several, "label").select("id", "label"))
     members = label.select(F.col("id").alias("comment_id"), F.col("label").alias("cid"))
-    sims = links.join(members.withColumnRenamed("comment_id", "a"), "a").groupBy("cid") \
-        .agg(F.avg("sim").alias("confidence"))
+    # each distinct text once against the cluster's first comment, weighed with its copies
+    first = uniq.select(F.col("id").alias("cid"), F.col("words").alias("w1"))
+    alike = (exact.join(members.withColumnRenamed("comment_id", "id"), "id").groupBy("rep", "cid")
+             .agg(F.count(F.lit(1)).alias("copies")).join(uniq.select(F.col("id").alias("rep"), "words"), "rep")
+             .join(first, "cid").select("cid", "copies", (tx.jaccard("w1", "words")).alias("sim")))
+    sims = alike.groupBy("cid").agg((F.sum(F.col("sim") * F.col("copies")) - 1).alias("s"), F.sum("copies").alias("k")).select(
+        "cid", F.round(F.col("s") / (F.col("k") - 1), 9).alias("confidence"))
     info = comments.select(F.col("id").alias("comment_id"), "body", "path", "updated_at", "created_at")
     m = members.join(info, "comment_id")
     dirs = (m.withColumn("dir", tx.group_key("path")).groupBy("cid", "dir")
@@ -297,7 +295,7 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
     conventions = conv.select(
         F.col("cid").alias("id"),
         tx.summarize_body(F.col("rep.body")).alias("title"), F.col("rep.body").alias("body"), "category",
-        "file_patterns", "source_count", F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+        "file_patterns", "source_count", "confidence",
         "created_at", "updated_at")
     sources = members.select(F.col("cid").alias("convention_id"), "comment_id")
     return conventions, sources

@@ -955,15 +955,52 @@ def g06_empty(spark, d):
     return report.empty_results(tables(spark, d).queries, _hits(spark, d))
 
 
-@register("g07_conventions")
+_SIMILAR = "len(list_intersect({x}.ws, {y}.ws)) / (len({x}.ws) + len({y}.ws) - len(list_intersect({x}.ws, {y}.ws)))"
+_G07_CTES = [
+    ("ws", f"SELECT id, ws FROM (SELECT id, {_wordset_sql('body')} AS ws FROM comments_v) WHERE len(ws) > 0"),
+    ("pairs", f"""
+  SELECT a.id AS a, b.id AS b FROM ws a JOIN ws b
+    ON a.id < b.id AND least(len(a.ws), len(b.ws)) >= 0.69 * greatest(len(a.ws), len(b.ws))
+  WHERE {_SIMILAR.format(x='a', y='b')} >= CAST(0.7 AS DOUBLE)"""),
+    ("edges", "SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs"),
+    ("clusters", """
+  SELECT id, cid FROM (
+    WITH RECURSIVE reach AS (SELECT id, id AS root FROM ws
+                             UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id)
+    SELECT id, min(root) AS cid FROM reach GROUP BY id)
+  QUALIFY count(*) OVER (PARTITION BY cid) > 1"""),
+]
+
+
+@register("g07_conventions", O.with_views(f"""
+SELECT m.cid AS id, t.summary AS title, r.body, g.category, f.file_patterns, m.source_count, s.confidence, m.created_at,
+       m.updated_at
+FROM (SELECT cid, count(*) AS source_count, min(created_at) AS created_at, max(updated_at) AS updated_at
+      FROM clusters JOIN comments_v USING (id) GROUP BY cid) m
+JOIN comments_v r ON r.id = m.cid
+JOIN (SELECT c.id, string_agg(CASE WHEN k.cut IS NULL OR c.i < k.cut THEN c.line
+                                   ELSE substring(c.line, 1, CAST({tx.SUMMARY_MAX_CHARS} - c.before AS BIGINT)) || '...' END,
+                              ' ' ORDER BY c.i) AS summary
+      FROM c JOIN k ON k.id = c.id WHERE k.cut IS NULL OR c.i <= k.cut GROUP BY c.id) t ON t.id = m.cid
+JOIN (SELECT cid, string_agg(dir, ',' ORDER BY n DESC, dir) AS file_patterns
+      FROM (SELECT cid, CASE WHEN path IS NOT NULL AND path <> '' THEN {O.dirname_sql('path')} ELSE 'general' END AS dir,
+                   count(*) AS n
+            FROM clusters JOIN comments_v USING (id) GROUP BY ALL) GROUP BY cid) f ON f.cid = m.cid
+JOIN (SELECT c.cid, round((sum({_SIMILAR.format(x='a', y='b')}) - 1) / (count(*) - 1), 9) AS confidence
+      FROM clusters c JOIN ws a ON a.id = c.id JOIN ws b ON b.id = c.cid GROUP BY c.cid) s ON s.cid = m.cid
+LEFT JOIN (SELECT c.cid, t.name AS category
+           FROM clusters c JOIN comment_tags_v x ON x.comment_id = c.id JOIN tags_v t ON t.id = x.tag_id
+           GROUP BY c.cid, t.id, t.name
+           QUALIFY row_number() OVER (PARTITION BY c.cid ORDER BY count(*) DESC, t.id) = 1) g ON g.cid = m.cid""",
+                                          extra=_G07_CTES + _B05_CTES))
 def g07_conventions(spark, d):
     from ..operators import report
     t = tables(spark, d)
     conv, _ = report.mine_conventions(t.kb_comments, t.kb_comment_tags, t.kb_tags)
-    return conv
+    return conv.withColumn("file_patterns", F.array_join("file_patterns", ","))
 
 
-@register("g07_sources")
+@register("g07_sources", O.with_views("SELECT cid AS convention_id, id AS comment_id FROM clusters", extra=_G07_CTES))
 def g07_sources(spark, d):
     from ..operators import report
     t = tables(spark, d)
