@@ -61,9 +61,9 @@ class BacktrackingEncoder:
         part = rf"{SPACE}+[^{SPACE}{alone}]*|[{alone}]|[^{SPACE}{alone}]+" if alone else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
         self.parts = re.compile(part).findall
         self.codes = [i.to_bytes(4, "little") for i in range(sp.get_piece_size())]
-        self.compatible = Memo(self._compatible, 24 << 20)
+        self.compatible = Memo(self._compatible, 64 << 20)
         self.inner = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
-        self.coded = Memo(self._coded)
+        self.coded = Memo(self._coded, 64 << 20)
 
     def merge(self, s: str) -> list[str]:
         """The merge rules on a short string: best score first, leftmost first."""
