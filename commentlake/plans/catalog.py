@@ -359,6 +359,28 @@ SELECT m.comment_id, s.id AS tag_id, m.confidence
 FROM ({O.tag_scores_sql(tagging.TEST_RULES)}) m JOIN ({_SEEDED_SQL}) s ON s.name = m.tag"""
 
 
+# rules of other shapes, each with its DuckDB spelling (RE2 has ASCII-only \\b and \\w)
+_NWB, _NWE, _W = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])", r"[\p{L}\p{N}_]"
+_TABLE_RULES = [
+    ("notice", "body", r"\blicen[cs]ed?\b", rf"{_NWB}licen[cs]ed?{_NWE}"),
+    ("notice", "hunk", r"\ball rights\b", rf"{_NWB}all rights{_NWE}"),
+    ("prefix", "body", r"\bunder\w+", rf"{_NWB}under{_W}+"),
+    ("prefix", "path", r"^\w+\.example", rf"^{_W}+\.example"),
+    ("span", "body", r"the .* and .* that", "the .* and .* that"),
+    ("span", "hunk", r"version \d+\.\d+", r"version [0-9]+\.[0-9]+"),
+    ("choice", "body", r"general public|mit license|\bheit\b", rf"general public|mit license|{_NWB}heit{_NWE}"),
+    ("choice", "path", r"/(?:en|fr)/\d{2,}", "/(?:en|fr)/[0-9]{2,}"),
+    ("accent", "body", r"\bété\b|ción\b", rf"{_NWB}été{_NWE}|ción{_NWE}"),
+]
+
+
+@register("d02_rules_table", O.tag_scores_sql([tagging.Rule(t, "", f, sql) for t, f, _, sql in _TABLE_RULES]))
+def d02_rules_table(spark, d):
+    """D2 with the rules of a table: boundaries, classes, spans, alternatives."""
+    table = tagging.rules_table(spark, [tagging.Rule(t, "", f, p) for t, f, p, _ in _TABLE_RULES])
+    return tagging.match_rules(tables(spark, d).kb_comments, table)
+
+
 @register("d03_assign", f"""
 SELECT * FROM ({_EXISTING_SQL})
 UNION ALL
@@ -1192,32 +1214,83 @@ def f03_bm25_porter(spark, d):
     return postings.bm25_topk(q, tables(spark, d).stored_index("porter"), stemmer="porter")
 
 
-@register("f09_embed")
+def _text_model(spark, d):
+    """The embedding model of the comments, fitted once and read from where it is stored."""
+    from ..operators import vectors
+    from ..session import scratch_path
+    t = tables(spark, d)
+    if "_text_model" not in t.__dict__:
+        path = scratch_path(spark, "text-models")
+        texts = t.kb_comments.select(tx.embed_text("path", "body", "diff_hunk").alias("text"))
+        vectors.write_text_model(spark, vectors.fit_text_model(texts, "text"), path)
+        t.__dict__["_text_model"] = vectors.read_text_model(spark, path, "hashed-tfidf-1")
+    return t.__dict__["_text_model"]
+
+
+_EMBED_TEXT = ("concat_ws(chr(10), CASE WHEN path <> '' THEN 'File: ' || path END, body, "
+               "CASE WHEN diff_hunk <> '' THEN 'Code context:' || chr(10) || diff_hunk END)")
+_EMBEDDED_SQL = f"""
+WITH t AS (SELECT id, {O._tok(_EMBED_TEXT)} AS toks FROM comments_v),
+b AS (SELECT id, bucket, count(*) AS tf
+      FROM (SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS bucket
+            FROM (SELECT id, unnest(toks) AS term FROM t)) GROUP BY ALL),
+w AS (SELECT b.id, b.bucket, b.tf * (ln(((SELECT count(*) FROM t) + 1) / (d.df + 1)) + 1) AS w
+      FROM b JOIN (SELECT bucket, count(*) AS df FROM b GROUP BY bucket) d USING (bucket))
+SELECT id, round(sum(bucket * CAST(CAST(w / norm AS FLOAT) AS DOUBLE)), 3) AS weighted, round(max(w / norm), 4) AS largest
+FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY id)) AS norm FROM w) GROUP BY id"""
+
+
+@register("f09_embed", O.with_views(f"""
+SELECT e.id AS comment_id, 'hashed-tfidf-1' AS model, 256 AS dim, e.weighted, e.largest
+FROM ({_EMBEDDED_SQL}) e WHERE NOT EXISTS (SELECT 1 FROM embeddings_v x WHERE x.comment_id = e.id)
+  AND e.id IN (SELECT id FROM comments_v)"""))
 def f09_embed(spark, d):
-    """vectors for the comments that have none (C1), default embedder."""
+    """vectors for the comments that have none (C1), by the fitted model; of each
+    its dimension, its sum weighed by position and its largest value."""
     from ..operators import vectors
     t = tables(spark, d)
-    e = vectors.embed_comments(t.kb_comments, t.embeddings)
+    e = vectors.embed_comments(t.kb_comments, t.embeddings, _text_model(spark, d))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     return e.select("comment_id", "model", F.size("embedding").alias("dim"),
-                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0),
-                                               lambda a, x: a + x * x)), 6).alias("norm"))
+                    F.round(F.aggregate(F.transform(v, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x), 3).alias("weighted"),
+                    F.round(F.array_max(v), 4).alias("largest"))
+
+
+@register("f08_from_text")
+def f08_from_text(spark, d):
+    """F8 from titles alone: comments and queries embedded by one stored model."""
+    from dataclasses import replace
+
+    from ..operators import vectors
+    from .search import hybrid_search
+    t = tables(spark, d)
+    model = _text_model(spark, d)
+    own = t.stored("text_vectors", lambda: vectors.reembed(t.kb_comments, model))
+    inp = replace(_search(spark, d), vectors=own.select("comment_id", "embedding"), model=model)
+    h = hybrid_search(t.queries.drop("qvec"), inp)
+    return h.select("query_id", "rank", "id", "score", "match_source", "user_login", F.array_join("tags", ",").alias("tags"))
 
 
 @register("f10_ann")
 def f10_ann(spark, d):
-    """LSH top-k and its recall against exact F5, per query."""
+    """top-k in the probed cells, its recall against exact F5 and the share of the
+    vectors that were compared, per query."""
     from ..operators import vectors
     q = _prepared(spark, d)
     s = _search(spark, d)
     kq = q.select("query_id", "k")
-    ann = vectors.ann_topk(q, s.vectors, kq)
+    index = vectors.fit_cells(s.vectors)
+    ann = vectors.ann_topk(q, index, kq)
     exact = vectors.cosine_topk(q, s.vectors, kq)
     hit = exact.join(ann.select("query_id", "id"), ["query_id", "id"], "left_semi") \
         .groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     tot = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
-    return tot.join(hit, "query_id", "left").select(
+    total = index.sizes.agg(F.sum("n").alias("n")).select("n").scalar()
+    looked = (vectors.probed_cells(q, index).join(F.broadcast(index.sizes), "cell")
+              .groupBy("query_id").agg((F.sum("n") / total).alias("compared")))
+    return tot.join(hit, "query_id", "left").join(looked, "query_id").select(
         "query_id", "k", F.coalesce("found", F.lit(0)).alias("found"),
-        (F.coalesce("found", F.lit(0)) / F.col("k")).alias("recall"))
+        (F.coalesce("found", F.lit(0)) / F.col("k")).alias("recall"), "compared")
 
 
 @register("f11_reembed")

@@ -1,7 +1,8 @@
 """F8 hybrid search for a DataFrame of queries, all queries in one job.
 
 queries (query_id, title, paths, diff, commits, tags, limit, qvec)
-  -> B2 query text; blank text -> no rows
+  -> B2 query text; blank text -> no rows; without a column qvec the text is
+     embedded by the stored model of the vectors (F9)
   -> F3/F4 BM25 top 3 x limit   and   F5/F6 cosine top 3 x limit, both masked by
      the tag bitmaps (C3; tags null/empty: no filter; tags without candidates:
      no rows)
@@ -30,6 +31,7 @@ class SearchInputs:
     vectors: DataFrame          # comment_id, embedding
     tags: DataFrame             # id, name, description
     comment_tags: DataFrame     # comment_id, tag_id, confidence
+    model: vectors.TextModel | None = None      # of the vectors; embeds queries that come without qvec
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -56,6 +58,9 @@ class Ranked:
 
 def ranked_lists(queries: DataFrame, inp: SearchInputs, stemmer: str | None = None) -> Ranked:
     q = prepare_queries(queries)
+    if "qvec" not in q.columns:
+        q = (vectors.embed_queries(q, inp.model) if inp.model else
+             q.withColumn("qvec", F.lit(None).cast("array<float>")))
     stats = postings.query_stats(q)
     index = inp.index if inp.index.tagged else postings.with_tags(inp.index, inp.comment_tags)
     kq = q.select("query_id", "k")

@@ -1,11 +1,12 @@
 """Fusion values, edge cases of hybrid search, batch = single, scores and
 masks against plain Python."""
 
+import hashlib
 import math
 import random
 import re
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from commentlake.operators import fusion, postings, tagging
@@ -256,3 +257,70 @@ def test_cosine_under_tags(spark):
         want += [(i, j, -s, r + 1) for r, (s, j) in enumerate(best)]
     for size in (4096, 2):
         assert sorted(map(tuple, V.cosine_restricted(q, vec, index, tags, kq, size).collect())) == sorted(want)
+
+
+def _clustered(seed, clusters=12, size=60, dim=16):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(clusters, dim))
+    v = np.repeat(centers, size, axis=0) + 0.25 * rng.normal(size=(clusters * size, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_ann_recall_and_share(spark):
+    """On vectors with structure nearly all of the best are found in few cells; a cell
+    in parts and groups of queries change nothing; all cells give the exact result."""
+    from dataclasses import replace
+
+    from commentlake.operators import vectors as V
+    v = _clustered(3)
+    vec = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9000, None), (9001, [1.0])],
+                                "comment_id long, embedding array<float>")
+    q = spark.createDataFrame([(i, v[i * 20].tolist()) for i in range(30)] + [(99, None), (98, [1.0])], "query_id long, qvec array<float>")
+    kq = spark.createDataFrame([(i, 10) for i in (*range(30), 98, 99)], "query_id long, k int")
+    index = V.fit_cells(vec, n_cells=12, k=10)
+    exact = {(r.query_id, r.id) for r in V.cosine_topk(q, vec, kq).collect() if r.query_id < 90}
+    rows = V.ann_topk(q, index, kq).collect()
+    found = {(r.query_id, r.id) for r in rows}
+    total = index.sizes.agg(F.sum("n")).first()[0]
+    looked = V.probed_cells(q, index).join(index.sizes, "cell").agg(F.sum("n")).first()[0]
+    assert total == 720 and len(found & exact) >= 0.95 * len(exact) and looked <= 0.2 * 30 * total
+    small = V.fit_cells(vec, n_cells=12, k=10, cell_rows=7)
+    assert small.sizes.agg(F.max("parts")).first()[0] > 1
+    assert sorted(map(tuple, V.ann_topk(q, small, kq, query_size=4).collect())) == sorted(map(tuple, rows))
+    every = V.ann_topk(q, replace(index, probes=12), kq).collect()
+    assert {(r.query_id, r.id) for r in every} == exact
+
+
+def test_text_model(spark, tmp_path):
+    """The stored model gives texts and queries the same vectors, by the written-out rule."""
+    from commentlake.operators import vectors as V
+    texts = [(1, "alpha beta beta"), (2, "Beta, gamma!"), (3, ""), (4, None), (5, "alpha")]
+    df = spark.createDataFrame(texts, "query_id long, query_text string")
+    V.write_text_model(spark, V.fit_text_model(df, "query_text", "m1", dim=8), str(tmp_path))
+    model = V.read_text_model(spark, str(tmp_path), "m1")
+    tokens = {i: re.findall("[a-z]+", (t or "").lower()) for i, t in texts}
+    bucket = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 8
+    df_ = [sum(any(bucket(t) == j for t in ts) for ts in tokens.values()) for j in range(8)]
+    assert model.ndocs == 5 and np.allclose(model.idf, [math.log(6 / (n + 1)) + 1 for n in df_])
+    got = {r.query_id: r.qvec for r in V.embed_queries(df, model).collect()}
+    assert got[3] is None and got[4] is None
+    for i in (1, 2, 5):
+        want = np.zeros(8)
+        for t in tokens[i]:
+            want[bucket(t)] += model.idf[bucket(t)]
+        assert np.allclose(got[i], want / np.linalg.norm(want), atol=1e-6)
+
+
+def test_search_from_titles_alone(spark):
+    from dataclasses import replace
+
+    from commentlake.operators import vectors as V
+    inp = _inputs(spark)
+    comments = inp.comments.withColumn("updated_at", F.col("created_at"))
+    model = V.fit_text_model(comments.select("body"), "body", dim=64)
+    own = V.reembed(comments, model)
+    inp = replace(inp, vectors=own.select("comment_id", "embedding"), model=model)
+    q = _queries(spark, [(1, "payload validation", None, 3, None), (2, "   ", None, 3, None)]).drop("qvec")
+    out = hybrid_search(q, inp).collect()
+    assert {r.query_id for r in out} == {1} and min(out, key=lambda r: r["rank"]).id in (1, 3)
+    assert {r.match_source for r in out} >= {"hybrid"}

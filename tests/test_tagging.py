@@ -49,3 +49,35 @@ def test_seed_and_modes(spark):
     assert sorted(map(tuple, ct.collect())) == [(1, 1, 1.0), (2, 2, 0.5)]
     _, ct = tg.tag_comments(c, existing, old, RULES, mode="all")
     assert sorted(map(tuple, ct.collect())) == [(1, 1, 0.8), (2, 2, 0.5)]
+
+
+def test_required_literals():
+    for pattern, want in [
+        (r"\bfoo(bar)?baz\b", ["foo"]), (r"naming\s+convention", ["convention"]), (r"a|license", None), (r"licen[cs]e", ["licen"]),
+        (r"colou?r scheme", ["r scheme"]), (r"x*token *= *\"", ["token"]), (r"\.example\.org/", [".example.org/"]),
+        (r"foo{2}bar", ["bar"]), (r"foo+bar", ["foo"]), (r"(?i)foo", None), (r"alpha|[|]beta|gam(m|n)a", ["alpha", "beta", "gam"]),
+        (r"\w+", None), (r"^caf\w$", ["caf"]), (r"a\|bc", ["a|bc"]), (r"[]abc]xyz", ["xyz"]), (r"\p{Lu}xyz", ["xyz"]), (r"él.*test", ["test"])]:
+        assert tg.required_literals(pattern) == want, pattern
+
+
+def test_literals_never_hide_a_match(spark):
+    """Every rule with and without the look-up; letters that fold to ASCII ones."""
+    spec = [r"\blicen[cs]e\w*\b", r"kelvin.*sign", r"issue|stress", r"no +break", r"\bdot\b|(?:x|y)z{2,3}", r"(?:^|/)tests?/", r"\w+ing\b"]
+    texts = ["LİCENSE", "lıcense", "licenſe", "LICENCES!", "\u212Aelvin the sign", "kelvin\nsign", "iſſue", "ISSUE", "streß", "no  break",
+             "dot", "dots", "xzz", "yzzz", "xz", "tests/a", "/test/", "contests/", "running", "RUNNING.", "ing", None, ""]
+    comments = _comments(spark, [(i, t, t, t) for i, t in enumerate(texts)])
+    for p in spec:
+        rules = tg.rule_set([("t", "", {"body": [p]})])
+        got = {r.comment_id for r in tg.match_rules(comments, rules).collect()}
+        want = {r.id for r in comments.where(F.col("body").rlike(tg.combined_pattern([p]))).select("id").collect()}
+        assert got == want, p
+
+
+def test_rules_from_a_table(spark):
+    table = tg.rules_table(spark, tg.TEST_RULES)
+    back = tg.rules_of(table.orderBy(F.rand()))
+    assert back == tg.TEST_RULES and [tg._token_words(r.pattern) for r in back] == [tg._token_words(r.pattern) for r in tg.TEST_RULES]
+    rows = [(1, "that and with", "m.example.org/en/", "the"), (2, "token = \"", None, "license"), (3, "", "", "")]
+    c = _comments(spark, rows)
+    assert sorted(map(tuple, tg.match_rules(c, table).collect())) == sorted(map(tuple, tg.match_rules(c, tg.TEST_RULES).collect()))
+    assert tg.match_rules(c, table.limit(0)).count() == 0
