@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import scratch_path
+from .report import similar_components
 
 # --- fixed values that must equal the reference's ---------------------------
 NEARBY_LINES = 2                 # lines within 2 of each other merge
@@ -110,9 +111,12 @@ def dedup_findings(findings: DataFrame, threshold: float = DUP_THRESHOLD) -> Dat
     the highest severity.  Texts equal after case/whitespace normalisation are
     one row first (partial aggregation); then, by severity and text, each text
     joins the first kept one whose word set has Jaccard >= threshold with its
-    own, or is kept itself; texts without words join none.  At most FOLD texts
-    of a line are gathered and folded in one row; of longer lines each text
-    stays a row (``_greedy_rows``).
+    own, or is kept itself; texts without words join none.
+
+    At most FOLD texts of a line are gathered and folded in one row.  Longer lines
+    are parted first: a text can only join one that similar texts lead to, so each
+    connected component of similarity links is folded by itself.  Only a component
+    of more than FOLD texts takes rounds, with a row a text (``_greedy_rows``).
     Output: file, line, issue, severity, n_merged."""
     texts = (findings.groupBy("file", "line", normalize_issue("issue").alias("_norm"))
              .agg(_best("severity", "issue").alias("b"), F.count(F.lit(1)).alias("n")))
@@ -121,9 +125,26 @@ def dedup_findings(findings: DataFrame, threshold: float = DUP_THRESHOLD) -> Dat
         F.monotonically_increasing_id().alias("id")))
     long = texts.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLD).select("at")
     long = _kept_table(long)
-    few = texts.join(long, "at", "left_anti")
+    if long.isEmpty():
+        return _folded(texts, threshold)
+    few, many = texts.join(long, "at", "left_anti"), _kept_table(texts.join(long, "at", "left_semi"))
+    own = F.transform("words", lambda w: F.xxhash64("at.file", "at.line", w))      # lines share no words
+    sets = _kept_table(many.where(F.size("words") > 0).select("id", own.alias("words"), F.size("words").alias("n")))
+    part = similar_components(sets, threshold, _kept_table)
+    many = _kept_table(many.join(part, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label"))
+    large = _kept_table(many.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLD).select("part"))
+    out = _folded(few.withColumn("part", F.lit(None).cast("long")).unionByName(many.join(large, "part", "left_anti")), threshold)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_greedy_rows(many.join(large, "part", "left_semi").drop("part"), threshold))
+
+
+def _folded(texts: DataFrame, threshold: float) -> DataFrame:
+    """The greedy choice of H1 within the texts of a line (or of a ``part`` of one),
+    gathered in one row."""
+    keys = ["at", *(["part"] if "part" in texts.columns else [])]
     member = F.struct("severity", "issue", "n", "words")
-    groups = few.groupBy("at").agg(F.array_sort(F.collect_list(member)).alias("ms"))
+    groups = texts.groupBy(*keys).agg(F.array_sort(F.collect_list(member)).alias("ms"))
 
     def step(kept, m):
         at = F.array_position(F.transform(kept, lambda k: F.coalesce(
@@ -134,11 +155,8 @@ def dedup_findings(findings: DataFrame, threshold: float = DUP_THRESHOLD) -> Dat
         return F.when(at > 0, joined).otherwise(F.array_append(kept, m))
     none = F.filter("ms", lambda m: F.lit(False))
     kept = F.when(F.size("ms") == 1, F.col("ms")).otherwise(F.aggregate("ms", none, step))
-    out = groups.select("at", F.explode(kept).alias("k")).select(
+    return groups.select("at", F.explode(kept).alias("k")).select(
         "at.file", "at.line", "k.issue", "k.severity", F.col("k.n").alias("n_merged"))
-    if long.isEmpty():
-        return out
-    return out.unionByName(_greedy_rows(texts.join(long, "at", "left_semi"), threshold))
 
 
 LINE_BLOCK = 4096      # lines per block: bounds every window below

@@ -87,3 +87,19 @@ def test_dedup_of_a_line_with_many_texts(spark):
         want |= {(*at, b[1], b[0]): n for b, _, n in kept}
     got = H.dedup_findings(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.file, r.line, r.issue, r.severity): r.n_merged for r in got} == want and len(got) == len(want)
+
+
+def test_rows_components_and_rounds_agree(spark, monkeypatch):
+    """The same lines folded in one row, by components and in rounds."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(14)]
+    rows = [(rng.choice(["f", "g"]), 1, " ".join(rng.sample(words, rng.randint(1, 6))), rng.choice(["P0", "P1", "P2"])) for _ in range(120)]
+    base = [f"c{k}" for k in range(20)]
+    rows += [("f", 1, " ".join(base[k:k + 9]), "P1") for k in range(11)]                       # a chain of similar texts
+    rows += [("f", 1, "", "P2"), ("f", 1, " ", "P0"), ("h", 2, "alone", "P0")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = sorted(map(tuple, H.dedup_findings(df).collect()))
+    for fold in (40, 6, 1):
+        monkeypatch.setattr(H, "FOLD", fold)
+        assert sorted(map(tuple, H.dedup_findings(df).collect())) == one
+    assert sum(r[4] for r in one) == len(rows)
