@@ -55,10 +55,3 @@ def encode_vector(vec: pa.Array) -> pa.Array:
     data = vec.values.to_numpy(zero_copy_only=False).astype("<f4")[ends[0]:ends[-1]].tobytes()
     return pa.Array.from_buffers(pa.binary(), len(vec), [_valid_bits(vec), pa.py_buffer(
         ((ends - ends[0]) * 4).astype(np.int32)), pa.py_buffer(data)])
-
-
-def vector_dim_check(df, col: str = "embedding"):
-    """The reference takes the dimension from the first row; here the
-    whole column is checked: one row (min_dim, max_dim, n)."""
-    return df.agg(F.min(F.size(col)).alias("min_dim"), F.max(F.size(col)).alias("max_dim"),
-                  F.count(F.lit(1)).alias("n"))

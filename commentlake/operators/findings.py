@@ -162,7 +162,7 @@ def _folded(texts: DataFrame, threshold: float) -> DataFrame:
 LINE_BLOCK = 4096      # lines per block: bounds every window below
 
 
-def line_islands(findings: DataFrame, gap: int = NEARBY_LINES, checkpoint: bool = True) -> DataFrame:
+def line_islands(findings: DataFrame, gap: int = NEARBY_LINES) -> DataFrame:
     """(file, line, start): ``start`` is the first line of the island of
     lines no more than ``gap`` apart that ``line`` belongs to.
 
@@ -205,13 +205,13 @@ def line_islands(findings: DataFrame, gap: int = NEARBY_LINES, checkpoint: bool
     return out
 
 
-def merge_nearby(findings: DataFrame, gap: int = NEARBY_LINES, checkpoint: bool = True) -> DataFrame:
+def merge_nearby(findings: DataFrame, gap: int = NEARBY_LINES) -> DataFrame:
     """H2: findings of one file whose lines are within ``gap`` of each other
     (transitively: chains merge) become one finding with the highest
     severity; its line is the island's first line, ``line_end`` the last,
     ``issue`` all distinct texts joined with ``; `` in the order of their first
     lines (then by text).  Equal texts are one row before they are joined."""
-    isl = line_islands(findings, gap, checkpoint)
+    isl = line_islands(findings, gap)
     j = findings.join(isl, ["file", "line"])
     texts = (j.groupBy("file", "start", "issue")
              .agg(F.min("line").alias("line"), F.max("line").alias("line_end"),

@@ -147,13 +147,6 @@ def stem_map(terms: DataFrame, stemmer: str = "porter", col: str = "term") -> Da
     return terms.select(col).distinct().mapInPandas(run, "term string, stem string")
 
 
-def stem_postings(postings: DataFrame, stemmer: str = "porter") -> DataFrame:
-    """Re-key partially aggregated postings (term, id, tf, dl) by stem."""
-    m = stem_map(postings, stemmer)
-    return (postings.join(m, "term").groupBy(F.col("stem").alias("term"), "id", "dl")
-            .agg(F.sum("tf").alias("tf")).select("term", "id", "tf", "dl"))
-
-
 def stem_column(df: DataFrame, col: str, stemmer: str = "porter") -> DataFrame:
     """Stem a string column of a small frame (query terms)."""
     fn = STEMMERS[stemmer]

@@ -175,14 +175,6 @@ def run_summary(prs: DataFrame, comments: DataFrame, reviews: DataFrame,
     return out
 
 
-def run_totals(summary: DataFrame) -> DataFrame:
-    """A12 totals as one row (prs, comments, reviews, repos)."""
-    return summary.agg(F.count(F.lit(1)).alias("prs"),
-                       F.coalesce(F.sum("comments"), F.lit(0)).cast("long").alias("comments"),
-                       F.coalesce(F.sum("reviews"), F.lit(0)).cast("long").alias("reviews"),
-                       F.count_distinct("repo").alias("repos"))
-
-
 # ---- A14 -----------------------------------------------------------------------
 NOT_NULL = {
     "pull_requests": ["id", "repo", "number", "title", "user_login", "created_at", "updated_at", "html_url"],
