@@ -12,7 +12,8 @@ k ln k darts whatever the size of the set.
 Words are runs of anything but space and \\t to \\r; shingles are five words (a
 shorter text is one shingle).  Defined results: a null, empty or blank text has
 no shingle and is a class of its own; so is a row without doc_id (its class is
-null); rows of one doc_id are one document; texts of equal words are copies.
+null); rows of one doc_id are one document; texts of equal words are copies; an empty
+table has no classes; other columns are not read.
 """
 
 from __future__ import annotations
@@ -316,8 +317,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         cand = stored(known.join(main.select("key", "main"), "key"), "dart-buckets")
         if facts is None:
             facts = _linkable(cand.select("id").distinct(), sh, threshold)
-            marks = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))
-            sketches = real.select(F.col("doc_id").alias("id"), "sketch", marks.alias("marks")).dropDuplicates(["id"])
+            sketches = real.select(F.col("doc_id").alias("id"), "sketch", "bands").dropDuplicates(["id"])
             facts = stored(facts.join(sketches, "id"), "dart-facts")
             cand = cand.join(facts.select("id"), "id", "left_semi")
         left = cand.filter("comp != main")
@@ -331,10 +331,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         done.append(turn.select("key", "id"))
         side = lambda df, v: (df.join(facts, "id").select("key", F.col("id").alias(v), F.col("comp").alias("c" + v),
                                                           F.col("n").alias("n" + v), F.col("shared").alias("s" + v),
-                                                          F.col("sketch").alias("k" + v), F.col("marks").alias("m" + v)))
-        # a pair is taken in the first bucket that both share, and once if both represent
-        others = side(cand, "y").join(turn.select("key", F.col("id").alias("y"), F.lit(True).alias("also")), ["key", "y"], "left")
-        once = ((F.get(F.array_intersect("mx", "my"), F.lit(0)) == F.shiftright("key", 32).cast("int"))
+                                                          F.col("sketch").alias("k" + v), F.col("bands").alias("m" + v)))
+        # a pair is taken in the first bucket that both share, and once if both represent; only buckets with a
+        # representative of a component that a member is not in can give one
+        mixed = turn.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        near = cand.join(mixed, "key").filter("low != high OR comp != low").select("key", "id", "comp")
+        others = side(near, "y").join(turn.select("key", F.col("id").alias("y"), F.lit(True).alias("also")), ["key", "y"], "left")
+        once = ((F.get(F.array_intersect("mx", "my"), F.lit(0)) == F.col("key"))
                 & (F.col("also").isNull() | (F.col("x") < F.col("y"))))
         new = (side(turn, "x").join(others, "key").filter(F.col("cx") != F.col("cy")).filter(possible).filter(once)
                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
