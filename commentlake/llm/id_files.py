@@ -2,7 +2,7 @@
 
 A file holds groups of blocks and, at its end, a table of its documents.  Each
 block starts from an empty model and has checksums of its bytes and ids, so any
-block can be read, and damage found, alone.  Within a block three predictions of
+block can be read (``IdFile.read_block``), and damage found, alone.  Within a block three predictions of
 the next id are mixed: the id that last followed the two ids before it (order
 2), the one that last followed the id before it (order 1), and the frequencies
 of ids so far (order 0).  How often the first two were right in the same state
@@ -16,7 +16,9 @@ kinds, which bounds the memory.
 
 Defined results: a null text is the empty text; a document without ids is kept
 with its length 0; documents of one doc_id stay together in input order of the
-sort; a null doc_id sorts first; a wrong checksum raises an error.
+sort; a null doc_id sorts first; a wrong checksum raises an error, or, if asked for,
+leaves out the documents that the block holds ids of and reads the others; an empty
+table has no files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -178,30 +181,63 @@ def _unsettled_at(low: np.ndarray, span: np.ndarray, at: np.ndarray) -> np.ndarr
     return out
 
 
-def decode_group(data: memoryview) -> tuple[np.ndarray, int]:
-    """The ids of the group that ``data`` begins with, and its length in bytes."""
-    first, n, symbols, lanes = struct.unpack_from("<IIII", data)
-    at = 16
-    alphabet = np.frombuffer(data, "<u4", symbols, at).astype(np.uint32).cumsum(dtype=np.uint32) + np.uint32(first)
-    at += 4 * symbols
-    heads = np.frombuffer(data, "<u4", 3 * lanes, at).reshape(lanes, 3)
-    at += 12 * lanes
-    longest = int(heads[:, 0].max()) // 2
-    words = np.zeros((lanes, longest + 8), np.uint64)
-    for k, (length, crc, _) in enumerate(heads.tolist()):
-        body = data[at:at + length]
-        if len(body) != length or zlib.crc32(body) != crc:
-            raise ValueError(f"block {k} is damaged")
-        words[k, :length // 2] = np.frombuffer(body, "<u2")
-        at += length
-    size = np.full(lanes, BLOCK)
-    size[-1] = n - BLOCK * (lanes - 1)
+class Damage(ValueError):
+    """Blocks that cannot be read; ``blocks`` are their numbers in the group."""
+
+    def __init__(self, blocks: list[int]):
+        super().__init__(f"damaged blocks: {blocks[:20]}")
+        self.blocks = blocks
+
+
+@dataclass(frozen=True)
+class Head:
+    """What stands before the blocks of a group."""
+    ids: int
+    alphabet: np.ndarray
+    heads: np.ndarray          # bytes, checksum of these and of the ids of each block
+    size: int
+
+    @classmethod
+    def of(cls, data: memoryview) -> Head:
+        first, n, symbols, lanes = struct.unpack_from("<IIII", data)
+        alphabet = np.frombuffer(data, "<u4", symbols, 16).astype(np.uint32).cumsum(dtype=np.uint32) + np.uint32(first)
+        heads = np.frombuffer(data, "<u4", 3 * lanes, 16 + 4 * symbols).reshape(lanes, 3)
+        if not 0 < symbols or lanes != -(-n // BLOCK):
+            raise ValueError("the head of a group is damaged")
+        return cls(n, alphabet, heads, 16 + 4 * symbols + 12 * lanes)
+
+    def ids_in(self, k: int) -> int:
+        return min(BLOCK, self.ids - BLOCK * k)
+
+    def place(self, k: int) -> tuple[int, int]:
+        """Where block k begins in the group, and its length."""
+        return self.size + int(self.heads[:k, 0].sum(dtype=np.int64)), int(self.heads[k, 0])
+
+
+def decode_blocks(head: Head, bodies: dict[int, bytes]) -> tuple[dict[int, np.ndarray], list[int]]:
+    """The ids of some blocks of a group, side by side, and the numbers of those that
+    are damaged."""
+    sound = sorted(k for k, body in bodies.items()
+                   if len(body) == head.heads[k, 0] and zlib.crc32(body) == head.heads[k, 1])
+    out = dict(zip(sound, _decoded([bodies[k] for k in sound], [head.ids_in(k) for k in sound], head.alphabet), strict=True))
+    wrong = [k for k, ids in out.items() if zlib.crc32(ids.astype("<u4").tobytes()) != head.heads[k, 2]]
+    return {k: ids for k, ids in out.items() if k not in wrong}, sorted({*bodies} - {*sound} | {*wrong})
+
+
+def _decoded(bodies: list[bytes], sizes: list[int], alphabet: np.ndarray) -> list[np.ndarray]:
+    """The ids of blocks, of which only the last may be shorter than the others."""
+    lanes, symbols, size = len(bodies), len(alphabet), sizes
+    if not lanes:
+        return []
+    words = np.zeros((lanes, max(map(len, bodies)) // 2 + 8), np.uint64)
+    for k, body in enumerate(bodies):
+        words[k, :len(body) // 2] = np.frombuffer(body, "<u2", len(body) // 2)
     model = _Model(lanes, symbols)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     code, count = np.zeros(lanes, np.uint64), np.full(lanes, 4)
     for k in range(4):
         code = (code << _u(16)) | words[:, k]
-    grid = np.zeros((BLOCK, lanes), np.int32)
+    grid = np.zeros((size[0], lanes), np.int32)
     flat, steps = words.reshape(-1), max(1, (symbols - 1).bit_length())
     for t in range(size[0]):
         m = lanes if t < size[-1] else lanes - 1
@@ -239,11 +275,18 @@ def decode_group(data: memoryview) -> tuple[np.ndarray, int]:
             low[go] <<= _u(16)
             span[go] <<= _u(16)
             go = go[_unsettled_at(low, span, go)]
-    ids = alphabet[grid.T.reshape(-1)[:n]]
-    for k, crc in enumerate(heads[:, 2].tolist()):
-        if zlib.crc32(ids[k * BLOCK:(k + 1) * BLOCK].astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {k} does not give its ids")
-    return ids, at
+    return [alphabet[grid[:n, k]] for k, n in enumerate(size)]
+
+
+def decode_group(data: memoryview) -> tuple[np.ndarray, int]:
+    """The ids of the group that ``data`` begins with, and its length in bytes;
+    raises Damage if a block is damaged."""
+    head = Head.of(data)
+    places = [head.place(k) for k in range(len(head.heads))]
+    ids, wrong = decode_blocks(head, {k: bytes(data[at:at + n]) for k, (at, n) in enumerate(places)})
+    if wrong:
+        raise Damage(wrong)
+    return np.concatenate([ids[k] for k in range(len(places))]), places[-1][0] + places[-1][1]
 
 
 def lanes_for(ids: np.ndarray) -> int:
@@ -267,7 +310,7 @@ def write_ids(stream, documents: Iterator[tuple[int | None, bytes]]) -> tuple[in
         while len(data) >= cut or final and data:
             group = encode_group(np.frombuffer(data[:cut], "<u4"))
             stream.write(group)
-            groups.append((at, len(group)))
+            groups.append((at, len(group), min(len(data), cut) // 4))
             at += len(group)
             data = data[cut:]
         parts, held = [data] if data else [], len(data)
@@ -289,32 +332,80 @@ def write_ids(stream, documents: Iterator[tuple[int | None, bytes]]) -> tuple[in
     return len(keys), total
 
 
-def read_ids(stream, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) in file order; ``stream`` can seek and is ``size`` long."""
-    tail = struct.calcsize("<QQQI") + len(MAGIC)
-    stream.seek(size - tail)
-    last = stream.read(tail)
-    docs, groups, length, crc = struct.unpack_from("<QQQI", last)
-    stream.seek(size - tail - length)
-    packed = stream.read(length)
-    if last[-len(MAGIC):] != MAGIC or zlib.crc32(packed) != crc:
-        raise ValueError("the table of documents is damaged")
-    foot = zlib.decompress(packed)
-    keys = np.frombuffer(foot, "<i8", docs)
-    null = np.frombuffer(foot, np.uint8, docs, 8 * docs)
-    lengths = np.frombuffer(foot, "<u8", docs, 9 * docs).astype(np.int64)
-    places = np.frombuffer(foot, "<u8", 2 * groups, 17 * docs).reshape(groups, 2).tolist()
-    held, k = np.empty(0, np.uint32), 0
-    for at, n in [*places, (0, 0)]:
-        if n:
-            stream.seek(at)
-            held = np.concatenate([held, decode_group(memoryview(stream.read(n)))[0]])
+class IdFile:
+    """A written file; ``stream`` can seek and is ``size`` bytes long."""
+
+    def __init__(self, stream, size: int):
+        self.stream = stream
+        tail = struct.calcsize("<QQQI") + len(MAGIC)
+        last = self._bytes(size - tail, tail)
+        docs, groups, length, crc = struct.unpack_from("<QQQI", last)
+        packed = self._bytes(size - tail - length, length) if last[-len(MAGIC):] == MAGIC else b""
+        if zlib.crc32(packed) != crc or last[-len(MAGIC):] != MAGIC:
+            raise ValueError("the table of documents is damaged")
+        foot = zlib.decompress(packed)
+        self.keys = np.frombuffer(foot, "<i8", docs)
+        self.null = np.frombuffer(foot, np.uint8, docs, 8 * docs)
+        self.lengths = np.frombuffer(foot, "<u8", docs, 9 * docs).astype(np.int64)
+        #: Where each group begins, its bytes and its ids.
+        self.groups = np.frombuffer(foot, "<u8", 3 * groups, 17 * docs).reshape(groups, 3).astype(np.int64).tolist()
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.stream.seek(at)
+        return self.stream.read(n)
+
+    def read_block(self, group: int, block: int) -> np.ndarray:
+        """The ids of one block; only the group's head and the block are read."""
+        at, length, _ = self.groups[group]
+        symbols, lanes = struct.unpack("<II", self._bytes(at + 8, 8))
+        head = Head.of(memoryview(self._bytes(at, min(length, 16 + 4 * symbols + 12 * lanes))))
+        start, n = head.place(block)
+        ids, wrong = decode_blocks(head, {block: self._bytes(at + start, n)})
+        if wrong:
+            raise Damage(wrong)
+        return ids[block]
+
+    def read_group(self, group: int) -> tuple[np.ndarray, list[int]]:
+        """The ids of a group and its damaged blocks, whose ids are 0."""
+        at, length, n = self.groups[group]
+        data, out = memoryview(self._bytes(at, length)), np.zeros(n, np.uint32)
+        every = list(range(-(-n // BLOCK)))
+        try:
+            head = Head.of(data)
+            if head.ids != n or sum(head.place(every[-1])) > length:
+                return out, every
+            bodies = {k: bytes(data[p:p + m]) for k in every for p, m in [head.place(k)]}
+        except (ValueError, struct.error):
+            return out, every
+        ids, wrong = decode_blocks(head, bodies)
+        for k, part in ids.items():
+            out[k * BLOCK:k * BLOCK + len(part)] = part
+        return out, wrong
+
+
+def read_ids(stream, size: int, damaged: list[tuple[int, int]] | None = None) -> Iterator[tuple[int | None, np.ndarray | None]]:
+    """(doc_id, ids) in file order.  Damage raises; with a list ``damaged`` its blocks
+    (group, block) go there, documents that they hold ids of come with None, and all
+    others are read."""
+    file = IdFile(stream, size)
+    held, sound, k, docs = np.empty(0, np.uint32), np.empty(0, bool), 0, len(file.keys)
+    for g in range(len(file.groups) + 1):
+        if g < len(file.groups):
+            ids, wrong = file.read_group(g)
+            if wrong and damaged is None:
+                raise Damage(wrong)
+            ok = np.ones(len(ids), bool)
+            for block in wrong:
+                damaged.append((g, block))
+                ok[block * BLOCK:(block + 1) * BLOCK] = False
+            held, sound = np.concatenate([held, ids]), np.concatenate([sound, ok])
         pos = 0
-        while k < docs and pos + lengths[k] <= len(held):
-            yield None if null[k] else int(keys[k]), held[pos:pos + lengths[k]]
-            pos += lengths[k]
+        while k < docs and pos + file.lengths[k] <= len(held):
+            end = pos + file.lengths[k]
+            yield None if file.null[k] else int(file.keys[k]), held[pos:end] if sound[pos:end].all() else None
+            pos = end
             k += 1
-        held = held[pos:]
+        held, sound = held[pos:], sound[pos:]
     if k != docs or len(held):
         raise ValueError("documents and ids do not agree")
 
