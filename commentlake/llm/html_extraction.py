@@ -17,7 +17,9 @@ with the first text or element that cannot be in a head.
 
 Defined results: a null or empty page has the empty text; elements left open
 end with the page or with the next block of their kind; equal pages get equal
-texts; very long pages are cut like others, nothing is dropped or capped.
+texts; very long pages are cut like others, nothing is dropped or capped; an empty
+table gives no rows and zero weights; other columns pass through, but one that has the
+name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import first_by_hash, table
 
 #: Pages that the block classifier is fitted on, at most, chosen by hash.
 TRAIN_PAGES = 300
@@ -66,58 +68,88 @@ _BAD = re.compile(r"(?:^|[\s_-])(ads?|adverts?|advertisement|banners?|sponsor(?:
 _GOOD = re.compile(r"(?:^|[\s_-])(article|content|post|entry|story|main|body-text|post-body|entry-content)(?:$|[\s_-])", re.I)
 
 
+class _Node:
+    """An element that parts blocks, by its place in the tree; the root has depth 0."""
+    __slots__ = ("up", "depth", "tag")
+
+    def __init__(self, up: _Node | None, tag: str):
+        self.up, self.tag = up, tag
+        self.depth = up.depth + 1 if up else 0
+
+
+class _Tell:
+    """A telling element: what it says, and the next one around it."""
+    __slots__ = ("up", "kinds", "held", "known")
+
+    def __init__(self, up: _Tell | None, kinds: tuple):
+        self.up, self.kinds, self.held, self.known = up, kinds, 0, (0.0, -1)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple            # numbers of the open elements, outermost first
-    tag: str               # of the innermost block element
+    node: _Node            # the innermost block element around it
     prior: float           # what elements and names say: log-odds
     linked: float          # share of the characters inside links
     weak: int              # 1 content, 0 boilerplate, -1 unknown
 
+    @property
+    def tag(self) -> str:
+        return self.node.tag
 
-@dataclass
+
+@dataclass(slots=True)
 class _Open:
     tag: str
-    number: int
-    tells: tuple           # (number, kinds) of the telling elements around, outermost first
+    tell: _Tell | None     # the innermost telling element
     hidden: bool
 
 
-@dataclass
 class _Page:
-    open: list = field(default_factory=list)
-    blocks: list = field(default_factory=list)
-    tells: list = field(default_factory=list)          # of each block
-    parts: list = field(default_factory=list)
-    chars: int = 0
-    linked: int = 0
-    number: int = 0
+    """Open elements, counts of them by tag, and places of those that part blocks:
+    every step takes time in proportion to the elements that it opens or ends."""
+
+    def __init__(self):
+        self.open: list[_Open] = []
+        self.count: dict[str, int] = {}
+        self.places: list[int] = []                        # of block elements in ``open``
+        self.node = _Node(None, "")
+        self.blocks: list[Block] = []
+        self.told: list[_Tell | None] = []                 # of each block
+        self.tells: list[_Tell] = []                       # outer ones first
+        self.parts: list[str] = []
+        self.chars = self.linked = 0
+
+    def cut(self, k: int) -> None:
+        """Ends the open elements from number k on."""
+        for o in self.open[k:]:
+            self.count[o.tag] -= 1
+        while self.places and self.places[-1] >= k:
+            self.places.pop()
+            self.node = self.node.up
+        del self.open[k:]
 
     def text(self, s: str) -> None:
         if self.open and self.open[-1].tag == "head" and s.strip():
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if self.open and self.open[-1].hidden:
             return
         self.parts.append(s)
         n = len(s) - s.count(" ")
         self.chars += n
-        if any(o.tag == "a" for o in self.open):
+        if self.count.get("a"):
             self.linked += n
 
     def flush(self) -> None:
         s = " ".join(html.unescape("".join(self.parts)).split())
         if s:
-            tag = next((o.tag for o in reversed(self.open) if o.tag in BLOCK), "")
-            top = self.open[-1] if self.open else None
-            self.blocks.append(Block(s, tuple(o.number for o in self.open if o.tag in BLOCK), tag,
-                                     0.0, self.linked / max(self.chars, 1), -1))
-            self.tells.append(top.tells if top else ())
+            self.blocks.append(Block(s, self.node, 0.0, self.linked / max(self.chars, 1), -1))
+            self.told.append(self.open[-1].tell if self.open else None)
         self.parts, self.chars, self.linked = [], 0, 0
 
     def begin(self, tag: str, attributes: str) -> None:
         if self.open and self.open[-1].tag == "head" and tag not in IN_HEAD:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if tag in BLOCK:
             self.flush()
             if tag != "p":
@@ -128,7 +160,7 @@ class _Page:
             self.parts.append(" ")
         if tag in VOID or attributes.endswith("/"):
             return
-        up = self.open[-1] if self.open else _Open("", 0, (), False)
+        up = self.open[-1] if self.open else _Open("", None, False)
         kinds = ("content",) if tag in CONTENT else ("boilerplate",) if tag in BOILERPLATE else \
             ("header",) if tag == "header" else ()
         names = " ".join(next(filter(None, m), "") for m in _NAMES.findall(attributes)) if "=" in attributes else ""
@@ -137,66 +169,62 @@ class _Page:
                 kinds += ("bad",)
             elif _GOOD.search(names):
                 kinds += ("good",)
-        self.number += 1
-        self.open.append(_Open(tag, self.number, up.tells + ((self.number, kinds),) if kinds else up.tells,
-                               up.hidden or tag in HIDDEN))
+        tell = up.tell
+        if kinds:
+            tell = _Tell(tell, kinds)
+            self.tells.append(tell)
+        if tag in BLOCK:
+            self.places.append(len(self.open))
+            self.node = _Node(self.node, tag)
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.open.append(_Open(tag, tell, up.hidden or tag in HIDDEN))
 
     def judge(self) -> None:
         """Sets prior and weak label of each block by the elements around it."""
-        held: dict[int, int] = {}
-        for b, tells in zip(self.blocks, self.tells, strict=True):
-            for number, _ in tells:
-                held[number] = held.get(number, 0) + len(b.text)
+        for b, t in zip(self.blocks, self.told, strict=True):
+            if t:
+                t.held += len(b.text)
+        for t in reversed(self.tells):
+            if t.up:
+                t.up.held += t.held
         layout = LAYOUT * sum(len(b.text) for b in self.blocks)
-        known: dict[tuple, tuple] = {(): (0.0, -1)}
-
-        def of(tells: tuple) -> tuple[float, int]:
-            done = len(tells)
-            while tells[:done] not in known:
-                done -= 1
-            prior, weak = known[tells[:done]]
-            for k in range(done, len(tells)):
-                number, kinds = tells[k]
-                wide, own, tell = held[number] >= layout, 0.0, False
-                for kind in kinds:
-                    if kind == "header":
-                        if weak == 1:
-                            continue
-                        kind = "boilerplate"
-                    if wide and kind in ("boilerplate", "bad"):
+        for t in self.tells:
+            prior, weak = t.up.known if t.up else (0.0, -1)
+            wide, own, tell = t.held >= layout, 0.0, False
+            for kind in t.kinds:
+                if kind == "header":
+                    if weak == 1:
                         continue
-                    own, tell = own + PRIOR[kind], True
-                    if kind == "content":
-                        weak = 1 if weak != 0 else 0
-                    elif kind == "boilerplate":
-                        weak = 0
-                    elif kind == "bad" and weak == 1:
-                        weak = -1
-                if tell:
-                    prior = min(max(own, PRIOR["bad"]), PRIOR["content"])
-                known[tells[:k + 1]] = (prior, weak)
-            return prior, weak
-
-        for b, tells in zip(self.blocks, self.tells, strict=True):
-            b.prior, b.weak = of(tells)
+                    kind = "boilerplate"
+                if wide and kind in ("boilerplate", "bad"):
+                    continue
+                own, tell = own + PRIOR[kind], True
+                if kind == "content":
+                    weak = 1 if weak != 0 else 0
+                elif kind == "boilerplate":
+                    weak = 0
+                elif kind == "bad" and weak == 1:
+                    weak = -1
+            if tell:
+                prior = min(max(own, PRIOR["bad"]), PRIOR["content"])
+            t.known = (prior, weak)
+        for b, t in zip(self.blocks, self.told, strict=True):
+            if t:
+                b.prior, b.weak = t.known
 
     def end_open(self, tags) -> None:
-        """Ends the innermost open element of ``tags``, unless a list, table or
-        section stands between."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in BLOCK:
-                return
+        """Ends the innermost open block element if it is one of ``tags``."""
+        if self.places and self.open[self.places[-1]].tag in tags:
+            self.cut(self.places[-1])
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.count.get(tag):
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k].tag == tag:
+                    self.cut(k)
+                    return
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -311,18 +339,21 @@ def min_cut(unary: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarra
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours in the page, stronger the more of their path
-    they share, and between neighbours under one parent."""
+    they share, and between neighbours under one parent.  Looking for what two
+    neighbours share passes the elements that end or begin between them only."""
     out, last = [], {}
     for k, b in enumerate(blocks):
+        depth = b.node.depth
         if k:
-            a = blocks[k - 1]
-            common = 0
-            for x, y in zip(a.path[:-1], b.path[:-1], strict=False):
-                if x != y:
-                    break
-                common += 1
-            out.append((k - 1, k, 0.2 + 0.8 * common / max(len(a.path), len(b.path), 1)))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            x, y, deepest = blocks[k - 1].node, b.node, max(blocks[k - 1].node.depth, depth)
+            most = min(x.depth, y.depth) - 1               # the blocks' own elements do not count
+            while x is not y:
+                if x.depth >= y.depth:
+                    x, y = x.up, y if x.depth > y.depth else y.up
+                else:
+                    y = y.up
+            out.append((k - 1, k, 0.2 + 0.8 * max(0, min(x.depth, most)) / max(deepest, 1)))
+        parent = b.node.up if depth > 1 else None
         if last.get(parent, k - 1) != k - 1:
             out.append((last[parent], k, 0.5))
         last[parent] = k
@@ -352,7 +383,7 @@ def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> np.ndarray:
                 rows += [(k.weak, list(x)) for k, x in zip(blocks, features(blocks), strict=True) if k.weak >= 0]
             yield pd.DataFrame(rows, columns=["y", "x"])
 
-    chosen = pages.select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(limit)
+    chosen = first_by_hash(pages.select("page_id"), ["page_id"], limit)
     sample = pages.select("page_id", "html").join(F.broadcast(chosen.select("page_id").distinct()), "page_id", "left_semi")
     got = sample.select("html").mapInPandas(run, schema).toPandas()
     if got.empty:

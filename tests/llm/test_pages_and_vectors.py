@@ -2,6 +2,8 @@
 
 import hashlib
 
+import time
+
 import numpy as np
 import pytest
 
@@ -165,3 +167,20 @@ def test_open_heads_and_layout_wrappers_keep_the_article(spark):
         page = PAGE.replace("<article>", begin + "<article>").replace("</article>", "</article>" + end)
         assert html_extraction.content(page, w) == TEXT, begin
     assert all(abs(b.prior) < html_extraction.RANGE for b in html_extraction.blocks_of(PAGE))
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    """Elements left open, end tags of none, unending inline elements."""
+    w = np.zeros(len(html_extraction.FEATURES))
+    for soup in ("<div>x", "<div class='post a'>x", "<b>x</i>", "<div><b>x</span><h1>y", "<ul><li>x<table><td>y"):
+        start = time.monotonic()
+        text = html_extraction.content(soup * 100_000, w)
+        assert time.monotonic() - start < 20 and len(text) >= 100_000
+
+
+def test_shared_path_of_neighbours():
+    """Strength of an edge: block elements that two neighbours share, of the deeper one's."""
+    blocks = html_extraction.blocks_of("<div><section><p>a<p>b</section><p>c</div>d")
+    assert [b.text for b in blocks] == ["a", "b", "c", "d"] and [b.node.depth for b in blocks] == [3, 3, 2, 0]
+    near = {(a, b): c for a, b, c in html_extraction.smoothness(blocks)}
+    assert near == {(0, 1): 0.2 + 0.8 * 2 / 3, (1, 2): 0.2 + 0.8 * 1 / 3, (2, 3): 0.2, }
