@@ -13,7 +13,8 @@ the task to keep its components together.
 Defined results: a vector that is null, empty, zero or holds a null or
 non-finite component has no links and is its own component; so is a valid one
 without vec_id (component null); vectors of different length never link;
-repeated rows are vectors of their own, linked with cosine 1.
+repeated rows are vectors of their own, linked with cosine 1; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ known in words never seen.  A feature's value is its share of the n-grams of its
 kind, which makes a score the mean weight of a text's n-grams whatever its length.
 
 Defined results: a null, empty or blank text has the intercept's score; without
-labels all scores are 0.5; repeated rows score alike; other columns are not read.
+labels all scores are 0.5; repeated rows score alike; an empty table gives no rows;
+other columns pass through ``score``, but one that has the name of the result is
+replaced; the query does not read them.
 """
 
 from __future__ import annotations

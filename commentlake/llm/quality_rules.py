@@ -8,7 +8,8 @@ removes what it covers and goes on until no rule is precise enough.
 
 Defined results: a null or empty text has all statistics 0 and fails the base
 rule; without labelled rows the list is empty and only the base rule rejects;
-repeated rows are judged alike; other columns pass through untouched.
+repeated rows are judged alike; an empty table gives no rows; other columns pass
+through untouched.
 """
 
 from __future__ import annotations

@@ -3,19 +3,23 @@
 Candidates are runs of 16 or more characters of [A-Za-z0-9_+/-] with a digit or
 a capital after the first character.  The forest sees their length, character
 classes and transitions, how much of them a dictionary covers, path marks and
-neighbouring words.  It is trained on labelled findings; where the caller has
-none, findings are labelled by the shapes below: formats that providers document
-assignments to a credential's name and passwords of addresses are secrets; plain
-numbers, plain words, identifiers of known form and parts of paths and addresses
-are not, unless they are assigned to such a name.  The others are left to the
-forest.
+neighbouring words.  It is trained on labelled findings of the caller and then judges
+all candidates.  Where the caller has none, findings are labelled by the shapes
+below: formats that providers document, assignments to a credential's name and
+passwords of addresses are secrets; plain numbers, plain words, identifiers of known
+form and parts of paths and addresses are not, unless they are assigned to such a
+name.  These labels stand; the forest learns from them without the features that the
+shapes read (SHAPED) and judges the candidates that no shape knows.
+
+Shorter secrets, and those with other characters, are no candidates.
 
 All work on texts and findings is done by DataFrame functions; the trained trees
 become one conditional expression, so texts can be redacted in a projection.
 
 Defined results: a null or empty text has no findings; a candidate that occurs
 twice is two findings; without labelled findings of both kinds there is no
-forest and the shapes alone decide; other columns pass through untouched.
+forest and the shapes alone decide; an empty table has no findings and an empty
+dictionary; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import first_by_hash, fresh, stored, table
 
 #: Bounds of what is fitted: labelled findings, words of the dictionary.
 TRAIN_FINDINGS, DICTIONARY_WORDS = 20_000, 5_000
@@ -56,6 +60,9 @@ FEATURES = ["length", "digits", "uppers", "lowers", "others", "transitions", "re
             "vowels", "dictionary", "slashes", "path", "address", "named", "assigned", "quoted", "near_word", "format", "password"]
 
 
+SHAPED = ("path", "address", "named", "assigned", "format", "password")
+
+
 def candidates(text: Column, words: Column) -> Column:
     """Array of (core, word, prev1, prev2, next) of a text; ``words`` is the
     text parted at BLANK."""
@@ -131,22 +138,26 @@ def shape_label(c: Column) -> Column:
 @dataclass(frozen=True)
 class Scanner:
     """The fitted part: a dictionary and the trees, each a nested tuple
-    (feature, threshold, tree up to it, tree above it) or a vote."""
+    (number in ``features``, threshold, tree up to it, tree above it) or a vote.
+    ``shapes``: labels by shape stand, the trees judge the rest."""
     dictionary: str
     trees: tuple
+    features: tuple = tuple(FEATURES)
+    shapes: bool = False
 
     def score(self, c: Column) -> Column:
         """The share of trees that vote for a secret; ``c`` has FEATURES and label."""
         def column(t) -> Column:
             if isinstance(t, float):
                 return F.lit(t)
-            return F.when(c[FEATURES[t[0]]] <= t[1], column(t[2])).otherwise(column(t[3]))
+            return F.when(c[self.features[t[0]]] <= t[1], column(t[2])).otherwise(column(t[3]))
+        known = c["label"].cast("double")
         if not self.trees:
-            return F.coalesce(c["label"].cast("double"), F.lit(0.0))
+            return F.coalesce(known, F.lit(0.0))
         total = column(self.trees[0])
         for t in self.trees[1:]:
             total = total + column(t)
-        return total / len(self.trees)
+        return F.coalesce(known, total / len(self.trees)) if self.shapes else total / len(self.trees)
 
 
 def parse_trees(text: str) -> tuple:
@@ -174,25 +185,45 @@ def findings(docs: DataFrame) -> DataFrame:
     return with_candidates(docs.select("doc_id", "text"), out).select("doc_id", F.posexplode(out).alias("nth", "c"))
 
 
+#: Classes of word counts to a doubling.
+COUNT_CLASSES = 32
+
+
 def dictionary_of(docs: DataFrame) -> str:
     """The words of 4 or more letters that most of all documents have, at most
-    DICTIONARY_WORDS of them, blank-separated."""
+    DICTIONARY_WORDS of them, blank-separated.  Word counts fall into COUNT_CLASSES
+    classes to a doubling; the highest classes are taken that have so many words
+    together, so the driver gets a row a class and the words themselves."""
     words = (docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,20})"), 1))).alias("w"))
-             .groupBy("w").count().filter("count > 1").orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS))
-    return " " + " ".join(r["w"] for r in words.collect()) + " "
-
-
-def train(found: DataFrame, dictionary: str) -> Scanner:
-    """A forest on at most TRAIN_FINDINGS labelled findings, chosen by hash."""
-    rows = (found.filter("label IS NOT NULL").select("f.*", F.col("label").cast("double"), "doc_id", "nth")
-            .orderBy(F.xxhash64("doc_id", "nth")).limit(TRAIN_FINDINGS).drop("doc_id", "nth"))
+             .groupBy("w").count().filter("count > 1")
+             .select("w", F.floor(F.log2("count") * COUNT_CLASSES).alias("class")))
+    words = stored(words, "secret-words")
+    sizes = {r["class"]: r["count"] for r in words.groupBy("class").count().collect()}
+    least, total = None, 0
+    for c in sorted(sizes, reverse=True):
+        total += sizes[c]
+        if total > DICTIONARY_WORDS:
+            break
+        least = c
+    if least is None:
+        return " "
+    chosen = words.filter(F.col("class") >= least).select("w").collect()
+    return " " + "".join(w + " " for w in sorted(r["w"] for r in chosen))
+
+
+def train(found: DataFrame, dictionary: str, shapes: bool) -> Scanner:
+    """A forest on at most TRAIN_FINDINGS labelled findings, chosen by hash;
+    ``found``: described findings.  ``shapes``: their labels come from the shapes."""
+    names = tuple(f for f in FEATURES if not (shapes and f in SHAPED))
+    rows = first_by_hash(found.filter("label IS NOT NULL").select("f.*", F.col("label").cast("double"), "doc_id", "nth"),
+                         ["doc_id", "nth"], TRAIN_FINDINGS).drop("doc_id", "nth")
     rows = stored(rows, "secret-training")
     if rows.select("label").distinct().count() < 2:
-        return Scanner(dictionary, ())
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label")
+        return Scanner(dictionary, (), names, shapes)
+    data = VectorAssembler(inputCols=list(names), outputCol="features").transform(rows).select("features", "label")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, featureSubsetStrategy="onethird",
                                     maxMemoryInMB=64, subsamplingRate=0.8).fit(data)
-    return Scanner(dictionary, parse_trees(forest.toDebugString))
+    return Scanner(dictionary, parse_trees(forest.toDebugString), names, shapes)
 
 
 def described(found: DataFrame, dictionary: str) -> DataFrame:
@@ -200,11 +231,23 @@ def described(found: DataFrame, dictionary: str) -> DataFrame:
                         F.struct(*features(F.col("c"), dictionary)).alias("f"), shape_label(F.col("c")).alias("label"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scanner, DataFrame]:
-    """The scanner, and the described findings of all ``docs`` (stored)."""
+def fit(docs: DataFrame, labelled: DataFrame | None = None) -> tuple[Scanner, DataFrame]:
+    """The scanner, and the described findings of all ``docs`` (stored).  ``labelled``:
+    (doc_id, nth, label) of findings that are known to be secrets (1) or not (0)."""
     dictionary = dictionary_of(docs)
     found = stored(described(stored(findings(docs), "secret-candidates"), dictionary), "secret-findings")
-    return train(found, dictionary), found
+    if labelled is None:
+        return train(found, dictionary, shapes=True), found
+    known = found.drop("label").join(labelled.select("doc_id", "nth", "label"), ["doc_id", "nth"])
+    return train(known, dictionary, shapes=False), found
+
+
+def quality(scanner: Scanner, found: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row (n, precision, recall) over the labelled findings (doc_id, nth, label)."""
+    judged = scored(scanner, found).join(labelled.select("doc_id", "nth", F.col("label").alias("truth")), ["doc_id", "nth"])
+    said, true = F.col("score") >= threshold, F.col("truth") == 1
+    return judged.agg(F.count("*").alias("n"), F.try_divide(F.count_if(said & true), F.count_if(said)).alias("precision"),
+                      F.try_divide(F.count_if(said & true), F.count_if(true)).alias("recall"))
 
 
 def scored(scanner: Scanner, found: DataFrame) -> DataFrame:
@@ -231,7 +274,7 @@ def redact(docs: DataFrame, scanner: Scanner, threshold: float = 0.5) -> DataFra
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanner, found = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scanner, found = fit(table(spark, sf_dir, "documents"))
     return scored(scanner, found).select("doc_id", "nth", F.length("secret").alias("n_chars"),
                                          F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256"), "score",
                                          (F.col("score") >= 0.5).alias("is_secret"))
@@ -239,6 +282,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, secrets masked; n_chars follows the text."""
-    scanner, _ = fit(docs, table(spark, sf_dir, "labels"))
+    scanner, _ = fit(docs)
     out = redact(docs, scanner)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -14,7 +14,8 @@ parted there and bounded memos keep what each part becomes.
 
 Ids are kept as little-endian unsigned 32-bit integers in a binary column.
 Defined results: a null text is the empty text, which has begin and end id
-only; repeated rows get equal ids; other columns pass through untouched.
+only; repeated rows get equal ids; an empty table gives no rows; other columns pass
+through untouched, but one that has the name of the result (``out``) is replaced.
 """
 
 from __future__ import annotations

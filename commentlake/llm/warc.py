@@ -11,7 +11,8 @@ Defined results: a null payload is an empty one; control characters in header
 values become %XX; a null record id stays null; a truncated or foreign record
 raises an error that names file and position, as nothing may be lost silently.
 Of pages with equal payloads all that bear the largest page_id are responses;
-a page without page_id is always a response.
+a page without page_id is always a response.  An empty table writes no records and
+reads back as none; other columns are not read.
 """
 
 from __future__ import annotations

@@ -2,6 +2,10 @@
 
 import collections
 import hashlib
+import io
+import math
+import random
+import re
 import sys
 import zlib
 
@@ -134,14 +138,14 @@ def test_classifier_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
-def test_secrets(spark, odd, labels, none):
-    scanner, found = secret_scan.fit(odd, labels)
+def test_secrets(spark, odd, none):
+    scanner, found = secret_scan.fit(odd)
     hits = [r for r in secret_scan.scored(scanner, found).collect() if r.score >= 0.5]
     assert [(r.doc_id, r.secret) for r in hits] == [(10, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")]
     clean = {(r.doc_id, r.text) for r in secret_scan.redact(odd, scanner).collect()}
     before = {(r.doc_id, r.text) for r in odd.collect()}
     assert len(clean - before) == 1 and '"[SECRET]"' in next(iter(clean - before))[1]
-    scanner, found = secret_scan.fit(none, labels)
+    scanner, found = secret_scan.fit(none)
     assert found.count() == 0 and secret_scan.redact(none, scanner).count() == 0
 
 
@@ -254,6 +258,40 @@ def test_id_blocks_round_trip_and_damage():
         id_files.decode_group(memoryview(bytes(broken)))
 
 
+def test_single_blocks_and_damaged_files():
+    rng = np.random.default_rng(4)
+    docs = [(k if k % 5 else None, (rng.geometric(0.05, rng.integers(0, 9000)) % 900).astype("<u4")) for k in range(40)]
+    out = io.BytesIO()
+    id_files.write_ids(out, ((k, a.tobytes()) for k, a in docs))
+    data = out.getvalue()
+    every = np.concatenate([a for _, a in docs])
+    file = id_files.IdFile(io.BytesIO(data), len(data))
+    blocks = -(-len(every) // id_files.BLOCK)
+    for k in (0, 3, blocks - 1):
+        assert (file.read_block(0, k) == every[k * id_files.BLOCK:(k + 1) * id_files.BLOCK]).all()
+    back = list(id_files.read_ids(io.BytesIO(data), len(data)))
+    assert [k for k, _ in back] == [k for k, _ in docs] and all((a == b).all() for (_, a), (_, b) in zip(back, docs, strict=True))
+    head = id_files.Head.of(memoryview(data)[file.groups[0][0]:])
+    at = file.groups[0][0] + head.place(2)[0] + 5
+    broken = data[:at] + bytes([data[at] ^ 1]) + data[at + 1:]
+    with pytest.raises(id_files.Damage):
+        list(id_files.read_ids(io.BytesIO(broken), len(broken)))
+    damaged = []
+    back = list(id_files.read_ids(io.BytesIO(broken), len(broken), damaged))
+    assert damaged == [(0, 2)]
+    ends = np.cumsum([len(a) for _, a in docs])
+    for (_, got), (_, a), end in zip(back, docs, ends, strict=True):
+        touched = len(a) and end > 2 * id_files.BLOCK and end - len(a) < 3 * id_files.BLOCK
+        assert (got is None) == bool(touched) and (touched or (got == a).all())
+    with pytest.raises(id_files.Damage):
+        id_files.IdFile(io.BytesIO(broken), len(broken)).read_block(0, 2)
+    assert (id_files.IdFile(io.BytesIO(broken), len(broken)).read_block(0, 1) == every[id_files.BLOCK:2 * id_files.BLOCK]).all()
+    at = file.groups[0][0] + 8                                # the number of symbols: the group is lost, nothing else
+    broken = data[:at] + b"\xff\xff\xff\x7f" + data[at + 4:]
+    damaged = []
+    assert all(a is None or not len(a) for _, a in id_files.read_ids(io.BytesIO(broken), len(broken), damaged)) and len(damaged) == blocks
+
+
 def test_memo_is_bounded():
     memo = Memo(len, 10 * Memo.ENTRY)
     assert [memo["x" * (k % 17)] for k in range(500)] == [k % 17 for k in range(500)]
@@ -314,6 +352,138 @@ def test_masks_cover_whole_candidates_only(spark):
     assert got == f"token = [SECRET] secret = [SECRET] and x-{key}-y password=[SECRET]"
 
 
-def test_dictionary_counts_unlabelled_documents(spark, labels):
+def test_dictionary_counts_all_documents(spark):
     df = spark.createDataFrame([(9000 + k, "sanat harvinaiset") for k in range(3)], "doc_id long, text string")
-    assert secret_scan.fit(df, labels)[0].dictionary == " harvinaiset sanat "
+    assert secret_scan.fit(df)[0].dictionary == " harvinaiset sanat "
+
+
+def test_dictionary_keeps_whole_classes_of_counts(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "DICTIONARY_WORDS", 3)
+    texts = ["alpha beta gamma"] * 6 + ["delta gamma"] * 5 + ["epsilon zeta"] * 2 + ["once"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert secret_scan.dictionary_of(df) == " alpha beta gamma "
+    monkeypatch.setattr(secret_scan, "DICTIONARY_WORDS", 2)
+    assert secret_scan.dictionary_of(df) == " gamma "
+
+
+def labelled_findings():
+    """Random keys and what looks like them: identifiers, versions, paths, digests of files."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    nouns = "request handler client server stream buffer config token parser session worker thread".split()
+    rows = []
+    for k in range(900):
+        if k % 2:
+            value, label = "".join(rng.choices(letters, k=rng.randint(20, 40))), 1
+        else:
+            value = "".join(w.title() for w in rng.choices(nouns, k=4)) + str(rng.randint(0, 99))
+            value, label = rng.choice([value, "/".join(["lib", *rng.choices(nouns, k=3)]) + str(rng.randint(1, 9))]), 0
+        rows.append((k, f"see the {rng.choice(nouns)} {rng.choice(['key', 'in', 'at'])} {value} now", label))
+    return rows
+
+
+def test_forest_of_labelled_findings_on_held_out_ones(spark):
+    rows = labelled_findings()
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    truth = df.select("doc_id", F.lit(0).alias("nth"), "label")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scanner, found = secret_scan.fit(df, truth.filter(~fold))
+    assert not scanner.shapes and len(scanner.trees) == secret_scan.TREES
+    q = secret_scan.quality(scanner, found, truth.filter(fold)).first()
+    assert q.n > 100 and q.precision >= 0.95 and q.recall >= 0.95
+    alone, _ = secret_scan.fit(df)                             # without labels, shapes and the rest of the features
+    assert not set(alone.features) & set(secret_scan.SHAPED)
+
+
+def test_candidates_and_features_by_plain_python(spark):
+    rows = labelled_findings()[:120] + [(5000, None, 0), (5001, "", 0), (5002, "a+b/C0_-" * 5 + "==", 0), (5003, "é" * 30 + "A1" * 20, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = [(r.doc_id, r.nth, r.secret, r.f) for r in secret_scan.described(secret_scan.findings(df), " request handler see ").collect()]
+    want = []
+    for doc_id, text, _ in rows:
+        chars = "A-Za-z0-9_+/\\-"
+        cores = []
+        for run in re.findall(f"(?<![{chars}])[{chars}]{{16,}}={{0,2}}", " ".join(re.split(r"[\x20\x09-\x0D]+", text or ""))):
+            body = run.rstrip("=")
+            if re.search("[0-9]", body) or re.search("[A-Z]", body[1:]):
+                cores.append(run)
+        want += [(doc_id, k, c) for k, c in enumerate(cores)]
+    assert sorted((d, n, c) for d, n, c, _ in got) == sorted(want)
+    for _, _, c, f in got:
+        n = len(c)
+        kind = re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", c)))
+        runs = re.findall("[A-Z]?[a-z]{3,}|[A-Z]{4,}", c)
+        expect = {"length": n, "digits": sum(x in "0123456789" for x in c) / n, "uppers": len(re.findall("[A-Z]", c)) / n,
+                  "lowers": len(re.findall("[a-z]", c)) / n, "others": len(re.findall("[^A-Za-z0-9]", c)) / n,
+                  "transitions": sum(a != b and a in "aA0" for a, b in zip(kind, kind[1:], strict=False)) / n,
+                  "repeats": sum(a == b for a, b in zip(c, c[1:], strict=False)) / n, "distinct": len(set(c)) / n,
+                  "hex": float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", c))), "vowels": len(re.findall("[aeiouAEIOU]", c)) / n,
+                  "dictionary": sum(len(r) for r in runs if r.lower() in ("request", "handler", "see")) / n, "slashes": c.count("/")}
+        assert all(abs(f[k] - v) < 1e-12 for k, v in expect.items()), c
+
+
+def test_first_by_hash_is_the_head_of_the_whole_order(spark):
+    from commentlake.llm.common import first_by_hash
+    df = spark.range(5000).select(F.col("id").alias("k"))
+    want = [r.k for r in df.orderBy(F.xxhash64("k"), "k").limit(40).collect()]
+    assert [r.k for r in first_by_hash(df, ["k"], 40).collect()] == want
+    assert first_by_hash(df.limit(0), ["k"], 40).count() == 0
+
+
+def test_ftrl_by_plain_python():
+    """The vectorised trainer against follow-the-regularised-leader written out."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 16, 5)) for _ in range(60)]
+    rows = [(i, rng.random(len(i)) + 0.1) for i in rows]
+    y = np.array([float((i < 8).sum() > (i >= 8).sum()) for i, _ in rows])
+    alpha, beta, l1, l2 = 0.7, 0.05, 1.0, 0.02
+    z, n, w = [0.0] * 17, [0.0] * 17, [0.0] * 17
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(3):
+        for (index, value), label in zip(rows, y, strict=True):
+            x = {**dict(zip(index.tolist(), value.tolist(), strict=True)), 16: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * x[k] for k in x)))
+            for k, v in x.items():
+                g = (p - label) * v
+                sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    got = quality_classifier.train_ftrl(rows, y, 4, 3, alpha, beta, l1, l2)
+    assert np.allclose(got, [weight(k) for k in range(17)], atol=1e-6) and (got == 0).any() and (got != 0).any()
+
+
+def test_stages_on_odd_and_empty_rows(spark, odd, none):
+    """Nulls, repeated ids, extra columns: filters keep columns and rows they do not judge."""
+    d = "/root/testdata/sf0.001"
+    before = sorted(map(repr, odd.collect()))
+    for module in (quality_rules, dart_minhash, secret_scan, mixing):
+        out = module.stage(spark, odd, d)
+        assert out.columns == odd.columns
+        assert module.stage(spark, none, d).count() == 0
+        kept = sorted(map(repr, out.collect()))
+        if module not in (secret_scan, mixing):                # these change texts and numbers of copies
+            assert not collections.Counter(kept) - collections.Counter(before)
+        if module is dart_minhash:                             # one of each class, one of each repeated id, all without id
+            ids = [r.doc_id for r in out.collect()]
+            assert None in ids and ids.count(9) == 1 and {1, 4, 5, 6, 7} <= set(ids) and not {2, 3} & set(ids)
+    last = sentencepiece_codec.stage(spark, odd, d)
+    assert last.count() == odd.count() and {"n_tokens", "ids_sha256", "decoded_sha256", "Key", "size"} <= set(last.columns)
+    assert sentencepiece_codec.stage(spark, none, d).count() == 0
+
+
+def test_near_duplicates_of_no_rows_and_below_the_threshold(spark, none):
+    assert dart_minhash.near_duplicates(none).count() == 0
+    base, rows = words(40, 120), []
+    for k in range(24):                                        # half of them below 0.8 to all others
+        own = list(base)
+        for j in range(1 if k % 2 else 4):
+            own[(k * 5 + j * 25) % 120] = f"new{k}x{j}"
+        rows.append((k, " ".join(own)))
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and 1 < len(set(got.values())) < 24
