@@ -25,6 +25,7 @@ SUMMARY_MAX_CHARS = 200        # report body summary length
 HUNK_MAX_LINES = 6             # report hunk clip
 LONG_URL_MIN = 80              # chars after :// that make a URL "long"
 DEFAULT_LIMIT = 15
+FILE_LABEL, HUNK_LABEL = "File: ", "Code context:\n"      # embedded text
 # -----------------------------------------------------------------------------
 
 # Python's str.isspace() set, as one regex class (valid in Java and RE2).
@@ -99,9 +100,9 @@ def embed_text(path, body, hunk) -> Column:
     path, body, hunk = _c(path), _c(body), _c(hunk)
     return F.concat_ws(
         "\n",
-        F.when(nonempty(path), F.concat(F.lit("File: "), path)),
+        F.when(nonempty(path), F.concat(F.lit(FILE_LABEL), path)),
         F.coalesce(body, F.lit("")),
-        F.when(nonempty(hunk), F.concat(F.lit("Code context:\n"), hunk)),
+        F.when(nonempty(hunk), F.concat(F.lit(HUNK_LABEL), hunk)),
     )
 
 

@@ -22,6 +22,10 @@ from ..session import stored
 DUP_THRESHOLD = 0.7            # Jaccard at or above which a body is a duplicate
 EMPTY_TEXT = "No conventions found."
 GENERAL = "General"            # header for hits whose path has no directory
+FOUND, ACROSS, PLACES = "Found ", " relevant review comments across ", " locations.\n"      # report header
+GROUP_HEAD, GROUP_TAIL, TAGS_LABEL = "--- ", " ---\n", "  tags: "
+COMMENT_LABEL, BY, ON = "Comment #", " by ", " on "                                        # summariser's input
+FILE_LABEL, REVIEW_LABEL, HUNK_LABEL = "  File: ", "  Review: ", "  Code context: "
 # -----------------------------------------------------------------------------
 
 
@@ -64,7 +68,7 @@ def _member_lines(m):
     head = F.concat(F.lit("  ["), m["user_login"], F.lit(" "), tx.day(m["created_at"]), F.lit("]"), loc)
     summary = F.concat(F.lit("  "), tx.summarize_body(m["body"]))
     tag_line = F.when(F.size(m["tags"]) > 0,
-                      F.array(F.concat(F.lit("  tags: "), F.array_join(m["tags"], ", "))))\
+                      F.array(F.concat(F.lit(TAGS_LABEL), F.array_join(m["tags"], ", "))))\
         .otherwise(F.array().cast("array<string>"))
     return F.concat(F.array(head, summary), tag_line, F.array(F.lit("")))
 
@@ -77,17 +81,17 @@ def render_report(hits: DataFrame, queries: DataFrame | None = None, n: int | No
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     g = greedy_dedup(group_by_dir(cap(hits, n)))
     g = g.select("query_id", "dir", F.concat(
-        F.array(F.concat(F.lit("--- "), F.coalesce(F.nullif(F.col("dir"), F.lit("")), F.lit(GENERAL)),
-                         F.lit(" ---\n"))),
+        F.array(F.concat(F.lit(GROUP_HEAD), F.coalesce(F.nullif(F.col("dir"), F.lit("")), F.lit(GENERAL)),
+                         F.lit(GROUP_TAIL))),
         F.flatten(F.transform("members", _member_lines))).alias("lines"))
     per_q = (g.groupBy("query_id")
              .agg(F.count(F.lit(1)).alias("n_groups"),
                   F.array_sort(F.collect_list(F.struct("dir", "lines"))).alias("gs"))
              .join(counts, "query_id"))
     text = F.array_join(F.concat(
-        F.array(F.concat(F.lit("Found "), F.col("n_hits").cast("string"),
-                         F.lit(" relevant review comments across "), F.col("n_groups").cast("string"),
-                         F.lit(" locations.\n"))),
+        F.array(F.concat(F.lit(FOUND), F.col("n_hits").cast("string"),
+                         F.lit(ACROSS), F.col("n_groups").cast("string"),
+                         F.lit(PLACES))),
         F.flatten(F.transform("gs", lambda x: x["lines"]))), "\n")
     out = per_q.select("query_id", F.col("n_hits"), text.alias("report"))
     if queries is not None:
@@ -108,13 +112,13 @@ def prompt_context(hits: DataFrame, n: int | None = None, hunk_lines: int | None
 
     def block(m):
         return F.concat(
-            F.array(F.concat(F.lit("Comment #"), m["pos"].cast("string"), F.lit(" by "), m["user_login"],
-                             F.lit(" on "), tx.day(m["created_at"]), F.lit(":"))),
-            F.when(tx.nonempty(m["path"]), F.array(F.concat(F.lit("  File: "), m["path"])))
+            F.array(F.concat(F.lit(COMMENT_LABEL), m["pos"].cast("string"), F.lit(BY), m["user_login"],
+                             F.lit(ON), tx.day(m["created_at"]), F.lit(":"))),
+            F.when(tx.nonempty(m["path"]), F.array(F.concat(F.lit(FILE_LABEL), m["path"])))
              .otherwise(F.array().cast("array<string>")),
-            F.array(F.concat(F.lit("  Review: "), m["body"])),
+            F.array(F.concat(F.lit(REVIEW_LABEL), m["body"])),
             F.when(tx.nonempty(m["diff_hunk"]),
-                   F.array(F.concat(F.lit("  Code context: "), hunk(m["diff_hunk"]))))
+                   F.array(F.concat(F.lit(HUNK_LABEL), hunk(m["diff_hunk"]))))
              .otherwise(F.array().cast("array<string>")),
             F.array(F.lit("")))
     g = c.groupBy("query_id").agg(F.array_sort(F.collect_list(

@@ -176,6 +176,7 @@ def run_summary(prs: DataFrame, comments: DataFrame, reviews: DataFrame,
 
 
 # ---- A14 -----------------------------------------------------------------------
+# fixed values that must equal the reference's: columns that may not be null
 NOT_NULL = {
     "pull_requests": ["id", "repo", "number", "title", "user_login", "created_at", "updated_at", "html_url"],
     "reviews": ["id", "repo", "pr_number", "user_login", "state", "submitted_at"],

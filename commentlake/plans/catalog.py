@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import stats, tagging
+from ..operators import upsert as upsert_rules
 from ..sources.bindings import PART_IDS, tables
 from . import oracle as O
 
@@ -546,8 +547,10 @@ FROM (SELECT q.query_id, e.comment_id AS id,
 JOIN comments_v c ON c.id = s.id"""))
 def c04_hydrate(spark, d):
     from ..operators import fusion
-    f = f05_cosine(spark, d)
-    return fusion.hydrate(f, tables(spark, d).kb_comments).select("query_id", "rank", "id", "user_login", "repo")
+    from ..operators import postings
+    stats = postings.query_stats(_prepared(spark, d))
+    ranked = fusion.hydrate(f05_cosine(spark, d), tables(spark, d).kb_comments, bound=stats.queries * stats.max_k)
+    return ranked.select("query_id", "rank", "id", "user_login", "repo")
 
 
 @register("c05_tags_for", O.search_sql("""
@@ -721,17 +724,20 @@ def a02_rejects(spark, d):
         F.regexp_extract("line", r'^\{"id":(\d+)', 1).cast("long").alias("id"))
 
 
+_REPO_URL, _REPO_SHORT = O._q(upsert_rules.REPO_URL_RE), O._q(upsert_rules.REPO_SHORT_RE)
+
+
 @register("a07_repo_refs", f"""
 SELECT owner, repo, min(line_no) AS line_no FROM (
   SELECT line_no,
-         CASE WHEN regexp_matches(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")})
-              THEN regexp_extract(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")}, 1)
-              WHEN regexp_matches(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")})
-              THEN regexp_extract(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")}, 1) END AS owner,
-         CASE WHEN regexp_matches(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")})
-              THEN regexp_extract(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")}, 2)
-              WHEN regexp_matches(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")})
-              THEN regexp_extract(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")}, 2) END AS repo
+         CASE WHEN regexp_matches(s, {_REPO_URL})
+              THEN regexp_extract(s, {_REPO_URL}, 1)
+              WHEN regexp_matches(s, {_REPO_SHORT})
+              THEN regexp_extract(s, {_REPO_SHORT}, 1) END AS owner,
+         CASE WHEN regexp_matches(s, {_REPO_URL})
+              THEN regexp_extract(s, {_REPO_URL}, 2)
+              WHEN regexp_matches(s, {_REPO_SHORT})
+              THEN regexp_extract(s, {_REPO_SHORT}, 2) END AS repo
   FROM (SELECT line_no, regexp_replace({O.strip_sql('line')}, '/+$', '') AS s FROM repo_lines_v)
   WHERE s <> '' AND NOT starts_with(s, '#'))
 WHERE owner IS NOT NULL GROUP BY owner, repo""")
@@ -745,8 +751,8 @@ def a07_repo_refs(spark, d):
 SELECT line_no, line FROM (
   SELECT line_no, line, regexp_replace({O.strip_sql('line')}, '/+$', '') AS s FROM repo_lines_v)
 WHERE s <> '' AND NOT starts_with(s, '#')
-  AND NOT regexp_matches(s, {O._q(r"github\.com/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?/?$")})
-  AND NOT regexp_matches(s, {O._q(r"^([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(?:\.git)?$")})""")
+  AND NOT regexp_matches(s, {_REPO_URL})
+  AND NOT regexp_matches(s, {_REPO_SHORT})""")
 def a07_rejects(spark, d):
     from ..operators import upsert
     _, rejects = upsert.parse_repo_refs(tables(spark, d).repo_lines)
