@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import stats, tagging
 from ..operators import upsert as upsert_rules
+from ..sources import fixture_rules
 from ..sources.bindings import PART_IDS, tables
 from . import oracle as O
 
@@ -300,7 +301,7 @@ def b15_json(spark, d):
 
 
 # =========================== D: tagging =====================================
-_OLD_TAGS_SQL = O.tags_values_sql(tagging.TEST_RULES_OLD)
+_OLD_TAGS_SQL = O.tags_values_sql(fixture_rules.TEST_RULES_OLD)
 
 
 def _rule_tags_values(rules) -> str:
@@ -313,19 +314,19 @@ SELECT id, name, description FROM ({_OLD_TAGS_SQL})
 UNION ALL
 SELECT CAST((SELECT max(id) FROM ({_OLD_TAGS_SQL})) + row_number() OVER (ORDER BY ordinal) AS BIGINT) AS id,
        name, description
-FROM ({_rule_tags_values(tagging.TEST_RULES)}) r
+FROM ({_rule_tags_values(fixture_rules.TEST_RULES)}) r
 WHERE name NOT IN (SELECT name FROM ({_OLD_TAGS_SQL}))"""
 
 # existing assignments: old rules, confidence 1.0 (confirmed by hand)
 _EXISTING_SQL = f"""
 SELECT m.comment_id, t.id AS tag_id, CAST(1.0 AS DOUBLE) AS confidence
-FROM ({O.tag_scores_sql(tagging.TEST_RULES_OLD)}) m JOIN ({_OLD_TAGS_SQL}) t ON t.name = m.tag"""
+FROM ({O.tag_scores_sql(fixture_rules.TEST_RULES_OLD)}) m JOIN ({_OLD_TAGS_SQL}) t ON t.name = m.tag"""
 
 
 def _old_state(spark, d):
     t = tables(spark, d)
-    old_tags = tagging.seed_tags(None, tagging.TEST_RULES_OLD, spark)
-    m = tagging.match_rules(t.kb_comments, tagging.TEST_RULES_OLD)
+    old_tags = tagging.seed_tags(None, fixture_rules.TEST_RULES_OLD, spark)
+    m = tagging.match_rules(t.kb_comments, fixture_rules.TEST_RULES_OLD)
     ot = old_tags.select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
     existing = (m.join(F.broadcast(ot), "tag")
                 .select("comment_id", "tag_id", F.lit(1.0).alias("confidence")))
@@ -340,24 +341,24 @@ WITH old AS (
 SELECT id, name, description FROM old
 UNION ALL
 SELECT CAST((SELECT coalesce(max(id), 0) FROM old) + row_number() OVER (ORDER BY ordinal) AS BIGINT), name, description
-FROM ({_rule_tags_values(tagging.TEST_RULES)}) r WHERE name NOT IN (SELECT name FROM old)""")
+FROM ({_rule_tags_values(fixture_rules.TEST_RULES)}) r WHERE name NOT IN (SELECT name FROM old)""")
 def d01_seed_tags(spark, d):
     """Existing tags are the languages that the documents have."""
     langs = (tables(spark, d).raw("documents").where(F.col("lang").isNotNull())
              .groupBy(F.concat(F.lit("lang-"), "lang").alias("name"))
              .agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" documents")).alias("description")))
     old = langs.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name", "description")
-    return tagging.seed_tags(old, tagging.TEST_RULES, spark)
+    return tagging.seed_tags(old, fixture_rules.TEST_RULES, spark)
 
 
-@register("d02_match", O.tag_scores_sql(tagging.TEST_RULES))
+@register("d02_match", O.tag_scores_sql(fixture_rules.TEST_RULES))
 def d02_match(spark, d):
-    return tagging.match_rules(tables(spark, d).kb_comments, tagging.TEST_RULES)
+    return tagging.match_rules(tables(spark, d).kb_comments, fixture_rules.TEST_RULES)
 
 
 _MATCH_IDS_SQL = f"""
 SELECT m.comment_id, s.id AS tag_id, m.confidence
-FROM ({O.tag_scores_sql(tagging.TEST_RULES)}) m JOIN ({_SEEDED_SQL}) s ON s.name = m.tag"""
+FROM ({O.tag_scores_sql(fixture_rules.TEST_RULES)}) m JOIN ({_SEEDED_SQL}) s ON s.name = m.tag"""
 
 
 # rules of other shapes, each with its DuckDB spelling (RE2 has ASCII-only \\b and \\w)
@@ -389,8 +390,8 @@ SELECT n.* FROM ({_MATCH_IDS_SQL}) n
 ANTI JOIN ({_EXISTING_SQL}) e ON e.comment_id = n.comment_id AND e.tag_id = n.tag_id""")
 def d03_assign(spark, d):
     old_tags, existing = _old_state(spark, d)
-    tags2 = tagging.seed_tags(old_tags, tagging.TEST_RULES, spark)
-    matches = tagging.match_rules(tables(spark, d).kb_comments, tagging.TEST_RULES)
+    tags2 = tagging.seed_tags(old_tags, fixture_rules.TEST_RULES, spark)
+    matches = tagging.match_rules(tables(spark, d).kb_comments, fixture_rules.TEST_RULES)
     return tagging.assign_tags(existing, matches, tags2)
 
 
@@ -402,14 +403,14 @@ WHERE n.comment_id NOT IN (SELECT comment_id FROM ({_EXISTING_SQL}))""")
 def d04_tag_untagged(spark, d):
     old_tags, existing = _old_state(spark, d)
     _, ct = tagging.tag_comments(tables(spark, d).kb_comments, existing, old_tags,
-                                 tagging.TEST_RULES, mode="untagged")
+                                 fixture_rules.TEST_RULES, mode="untagged")
     return ct
 
 
 @register("d05_retag", f"SELECT * FROM ({_MATCH_IDS_SQL})")
 def d05_retag(spark, d):
     old_tags, _ = _old_state(spark, d)
-    _, ct = tagging.retag_all(tables(spark, d).kb_comments, old_tags, tagging.TEST_RULES)
+    _, ct = tagging.retag_all(tables(spark, d).kb_comments, old_tags, fixture_rules.TEST_RULES)
     return ct
 
 
@@ -1192,7 +1193,7 @@ def i01_stream_ingest(spark, d):
     return stream.snapshot(spark, table).select("id", "body", "updated_at")
 
 
-@register("i02_stream_tag", O.tag_scores_sql(tagging.TEST_RULES, src="upserted_v"))
+@register("i02_stream_tag", O.tag_scores_sql(fixture_rules.TEST_RULES, src="upserted_v"))
 def i02_stream_tag(spark, d):
     from ..streaming import stream
     t = tables(spark, d)
@@ -1204,7 +1205,7 @@ def i02_stream_tag(spark, d):
     ingest.comments_to_host_json(t.batch).write.mode("append").json(landing)
     table = scratch_path(spark, "stream-table-i02")
     q = stream.start_ingest(stream.comment_stream(spark, landing, 4), table,
-                            scratch_path(spark, "stream-ckpt-i02"), rules=tagging.TEST_RULES, index=False)
+                            scratch_path(spark, "stream-ckpt-i02"), rules=fixture_rules.TEST_RULES, index=False)
     q.awaitTermination()
     return stream.current_tags(spark, table)
 

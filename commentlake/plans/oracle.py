@@ -11,6 +11,7 @@ from __future__ import annotations
 from ..functions import text as tx
 from ..operators import tagging
 from ..sources import bindings as b
+from ..sources import fixture_rules
 
 
 def _q(s: str) -> str:
@@ -25,7 +26,7 @@ def _file(key: str) -> str:
     return f"('mod' || ({key} % 50) || '/file' || {key} || '.py')"
 
 
-_TAG_NAMES = [n for n, _ in tagging.rule_tags(tagging.TEST_RULES)]
+_TAG_NAMES = [n for n, _ in tagging.rule_tags(fixture_rules.TEST_RULES)]
 _TAG_LIST = "[" + ", ".join(_q(n) for n in _TAG_NAMES) + "]"
 
 VIEWS: dict[str, str] = {
@@ -127,10 +128,10 @@ def tags_values_sql(rules) -> str:
 
 
 # derived views: tags and assignments from the full test rule set
-VIEWS["tags_v"] = tags_values_sql(tagging.TEST_RULES)
+VIEWS["tags_v"] = tags_values_sql(fixture_rules.TEST_RULES)
 VIEWS["comment_tags_v"] = f"""
   SELECT m.comment_id, t.id AS tag_id, m.confidence
-  FROM ({tag_scores_sql(tagging.TEST_RULES)}) m JOIN tags_v t ON t.name = m.tag"""
+  FROM ({tag_scores_sql(fixture_rules.TEST_RULES)}) m JOIN tags_v t ON t.name = m.tag"""
 
 _ORDER = ["comments_v", "prs_v", "reviews_v", "embeddings_v", "queries_v", "findings_v",
           "changed_files_v", "batch_v", "upserted_v", "state_v", "repo_lines_v", "tags_v",

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tagging
+from . import fixture_rules
 
 # parameters of the derived fixtures
 N_PR_BUCKETS = 50            # pr_number = doc_id % 50
@@ -94,7 +95,7 @@ class Tables:
     def kb_comment_tags(self) -> DataFrame:
         """D5 over the stored comments (same rows as ``comment_tags``)."""
         def build():
-            _, ct = tagging.retag_all(self.kb_comments, None, tagging.TEST_RULES)
+            _, ct = tagging.retag_all(self.kb_comments, None, fixture_rules.TEST_RULES)
             return ct
         return self.stored("comment_tags", build)
 
@@ -179,12 +180,12 @@ class Tables:
     @cached_property
     def tags(self) -> DataFrame:
         """D1 over an empty tag table: ids 1..n in rule order."""
-        return tagging.seed_tags(None, tagging.TEST_RULES, self.spark)
+        return tagging.seed_tags(None, fixture_rules.TEST_RULES, self.spark)
 
     @cached_property
     def comment_tags(self) -> DataFrame:
         """D5 (retag all) of the comments with the test rule set."""
-        _, ct = tagging.retag_all(self.comments, None, tagging.TEST_RULES)
+        _, ct = tagging.retag_all(self.comments, None, fixture_rules.TEST_RULES)
         return ct
 
     # ---- search inputs -------------------------------------------------------
@@ -192,7 +193,7 @@ class Tables:
     def queries(self) -> DataFrame:
         """benchmark texts as PR titles; every third query carries two tags;
         the query vector is the fixture embedding with vec_id = item_id."""
-        names = [n for n, _ in tagging.rule_tags(tagging.TEST_RULES)]
+        names = [n for n, _ in tagging.rule_tags(fixture_rules.TEST_RULES)]
         arr = F.array(*[F.lit(n) for n in names])
         k = F.expr("item_id div 3")
         tags = F.when(F.col("item_id") % 3 == 0, F.array(

@@ -1,6 +1,7 @@
 """Plan shape: anti-joins, top-k limits, no cartesian products; entry contract."""
 
 import __spark_entry__ as E
+from commentlake.sources import fixture_rules
 from commentlake.sources.bindings import tables
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ def test_anti_joins_and_topk(spark):
     assert "WindowGroupLimit" in bm and "Cartesian" not in bm
     from commentlake.operators import tagging
     stored = tables(spark, SF).kb_comments          # a plain parquet scan
-    assert "Exchange" not in _plan(tagging.match_rules(stored, tagging.TEST_RULES))
+    assert "Exchange" not in _plan(tagging.match_rules(stored, fixture_rules.TEST_RULES))
 
 
 def test_hybrid_has_no_cartesian(spark):

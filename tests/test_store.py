@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from commentlake import schemas
 from commentlake.operators import postings, tagging
-from commentlake.sources import commits, ingest
+from commentlake.sources import commits, fixture_rules, ingest
 from commentlake.sources.store import KeyedTable
 from commentlake.streaming import stream
 
@@ -126,7 +126,7 @@ def test_what_a_batch_reads_does_not_grow_with_the_stream(spark, tmp_path):
 
 def test_batches_are_applied_once_and_repeated_after_a_crash(spark, tmp_path, monkeypatch):
     t = str(tmp_path)
-    write = stream.batch_writer(t, rules=tagging.TEST_RULES, index=True, span=50)
+    write = stream.batch_writer(t, rules=fixture_rules.TEST_RULES, index=True, span=50)
     first = spark.createDataFrame([_comment(i, 1, "license the") for i in range(60)], COLS)
     second = spark.createDataFrame([_comment(i, 2, "nothing") for i in range(10)] + [_comment(30, 1, "older")], COLS)
     write(first, 0)
@@ -138,7 +138,7 @@ def test_batches_are_applied_once_and_repeated_after_a_crash(spark, tmp_path, mo
         write(second, 1)
     rows = {r.id: r.body for r in stream.snapshot(spark, t).collect()}
     assert rows == {i: "nothing" if i < 10 else "license the" for i in range(60)}
-    want = tagging.match_rules(stream.snapshot(spark, t), tagging.TEST_RULES)
+    want = tagging.match_rules(stream.snapshot(spark, t), fixture_rules.TEST_RULES)
     assert sorted(map(tuple, stream.current_tags(spark, t).collect())) == sorted(map(tuple, want.collect()))
     index = stream.current_index(spark, t)
     flat = postings.flat_postings(stream.snapshot(spark, t))
@@ -193,7 +193,7 @@ def test_sync_flow(spark, tmp_path):
     ingest.comments_to_host_json(comments).write.json(landing["comments"])
     t = f"{tmp_path}/kb"
     for _ in range(2):
-        stream.sync(spark, landing, t, 0, tagging.TEST_RULES)
+        stream.sync(spark, landing, t, 0, fixture_rules.TEST_RULES)
     snap = {k: stream.snapshot(spark, t, k) for k in stream.KINDS}
     got = {r.id: r.title for r in snap["pull_requests"].collect()}
     assert 3 not in got and got[50] == "t3 again" and len(got) == 9

@@ -4,7 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
-from commentlake.sources import ingest
+from commentlake.sources import fixture_rules, ingest
 from commentlake.streaming import stream
 
 COLS = "id long, repo string, pr_number long, review_id long, user_login string, body string, " \
@@ -27,13 +27,12 @@ def test_stream_equals_backfill(spark):
     ingest.comments_to_host_json(first).write.json(landing)
     ingest.comments_to_host_json(second).write.mode("append").json(landing)
     ingest.comments_to_host_json(first).write.mode("append").json(landing)      # re-delivery
-    from commentlake.operators import tagging
     q = stream.start_ingest(stream.comment_stream(spark, landing, 1), os.path.join(base, "t"),
-                            os.path.join(base, "ck"), rules=tagging.TEST_RULES, index=True)
+                            os.path.join(base, "ck"), rules=fixture_rules.TEST_RULES, index=True)
     q.awaitTermination(600)
     snap = {r.id: r.body for r in stream.snapshot(spark, os.path.join(base, "t")).collect()}
     assert len(snap) == 20 and snap[3].startswith("[edited]") and not snap[10].startswith("[edited]")
-    stream.backfill(spark, landing, os.path.join(base, "b"), rules=tagging.TEST_RULES, index=True)
+    stream.backfill(spark, landing, os.path.join(base, "b"), rules=fixture_rules.TEST_RULES, index=True)
     back = {r.id: r.body for r in stream.snapshot(spark, os.path.join(base, "b")).collect()}
     assert back == snap
     tags = stream.current_tags(spark, os.path.join(base, "t")).collect()

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from commentlake.operators import tagging as tg
+from commentlake.sources import fixture_rules
 
 RULES = tg.rule_set([
     ("t", "test", {"body": [tg.words("alpha")], "path": [r"\.py$"], "hunk": [tg.words("beta")]}),
@@ -33,7 +34,7 @@ def test_classes_are_unicode_and_only_newlines_end_lines(spark):
 
 
 def test_match_plan_has_no_exchange(spark):
-    plan = tg.match_rules(_comments(spark, [(1, "alpha", None, None)]), tg.TEST_RULES)
+    plan = tg.match_rules(_comments(spark, [(1, "alpha", None, None)]), fixture_rules.TEST_RULES)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text
 
@@ -74,10 +75,10 @@ def test_literals_never_hide_a_match(spark):
 
 
 def test_rules_from_a_table(spark):
-    table = tg.rules_table(spark, tg.TEST_RULES)
+    table = tg.rules_table(spark, fixture_rules.TEST_RULES)
     back = tg.rules_of(table.orderBy(F.rand()))
-    assert back == tg.TEST_RULES and [tg._token_words(r.pattern) for r in back] == [tg._token_words(r.pattern) for r in tg.TEST_RULES]
+    assert back == fixture_rules.TEST_RULES and [tg._token_words(r.pattern) for r in back] == [tg._token_words(r.pattern) for r in fixture_rules.TEST_RULES]
     rows = [(1, "that and with", "m.example.org/en/", "the"), (2, "token = \"", None, "license"), (3, "", "", "")]
     c = _comments(spark, rows)
-    assert sorted(map(tuple, tg.match_rules(c, table).collect())) == sorted(map(tuple, tg.match_rules(c, tg.TEST_RULES).collect()))
+    assert sorted(map(tuple, tg.match_rules(c, table).collect())) == sorted(map(tuple, tg.match_rules(c, fixture_rules.TEST_RULES).collect()))
     assert tg.match_rules(c, table.limit(0)).count() == 0
