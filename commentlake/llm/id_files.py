@@ -49,6 +49,8 @@ BLOCK, LANES = 8192, 1024
 #: Order-0 frequencies that a group keeps, at most: wide alphabets have fewer lanes.
 FREQUENCIES = 1 << 23
 END_ID = 1
+#: Words that the tokenizer gets at once.
+TOGETHER = 128
 #: Slots of the order-1 and order-2 tables (powers of two), and the steps after
 #: which order-0 frequencies are taken anew.
 SLOTS1, SLOTS2 = 1 << 12, 1 << 13
@@ -106,17 +108,28 @@ class _Model:
         outcomes of the first two predictions come to count half."""
         self.hits = np.floor(self.hits / 2) + 1
         share = (1 << FREQ) - self.symbols
-        for k in range(self.lanes):
-            n = np.cumsum(self.seen[k * self.symbols:(k + 1) * self.symbols], dtype=np.int64)
-            if n[-1]:
-                edge = self.edges[k * self.width:(k + 1) * self.width]
-                edge[1:] = n * share // n[-1] + np.arange(1, self.width)
+        some = max(1, (1 << 20) // self.symbols)               # lanes at once
+        for k in range(0, self.lanes, some):
+            n = np.cumsum(self.seen[k * self.symbols:(k + some) * self.symbols].reshape(-1, self.symbols), axis=1, dtype=np.int64)
+            edge = self.edges[k * self.width:(k + some) * self.width].reshape(-1, self.width)
+            used = n[:, -1] > 0
+            edge[used, 1:] = n[used] * share // n[used, -1:] + np.arange(1, self.width)
+
+
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, ascending, and which of them each id is."""
+    top = int(ids.max()) + 1
+    if top > 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(top, bool)
+    there[ids] = True
+    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there, dtype=np.int32) - 1)[ids]
 
 
 def encode_group(ids: np.ndarray) -> bytes:
     """A group: its different ids, and blocks of up to BLOCK ids."""
     ids = np.asarray(ids, np.uint32)
-    alphabet, symbols = np.unique(ids, return_inverse=True)
+    alphabet, symbols = _alphabet(ids)
     lanes = -(-len(ids) // BLOCK)
     size = np.full(lanes, BLOCK)
     size[-1] = len(ids) - BLOCK * (lanes - 1)
@@ -438,6 +451,10 @@ class Encoder:
                          and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]
                                      or t["content"].split() != [t["content"]] or t["content"].strip(".,").isalpha()
                                      for t in rules.get("added_tokens", [])))
+        mark = rules["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ending = np.zeros(self.library.get_vocab_size(with_added_tokens=True) + 1, bool)
+        self.ending[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -449,6 +466,26 @@ class Encoder:
             return word, ""
         return stem.lower() if stem.isascii() else stem, word[len(stem):]
 
+    def _coded(self, some: list[str]) -> dict[str, bytes]:
+        got = self.library.encode_batch_fast(some, add_special_tokens=False)
+        return {x: np.array(c.ids, "<u4").tobytes() for x, c in zip(some, got, strict=True)}
+
+    def _coded_words(self, some: list[str]) -> dict[str, bytes]:
+        """The same for words of letters, TOGETHER to a call: the last token of each
+        word, and no other, has the mark of a word's end."""
+        texts = [some[k:k + TOGETHER] for k in range(0, len(some), TOGETHER)]
+        out: dict[str, bytes] = {}
+        got = self.library.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)
+        for words, c in zip(texts, got, strict=True):
+            ids = np.array(c.ids, np.int64)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) != len(words) or ends[-1] != len(ids):
+                out |= self._coded(words)
+                continue
+            data, starts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+            out.update((w, data[a:b]) for w, a, b in zip(words, starts, starts[1:], strict=False))
+        return out
+
     def _learn(self, words: set[bytes]) -> list[bytes]:
         """Fills the memo; the library is asked once for all unknown stems.  Returns
         the words that are too long to be kept."""
@@ -461,9 +498,8 @@ class Encoder:
             else:
                 parts[w] = pair = self._stem(w.decode("utf-8", "surrogatepass"))
                 ask.update(x for x in pair if x not in self.stems)
-        ask = list(ask)
-        coded = {x: np.array(c.ids, "<u4").tobytes()
-                 for x, c in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False), strict=True)}
+        letters = [x for x in ask if x.isalpha() and x.lower().isalpha()]
+        coded = self._coded_words(letters) | self._coded([x for x in ask if not (x.isalpha() and x.lower().isalpha())])
         for x, c in coded.items():
             if len(x) <= self.longest:
                 self.stems[x] = c
