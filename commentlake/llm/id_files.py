@@ -66,7 +66,9 @@ class _Model:
 
     def __init__(self, lanes: int, symbols: int):
         self.lanes, self.symbols = lanes, symbols
-        self.rows = np.arange(lanes)
+        rows = np.arange(lanes)
+        self.base1, self.base2, self.base_hits = rows * SLOTS1, rows * SLOTS2, rows * 96
+        self.base_seen, self.base_edges = rows * symbols, rows * (symbols + 1)
         self.table1 = np.zeros(lanes * SLOTS1, np.int32)      # symbol * 4 + confidence
         self.table2 = np.zeros(lanes * SLOTS2, np.int32)
         self.hits = np.ones(lanes * 96)                       # outcomes (3) in each state of confidence (32)
@@ -81,28 +83,35 @@ class _Model:
         """For the first m lanes: both predictions and the upper ends of the
         first two shares of 2^MIX; the rest is order 0's."""
         p1, p2 = self.p1[:m], self.p2[:m]
-        self.at1 = self.rows[:m] * SLOTS1 + ((p1 * 0x9E3779B1 >> 7) & (SLOTS1 - 1))
-        self.at2 = self.rows[:m] * SLOTS2 + (((p1 * 0x9E3779B1 + p2 * 0x85EBCA6B) >> 9) & (SLOTS2 - 1))
+        mixed = p1 * 0x9E3779B1
+        self.at1 = self.base1[:m] + ((mixed >> 7) & (SLOTS1 - 1))
+        self.at2 = self.base2[:m] + (((mixed + p2 * 0x85EBCA6B) >> 9) & (SLOTS2 - 1))
         self.e1, self.e2 = e1, e2 = self.table1.take(self.at1), self.table2.take(self.at2)
         self.c1, self.c2 = e1 & 3, e2 & 3
         self.s1, self.s2 = e1 >> 2, e2 >> 2
-        self.state = self.rows[:m] * 32 + (self.c2 << 3) + (self.c1 << 1) + (self.s1 == self.s2)
-        at = self.state * 3
+        self.state = at = self.base_hits[:m] + 3 * ((self.c2 << 3) + (self.c1 << 1) + (self.s1 == self.s2))
         n2, n1 = self.hits.take(at), self.hits.take(at + 1)
         unit = ((1 << MIX) - 3) / (n2 + n1 + self.hits.take(at + 2))
         a = 1 + (n2 * unit).astype(np.int64)
         return self.s2, self.s1, a, a + 1 + (n1 * unit).astype(np.int64)
 
     def learn(self, m: int, symbol: np.ndarray, outcome: np.ndarray) -> None:
-        self.hits[self.state * 3 + outcome] += 1.0
+        self.hits[self.state + outcome] += 1.0
         fresh = (symbol << 2) + 1
         for table_, at, e, s, c in ((self.table1, self.at1, self.e1, self.s1, self.c1),
                                     (self.table2, self.at2, self.e2, self.s2, self.c2)):
             table_[at] = np.where(s == symbol, e + (c < 3), np.where(c > 0, e - 1, fresh))
-        self.seen[self.rows[:m] * self.symbols + symbol] += 1
+        self.seen[self.base_seen[:m] + symbol] += 1
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = symbol + 1
 
+    def rest(self, hard: np.ndarray, b: np.ndarray, at: np.ndarray, begin: np.ndarray, width: np.ndarray) -> None:
+        """Shares of the lanes whose id order 0 gives; its edges stand at ``at``."""
+        left, right = self.edges.take(at).astype(np.int64), self.edges.take(at + 1)
+        much = (1 << MIX) - b[hard]
+        begin[hard] = (b[hard] << FREQ) + much * left
+        width[hard] = much * (right - left)
+
     def renew(self) -> None:
         """Order-0 frequencies from all ids of a lane so far, none 0; older
         outcomes of the first two predictions come to count half."""
@@ -116,6 +125,13 @@ class _Model:
             edge[used, 1:] = n[used] * share // n[used, -1:] + np.arange(1, self.width)
 
 
+def _share(outcome: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the shares of the first two predictions begin, and their widths."""
+    second = outcome != 0
+    begin = np.where(second, a, 0) << FREQ
+    return begin, (np.where(second, b, a) << FREQ) - begin
+
+
 def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different ids, ascending, and which of them each id is."""
     top = int(ids.max()) + 1
@@ -146,11 +162,10 @@ def encode_group(ids: np.ndarray) -> bytes:
         x = grid[t, :m].astype(np.int64)
         s2, s1, a, b = model.predict(m)
         outcome = np.where(x == s2, 0, np.where(x == s1, 1, 2))
-        at = model.rows[:m] * model.width + x
-        left, right = model.edges.take(at).astype(np.int64), model.edges.take(at + 1).astype(np.int64)
-        rest = (1 << MIX) - b
-        begin = np.where(outcome == 0, 0, np.where(outcome == 1, a << FREQ, (b << FREQ) + rest * left))
-        width = np.where(outcome == 0, a << FREQ, np.where(outcome == 1, (b - a) << FREQ, rest * (right - left)))
+        begin, width = _share(outcome, a, b)
+        if len(hard := np.flatnonzero(outcome == 2)):
+            at = model.base_edges[hard] + x[hard]
+            model.rest(hard, b, at, begin, width)
         unit = span[:m] >> _u(MIX + FREQ)
         low[:m] += unit * begin.view(np.uint64)
         span[:m] = unit * width.view(np.uint64)
@@ -262,21 +277,18 @@ def _decoded(bodies: list[bytes], sizes: list[int], alphabet: np.ndarray) -> lis
         share = value >> FREQ
         outcome = np.where(share < a, 0, np.where(share < b, 1, 2))
         x = np.where(outcome == 0, s2, s1).astype(np.int64)
-        rest = (1 << MIX) - b
+        begin, width = _share(outcome, a, b)
         hard = np.flatnonzero(outcome == 2)
         if len(hard):
-            aim = ((value[hard] - (b[hard] << FREQ)) // rest[hard])
-            base = hard * model.width
+            aim = ((value[hard] - (b[hard] << FREQ)) // ((1 << MIX) - b[hard]))
+            base = model.base_edges[hard]
             left, right = np.zeros(len(hard), np.int64), np.full(len(hard), symbols)
             for _ in range(steps):
                 middle = (left + right) >> 1
                 up = model.edges.take(base + middle) <= aim
                 left, right = np.where(up, middle, left), np.where(up, right, middle)
             x[hard] = left
-        at_ = model.rows[:m] * model.width + x
-        left, right = model.edges.take(at_).astype(np.int64), model.edges.take(at_ + 1).astype(np.int64)
-        begin = np.where(outcome == 0, 0, np.where(outcome == 1, a << FREQ, (b << FREQ) + rest * left))
-        width = np.where(outcome == 0, a << FREQ, np.where(outcome == 1, (b - a) << FREQ, rest * (right - left)))
+            model.rest(hard, b, base + left, begin, width)
         low[:m] += unit * begin.view(np.uint64)
         span[:m] = unit * width.view(np.uint64)
         grid[t, :m] = x
