@@ -204,3 +204,24 @@ def test_sync_flow(spark, tmp_path):
     q = stream.start_ingest(stream.record_stream(spark, landing["reviews"], "reviews"), f"{tmp_path}/s", f"{tmp_path}/ck", kind="reviews")
     q.awaitTermination(300)
     assert stream.snapshot(spark, f"{tmp_path}/s", "reviews").count() == 4
+
+
+def test_first_batch_of_a_table_is_written_once(spark, tmp_path, monkeypatch):
+    """No copy of the batch is stored beside the table; duplicates, ties and rows without a key as ever."""
+    from commentlake.sources import store
+    rows = [*_rows(range(-5, 300), 1), *_rows([7, 8], 2, "new"), *_rows([9], 1, "u"), *_rows([10], 1, "a")]
+    df = spark.createDataFrame([*rows, (None, "r", 1, "lost", _d(1))], SCHEMA)
+    calls = []
+    monkeypatch.setattr(store, "stored", lambda df, name: calls.append(name) or df)
+    table = KeyedTable.create(spark, str(tmp_path), df.schema, ["id"], span=100).upsert(df, done=("s", 3))
+    want = {i: f"t{i}" for i in range(-5, 300)} | {7: "new7", 8: "new8", 9: "u9"}
+    assert not calls and _held(table) == want and set(table.content["parts"]) == {"-1", "0", "1", "2"}
+    assert KeyedTable.open(spark, str(tmp_path)).done("s", 3)
+
+
+def test_changes_of_a_batch_are_stored_once(spark, tmp_path, monkeypatch):
+    calls, real = [], stream.stored
+    monkeypatch.setattr(stream, "stored", lambda df, name: calls.append(name) or real(df, name))
+    df = spark.createDataFrame([], COLS)
+    table = KeyedTable.create(spark, str(tmp_path), df.schema, ["id"], span=100)
+    assert stream.changes(df, table, "comments").count() == 0 and calls == ["stream-changes"]
