@@ -324,3 +324,23 @@ def test_search_from_titles_alone(spark):
     out = hybrid_search(q, inp).collect()
     assert {r.query_id for r in out} == {1} and min(out, key=lambda r: r["rank"]).id in (1, 3)
     assert {r.match_source for r in out} >= {"hybrid"}
+
+
+def test_blocks_are_built_one_at_a_time(spark):
+    """No aggregate holds the postings of a shard: each block's documents are counted by
+    themselves; ids that come twice, empty and missing texts, rows without an id."""
+    rows = [(i, " ".join(f"w{k % (1 + i % 7)}" for k in range(i % 13)), "a/b.py" if i % 2 else None, None) for i in range(-40, 700)]
+    rows += [(5, "w0 w0 extra", None, "hunk"), (6, rows[46][1], rows[46][2], None), (None, "lost words", None, None), (900, None, None, None)]
+    c = spark.createDataFrame(rows, "id long, body string, path string, diff_hunk string")
+    layout = postings.Layout(span=200, block_span=16, buckets=5)
+    blocks = postings.text_blocks(c, layout)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
+    want = sorted((r.term, r.id, r.tf, r.dl) for r in postings.flat_postings(c.where("id IS NOT NULL")).collect())
+    kept = blocks.collect()
+    got = sorted((r.term, *x) for r in kept if r.shard is not None for x in zip(r.ids, r.tf, r.dl, strict=True))
+    assert got == want
+    assert sorted((r.term, *r.ids, *r.tf, r.n) for r in kept if r.shard is None) == [("lost", None, 1, 1), ("words", None, 1, 1)]
+    for r in kept:
+        assert (r.n, r.tokens, r.max_tf, r.min_dl) == (len(r.tf), sum(r.tf), max(r.tf), min(r.dl))
+        assert r.shard is None or (r.ids == sorted(r.ids) and {(i // 200, i % 200 // 16) for i in r.ids} == {(r.shard, r.block)})
