@@ -12,6 +12,10 @@ connected components by contraction over written tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +142,32 @@ def empty_results(queries: DataFrame, hits: DataFrame) -> DataFrame:
 # ---- G7 ------------------------------------------------------------------------
 #: Words that are ordered by their frequency, at most; the others are rarer than these.
 FREQUENT = 100_000
+#: 64-bit numbers of a set's bit map: a quarter of a kilobyte, whatever the set.
+BITMAP_LONGS = 32
+
+
+def bit_maps(sets: DataFrame) -> DataFrame:
+    """(id, n, m) of sets (id, words: distinct hashes, n): BITMAP_LONGS numbers in which the
+    bit of each word's hash is set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            bits = np.zeros((len(words), 64 * BITMAP_LONGS), bool)
+            bits[np.repeat(np.arange(len(words)), sizes), words.flatten().to_numpy() & (64 * BITMAP_LONGS - 1)] = True
+            longs = np.packbits(bits, axis=1).view(np.int64).ravel()
+            offsets = pa.array(np.arange(len(words) + 1, dtype=np.int32) * BITMAP_LONGS)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.ListArray.from_arrays(offsets, pa.array(longs))],
+                                             ["id", "n", "m"])
+
+    return sets.select("id", "n", "words").mapInArrow(run, "id long, n int, m array<long>")
+
+
+def _maps_may_reach(threshold: float) -> Column:
+    """Bit map filter for sets of n1 and n2 words with maps m1 and m2: every differing bit
+    is owed to a word of one set alone, so they share (n1 + n2 - differing) / 2 words at most."""
+    differing = sum((F.bit_count(F.col("m1")[i].bitwiseXOR(F.col("m2")[i])) for i in range(BITMAP_LONGS)), F.lit(0))
+    return F.floor((F.col("n1") + F.col("n2") - differing) / 2) >= _needed(F.col("n1") + F.col("n2"), threshold)
 
 
 def _needed(n: Column, threshold: float) -> Column:
@@ -206,8 +236,8 @@ def similar_components(sets: DataFrame, threshold: float, keep) -> DataFrame:
     prefix word meet in its bucket.  First all members are held against the bucket's
     smallest id.  Then, where a bucket still has several components, the members
     outside its largest one are held against all members of other components; length
-    and positional filters drop pairs that cannot reach the threshold, and the rest is
-    counted.  Pairs within a component are never formed, so groups of near copies cost
+    and positional filters and then bit maps drop pairs that cannot reach the threshold, and
+    the rest is counted.  Pairs within a component are never formed, so groups of near copies cost
     about their size; a bucket of many texts that are alike but below the threshold
     costs the product of the two sides."""
     entries = keep(rare_first(sets, threshold))
@@ -216,7 +246,12 @@ def similar_components(sets: DataFrame, threshold: float, keep) -> DataFrame:
     entries = keep(entries.join(low, "h"))
     side = lambda df, s, *more: df.select("h", *(F.col(c).alias(c + s) for c in ("id", "n", "pos", *more)))
 
+    maps = keep(bit_maps(sets))
+
     def checked(pairs: DataFrame) -> DataFrame:
+        # the small bit maps first: few pairs are left that the words of both have to travel to
+        m1, m2 = (maps.select(F.col("id").alias(v), F.col("n").alias(f"n{k}"), F.col("m").alias(f"m{k}")) for k, v in ((1, "a"), (2, "b")))
+        pairs = keep(pairs.join(m1, "a").join(m2, "b").where(_maps_may_reach(threshold)).select("a", "b"))
         w1 = sets.select(F.col("id").alias("a"), F.col("words").alias("w1"))
         w2 = sets.select(F.col("id").alias("b"), F.col("words").alias("w2"))
         return keep(pairs.join(w1, "a").join(w2, "b").where(tx.jaccard("w1", "w2") >= threshold).select("a", "b"))

@@ -103,3 +103,24 @@ def test_conventions_are_the_exact_components(spark):
         F.to_timestamp_ntz(F.lit("2024-01-02 00:00:00")).alias("updated_at"))
     _, src = R.mine_conventions(c)
     assert {r.comment_id: r.convention_id for r in src.collect()} == {i: v for i, v in comp.items() if size[v] > 1}
+
+
+def test_bit_maps_drop_no_similar_pair(spark):
+    """The filter keeps every pair at the threshold, and drops unlike ones before their
+    words are sent anywhere."""
+    rnd, rows, unlike = random.Random(7), [], 0
+    for g in range(120):
+        n = rnd.choice([1, 2, 10, 40, 300])
+        fresh = lambda k: [rnd.randrange(-2**62, 2**62) for _ in range(k)]
+        words = fresh(n)
+        other = words[:round(n * rnd.choice([0.1, 0.7, 0.83, 0.9, 1]))] + fresh(rnd.randint(0, n // 5))
+        rows += [(2 * g, words, len(words)), (2 * g + 1, other or [5], len(other) or 1)]
+    maps = R.bit_maps(spark.createDataFrame(rows, "id long, words array<long>, n int"))
+    a = maps.where("id % 2 = 0").select("id", F.col("n").alias("n1"), F.col("m").alias("m1"))
+    b = maps.where("id % 2 = 1").select((F.col("id") - 1).alias("id"), F.col("n").alias("n2"), F.col("m").alias("m2"))
+    kept = {r.id for r in a.join(b, "id").where(R._maps_may_reach(0.7)).collect()}
+    for (i, x, _), (_, y, _) in zip(rows[::2], rows[1::2], strict=True):
+        similarity = len(set(x) & set(y)) / len(set(x) | set(y))
+        assert similarity < 0.7 or i in kept
+        unlike += similarity < 0.3 and len(x) >= 40 and i not in kept
+    assert unlike > 10
