@@ -39,6 +39,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Largest mean of a cell's dart count.
 CELL = 64.0
+#: Bits of a document's map of shingles, least and most.
+MAP_BITS = 512, 8192
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _word_hash = Memo(xxhash.xxh3_64_intdigest, 16 << 20)
@@ -242,6 +244,35 @@ def _agreement(x: str, y: str, k: int) -> Column:
     return F.lit(-(-k // 16) * 16) - total - F.lit(-k % 16)
 
 
+def bit_maps(sh: DataFrame) -> DataFrame:
+    """(id, map): of each document a bit map with a bit set for each shingle's hash, of
+    eight bits a shingle, in 64-bit numbers; null if rows of one doc_id differ."""
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in arrays:
+            out = []
+            for a in batch:
+                bits = np.zeros(min(MAP_BITS[1], max(MAP_BITS[0], 1 << (8 * len(a)).bit_length())), np.uint8)
+                bits[a.view(np.uint64) % np.uint64(len(bits))] = 1
+                out.append(np.packbits(bits, bitorder="little").view("<i8"))
+            yield pd.Series(out, dtype=object)
+
+    one = F.struct(F.size("sh").alias("n"), run("sh").alias("map"))
+    return (sh.select(F.col("doc_id").alias("id"), one.alias("one")).groupBy("id")
+            .agg(F.min("one").alias("low"), F.max("one").alias("high"))
+            .select("id", F.when(F.col("low") == F.col("high"), F.col("low.map")).alias("map")))
+
+
+def _differences(x: str, y: str) -> Column:
+    """How many shingles are in one of two documents only, at least: the bits set in one
+    of their maps only.  A map twice as wide as the other is folded; 0 if nothing is known."""
+    n = F.least(F.size(x), F.size(y))
+    fold = lambda b: F.when(F.size(b) == n, F.col(b)).otherwise(
+        F.zip_with(F.slice(b, 1, n), F.slice(b, n + 1, n), lambda u, v: u.bitwiseOR(v)))
+    apart = F.zip_with(fold(x), fold(y), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * n, F.aggregate(apart, F.lit(0), lambda u, v: u + v)).otherwise(0)
+
+
 def _shared(sh: DataFrame) -> DataFrame:
     """(id, n, shared) of documents: the number of their shingles, and of those
     that another document of ``sh`` has too."""
@@ -277,10 +308,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     become representatives themselves (1, then 16, 256, ... a round) and are
     held against the members of other components.  So every pair of different
     texts that shares a bucket is in one component already, is checked exactly,
-    or is passed over for one of two reasons: shingles that no other document
-    has already bound its similarity below the threshold (a proof), or its
-    signatures agree in five standard deviations fewer coordinates than a pair
-    at the threshold would (probability below 1e-6).
+    or is passed over for one of three reasons: shingles that no other document
+    has, or bits that only one of both bit maps of shingles has, already bound its
+    similarity below the threshold (two proofs), or its signatures agree in five
+    standard deviations fewer coordinates than a pair at the threshold would
+    (probability below 1e-6).  The maps are sharp enough to drop nearly all pairs below
+    0.78, so the rows that large groups of texts alike but below the threshold make do not
+    grow with the square of the group.
     """
     counted, k = weights == "count", bands * rows
     docs = docs.select("doc_id", "text")
@@ -303,7 +337,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     agree = math.floor(k * p - 5 * math.sqrt(k * p * (1 - p)))
     most = F.least("sx", "sy")                      # shingles that x and y can have in common
     possible = ((most * (1 + threshold) >= (F.col("nx") + F.col("ny")) * threshold - 1e-6)
-                & (_agreement("kx", "ky", k) >= agree))
+                & (_agreement("kx", "ky", k) >= agree)
+                & (F.coalesce(_differences("bx", "by"), F.lit(0)) * (1 + threshold)
+                   <= (F.col("nx") + F.col("ny")) * (1 - threshold) + 1e-6))
     facts = None
     while True:
         comps = stored(connected_components(union(links)), "dart-components")
@@ -318,7 +354,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         if facts is None:
             facts = _linkable(cand.select("id").distinct(), sh, threshold)
             sketches = real.select(F.col("doc_id").alias("id"), "sketch", "bands").dropDuplicates(["id"])
-            facts = stored(facts.join(sketches, "id"), "dart-facts")
+            maps = bit_maps(sh.join(facts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+            facts = stored(facts.join(sketches, "id").join(maps, "id"), "dart-facts")
             cand = cand.join(facts.select("id"), "id", "left_semi")
         left = cand.filter("comp != main")
         if done:
@@ -331,7 +368,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         done.append(turn.select("key", "id"))
         side = lambda df, v: (df.join(facts, "id").select("key", F.col("id").alias(v), F.col("comp").alias("c" + v),
                                                           F.col("n").alias("n" + v), F.col("shared").alias("s" + v),
-                                                          F.col("sketch").alias("k" + v), F.col("bands").alias("m" + v)))
+                                                          F.col("sketch").alias("k" + v), F.col("bands").alias("m" + v),
+                                                          F.col("map").alias("b" + v)))
         # a pair is taken in the first bucket that both share, and once if both represent; only buckets with a
         # representative of a component that a member is not in can give one
         mixed = turn.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))

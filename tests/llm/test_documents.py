@@ -487,3 +487,33 @@ def test_near_duplicates_of_no_rows_and_below_the_threshold(spark, none):
         rows.append((k, " ".join(own)))
     got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_classes(rows) and 1 < len(set(got.values())) < 24
+
+
+def test_bit_maps_bound_the_differences(spark):
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(1 << 62, n, replace=False) for n in (1, 60, 65, 900, 1100, 5000)]
+    rows = [(k, s.tolist()) for k, s in enumerate(sets)] + [(9, sets[3][:850].tolist() + sets[4][:250].tolist())]
+    rows += [(7, [1, 2]), (7, [1, 3])]                             # a doc_id of two texts
+    maps = dart_minhash.bit_maps(spark.createDataFrame(rows, "doc_id long, sh array<long>"))
+    both = maps.toDF("x", "bx").crossJoin(maps.toDF("y", "by"))
+    got = {(r.x, r.y): r.d for r in both.select("x", "y", dart_minhash._differences("bx", "by").alias("d")).collect()}
+    sets = {k: set(s) for k, s in rows}
+    assert got[7, 1] is None or got[7, 1] == 0
+    for (x, y), d in got.items():
+        assert 7 in (x, y) or d <= len(sets[x] ^ sets[y])
+    assert got[3, 9] > 250 and got[1, 2] > 100 and got[9, 9] == 0
+
+
+def test_texts_alike_below_the_threshold_make_few_pairs(spark, monkeypatch):
+    """Copies of one text with three other words each: alike to 0.67, in the same buckets."""
+    rng, base, made = np.random.default_rng(11), words(77, 150), []
+    rows = []
+    for k in range(160):
+        own = list(base)
+        for j, at in enumerate(rng.choice(30, 1 if k % 40 == 0 else 3, replace=False)):
+            own[int(at) * 5 + 2] = f"new{k}x{j}"
+        rows.append((k, " ".join(own)))
+    similar = dart_minhash._similar
+    monkeypatch.setattr(dart_minhash, "_similar", lambda pairs, *a: made.append(pairs.count()) or similar(pairs, *a))
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and sum(made[1:]) < 4 * len(rows)
