@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         cand = stored(known.join(main.select("key", "main"), "key"), "dart-buckets")
         if facts is None:
             facts = _linkable(cand.select("id").distinct(), sh, threshold)
-            sketches = real.select(F.col("doc_id").alias("id"), "sketch", "bands").dropDuplicates(["id"])
+            sketches = real.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
             maps = bit_maps(sh.join(facts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
             facts = stored(facts.join(sketches, "id").join(maps, "id"), "dart-facts")
             cand = cand.join(facts.select("id"), "id", "left_semi")
@@ -368,16 +368,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
         done.append(turn.select("key", "id"))
         side = lambda df, v: (df.join(facts, "id").select("key", F.col("id").alias(v), F.col("comp").alias("c" + v),
                                                           F.col("n").alias("n" + v), F.col("shared").alias("s" + v),
-                                                          F.col("sketch").alias("k" + v), F.col("bands").alias("m" + v),
-                                                          F.col("map").alias("b" + v)))
-        # a pair is taken in the first bucket that both share, and once if both represent; only buckets with a
-        # representative of a component that a member is not in can give one
+                                                          F.col("sketch").alias("k" + v), F.col("map").alias("b" + v)))
+        # only buckets with a representative of a component that a member is not in can give a pair
         mixed = turn.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         near = cand.join(mixed, "key").filter("low != high OR comp != low").select("key", "id", "comp")
-        others = side(near, "y").join(turn.select("key", F.col("id").alias("y"), F.lit(True).alias("also")), ["key", "y"], "left")
-        once = ((F.get(F.array_intersect("mx", "my"), F.lit(0)) == F.col("key"))
-                & (F.col("also").isNull() | (F.col("x") < F.col("y"))))
-        new = (side(turn, "x").join(others, "key").filter(F.col("cx") != F.col("cy")).filter(possible).filter(once)
+        new = (side(turn, "x").join(side(near, "y"), "key").filter(F.col("cx") != F.col("cy")).filter(possible)
                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         pairs = stored(new.join(union(checked), ["a", "b"], "left_anti"), "dart-pairs")
         checked.append(pairs)
