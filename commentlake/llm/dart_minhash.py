@@ -312,9 +312,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     has, or bits that only one of both bit maps of shingles has, already bound its
     similarity below the threshold (two proofs), or its signatures agree in five
     standard deviations fewer coordinates than a pair at the threshold would
-    (probability below 1e-6).  The maps are sharp enough to drop nearly all pairs below
-    0.78, so the rows that large groups of texts alike but below the threshold make do not
-    grow with the square of the group.
+    (probability below 1e-6).  Up to about 1,000 shingles the maps drop nearly all pairs
+    below 0.78; those nearer to 0.8 and those of longer texts are checked one by one.
     """
     counted, k = weights == "count", bands * rows
     docs = docs.select("doc_id", "text")
