@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -292,6 +293,43 @@ def test_single_blocks_and_damaged_files():
     assert all(a is None or not len(a) for _, a in id_files.read_ids(io.BytesIO(broken), len(broken), damaged)) and len(damaged) == blocks
 
 
+def test_id_groups_of_wide_alphabets():
+    """49,000 kinds of ids do not make a group smaller; above KINDS it is cut and nothing is lost."""
+    rng = np.random.default_rng(5)
+    assert id_files.lanes_for(np.arange(49_000, dtype=np.uint32)) == id_files.LANES
+    wide = (rng.permutation(49_000)[np.minimum(rng.geometric(2e-4, 20 * id_files.BLOCK), 48_999)] + 3).astype(np.uint32)
+    g = id_files.encode_group(wide)
+    assert (id_files.decode_group(memoryview(g))[0] == wide).all()
+    f = id_files.Head.of(memoryview(g)).frequencies
+    assert f.sum() == 1 << id_files.FREQ and f.min() >= 1
+    with pytest.raises(ValueError):
+        id_files.encode_group(np.arange(id_files.KINDS + 1, dtype=np.uint32))
+    every = np.arange(id_files.KINDS + 9, dtype="<u4")
+    out = io.BytesIO()
+    id_files.write_ids(out, iter([(1, every[:50].tobytes()), (2, every[50:].tobytes())]))
+    back = list(id_files.read_ids(io.BytesIO(out.getvalue()), out.tell()))
+    assert len(id_files.IdFile(io.BytesIO(out.getvalue()), out.tell()).groups) == 2
+    assert [k for k, _ in back] == [1, 2] and (np.concatenate([a for _, a in back]) == every).all()
+    broken = bytearray(g)                                    # order 0's frequencies are part of the head
+    broken[16 + 4 * len(f)] ^= 1
+    with pytest.raises(ValueError):
+        id_files.decode_group(memoryview(bytes(broken)))
+
+
+def test_words_of_one_stem_share_its_ids():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    e, library = id_files.Encoder(file), Tokenizer.from_file(file)
+    texts = ["thing Thing! THING??? thing*** (thing) thing's thing'", None, "", "  Éan éan, éan$$$\n\x1céan ñandú|| ÿ× ×y ß÷ ÷",
+             "word word.<|endoftext|> <|endoftext|>word <|endoftext|>... word<| |>", "a'll a'll' we'd'ss x" + "y" * 100 + "!!"]
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    column = pa.array(["", *texts, "x"], pa.string()).slice(1, len(texts))
+    for given in (texts, column, column):
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(given, 1)] == want
+    assert {"thing", "!", "???", "***"} <= {*e.known} and not {*e.known} & {"Thing", "thing!", "Thing!", "thing***"}
+    assert len({*e.known}) == len(e.known) and max(map(len, e.known)) <= e.longest
+    assert e.encode([], 1) == []
+
+
 def test_memo_is_bounded():
     memo = Memo(len, 10 * Memo.ENTRY)
     assert [memo["x" * (k % 17)] for k in range(500)] == [k % 17 for k in range(500)]
