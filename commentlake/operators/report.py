@@ -5,9 +5,10 @@ group they build is bounded by the limit of its query, which a report may cut
 further, so collecting a group's members into one row is bounded.
 
 G7 mines near-duplicate comment clusters over the whole corpus: exact copies
-collapse first (grouped aggregate), an exact set-similarity join with prefix, length
-and positional filters finds the links that components need, and clusters are
-connected components by contraction over written tables.
+collapse first (grouped aggregate), an exact set-similarity join by blocks of parity
+maps (``operators.alike``) finds the links that components need, and clusters are
+connected components by contraction over written tables.  The join by prefix, length
+and positional filters serves sets of rare words (H1).
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import stored
+from ..plans.sizing import checked_broadcast
+from ..session import dropped, stored
+from .alike import similar_by_blocks
 
 # --- fixed values that must equal the reference's ---------------------------
 DUP_THRESHOLD = 0.7            # Jaccard at or above which a body is a duplicate
@@ -289,29 +292,34 @@ def mine_conventions(comments: DataFrame, comment_tags: DataFrame | None = None,
     dropped or sampled).
     """
     keep = lambda df: stored(df, "conventions")
-    ws = (comments.select("id", tx.word_set("body").alias("words")).where(F.size("words") > 0))
+    # a text without words is blank; asked of the text, so that word sets are made once
+    ws = comments.where(F.col("body").rlike(tx.NON_WS_J)).select("id", tx.word_set("body").alias("words"))
     # one representative per distinct word set; words as 64-bit hashes: a third of the bytes that are shuffled
-    ws = keep(ws.select("id", F.md5(F.array_join(F.array_sort("words"), " ")).alias("wkey"),
-                        F.transform("words", lambda w: F.xxhash64(w)).alias("words")))
+    ws = ws.select("id", F.sort_array(F.transform("words", lambda w: F.xxhash64(w))).alias("words"))
+    ws = keep(ws.select("id", F.struct(F.xxhash64("words"), F.xxhash64(F.lit(1), "words")).alias("wkey"), "words"))
     reps = ws.groupBy("wkey").agg(F.min("id").alias("rep"))
-    exact = keep(ws.select("id", "wkey").join(reps, "wkey").select("id", "rep"))   # every doc -> its exact rep
-    uniq = keep(ws.select("id", "words", F.size("words").alias("n"))
-                .join(exact.where("id = rep").select("id"), "id", "left_semi"))
-    label = similar_components(uniq, threshold, keep)
+    exact = keep(ws.select("id", "wkey").join(reps, "wkey").select("id", "rep", "wkey"))   # every doc -> its exact rep
+    copies = checked_broadcast(exact.where("id <> rep").select("id", "wkey"))
+    uniq = keep(ws.where("id IS NOT NULL").join(copies, ["id", "wkey"], "left_anti").select("id", "words", F.size("words").alias("n")))
+    dropped(ws)
+    label = similar_by_blocks(uniq, threshold, keep, _joined)
     # every copy has the label of its representative; single comments are no cluster
-    label = exact.join(label.select(F.col("id").alias("rep"), "label"), "rep").select("id", "label")
+    label = exact.join(label.select(F.col("id").alias("rep"), "label"), "rep").select("id", "rep", "label")
     several = label.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("label")
-    label = keep(label.join(several, "label").select("id", "label"))
+    label = keep(label.join(several, "label").select("id", "rep", "label"))
     members = label.select(F.col("id").alias("comment_id"), F.col("label").alias("cid"))
     # each distinct text once against the cluster's first comment, weighed with its copies
-    first = uniq.select(F.col("id").alias("cid"), F.col("words").alias("w1"))
-    alike = (exact.join(members.withColumnRenamed("comment_id", "id"), "id").groupBy("rep", "cid")
-             .agg(F.count(F.lit(1)).alias("copies")).join(uniq.select(F.col("id").alias("rep"), "words"), "rep")
+    alike = label.groupBy("rep", F.col("label").alias("cid")).agg(F.count(F.lit(1)).alias("copies"))
+    words = keep(uniq.join(checked_broadcast(keep(label.select(F.col("rep").alias("id")).distinct())), "id", "left_semi"))
+    dropped(uniq)
+    first = words.select(F.col("id").alias("cid"), F.col("words").alias("w1"))
+    alike = (alike.join(words.select(F.col("id").alias("rep"), "words"), "rep")
              .join(first, "cid").select("cid", "copies", (tx.jaccard("w1", "words")).alias("sim")))
     sims = alike.groupBy("cid").agg((F.sum(F.col("sim") * F.col("copies")) - 1).alias("s"), F.sum("copies").alias("k")).select(
         "cid", F.round(F.col("s") / (F.col("k") - 1), 9).alias("confidence"))
     info = comments.select(F.col("id").alias("comment_id"), "body", "path", "updated_at", "created_at")
-    m = members.join(info, "comment_id")
+    m = info.join(checked_broadcast(members), "comment_id")
+    m = m.withColumn("body", F.when(F.col("comment_id") == F.col("cid"), F.col("body")))      # that of the first only
     dirs = (m.withColumn("dir", tx.group_key("path")).groupBy("cid", "dir")
             .agg(F.count(F.lit(1)).alias("n")))
     all_dirs = (dirs.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "dir")))

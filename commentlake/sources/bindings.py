@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tagging
+from ..plans.sizing import checked_broadcast
 from . import fixture_rules
 
 # parameters of the derived fixtures
@@ -53,9 +54,10 @@ class Tables:
         folder and read back (cuts lineage; later jobs scan parquet)."""
         key = f"_stored_{name}"
         if key not in self.__dict__:
-            from ..session import scratch_path
+            from ..session import scratch_path, shuffles_freed
             path = scratch_path(self.spark, f"kb-{name}")
-            build().write.mode("overwrite").parquet(path)
+            with shuffles_freed(self.spark):
+                build().write.mode("overwrite").parquet(path)
             self.__dict__[key] = self.spark.read.parquet(path)
         return self.__dict__[key]
 
@@ -106,9 +108,10 @@ class Tables:
         e = self.raw("events").select(F.col("event_id").alias("doc_id"), "ts", "user_id")
         p = self.raw("pages").select("page_id", "url")
         n_pages = p.select(F.count(F.lit(1))).scalar()
+        # the few URLs go to the texts where their size allows, so texts are shuffled once
         j = (d.join(e, "doc_id")
              .withColumn("page_id", F.col("doc_id") % n_pages)
-             .join(p, "page_id", "left"))
+             .join(checked_broadcast(p, n_pages), "page_id", "left"))
         stripped = url_path(F.col("url"))
         k7 = F.col("doc_id") % 7
         line = F.nullif(F.col("doc_id") % 11, F.lit(0))
