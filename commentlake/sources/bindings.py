@@ -111,7 +111,7 @@ class Tables:
         # the few URLs go to the texts where their size allows, so texts are shuffled once
         j = (d.join(e, "doc_id")
              .withColumn("page_id", F.col("doc_id") % n_pages)
-             .join(checked_broadcast(p, n_pages), "page_id", "left"))
+             .join(checked_broadcast(p), "page_id", "left"))
         stripped = url_path(F.col("url"))
         k7 = F.col("doc_id") % 7
         line = F.nullif(F.col("doc_id") % 11, F.lit(0))
